@@ -52,8 +52,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bounds of an Arrow batch on its way to Python: whole texts can be long, and each worker holds a few batches.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per Spark application."""
+    """Bound the Arrow batches of the session and make this package importable in Python workers, once per application."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
     sc = spark.sparkContext
     if getattr(sc, "_veilframe_shipped", False):
         return

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
-from veilframe.llm import quality
+from veilframe.llm import counts, mixing, quality, search, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,26 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.takes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top_k(vectors, vectors.where(search.every("vec_id", 50)))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = runtime.scratch_path(spark, "token-counts")
+    rows = counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+    return rows.withColumn("over_limit", F.col("n_tokens") > counts.LIMIT)
+
+
 SQL: dict[str, str] = {}
 
 SQL["op8_quality_ledger"] = r"""
@@ -67,6 +88,80 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from b
 """
 
+SQL["op7_mix_sources"] = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         md5('17|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')) as o
+  from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as r from d group by source),
+w as (select *, 1 + r % 3 as weight, 3 * source_size as cap from s),
+l as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over b, 0))::double / (sum(weight) over () - coalesce(sum(weight) over b, 0))::double as level
+  from w window b as (order by cap / weight, r rows between unbounded preceding and 1 preceding)),
+t as (select source, source_size, least(max(level) over () * weight, cap::double) as target from l),
+p as (
+  select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size)::bigint else 0 end as whole,
+         coalesce(sum(d.size) over (partition by d.source order by d.o, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (size * (whole + (before + size / 2.0 < target - whole * source_size)::bigint))::bigint as taken
+from p
+"""
+
+SQL["op2_topk_search"] = r"""
+with v as (
+  select vec_id, [floor(256 * x::double) for x in embedding] as q from embeddings
+  where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
+"""
+
+
+def _propagation_sql() -> str:
+    """The steps of ``urls.propagate``, one common table expression a step."""
+    steps = ["s0 as (select kind, host, score from start where score > 0)"]
+    for i in range(urls.ROUNDS):
+        steps.append(
+            f"s{i + 1} as (select kind, host, sum(score) as score from (select m.kind, m.dst as host, {urls.DAMPING} * s.score * m.share as score "
+            f"from s{i} s join moves m on m.kind = s.kind and m.host = s.host union all select kind, host, {1 - urls.DAMPING} * score from s0) group by all)"
+        )
+    return ",\n".join(steps)
+
+
+_FITS = "(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
+_LONGEST = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
+_HOST = "translate(regexp_extract({url}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op10_url_filter"] = rf"""
+with p as (
+  select page_id, html, coalesce({_HOST.format(url="url")}, '') as host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
+  from pages),
+r as (
+  select *, case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.name}'" for r in _LONGEST)} end as rule,
+         case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.verdict}'" for r in _LONGEST)} end as ruled
+  from p),
+u as (select page_id, host as src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) as url from p),
+k as (select distinct page_id, src, {_HOST.format(url="case when starts_with(url, '//') then 'http:' || url else url end")} as dst from u),
+e as (select src, dst, count(*) as n from k where src <> dst and src <> '' and dst <> '' group by all),
+moves as (
+  select 'trust' as kind, src as host, dst, n / sum(n) over (partition by src) as share from e
+  union all select 'distrust', dst, src, n / sum(n) over (partition by dst) from e),
+h as (
+  select host, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b from r where host <> '' group by host),
+start as (
+  select 'trust' as kind, host, a / sum(a) over () as score from h union all select 'distrust', host, b / sum(b) over () from h),
+{_propagation_sql()},
+f as (
+  select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust
+  from s{urls.ROUNDS} group by host)
+select page_id, r.host, path, rule,
+       coalesce(ruled, case when coalesce(distrust, 0) > {urls.THRESHOLD} * coalesce(trust, 0) then 'block' else 'allow' end) as verdict
+from r left join f on r.host = f.host
+"""
+
 
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

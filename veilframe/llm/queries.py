@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
-from veilframe.llm import counts, mixing, quality, search, urls
+from veilframe.llm import bpe, counts, html, mixing, pii, quality, search, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,26 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > counts.LIMIT)
 
 
+def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.EXAMPLE_KEY)
+    return rows.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html.main_text(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op8_quality_ledger"] = r"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
-from veilframe.llm import bpe, counts, html, mixing, pii, quality, search, urls
+from veilframe.llm import bpe, counts, html, jaccard, mixing, pii, quality, search, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Rule(width=4, percent=85))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op8_quality_ledger"] = r"""
@@ -138,6 +142,22 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
 """
 
+SQL["op4_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as x
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from documents union select e.b, r.c from r join e on e.a = r.doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.c) as component_id
+from documents d left join n on n.doc_id = d.doc_id join r on r.doc_id = d.doc_id group by all
+"""
+
 
 def _propagation_sql() -> str:
     """The steps of ``urls.propagate``, one common table expression a step."""

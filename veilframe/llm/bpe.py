@@ -4,7 +4,8 @@ Texts are split into words as the tokenizer splits them; each distinct word is e
 are joined back by position, and ids are decoded through the id-to-piece table of the vocabulary.
 
 1. ``split`` reads texts in blocks of about ``BLOCK_CHARS`` characters. A block keeps its distinct
-   words, dealt into ``BUCKETS`` buckets by a hash, and each text as positions in that list.
+   words, dealt into ``BUCKETS`` buckets by a hash, and each text as positions in that list. Its id is
+   a digest of the words.
 2. The word rows (one a block and bucket) are shuffled by bucket, so all occurrences of a word meet;
    ``encode`` looks up its memo and encodes what is new. The ids go back under block and bucket.
 3. Ids and positions are shuffled by block and sorted; ``assemble`` reads a block's ids, then its
@@ -12,8 +13,10 @@ are joined back by position, and ids are decoded through the id-to-piece table o
 
 Scale: a frequent word is one entry a block, not one row an occurrence, so no word is hot. Every row is
 bounded by a block, except that a single text is never cut: it needs memory in proportion to itself. The
-memo of a bucket is emptied at ``MEMO`` words, which costs time only. The positions are written once
-to the shared folder, so a lost executor never meets other blocks than those that were encoded.
+memo of a bucket is emptied at ``MEMO`` words, which costs time only. Texts are split twice, once for the
+words and once for the positions, which is cheaper than to keep the positions. A block that is made anew,
+after a loss or in the second reading, has the same id if it has the same words; one that doesn't find
+its words fails the query rather than give a wrong result.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are each
 encoded; an empty table gives an empty result. Columns other than those named are not read.
@@ -22,6 +25,8 @@ Strings of the tokenizer's special tokens inside a text become those tokens, as
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
 import os
 import re
@@ -32,13 +37,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe import runtime
-
 BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 1_000_000
 BUCKETS = 512
@@ -167,33 +169,32 @@ class _Block:
             self.chunks.append((self.keys, self.counts, np.concatenate(self.parts)))
             self._new()
 
-    def rows(self, block: int) -> Iterator[dict]:
-        """A row for each bucket, then one for each chunk, whose positions are those in the buckets' words together."""
+    def rows(self, texts: bool) -> Iterator[dict]:
+        """A row for each bucket, or for each chunk of texts, whose positions are those in the buckets' words together."""
         self.close()
         words = [mark(w) for w in self.codes]
         bucket = [zlib.crc32(w.encode()) % BUCKETS for w in words]
         order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
-        start = 0
-        while start < len(order):
-            b, end = bucket[order[start]], start
-            while end < len(order) and bucket[order[end]] == b:
-                end += 1
-            yield {"block": block, "bucket": b, "words": _pack_words([words[i] for i in order[start:end]])}
-            start = end
-        for seq, (keys, counts, codes) in enumerate(self.chunks):
-            yield {"block": block, "seq": seq, "keys": keys, "counts": counts, "codes": _pack(place[codes])}
-
-
-def _splitter(spec: str, schema: pa.Schema):
+        said = hashlib.blake2b("\n".join([words[i] for i in order]).encode(), digest_size=8).digest()
+        block = int.from_bytes(said, "big", signed=True)
+        if texts:
+            for keys, counts, codes in self.chunks:
+                yield {"block": block, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(place[codes])}
+            return
+        for b, group in itertools.groupby(order, key=bucket.__getitem__):
+            yield {"block": block, "bucket": b, "words": _pack_words([words[i] for i in group])}
+
+
+def _splitter(spec: str, schema: pa.Schema, texts: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, number, block = Words(spec), TaskContext.get().partitionId() << 32, _Block()
+        cut, block = Words(spec), _Block()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            held = list(block.rows(number))
-            for i in range(0, len(held), 256):
-                yield pa.RecordBatch.from_pylist(held[i : i + 256], schema)
+            held = iter(block.rows(texts))
+            while some := list(itertools.islice(held, 8 if texts else 128)):
+                yield pa.RecordBatch.from_pylist(some, schema)
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -201,7 +202,7 @@ def _splitter(spec: str, schema: pa.Schema):
                 block.add(key, cut.split(text), len(text))
                 if block.chars >= BLOCK_CHARS:
                     yield from rows()
-                    number, block = number + 1, _Block()
+                    block = _Block()
         yield from rows()
 
     return split
@@ -253,18 +254,19 @@ def _assembler(spec: str, key: pa.Field):
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Words(spec).pieces()
-        current, parts, dictionary = None, [], None
+        current, parts, dictionary = None, {}, None
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r] for c in range(b.num_columns)}
-                block, bucket, sizes, ids, _, keys, counts, codes = (row[c] for c in range(8))
+                block, bucket, sizes, ids, n_words, keys, counts, codes = (b.column(c)[r] for c in range(8))
                 if block.as_py() != current:
-                    current, parts, dictionary = block.as_py(), [], None
+                    current, parts, dictionary = block.as_py(), {}, None
                 if bucket.as_py() is not None:
-                    parts.append((sizes.as_py(), ids.as_py()))
+                    parts[bucket.as_py()] = (sizes.as_py(), ids.as_py())  # blocks with the same words share their rows
                     continue
                 if dictionary is None:
-                    dictionary, parts = _Dictionary(parts, pieces), []
+                    dictionary, parts = _Dictionary(list(parts.values()), pieces), {}
+                    if len(dictionary.sizes) != n_words.as_py():
+                        raise RuntimeError("the texts were read in other blocks the second time")
                 codes, counts = _unpack(codes.as_py(), np.uint32), np.array(counts.as_py(), np.int64)
                 flat, sizes = dictionary.ids_of(codes)
                 ends = np.cumsum(counts)
@@ -282,18 +284,17 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """key, ids array<int>, decoded string: one row per document."""
     spec, spark = Path(tokenizer).read_text(), docs.sparkSession
     kind = docs.schema[key].dataType
-    whole = T.StructType(
-        [T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("seq", T.IntegerType())]
-        + [T.StructField("keys", T.ArrayType(kind)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType())]
-    )
-    arrow = spark.createDataFrame([], T.StructType([whole["keys"], T.StructField("key", kind)])).toArrow().schema
-    fields = [pa.field("block", pa.int64()), pa.field("bucket", pa.int32()), pa.field("words", pa.binary()), pa.field("seq", pa.int32())]
-    schema = pa.schema([*fields, arrow.field("keys"), pa.field("counts", pa.list_(pa.int32())), pa.field("codes", pa.binary())])
-    blocks = runtime.materialize(docs.select(key, text).mapInArrow(_splitter(spec, schema), whole), "blocks")
-    words = blocks.where("bucket is not null").select("block", "bucket", "words").repartition("bucket")
+    arrow = spark.createDataFrame([], T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("key", kind)])).toArrow().schema
+    block, rows = pa.field("block", pa.int64()), docs.select(key, text)
+    word_rows = pa.schema([block, pa.field("bucket", pa.int32()), pa.field("words", pa.binary())])
+    text_rows = pa.schema([block, pa.field("n_words", pa.int64()), arrow.field("keys"), pa.field("counts", pa.list_(pa.int32())), pa.field("codes", pa.binary())])
+    words = rows.mapInArrow(_splitter(spec, word_rows, texts=False), "block long, bucket int, words binary").repartition("bucket")
     ids = words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary")
-    texts = blocks.where("bucket is null").select("block", "seq", "keys", "counts", "codes")
-    both = ids.unionByName(texts, allowMissingColumns=True).select("block", "bucket", "sizes", "ids", "seq", "keys", "counts", "codes")
-    sorted_ = both.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last(), "seq")
+    texts = rows.mapInArrow(
+        _splitter(spec, text_rows, texts=True),
+        T.StructType().add("block", "long").add("n_words", "long").add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", "binary"),
+    )
+    both = ids.unionByName(texts, allowMissingColumns=True).select("block", "bucket", "sizes", "ids", "n_words", "keys", "counts", "codes")
+    by_block = both.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
     out = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return sorted_.mapInArrow(_assembler(spec, pa.field(key, arrow.field("key").type)), out)
+    return by_block.mapInArrow(_assembler(spec, pa.field(key, arrow.field("key").type)), out)

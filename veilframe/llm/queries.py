@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
-from veilframe.llm import bpe, counts, html, jaccard, mixing, pii, quality, search, urls
+from veilframe.llm import bpe, counts, html, jaccard, mixing, pii, quality, search, suffix, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Rule(width=4, percent=85))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.remove_matches(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 SQL: dict[str, str] = {}
 
 SQL["op8_quality_ledger"] = r"""

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import runtime
+from veilframe.llm import rolling
 
 LENGTH = 50
 GRAM = 24
@@ -54,9 +55,6 @@ BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 64
 _LAST = (1 << 63) - 1
 _POSITIONS = np.uint64((1 << 21) - 1)
 
-_RANDOM = np.random.default_rng(20).integers(1, 1 << 63, 259, dtype=np.uint64)
-_BYTES, _BASE, _MIX = _RANDOM[:256], _RANDOM[256] | np.uint64(1), _RANDOM[257:] | np.uint64(1)
-
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed by planes of bytes."""
@@ -78,37 +76,15 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
-    return h ^ (h >> np.uint64(32))
-
-
-class _Powers:
-    """Powers of the base and of its inverse, for hashes of any stretch from one running sum."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, inverse))
-        return self.up, self.down
-
-
 class Piece:
     """Hashes over a stretch of text. Windows start at 0 .. n_windows - 1."""
 
-    def __init__(self, data: np.ndarray, length: int, gram: int, powers: _Powers):
+    def __init__(self, data: np.ndarray, length: int, gram: int, powers: rolling.Powers):
         self.length, self.n_windows = length, max(0, len(data) - length + 1)
         if not self.n_windows:
             return
-        self.up, down = powers.of(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * down[: len(data)], dtype=np.uint64, out=self.sums[1:])
-        self.gram_hashes = self.stretches(np.arange(len(data) - gram + 1), gram)
+        self.sums = rolling.Sums(data, powers)
+        self.gram_hashes = self.sums.stretches(np.arange(len(data) - gram + 1), gram)
         wide = length - gram + 1
         low = (self.gram_hashes & ~_POSITIONS) | np.arange(len(self.gram_hashes), dtype=np.uint64)
         span = 1
@@ -118,13 +94,8 @@ class Piece:
         low = np.minimum(low[: self.n_windows], low[wide - span : wide - span + self.n_windows])
         self.anchors = (low & _POSITIONS).astype(np.int64)
 
-    def stretches(self, starts: np.ndarray, size) -> np.ndarray:
-        """Hashes of data[start : start + size]; size may be an array."""
-        ends = starts + size
-        return _mixed((self.sums[ends] - self.sums[starts]) * self.up[len(self.sums) - 1 - starts] + np.asarray(size, np.uint64))
-
     def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.stretches(starts, self.length)
+        return self.sums.stretches(starts, self.length)
 
 
 class Units:
@@ -139,7 +110,7 @@ class Units:
             last.append(z + at)
             owner.append(np.full(len(a), number))
             grams.append(piece.gram_hashes[piece.anchors[a]])
-            contents.append(piece.stretches(a, z - a + piece.length))
+            contents.append(piece.sums.stretches(a, z - a + piece.length))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
         self.first, self.last, self.owner = cat(first, np.int64), cat(last, np.int64), cat(owner, np.int64)
         self.grams, self.contents = cat(grams, np.uint64) >> np.uint64(16), cat(contents, np.uint64) >> np.uint64(16)
@@ -148,7 +119,7 @@ class Units:
 class Block:
     """Whole documents by ascending id, packed into one row."""
 
-    def __init__(self, ids: list[int], sizes: list[int], data: bytes, length: int, gram: int, powers: _Powers):
+    def __init__(self, ids: list[int], sizes: list[int], data: bytes, length: int, gram: int, powers: rolling.Powers):
         self.ids, self.data = np.array(ids, np.int64), np.frombuffer(data, np.uint8)
         self.ends = np.cumsum(np.array(sizes, np.int64))
         self.starts = self.ends - np.array(sizes, np.int64)
@@ -196,7 +167,7 @@ class Family:
 
 
 def _joint(grams: np.ndarray, contents: np.ndarray) -> np.ndarray:
-    return _mixed(grams * _MIX[1] ^ (contents << np.uint64(16)))
+    return rolling.mixed(rolling.mixed(grams) + contents)
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -242,7 +213,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(len(ids))
 
 
-def _read(row: dict, length: int, gram: int, powers: _Powers) -> Block:
+def _read(row: dict, length: int, gram: int, powers: rolling.Powers) -> Block:
     data = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b""
     return Block(row["ids"], row["sizes"], data, length, gram, powers)
 
@@ -264,7 +235,7 @@ def _entries(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _unit_keys(length: int, gram: int, buckets: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = rolling.Powers()
         for b in batches:
             for row in b.to_pylist():
                 block = _read(row, length, gram, powers)
@@ -408,7 +379,7 @@ class _Judged:
 
 def _window_keys(length: int, gram: int, buckets: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = rolling.Powers()
         for row, about in _by_block(batches):
             block = _read(row, length, gram, powers)
             found = _Judged(block, _bits(about, "units")).distinct
@@ -428,7 +399,7 @@ _RESULT_SQL = "id long, n_bytes long, kept binary, spans array<struct<start:long
 
 def _assembler(length: int, gram: int):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers = rolling.Powers()
         for row, about in _by_block(batches):
             block = _read(row, length, gram, powers)
             gone = _Judged(block, _bits(about, "units")).removed(block, _bits(about, "windows"))

@@ -18,7 +18,7 @@ number, go through a second family of the same kind with the hashes of all their
 decides every window exactly.
 
 Steps: order by id and pack into blocks (a table in the shared folder); unit keys to buckets, verdicts back
-to blocks; window keys of the undecided units to buckets, verdicts back; assemble. Rows that move
+to blocks; window keys of the undecided units to buckets, verdicts back; take out what was found. Rows that move
 are packed arrays of one block and bucket.
 
 Scale: work and shuffle grow with the text; the number of buckets grows with it, so a bucket's family
@@ -99,20 +99,21 @@ class Piece:
 
 
 class Units:
-    """The units of a block: first and last window (offsets in the block), owner, and keys."""
+    """The units of a block in the order of its text: first and last window (offsets in the block), owner, and keys of 48 bits."""
 
     def __init__(self, block: Block):
-        first, last, owner, grams, contents = [], [], [], [], []
-        for number, at, piece in block.pieces():
-            turn = np.flatnonzero(np.diff(piece.anchors)) + 1
-            a, z = np.concatenate([[0], turn]), np.concatenate([turn - 1, [piece.n_windows - 1]])
+        first, last, grams, contents = [], [], [], []
+        for at, piece, windows in block.pieces():
+            anchors = piece.anchors[windows]
+            turn = np.flatnonzero((np.diff(anchors) != 0) | (np.diff(windows) != 1)) + 1
+            a, z = windows[np.concatenate([[0], turn])], windows[np.concatenate([turn - 1, [len(windows) - 1]])]
             first.append(a + at)
             last.append(z + at)
-            owner.append(np.full(len(a), number))
             grams.append(piece.gram_hashes[piece.anchors[a]])
             contents.append(piece.sums.stretches(a, z - a + piece.length))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
-        self.first, self.last, self.owner = cat(first, np.int64), cat(last, np.int64), cat(owner, np.int64)
+        self.first, self.last = cat(first, np.int64), cat(last, np.int64)
+        self.owner = np.searchsorted(block.ends, self.first, side="right")
         self.grams, self.contents = cat(grams, np.uint64) >> np.uint64(16), cat(contents, np.uint64) >> np.uint64(16)
 
 
@@ -125,11 +126,17 @@ class Block:
         self.starts = self.ends - np.array(sizes, np.int64)
         self.length, self.gram, self.powers = length, gram, powers
 
-    def pieces(self) -> Iterator[tuple[int, int, Piece]]:
-        """Document number, offset and hashes of each stretch; stretches of a long document overlap by length - 1."""
-        for number, (a, z) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), strict=True)):
-            for at in range(a, z - self.length + 1, PIECE_BYTES):
-                yield number, at, Piece(self.data[at : min(z, at + PIECE_BYTES + self.length - 1)], self.length, self.gram, self.powers)
+    def pieces(self) -> Iterator[tuple[int, Piece, np.ndarray]]:
+        """Offset and hashes of each stretch of text, and its windows that lie within one document.
+
+        Stretches overlap by length - 1, so that every window is in one of them.
+        """
+        for at in range(0, len(self.data) - self.length + 1, PIECE_BYTES):
+            piece = Piece(self.data[at : at + PIECE_BYTES + self.length - 1], self.length, self.gram, self.powers)
+            places = np.arange(at, at + piece.n_windows)
+            inside = np.flatnonzero(places + self.length <= self.ends[np.searchsorted(self.ends, places, side="right")])
+            if len(inside):
+                yield at, piece, inside
 
 
 class Family:
@@ -224,8 +231,13 @@ _KEYS_SQL = "bucket long, block long, first long, last long, grams binary, conte
 
 def _entries(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (gram, content) of a block in order, and the entry of each unit."""
-    order = np.lexsort((units.contents, units.grams))
-    g, c = units.grams[order], units.contents[order]
+    order = np.argsort(units.grams, kind="stable")
+    g = units.grams[order]
+    same = np.concatenate([[False], g[1:] == g[:-1], [False]])
+    shared = np.flatnonzero(same[:-1] | same[1:])  # where a gram has more than one unit
+    within = order[shared]
+    order[shared] = within[np.lexsort((units.contents[within], units.grams[within]))]
+    c = units.contents[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
     entry = np.empty(len(g), np.int64)
@@ -241,7 +253,7 @@ def _unit_keys(length: int, gram: int, buckets: int):
                 block = _read(row, length, gram, powers)
                 g, c, _ = _entries(Units(block))
                 out = [
-                    {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(g[a:z]), "contents": _pack(c[a:z] << np.uint64(16))[:]}
+                    {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(g[a:z]), "contents": _pack(c[a:z])}
                     for k, a, z in _bounds(_dealt(g, buckets))
                 ]
                 if out:
@@ -254,29 +266,12 @@ _VERDICT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa
 _VERDICT_SQL = "block long, bucket long, bits binary"
 
 
-class _GramTable:
-    """Grams with more than one content so far, by levels like a family's: (gram, least and greatest joint key)."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    @staticmethod
-    def _reduced(g: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(g, kind="stable")
-        g, low, high = g[order], low[order], high[order]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        return g[start], np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-
-    def add(self, g: np.ndarray, joint: np.ndarray) -> None:
-        self.parts.append(self._reduced(g, joint, joint))
-        while len(self.parts) > 1 and len(self.parts[-2][0]) <= 2 * len(self.parts[-1][0]):
-            a, b = self.parts.pop(), self.parts.pop()
-            self.parts.append(self._reduced(*(np.concatenate(x) for x in zip(a, b, strict=True))))
-
-    def several(self) -> np.ndarray:
-        """The sorted grams with more than one content."""
-        g, low, high = self._reduced(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-        return g[low != high]
+def _several(grams: list[np.ndarray], joint: list[np.ndarray]) -> np.ndarray:
+    """The sorted grams of a bucket with more than one content."""
+    g, x = np.concatenate(grams), np.concatenate(joint)
+    order = np.argsort(g, kind="stable")
+    g, x = g[order], x[order]
+    return np.unique(g[1:][(g[1:] == g[:-1]) & (x[1:] != x[:-1])])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
@@ -287,17 +282,16 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 def _unit_verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bits of a block's entries in a bucket: 1 an earlier id has the content, 2 the gram has several contents."""
     for bucket, rows in _by_bucket(batches):
-        family, table, held = Family(), _GramTable(), []
+        family, held = Family(), []
         for row in rows:
-            g, c = _unpack_sorted(row["grams"]), _unpack(row["contents"], np.uint64) >> np.uint64(16)
+            g, c = _unpack_sorted(row["grams"]), _unpack(row["contents"], np.uint64)
             joint = _joint(g, c)
             order = np.argsort(joint)
             earlier = np.empty(len(g), bool)
             earlier[order] = family.scan(joint[order], row["first"], row["last"])
-            table.add(g, joint)
-            held.append((row["block"], g, earlier))
-        several = table.several()
-        for block, g, earlier in held:
+            held.append((row["block"], g, joint, earlier))
+        several = _several([h[1] for h in held], [h[2] for h in held])
+        for block, g, _, earlier in held:
             at = np.minimum(np.searchsorted(several, g), max(len(several) - 1, 0))
             mixed = several[at] == g if len(several) else np.zeros(len(g), bool)
             bits = earlier.astype(np.uint8) | (mixed.astype(np.uint8) << 1)
@@ -327,72 +321,90 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[di
 
 
 def _bits(about: list[dict], part: str) -> np.ndarray:
-    found = sorted((r for r in about if r["part"] == part), key=lambda r: r["bucket"])
+    found = sorted((r for r in about if r["part"] == part), key=lambda r: r["bucket"])  # range buckets: their order is that of the keys
     return np.concatenate([_unpack(r["bits"], np.uint8) for r in found]) if found else np.empty(0, np.uint8)
 
 
-def _later(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which of the (key, id) have a smaller id with the same key among them."""
-    order = np.lexsort((ids, keys))
-    k, i = keys[order], ids[order]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    least = np.repeat(i[start], np.diff(np.append(start, len(k))))
-    out = np.empty(len(k), bool)
-    out[order] = i > least
-    return out
+def _later(entry: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Which of the (entry, id), in ascending order of ids, have a smaller id with the same entry among them."""
+    least = np.empty(n, np.int64)
+    least[entry[::-1]] = ids[::-1]  # the first one of each stays
+    return ids > least[entry]
 
 
 class _Judged:
-    """A block's units after the first family: whole ones to remove, and the windows still to decide."""
+    """A block's units after the first family: spans to remove, and the windows still to decide."""
 
     def __init__(self, block: Block, bits: np.ndarray):
         units = Units(block)
-        _, _, entry = _entries(units)
-        if len(bits) != (int(entry.max()) + 1 if len(entry) else 0):
+        g, _, entry = _entries(units)
+        if len(bits) != len(g):
             raise RuntimeError("a block came back with other units than it had")
         owner = block.ids[units.owner]
-        gone = (bits[entry] & 1).astype(bool) | _later(entry, owner)
-        self.first, self.last = units.first[gone], units.last[gone]
+        gone = (bits[entry] & 1).astype(bool) | _later(entry, owner, len(g))
+        self.first, self.last = units.first[gone], units.last[gone] + block.length
         open_ = ~gone & (bits[entry] & 2).astype(bool)
         counts = (units.last - units.first + 1)[open_]
         first = units.first[open_]
         self.windows = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        self.owners = np.repeat(owner[open_], counts)
+        owners = np.repeat(owner[open_], counts)
         keys = [np.empty(0, np.uint64)]
-        for _, at, piece in block.pieces():
-            a, z = np.searchsorted(self.windows, [at, at + piece.n_windows])
+        for at, piece, _ in block.pieces():
+            a, z = np.searchsorted(self.windows, [at, at + min(piece.n_windows, PIECE_BYTES)])
             keys.append(piece.windows(self.windows[a:z] - at))
-        self.keys = np.concatenate(keys)
-        self.distinct, self.entry = np.unique(self.keys, return_inverse=True)
+        self.distinct, self.entry = np.unique(np.concatenate(keys), return_inverse=True)
+        self.later = _later(self.entry, owners, len(self.distinct))
+
 
-    def removed(self, block: Block, bits: np.ndarray) -> np.ndarray:
-        """A flag for each byte of the block."""
-        if len(bits) != len(self.distinct):
-            raise RuntimeError("a block came back with other windows than it had")
-        gone = bits[self.entry].astype(bool) | _later(self.entry, self.owners)
-        edge = np.zeros(len(block.data) + 1, np.int32)
-        for first, last in ((self.first, self.last), (self.windows[gone], self.windows[gone])):
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + block.length, -1)
-        return np.cumsum(edge[:-1]) > 0
+_FOUND = pa.schema([*_KEYS, ("spans", pa.list_(pa.binary())), ("windows", pa.list_(pa.binary()))])
+_FOUND_SQL = _KEYS_SQL + ", spans array<binary>, windows array<binary>"
 
 
 def _window_keys(length: int, gram: int, buckets: int):
+    """Window keys of each block by bucket, and one row with what is known of the block."""
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = rolling.Powers()
         for row, about in _by_block(batches):
             block = _read(row, length, gram, powers)
-            found = _Judged(block, _bits(about, "units")).distinct
+            found = _Judged(block, _bits(about, "units"))
             out = [
-                {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(found[a:z]), "contents": None}
-                for k, a, z in _bounds(_dealt(found >> np.uint64(16), buckets))
+                {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(found.distinct[a:z])}
+                for k, a, z in _bounds(_dealt(found.distinct >> np.uint64(16), buckets))
             ]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _KEYS)
+            spans = [_pack(np.diff(x, prepend=0)) for x in _merged(found.first, found.last)]
+            windows = [_pack(np.diff(found.windows, prepend=0)), _pack(found.entry.astype(np.int32)), _pack(found.later.astype(np.uint8))]
+            out.append({"block": row["block"], "spans": spans, "windows": windows})
+            for i in range(0, len(out), 16):
+                yield pa.RecordBatch.from_pylist(out[i : i + 16], _FOUND)
 
     return keys
 
 
+def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans by ascending starts, with those that meet made one."""
+    if not len(first):
+        return first, last
+    reach = np.maximum.accumulate(last)
+    new = np.concatenate([[True], first[1:] > reach[:-1]])
+    return first[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)]
+
+
+def _removed(size: int, length: int, known: dict, bits: np.ndarray) -> np.ndarray:
+    """A flag for each byte of a block."""
+    first, last = (np.cumsum(_unpack(b, np.int64)) for b in known["spans"])
+    windows, entry, later = (_unpack(b, kind) for b, kind in zip(known["windows"], (np.int64, np.int32, np.uint8), strict=True))
+    windows = np.cumsum(windows)
+    if len(bits) != (int(entry.max()) + 1 if len(entry) else 0):
+        raise RuntimeError("a block came back with other windows than it had")
+    gone = windows[bits[entry].astype(bool) | later.astype(bool)]
+    edge = np.zeros(size + 1, np.int32)
+    for a, z in ((first, last), (gone, gone + length)):
+        np.add.at(edge, a, 1)
+        np.add.at(edge, z, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _RESULT_SQL = "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 
@@ -402,7 +414,8 @@ def _assembler(length: int, gram: int):
         powers = rolling.Powers()
         for row, about in _by_block(batches):
             block = _read(row, length, gram, powers)
-            gone = _Judged(block, _bits(about, "units")).removed(block, _bits(about, "windows"))
+            known = next(r for r in about if r["spans"] is not None)
+            gone = _removed(len(block.data), length, known, _bits(about, "windows"))
             out: list[dict] = []
             for i, null, a, z in zip(row["ids"], row["nulls"], block.starts.tolist(), block.ends.tolist(), strict=True):
                 own = gone[a:z]
@@ -442,8 +455,11 @@ def remove_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     runtime.release(spark)
     units = judged(blocks.mapInArrow(_unit_keys(length, gram, buckets), _KEYS_SQL), _unit_verdicts, "units")
     runtime.release(spark)
-    keys = _beside(blocks, {"units": units}).mapInArrow(_window_keys(length, gram, buckets), _KEYS_SQL)
+    found = runtime.materialize(_beside(blocks, {"units": units}).mapInArrow(_window_keys(length, gram, buckets), _FOUND_SQL), "found")
+    runtime.release(spark)
+    keys = found.where("bucket is not null").select("bucket", "block", "first", "last", "grams")
     windows = judged(keys, _window_verdicts, "windows")
     runtime.release(spark)
-    made = _beside(blocks, {"units": units, "windows": windows}).mapInArrow(_assembler(length, gram), _RESULT_SQL)
+    known = found.where("bucket is null").select("block", "spans", "windows")
+    made = _beside(blocks, {"windows": windows, "known": known}).mapInArrow(_assembler(length, gram), _RESULT_SQL)
     return made.withColumnRenamed("id", key)

@@ -194,7 +194,7 @@ def synthetic(spark: SparkSession, classes: dict[str, int], specs: dict[str, dic
     for j, (feature, by) in enumerate(specs.items()):
         pick = lambda i, by=by: _by_class(by, i)
         mean, sd, lo, hi = (pick(i) for i in range(4))
-        x = scalars.clip(mean + sd * F.randn(seed + 3 * j), lo, hi)
+        x = F.greatest(lo, F.least(hi, mean + sd * F.randn(seed + 3 * j)))  # drawn once
         x = F.when((hi > 1000) & (F.rand(seed + 3 * j + 1) < 0.01), hi / 2 + F.rand(seed + 3 * j + 2) * hi / 2).otherwise(x)
         made[feature] = F.round(x).cast("long") if feature in integers else x
     return rows.withColumns(made).withColumn("label", (F.col("attack_cat") != normal).cast("int")).select("id", *specs, "attack_cat", "label")

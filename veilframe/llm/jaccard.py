@@ -17,7 +17,7 @@ copy instead of one a pair, whatever its size, and every pair that could still m
 Scale: the order comes from a sketch of ``SLOTS`` counters over all shingles of all documents, 4 MB
 whatever the input. Exact copies collapse behind partial aggregation. Buckets are joined with their
 pivots by sort-merge joins, which Spark splits where a bucket is large. Sets are made again from the
-texts of only those nodes that meet another in a bucket. Every round ends in a table in the shared
+texts of only those nodes that are compared. Every round ends in a table in the shared
 folder.
 
 Defined results: documents without words, or with null text, have an empty set and link with nothing, so
@@ -29,26 +29,28 @@ named are not read. Sets are compared by 64-bit hashes of their shingles.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import runtime
+from veilframe.llm import rolling
 
 SLOTS = 1 << 20
 _CHUNKS = 64
 #: Documents without an id get a number of their text from here on.
 _NAMELESS = 1 << 62
 #: Growth of the number of pivots a bucket and round.
-_GROWTH = 4
+_GROWTH = 16
 
 
 class Rule(NamedTuple):
@@ -72,50 +74,40 @@ class Rule(NamedTuple):
         return overlap * (100 + self.percent) >= (n + m) * self.percent
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, emptied when large."""
+def _all_shingles(texts: list[str | None], width: int, powers: rolling.Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (uint64) of all shingles of the texts one after the other, and how many each text has."""
+    raw = [(t or "").encode() for t in texts]
+    h, at = rolling.words(np.frombuffer(b" ".join(raw), np.uint8), powers)
+    ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    n = np.diff(np.searchsorted(at, ends), prepend=0)
+    size = np.minimum(n, width)
+    counts = np.where(n > 0, n - size + 1, 0)
+    starts = np.repeat(np.cumsum(n) - n - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    sizes = np.repeat(size, counts)
+    out = sizes.astype(np.uint64)
+    for i in range(width if len(h) else 0):
+        out = np.where(sizes > i, rolling.mixed(out + h[np.minimum(starts + i, len(h) - 1)]), out)
+    return out, counts
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_C = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
+def _parts(batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            yield b.slice(i, size)
 
-def shingles(text: str | None, width: int, hashes: _Hashes) -> np.ndarray:
-    """The set as sorted distinct hashes (uint64)."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and x20, x09-x0D
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    count = min(n, width)
-    out = np.full(n - count + 1, count, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(count):
-            out = (out ^ h[i : n - count + 1 + i]) * _C[0]
-            out ^= out >> np.uint64(29)
-        out = (out ^ (out >> np.uint64(33))) * _C[1]
-        out = (out ^ (out >> np.uint64(33))) * _C[2]
-        out ^= out >> np.uint64(33)
-    return np.unique(out)
 
-
-def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = _Hashes()
-    for b in batches:
-        yield b, [shingles(t.as_py(), width, hashes) for t in b["text"]]
+def _sets(b: pa.RecordBatch, width: int, powers: rolling.Powers) -> list[np.ndarray]:
+    """Each text's set as sorted distinct hashes."""
+    found, counts = _all_shingles(b["text"].to_pylist(), width, powers)
+    return [np.unique(x) for x in np.split(found, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
 def _sketcher(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
-        for _, sets in _texts(batches, width):
-            for s in sets:
-                np.add.at(counts, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+        counts, powers = np.zeros(SLOTS, np.uint32), rolling.Powers()
+        for b in _parts(batches):
+            found, _ = _all_shingles(b["text"].to_pylist(), width, powers)
+            np.add.at(counts, (found % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
         if counts.any():
             packed = [zstandard.ZstdCompressor(1).compress(c.tobytes()) for c in np.split(counts, _CHUNKS)]
             task = TaskContext.get().partitionId() % 256
@@ -134,7 +126,7 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents' shingles fall in each slot; saturates. docs: text."""
+    """How many shingles of all texts fall in each slot; saturates. docs: text."""
     schema = "part int, task int, counts binary"
     parts = docs.select("text").mapInArrow(_sketcher(width), schema)
     parts = parts.groupBy("part", "task").applyInArrow(_summed, schema).groupBy("part").applyInArrow(_summed, schema)
@@ -148,9 +140,9 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _signer(rule: Rule, sketch):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        for b, sets in _texts(batches, rule.width):
-            prefixes = []
+        counts, powers = sketch.value, rolling.Powers()
+        for b in _parts(batches):
+            sets, prefixes = _sets(b, rule.width, powers), []
             for s in sets:
                 k = rule.prefix(len(s)) if len(s) >= rule.smallest() else 0
                 order = np.lexsort((s, counts[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
@@ -166,7 +158,9 @@ def _signer(rule: Rule, sketch):
 
 def _set_maker(rule: Rule):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _texts(batches, rule.width):
+        powers = rolling.Powers()
+        for b in _parts(batches):
+            sets = _sets(b, rule.width, powers)
             same = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, b["digest"], strict=True)])
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"]).filter(same)
 
@@ -191,51 +185,78 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of ``edges`` (a, b: long), by contraction.
 
     Each node points at the smallest of itself and its neighbours, pointers are followed once more, and edges
-    between different targets remain for the next turn.
+    between different targets remain for the next turn. A node's component is where its pointers lead in the end.
     """
     edges = runtime.materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    turn = 0
     while edges.take(1):
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("to")))
         to = both.groupBy("node").agg(F.least("node", F.min("to")).alias("to"))
         to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
         to = runtime.materialize(to, "pointers")
-        labels = labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = runtime.materialize(labels, "labels")
         edges = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         edges = runtime.materialize(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
+        labels = labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        turn += 1
+        if turn % 4 == 0:
+            labels = runtime.materialize(labels, "labels")
     return labels
 
 
+#: Rows of a few longs each (5 MB in all) up to which a side is broadcast; beyond, Spark shuffles it.
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 class _Join:
     """The steps of the join over docs (doc long, not null; text string)."""
 
     def __init__(self, docs: DataFrame, rule: Rule):
-        self.docs, self.rule = docs, rule
+        self.docs, self.rule, self.sets = docs, rule, []
         sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, rule.width))
         self.signed = runtime.materialize(docs.mapInArrow(_signer(rule, sketch), "doc long, n long, digest binary, prefix array<long>"), "signed")
         nodes = self.signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
         self.nodes = runtime.materialize(nodes, "nodes")
-
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """node, hashes of the wanted nodes (node, digest), made from one text of each."""
-        rows = self.docs.join(wanted, F.col("doc") == F.col("node")).select("node", "digest", "text").mapInArrow(_set_maker(self.rule), "node long, hashes binary")
-        return runtime.materialize(rows.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        runtime.release(docs.sparkSession)
+
+    def need(self, pairs: DataFrame) -> None:
+        """Make the sets of the nodes of pairs (na, nb) that aren't there yet, each from one text."""
+        wanted = pairs.select(F.explode(F.array("na", "nb")).alias("node")).distinct()
+        if self.sets:
+            wanted = wanted.join(functools.reduce(DataFrame.unionByName, self.sets).select("node"), "node", "left_anti")
+        wanted = runtime.materialize(self.nodes.select("node", "digest").join(wanted, "node", "left_semi"), "wanted")
+        if not wanted.take(1):
+            return
+        rows = self.docs.join(_small(wanted), F.col("doc") == F.col("node")).select("node", "digest", "text")
+        rows = rows.mapInArrow(_set_maker(self.rule), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+        self.sets.append(runtime.materialize(rows, "sets"))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
         """The distinct a, b of pairs (a, b: units; na, nb: a node of each) whose nodes link."""
+        pairs = runtime.materialize(pairs, "pairs")
+        self.need(pairs)
+        if not self.sets:
+            return pairs.select("a", "b")  # no pairs
+        sets = functools.reduce(DataFrame.unionByName, self.sets)
         left, right = (sets.select(F.col("node").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        return pairs.join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long").distinct()
+        # few pairs need few sets, which then are all that is shuffled
+        right = right.join(_small(pairs.select("nb").distinct()), "nb", "left_semi")
+        return _small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long").distinct()
 
     def grouped(self) -> tuple[DataFrame, DataFrame]:
         """Units (groups of nodes with equal prefix and size, by their first node) and members (unit, node) beyond the first."""
         nodes = self.nodes.where(F.size("prefix") > 0)
-        shared = nodes.groupBy("n", "prefix").agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
-        found = runtime.materialize(nodes.join(shared, ["n", "prefix"]).select("unit", "node", "digest"), "groups")
+        keyed = nodes.select("node", "n", F.xxhash64("prefix").alias("prefix"))
+        shared = keyed.groupBy("n", "prefix").agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
+        found = runtime.materialize(keyed.join(shared, ["n", "prefix"]).select("unit", "node"), "groups")
         if not found.take(1):
             return nodes, found.select("unit", "node")
         pairs = found.where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
-        members = runtime.materialize(self.verified(pairs, self.sets_of(found.select("node", "digest"))).toDF("unit", "node"), "members")
+        members = runtime.materialize(self.verified(pairs).toDF("unit", "node"), "members")
         return nodes.join(members.select("node"), "node", "left_anti"), members
 
     @staticmethod
@@ -251,11 +272,13 @@ class _Join:
         rule = self.rule
         units, members = self.grouped()
         places = units.select(F.col("node").alias("unit"), "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+        left = F.col("n") - F.col("pos")
+        shared = places.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(left).alias("left"), F.sum("n").alias("all"))
+        # a bucket of two is one pair, and these are its sizes and places
+        able = (F.col("k") > 2) | (rule.fits(F.col("lo"), F.col("hi")) & rule.reaches(F.col("left"), F.col("all"), F.lit(0)))
+        shared = shared.where((F.col("k") > 1) & able).select("token")
         live = runtime.materialize(places.join(shared, "token").withColumn("component", F.col("unit")), "places")
-        held = live.select(F.col("unit").alias("node")).distinct()
-        held = held.unionByName(members.join(held.withColumnRenamed("node", "unit"), "unit", "left_semi").select("node"))
-        sets = self.sets_of(self.nodes.select("node", "digest").join(held, "node", "left_semi"))
+        runtime.release(self.docs.sparkSession)
         of = runtime.materialize(live.select("unit").distinct().withColumn("component", F.col("unit")), "components")
         turn = 0
         while live.take(1):
@@ -267,14 +290,16 @@ class _Join:
                 (F.col("unit") != F.col("p")) & (F.col("component") != F.col("pc")) & rule.fits(F.col("n"), F.col("pn")) & rule.reaches(overlap, F.col("n"), F.col("pn"))
             )
             pairs = near.select(F.least("unit", "p").alias("a"), F.greatest("unit", "p").alias("b")).distinct()
-            links = runtime.materialize(self.verified(self.expanded(pairs, members), sets), "links")
-            ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            new = components(ends).toDF("component", "to")
-            of = runtime.materialize(of.join(new, "component", "left").select("unit", F.coalesce("to", "component").alias("component")), "components")
+            links = runtime.materialize(self.verified(self.expanded(pairs, members)), "links")
+            if links.take(1):
+                ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+                new = components(ends).toDF("component", "to")
+                of = runtime.materialize(of.join(new, "component", "left").select("unit", F.coalesce("to", "component").alias("component")), "components")
             rest = live.drop("component").join(pivots.select("token", F.col("p").alias("unit")), ["token", "unit"], "left_anti").join(of, "unit")
             open_ = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
             live = runtime.materialize(rest.join(open_, "token", "left_semi"), "places")
             turn += 1
+            runtime.release(self.docs.sparkSession)
         return of, members
 
 

@@ -173,10 +173,11 @@ class _Block:
         """A row for each bucket, or for each chunk of texts, whose positions are those in the buckets' words together."""
         self.close()
         words = [mark(w) for w in self.codes]
-        bucket = [zlib.crc32(w.encode()) % BUCKETS for w in words]
-        order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
+        order = order.tolist()
         said = hashlib.blake2b("\n".join([words[i] for i in order]).encode(), digest_size=8).digest()
         block = int.from_bytes(said, "big", signed=True)
         if texts:
@@ -184,7 +185,7 @@ class _Block:
                 yield {"block": block, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(place[codes])}
             return
         for b, group in itertools.groupby(order, key=bucket.__getitem__):
-            yield {"block": block, "bucket": b, "words": _pack_words([words[i] for i in group])}
+            yield {"block": block, "bucket": int(b), "words": _pack_words([words[i] for i in group])}
 
 
 def _splitter(spec: str, schema: pa.Schema, texts: bool):

@@ -109,7 +109,7 @@ class Units:
             a, z = windows[np.concatenate([[0], turn])], windows[np.concatenate([turn - 1, [len(windows) - 1]])]
             first.append(a + at)
             last.append(z + at)
-            grams.append(piece.gram_hashes[piece.anchors[a]])
+            grams.append(rolling.mixed(piece.gram_hashes[piece.anchors[a]]))  # anchors have small hashes; keys are spread evenly
             contents.append(piece.sums.stretches(a, z - a + piece.length))
         cat = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
         self.first, self.last = cat(first, np.int64), cat(last, np.int64)
@@ -159,7 +159,9 @@ class Family:
         if len(keys):
             self.levels.append(keys)
             while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-                self.levels.append(np.union1d(self.levels.pop(), self.levels.pop()))
+                both = np.concatenate([self.levels.pop(), self.levels.pop()])
+                both.sort(kind="stable")  # two sorted runs: one merge
+                self.levels.append(both[np.concatenate([[True], both[1:] != both[:-1]])])
 
     def scan(self, keys: np.ndarray, first: int, last: int) -> np.ndarray:
         """Which keys of a batch of ids first .. last an earlier id has; batches come by ascending ids."""

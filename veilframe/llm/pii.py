@@ -3,7 +3,8 @@ r"""Personal data: format-preserving Feistel pseudonyms.
 What looks like a personal value is validated first, then permuted under a key within its own format:
 a card number becomes another that passes Luhn's test, a date another date written alike, an address
 another address. Equal values get equal pseudonyms in every document, and ``restore`` with the key
-gives the originals back.
+gives the originals back. One exception: where a pseudonym, with the digits around it, would make another
+value that is read first, the next pseudonym that doesn't is taken there.
 
 Kinds: email (letters and digits of the local part), card (13 to 19 digits that pass Luhn), iban (that
 passes mod 97), ssn, phone (North American, or + and 8 to 15 digits; without the +, area and exchange
@@ -11,6 +12,10 @@ must start with 2 to 9), ipv4, date (year first, or year
 last with ``.`` or ``/``; 1900 to 2099), secret (32 to 64 hexadecimal digits after token, key, secret or
 password and ``=`` or ``:``). Values that fail validation stay as they are, and so does everything else.
 
+Where formats overlap: a run of digit groups is tried as a card from each group to each later group's end, and
+an iban to each group's end, its country's length first. What validates first is taken: usual groupings of cards
+and the other kinds before unusual groupings of cards, then the leftmost, then by kind, then the longest.
+
 Method: a number below N = a * b is a pair (x mod a, y mod b); rounds add a keyed digest of one half to
 the other in turn, which is a permutation of 0..N-1. Where only some numbers of a format are valid, the
 permutation is walked until it meets a valid one, which is a permutation of the valid ones.
@@ -27,6 +32,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,17 +47,32 @@ _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?)(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 SECRET = re.compile(r"(?i)(?:token|key|secret|password)[\"']?\s*[=:]\s*[\"']?([0-9a-f]{32,64})(?![0-9A-Za-z])")
-_END = r"(?![0-9A-Za-z]|[.\-/]\d)"
+_START, _END = r"(?<![0-9A-Za-z])(?<!\d[.\-/])", r"(?![0-9A-Za-z]|[.\-/]\d)"
+_CARD_START, _CARD_END = re.compile(r"(?<![0-9A-Za-z])(?<!\d[./])", re.ASCII), re.compile(r"(?![0-9A-Za-z]|[./]\d)", re.ASCII)
+_PATTERNS = {
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}",
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "phone+1": r"\+\d[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}",
+    "phone": r"(?:\d[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}",
+}
+#: Where a personal number may start; ``_candidates`` then looks at every kind.
 NUMBER = re.compile(
-    r"(?<![0-9A-Za-z])(?<!\d[.\-/])(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)" + _END + r"|"
-    r"(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})" + _END + r"|"
-    r"(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END + r"|"
-    r"(?P<ssn>\d{3}-\d{2}-\d{4})" + _END + r"|"
-    r"(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5})" + _END + r"|"
-    r"(?P<card>\d(?:[ -]?\d){12,18})" + _END + r")",
-    re.ASCII,
+    "|".join(f"{_START}(?:{x}){_END}" for x in _PATTERNS.values()) + r"|(?<![0-9A-Za-z])(?<!\d[./])\d(?:[ -]?\d){12}", re.ASCII
 )
+_KINDS = {kind: re.compile(f"{_START}(?:{x}){_END}", re.ASCII) for kind, x in _PATTERNS.items()}
+_WHOLE_IBAN = re.compile(_PATTERNS["iban"], re.ASCII)
+_GROUP = re.compile(r"\d+", re.ASCII)
+#: How cards are usually written, as the digits of each group; these are read before other groupings.
+_CARD_SHAPES = {*((n,) for n in range(13, 20)), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+_IBAN_LENGTHS = {
+    c: int(n)
+    for n, countries in (line.split(":") for line in """15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV
+22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM
+28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC""".split())
+    for c in countries.split(",")
+}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -172,6 +193,10 @@ def _phone(found: str, p: Permutation) -> str | None:
     return _filled(found, digits[:code] + p.digits("phone" + digits[:code], digits[code:]), str.isdigit)
 
 
+def _phone_one(found: str, p: Permutation) -> str | None:
+    return _phone(found, p) if found[1] == "1" else None
+
+
 def _ipv4(found: str, p: Permutation) -> str | None:
     octets = found.split(".")
     if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
@@ -216,10 +241,54 @@ def _secret(found: str, p: Permutation) -> str:
 
 
 _NUMBERS: dict[str, Callable[[str, Permutation], str | None]] = {
-    "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card,
+    "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone+1": _phone_one, "phone": _phone, "card": _card,
 }
 
 
+class _Candidate(NamedTuple):
+    """A place that has a format; in this order, what validates and is still free is taken."""
+
+    unusual: bool
+    start: int
+    order: int
+    odd: bool
+    shorter: int
+    end: int
+    kind: str
+
+
+_ORDER = {kind: i for i, kind in enumerate(_NUMBERS)}
+
+
+def _candidates(text: str) -> list[_Candidate]:
+    """Every place of every format, overlapping or not. Permuted values don't change them: patterns ask for digits, never for a certain one."""
+    out, at = [], 0
+    while m := NUMBER.search(text, at):
+        start = m.start()
+        at = start + 1
+        for kind, pattern in _KINDS.items():
+            if not (k := pattern.match(text, start)):
+                continue
+            if kind != "iban":
+                out.append(_Candidate(False, start, _ORDER[kind], False, -k.end(), k.end(), kind))
+                continue
+            ends = [e for e in range(start + 15, k.end()) if text[e] == " "] + [k.end()]
+            for e in ends:
+                length = e - start - text.count(" ", start, e)
+                if length >= 15 and _WHOLE_IBAN.fullmatch(text, start, e):
+                    out.append(_Candidate(False, start, _ORDER[kind], length != _IBAN_LENGTHS.get(text[start : start + 2]), -e, e, kind))
+        if _CARD_START.match(text, start):
+            shape, end = [], start
+            while (g := _GROUP.match(text, end + (end > start))) and sum(shape) + len(g[0]) <= 19:
+                shape.append(len(g[0]))
+                end = g.end()
+                if sum(shape) >= 13 and _CARD_END.match(text, end):
+                    out.append(_Candidate(tuple(shape) not in _CARD_SHAPES, start, _ORDER["card"], False, -end, end, "card"))
+                if text[end : end + 1] not in (" ", "-"):
+                    break
+    return sorted(out)
+
+
 def replace(text: str, p: Permutation) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with its personal values permuted, and (kind, start, end) of each."""
     found: list[tuple[int, int, str, str]] = []
@@ -227,17 +296,7 @@ def replace(text: str, p: Permutation) -> tuple[str, list[tuple[str, int, int]]]
         found += [(m.start(1), m.end(1), "email", _email(m[1], p)) for m in EMAIL.finditer(text)]
     if any(c in text for c in "=:"):
         found += [(m.start(1), m.end(1), "secret", _secret(m[1], p)) for m in SECRET.finditer(text)]
-    taken = sorted(found)
-    at = 0
-    while m := NUMBER.search(text, at):
-        kind = m.lastgroup
-        new = _NUMBERS[kind](m[kind], p)
-        inside = any(a < m.end() and m.start() < z for a, z, *_ in taken)
-        if new is None or inside:
-            at = m.end() if kind == "card" or inside else m.start() + 1
-            continue
-        found.append((m.start(), m.end(), kind, new))
-        at = m.end()
+    found += _numbers(text, [(a, z) for a, z, *_ in found], p)
     if not found:
         return text, []
     out, last = [], 0
@@ -247,6 +306,51 @@ def replace(text: str, p: Permutation) -> tuple[str, list[tuple[str, int, int]]]
     return "".join([*out, text[last:]]), [(kind, a, z) for a, z, kind, _ in sorted(found)]
 
 
+def _numbers(text: str, taken: list[tuple[int, int]], p: Permutation) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the numbers outside ``taken``.
+
+    A candidate that overlaps a value and comes before it in order must not validate once the value is
+    permuted, or ``restore`` would take it instead: such a rival makes the walk go on. A step so is a
+    permutation of the texts in which the same places are taken, and ``restore`` undoes the steps backwards.
+    """
+    candidates = _candidates(text)
+    if not candidates:
+        return []
+    owner = {i: -1 for a, z in taken for i in range(a, z)} if taken else {}
+    chosen: list[_Candidate] = []
+    rivals: list[_Candidate] = []
+    for c in candidates:
+        if any(i in owner for i in range(c.start, c.end)):
+            continue
+        if _NUMBERS[c.kind](text[c.start : c.end], p) is None:
+            rivals.append(c)
+            continue
+        owner.update(dict.fromkeys(range(c.start, c.end), len(chosen)))
+        chosen.append(c)
+    against: dict[int, list[_Candidate]] = {}
+    for r in rivals:
+        for i in {owner[j] for j in range(r.start, r.end) if owner.get(j, -1) >= 0}:
+            against.setdefault(i, []).append(r)
+    now = list(text) if against else []
+    out = []
+    for i in range(len(chosen))[:: p.sign]:
+        c = chosen[i]
+        new = _NUMBERS[c.kind](text[c.start : c.end], p)
+        if against:
+            now[c.start : c.end] = _cells(new, c)
+            while any(_NUMBERS[r.kind]("".join(now[r.start : r.end]), p) is not None for r in against.get(i, ())):
+                new = _NUMBERS[c.kind](new, p)
+                now[c.start : c.end] = _cells(new, c)
+        out.append((c.start, c.end, "phone" if c.kind == "phone+1" else c.kind, new))
+    return out
+
+
+def _cells(new: str, c: _Candidate) -> list[str]:
+    """``new`` over the places of ``c``; an address may be longer or shorter, and none cuts through it."""
+    n = c.end - c.start
+    return list(new) if len(new) == n else [new] + [""] * (n - 1)
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _RESULT = pa.struct([("text", pa.string()), ("spans", pa.list_(_SPAN))])
 RESULT = "struct<text:string,spans:array<struct<kind:string,start:int,end:int>>>"

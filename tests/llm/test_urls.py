@@ -88,3 +88,31 @@ def test_edges_and_rules(spark):
         urls.longest_rule([urls.RULES[0]] * 1001, df.url, df.url)
     long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/" + "p" * 50_000, "<a href=" + "x" * 100_000)], df.schema)
     assert urls.verdicts(long).first().rule == "com/"
+
+
+def test_chains_longer_than_ten_hosts(spark):
+    hosts = [f"h{i}.org" for i in range(25)]
+    rows = [(i, f"http://{h}/", f"<a href=http://{to}/>x</a>") for i, (h, to) in enumerate(zip(hosts, [*hosts[1:], "bad.example"], strict=True))]
+    rows += [(100, "http://bad.example/", ""), (101, "http://apart.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [urls.Rule("block", "bad.example", "/")]
+    got = {r.page_id: r for r in urls.verdicts(df, rules=rules).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {*range(25), 100}
+    assert all(abs(got[i].distrust - 0.15 * 0.85 ** (25 - i)) < 1e-12 for i in range(25)) and got[101].distrust == 0
+    few = {r.page_id: r for r in urls.verdicts(df.where("page_id > 20"), rules=rules, damping=1e-200).collect()}
+    assert few[21].verdict == "block" and few[21].distrust > 0  # reached, though 1e-800 is no double
+
+
+def test_cycles_are_walked_until_settled(spark):
+    edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 3), ("c", "d", 1)]
+    start = [("a", 1.0, 0.0), ("d", 0.0, 1.0)]
+    got = urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(start, "host string, trust double, distrust double"), tolerance=1e-5)
+    got = {r.host: r for r in got.collect()}
+    for kind, moves in (("trust", edges), ("distrust", [(b, a, n) for a, b, n in edges])):
+        now = {h: s[kind == "distrust"] for h, *s in start}
+        for _ in range(500):
+            new = {h: 0.15 * s[kind == "distrust"] for h, *s in start}
+            for a, b, n in moves:
+                new[b] = new.get(b, 0) + 0.85 * now.get(a, 0) * n / sum(m for x, _, m in moves if x == a)
+            now = new
+        assert all(abs(got[h][kind] - s) <= 1e-4 * s for h, s in now.items())

@@ -6,9 +6,15 @@ follows links; distrust starts at the blocked seeds and follows links backwards,
 blocked hosts inherits it. A url without a rule is blocked where its host's distrust exceeds
 ``threshold`` times its trust, and allowed otherwise. All of it is DataFrame operations.
 
+Both walks go on until a step changes no host's score by more than ``tolerance`` of that score. So every
+host that a seed reaches has been reached, however far, and scores are settled in proportion, small ones
+too. That takes up to about log(tolerance) / log(damping) steps (128) beyond the longest way from a seed, and
+one more than the longest way where links have no cycle. A score that would fall below FLOOR is FLOOR.
+
 Scale: the html is read once, in the scan that yields distinct hosts a page; edges are summed by
 (from, to) before they are shuffled by one host, each iteration is one join and one sum over the
-edges, and its result is a table in the shared folder, so a lost executor costs one iteration. The
+edges, and its result is a table in the shared folder, so a lost executor costs one iteration; one row
+tells the driver whether to go on, and the table before is deleted. The
 rules are a bounded parameter (at most MAX_RULES) and part of the expression. Verdicts join the
 pages by host in a sort-merge join, which Spark splits where one host holds most pages.
 
@@ -20,6 +26,7 @@ than those named are not read.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -29,7 +36,12 @@ from pyspark.sql import functions as F
 from veilframe import runtime
 
 MAX_RULES = 1000
+#: Steps of the SQL that the query is compared with; it can't see whether more are due.
 ROUNDS = 10
+#: A score is settled once a step changes it by at most this share of it.
+TOLERANCE = 1e-9
+#: The least score of a host that a walk reaches, so that it is never taken for one that isn't reached.
+FLOOR = sys.float_info.min
 DAMPING = 0.85
 THRESHOLD = 1.0
 LINK = r"(?i)href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
@@ -103,8 +115,8 @@ def seeds(rows: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(every)).select("host", share("n_allow", "all_allow").alias("trust"), share("n_block", "all_block").alias("distrust"))
 
 
-def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``rounds`` steps of both walks. edges: src, dst, n; start: host, trust, distrust."""
+def propagate(edges: DataFrame, start: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust once both walks are settled. edges: src, dst, n; start: host, trust, distrust."""
     out = edges.join(edges.groupBy("src").agg(F.sum("n").alias("w")), "src")
     forth = out.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("w")).alias("share"))
     into = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("w")), "dst")
@@ -112,23 +124,31 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, damping:
     steps = runtime.materialize(forth.unionByName(back), "steps")
     start = start.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, score)").where("score > 0")
     start = runtime.materialize(start, "seeds")
-    score = start
-    for _ in range(rounds):
-        moved = score.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
-        jumped = start.select("kind", "host", (F.lit(1 - damping) * F.col("score")).alias("score"))
-        score = runtime.materialize(moved.unionByName(jumped.select(moved.columns)).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+    spark, score, place, unsettled = edges.sparkSession, start, None, True
+    while unsettled:
+        moved = score.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"), F.lit(0.0).alias("was"))
+        jumped = start.select("kind", "host", (F.lit(1 - damping) * F.col("score")).alias("score"), F.lit(0.0).alias("was"))
+        before = score.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("was"))
+        summed = moved.unionByName(jumped).unionByName(before).groupBy("kind", "host")
+        rows = summed.agg(F.greatest(F.sum("score"), F.lit(FLOOR)).alias("score"), F.sum("was").alias("was"))
+        last, place = place, runtime.scratch_path(spark, "scores")
+        rows.write.parquet(place)
+        score = spark.read.schema(rows.schema).parquet(place)
+        if last:
+            runtime.drop_path(spark, last)
+        unsettled = score.agg(F.coalesce(F.max(F.abs(F.col("score") - F.col("was")) > F.lit(tolerance) * F.col("score")), F.lit(False))).first()[0]
     by = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return score.groupBy("host").agg(by("trust"), by("distrust"))
 
 
 def verdicts(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-    rules: Sequence[Rule] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD,
+    rules: Sequence[Rule] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """key, host, path, rule, verdict, trust, distrust: one row a page."""
     rows = parsed(pages.select(key, url), key, url, rules)
     edges = runtime.materialize(host_edges(pages.select(url, html), url, html), "edges")
-    scores = propagate(edges, seeds(rows), rounds, damping)
+    scores = propagate(edges, seeds(rows), damping, tolerance)
     judged = rows.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     own = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(key, "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce(F.col("ruled.verdict"), own).alias("verdict"), "trust", "distrust")

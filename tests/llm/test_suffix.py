@@ -83,6 +83,20 @@ def test_repeated_and_null_ids(spark, monkeypatch):
     assert suffix.remove_matches(df.limit(0)).count() == 0
 
 
+def test_one_id_over_several_blocks(spark):
+    r = np.random.default_rng(11)  # real sizes: workers import BLOCK_BYTES anew
+    texts = [r.integers(97, 117, suffix.BLOCK_BYTES // 2 + 10_000, np.uint8).tobytes().decode() for _ in range(3)]
+    rows = [(5, t) for t in texts] + [(6, "".join(t[1000:9000] for t in texts)), (7, "q" + texts[0][:500])]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one task, so that other ids can follow in a block
+    try:
+        found = suffix.remove_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert sorted((x.doc_id, bytes(x.kept)) for x in found if x.doc_id > 5) == [(6, b""), (7, b"q")]
+    assert sorted(bytes(x.kept) for x in found if x.doc_id == 5) == sorted(t.encode() for t in texts)
+
+
 def test_long_text(spark):
     r = random.Random(4)
     base = "".join(r.choices("abcdefgh ", k=400_000))

@@ -197,15 +197,15 @@ _BLOCK_SQL = "block long, ids array<long>, sizes array<long>, nulls array<boolea
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sorted documents. A block ends between ids, unless it holds one id only."""
-    ids, texts, size, made = [], [], 0, 0
+    """Blocks of sorted documents. A block ends between ids, unless it holds one id only, as do then those that go on with it."""
+    ids, texts, size, made, closed = [], [], 0, 0, None
 
     def block(n: int) -> pa.RecordBatch:
-        nonlocal ids, texts, size, made
+        nonlocal ids, texts, size, made, closed
         number = (TaskContext.get().partitionId() << 32) + made
         out = {"block": [number], "ids": [ids[:n]], "sizes": [[len(t) for t in texts[:n]]], "nulls": [[i == _LAST for i in ids[:n]]]}
         out["data"] = [zstandard.ZstdCompressor(level=3).compress(b"".join(texts[:n]))]
-        ids, texts, made = ids[n:], texts[n:], made + 1
+        closed, ids, texts, made = ids[n - 1], ids[n:], texts[n:], made + 1
         size = sum(map(len, texts))
         return pa.RecordBatch.from_pydict(out, _BLOCK)
 
@@ -213,6 +213,8 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(b["id"].to_pylist(), b["text"], strict=True):
             if size >= BLOCK_BYTES and (i != ids[-1] or ids[0] == i):
                 yield block(len(ids))
+            elif ids and ids[0] == closed and i != closed:
+                yield block(len(ids))
             elif size >= 2 * BLOCK_BYTES:
                 yield block(ids.index(i))  # one id goes on and on: what came before it is a block of its own
             ids.append(i)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +21,8 @@ _PACKAGE = Path(__file__).resolve().parent
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a temporary folder is made and set as the checkpoint folder of the session.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a
+    single machine) a temporary folder is made and set as the checkpoint folder of the session.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="veilframe-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         sc.setCheckpointDir(f"file://{local}")
@@ -46,6 +51,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run, which go together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialize``, remembered."""
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A ``Scratch`` whose tables are deleted at the end; what is returned must be materialized outside of it."""
+    made = Scratch(spark)
+    try:
+        yield made
+    finally:
+        for path in made.paths:
+            drop_path(spark, path)
+        release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
     gc.collect()
@@ -78,3 +109,11 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_PACKAGE.parent))
     sc.addPyFile(str(archive))
     sc._veilframe_shipped = True
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,56 +1,60 @@
 """N-gram Jaccard join by grouped prefixes, and the components of its links.
 
-A document is the set of its distinct ``width``-word shingles. Under one global order of shingles, rare
-before frequent, two sets that overlap enough share a shingle among the first few of each: its prefix.
-
-1. Sets are signed: size, digest, prefix. Equal sets are one node, however many documents have it.
-2. Nodes with equal prefix and size collapse into one group. Its members are compared with the first of
+A document is the set of its distinct ``width``-word shingles, sorted by their hashes. Distinct sets are nodes,
+however many documents have them.
+
+Order. The slice of all shingles with the lowest hashes comes first, those found in few nodes before
+those found in many (exact counts, ties by hash), then all others by hash. Under one such order two sets that
+overlap enough share a shingle among the first few of each: its prefix. The slice is somewhat larger than
+a prefix, so counts of the slice alone put rare shingles into prefixes and leave frequent ones out.
+
+1. Sets are signed: size, digest, the shingles of the slice. Equal digests become one node.
+2. Shingles of the slice are counted over the nodes. Those of one node only lead nowhere: they keep their
+   places in prefixes, but no row. Most documents have no other and are done.
+3. Nodes with equal size and prefix collapse into one group. Its members are compared with the first of
    them; those that don't link to it become groups of their own.
-3. Prefix shingles lead to buckets of groups. A pair of groups in a bucket counts if sizes and the places
-   of the shingle allow enough overlap. What is left is expanded to the members' sets and verified.
-
-Pairs aren't listed bucket by bucket. In each round a bucket names pivots, all others are compared with
-them, links join components, and pivots leave the bucket; a bucket whose groups are all in one component
-is done, as more links can't change the result. A group of near copies needs about one comparison a
-copy instead of one a pair, whatever its size, and every pair that could still matter is compared.
-
-Scale: the order comes from a sketch of ``SLOTS`` counters over all shingles of all documents, 4 MB
-whatever the input. Exact copies collapse behind partial aggregation. Buckets are joined with their
-pivots by sort-merge joins, which Spark splits where a bucket is large. Sets are made again from the
-texts of only those nodes that are compared. Every round ends in a table in the shared
-folder.
+4. Prefix shingles lead to buckets of groups. A pair of groups in a bucket counts if sizes and the places
+   of the shingle allow enough overlap. The first members of the groups are verified.
+5. Where those don't link, other members still may: 1 - similarity is a metric, so the distances between and
+   inside both groups tell which members can. These are expanded and verified.
+
+Pairs aren't listed bucket by bucket, nor group by group. In each round a bucket names pivots, all others are
+compared with them, links join components, and pivots leave the bucket; a bucket whose groups are all in one
+component is done, as more links can't change the result. Expansion takes a few members of one group against
+the other group first, and more only while the two aren't in one component. A group of near copies needs about
+one comparison a copy instead of one a pair, whatever its size, and every pair that could still matter is compared.
+
+Scale: nothing but pivots and links passes between rounds, and no table is collected or broadcast beyond a checked size.
+Counts are partial sums before they are shuffled. Joins on a shingle or digest that a large share of the rows have are
+sort-merge joins, which Spark splits. Sets are made again from the texts of only those nodes that are compared.
+Tables of a run lie in the shared folder and are deleted when its result is written.
 
 Defined results: documents without words, or with null text, have an empty set and link with nothing, so
 their component is their own id; texts with fewer than ``width`` words are one shingle; repeated rows and
-repeated ids are rows of their own that link as their texts do; a null id never is a component's id (a
-component without other ids has null; ids stay below 2^62). An empty table gives an empty result. Columns other than those
-named are not read. Sets are compared by 64-bit hashes of their shingles.
+repeated ids are rows of their own that link as their texts do, and rows with words and the same id are reached from one another;
+a null id never is a component's id (a component without other ids has null). An empty table gives an empty
+result. Columns other than those named are not read. Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import runtime
 from veilframe.llm import rolling
 
-SLOTS = 1 << 20
-_CHUNKS = 64
-#: Documents without an id get a number of their text from here on.
-_NAMELESS = 1 << 62
 #: Growth of the number of pivots a bucket and round.
 _GROWTH = 16
+#: Growth of the members of a group that are expanded a round, and the number of rounds before all are.
+_MORE, _LEVELS = 64, 4
 
 
 class Rule(NamedTuple):
@@ -60,11 +64,16 @@ class Rule(NamedTuple):
     percent: int = 80
 
     def prefix(self, n: np.ndarray | int):
-        """Length of the prefix of a set of n; two different sets need one of more than percent / (100 - percent) shingles."""
+        """Length of the prefix of a set of n."""
         return n + 1 + (-n * self.percent) // 100
 
     def smallest(self) -> int:
-        return -(-self.percent // (100 - self.percent))
+        """Two different sets need more than percent / (100 - percent) shingles in the larger, so no less in the smaller."""
+        return -(-self.percent // max(1, 100 - self.percent))
+
+    def slice_end(self) -> int:
+        """Hashes below belong to the slice: one and a half times the share of a prefix."""
+        return min(3 * (100 - self.percent) * (1 << 64) // 200, (1 << 64) - 1)
 
     def fits(self, n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -102,56 +111,25 @@ def _sets(b: pa.RecordBatch, width: int, powers: rolling.Powers) -> list[np.ndar
     return [np.unique(x) for x in np.split(found, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
-def _sketcher(width: int):
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, powers = np.zeros(SLOTS, np.uint32), rolling.Powers()
-        for b in _parts(batches):
-            found, _ = _all_shingles(b["text"].to_pylist(), width, powers)
-            np.add.at(counts, (found % np.uint64(SLOTS)).astype(np.int64), np.uint32(1))
-        if counts.any():
-            packed = [zstandard.ZstdCompressor(1).compress(c.tobytes()) for c in np.split(counts, _CHUNKS)]
-            task = TaskContext.get().partitionId() % 256
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(_CHUNKS), pa.int32()), "task": pa.array([task] * _CHUNKS, pa.int32()), "counts": packed})
-
-    return sketch
-
-
-def _summed(rows: pa.Table) -> pa.Table:
-    total = np.zeros(SLOTS // _CHUNKS, np.uint32)
-    for packed in rows["counts"]:
-        one = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), np.uint32)
-        total = np.where(total > ~one, np.uint32(0xFFFFFFFF), total + one)
-    packed = zstandard.ZstdCompressor(1).compress(total.tobytes())
-    return pa.table({"part": pa.array([rows["part"][0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "counts": [packed]})
-
-
-def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of all texts fall in each slot; saturates. docs: text."""
-    schema = "part int, task int, counts binary"
-    parts = docs.select("text").mapInArrow(_sketcher(width), schema)
-    parts = parts.groupBy("part", "task").applyInArrow(_summed, schema).groupBy("part").applyInArrow(_summed, schema)
-    rows = parts.orderBy("part").collect()  # _CHUNKS rows of fixed size
-    return np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), np.uint32) for r in rows]) if rows else np.zeros(SLOTS, np.uint32)
-
-
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _signer(rule: Rule, sketch):
+_SIGNED = "doc long, content long, n long, digest binary, inside int, tokens array<long>"
+
+
+def _signer(rule: Rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, powers = sketch.value, rolling.Powers()
+        """inside: how many shingles lie in the slice; tokens: these, and others by hash up to the length of a prefix."""
+        powers, end = rolling.Powers(), np.uint64(rule.slice_end())
         for b in _parts(batches):
-            sets, prefixes = _sets(b, rule.width, powers), []
-            for s in sets:
-                k = rule.prefix(len(s)) if len(s) >= rule.smallest() else 0
-                order = np.lexsort((s, counts[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
-                prefixes.append(s[order].view(np.int64))
-            n = np.array([len(p) for p in prefixes])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists], ["doc", "n", "digest", "prefix"]
-            )
+            sets = _sets(b, rule.width, powers)
+            inside = [int(np.searchsorted(s, end)) for s in sets]
+            tokens = [s[: max(rule.prefix(len(s)), c) if len(s) >= rule.smallest() else 0].view(np.int64) for s, c in zip(sets, inside, strict=True)]
+            ends = np.cumsum([0, *map(len, tokens)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])))
+            columns = [b["doc"], b["content"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(inside, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "content", "n", "digest", "inside", "tokens"])
 
     return sign
 
@@ -161,7 +139,7 @@ def _set_maker(rule: Rule):
         powers = rolling.Powers()
         for b in _parts(batches):
             sets = _sets(b, rule.width, powers)
-            same = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, b["digest"], strict=True)])
+            same = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, b["digest"], strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"]).filter(same)
 
     return make
@@ -169,38 +147,62 @@ def _set_maker(rule: Rule):
 
 def _verifier(rule: Rule):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether two sets link, and their distance."""
         for b in batches:
-            linked = []
+            linked, far = [], []
             for x, y in zip(b["ha"], b["hb"], strict=True):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
                 both = np.sort(np.concatenate([x, y]))
                 overlap = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * overlap >= rule.percent * (len(x) + len(y) - overlap))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                union = len(x) + len(y) - overlap
+                linked.append(100 * overlap >= rule.percent * union)
+                far.append(1 - overlap / union)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["na"], b["nb"], pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "na", "nb", "linked", "far"])
 
     return verify
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges of 16 bytes up to which one task contracts them.
+FEW_EDGES = 100_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*ends, strict=True) if ends else ((), ())))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, to = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (to[a] != to[b]).any():
+        low = np.minimum(to[a], to[b])
+        np.minimum.at(to, to[a], low)
+        np.minimum.at(to, to[b], low)
+        while (to[to] != to).any():
+            to = to[to]
+    yield pa.RecordBatch.from_pydict({"node": nodes, "component": nodes[to]})
+
+
+def components(edges: DataFrame, tables: runtime.Scratch) -> DataFrame:
     """node, component (its smallest node) for the nodes of ``edges`` (a, b: long), by contraction.
 
     Each node points at the smallest of itself and its neighbours, pointers are followed once more, and edges
     between different targets remain for the next turn. A node's component is where its pointers lead in the end.
+    Up to FEW_EDGES edges are contracted by one task instead of a few jobs.
     """
-    edges = runtime.materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = tables.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return tables.table(edges.coalesce(1).mapInArrow(_contracted, "node long, component long"), "labels")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     turn = 0
     while edges.take(1):
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("to")))
         to = both.groupBy("node").agg(F.least("node", F.min("to")).alias("to"))
         to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
-        to = runtime.materialize(to, "pointers")
+        to = tables.table(to, "pointers")
         edges = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = runtime.materialize(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
+        edges = tables.table(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
         labels = labels.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         turn += 1
         if turn % 4 == 0:
-            labels = runtime.materialize(labels, "labels")
+            labels = tables.table(labels, "labels")
     return labels
 
 
@@ -213,123 +215,203 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The steps of the join over docs (doc long, not null; text string)."""
-
-    def __init__(self, docs: DataFrame, rule: Rule):
-        self.docs, self.rule, self.sets = docs, rule, []
-        sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, rule.width))
-        self.signed = runtime.materialize(docs.mapInArrow(_signer(rule, sketch), "doc long, n long, digest binary, prefix array<long>"), "signed")
-        nodes = self.signed.where("n > 0").groupBy("digest", "n").agg(F.min("doc").alias("node"), F.first("prefix").alias("prefix"))
-        self.nodes = runtime.materialize(nodes, "nodes")
+    """The steps of the join over docs (doc long; text string)."""
+
+    def __init__(self, docs: DataFrame, rule: Rule, tables: runtime.Scratch):
+        self.rule, self.tables = rule, tables
+        self.docs = docs.select("doc", "text", F.xxhash64("text").alias("content"))
+        signed = self.docs.mapInArrow(_signer(rule), _SIGNED)
+        #: one row for each of docs
+        self.signed = tables.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        first = F.min(F.struct("row", "doc", "content", "n", "inside", "tokens")).alias("x")
+        nodes = self.signed.where("n > 0").groupBy("digest").agg(first, F.min("doc").alias("least"))
+        #: one row for each distinct set: its number, the smallest id, and which text has it
+        self.nodes = tables.table(nodes.select(F.col("x.row").alias("node"), "digest", "least", "x.doc", "x.content", "x.n", "x.inside", "x.tokens"), "nodes")
         runtime.release(docs.sparkSession)
 
-    def need(self, pairs: DataFrame) -> None:
-        """Make the sets of the nodes of pairs (na, nb) that aren't there yet, each from one text."""
-        wanted = pairs.select(F.explode(F.array("na", "nb")).alias("node")).distinct()
-        if self.sets:
-            wanted = wanted.join(functools.reduce(DataFrame.unionByName, self.sets).select("node"), "node", "left_anti")
-        wanted = runtime.materialize(self.nodes.select("node", "digest").join(wanted, "node", "left_semi"), "wanted")
-        if not wanted.take(1):
-            return
-        rows = self.docs.join(_small(wanted), F.col("doc") == F.col("node")).select("node", "digest", "text")
+    def prefixes(self) -> DataFrame:
+        """node, n, prefix: the places (pos, token) of each node's prefix whose shingle another node has, where there are any."""
+        place = F.when(F.col("i") < F.col("inside"), F.lit(-1)).otherwise(F.col("i")).alias("i")
+        rows = self.nodes.select("node", "inside", F.posexplode("tokens").alias("i", "token")).select("node", "token", place)
+        shared = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        lists = rows.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "k", "token"))).alias("found"))
+        lists = lists.join(self.nodes.select("node", "n", "inside"), "node")
+        alone = F.col("inside") - F.size(F.filter("found", lambda x: x.i < 0))
+        pos = lambda x, j: F.struct(F.when(x.i < 0, alone + j).otherwise(x.i).cast("long").alias("pos"), x.token.alias("token"))
+        length = F.expr(f"n + 1 - (n * {self.rule.percent} + 99) div 100")
+        placed = lists.select("node", "n", length.alias("k"), F.transform("found", pos).alias("prefix"))
+        placed = placed.select("node", "n", F.filter("prefix", lambda x: x.pos < F.col("k")).alias("prefix")).where(F.size("prefix") > 0)
+        return self.tables.table(placed, "prefixes")
+
+    def able(self, places: DataFrame) -> DataFrame:
+        """The tokens that lead two of ``places`` to one another."""
+        rule, left = self.rule, F.col("n") - F.col("pos")
+        shared = places.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(left).alias("left"), F.sum("n").alias("all"))
+        # a bucket of two is one pair, and these are its sizes and places
+        pair = rule.fits(F.col("lo"), F.col("hi")) & rule.reaches(F.col("left"), F.col("all"), F.lit(0))
+        return shared.where((F.col("k") > 1) & ((F.col("k") > 2) | pair)).select("token")
+
+    def make_sets(self, nodes: DataFrame) -> None:
+        """The sets of ``nodes``, each from one text."""
+        wanted = self.tables.table(self.nodes.select("node", "digest", F.col("doc").alias("d"), F.col("content").alias("c")).join(nodes, "node", "left_semi"), "wanted")
+        rows = self.docs.join(_small(wanted), F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "digest", "text")
         rows = rows.mapInArrow(_set_maker(self.rule), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-        self.sets.append(runtime.materialize(rows, "sets"))
+        self.sets = self.tables.table(rows, "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The distinct a, b of pairs (a, b: units; na, nb: a node of each) whose nodes link."""
-        pairs = runtime.materialize(pairs, "pairs")
-        self.need(pairs)
-        if not self.sets:
-            return pairs.select("a", "b")  # no pairs
-        sets = functools.reduce(DataFrame.unionByName, self.sets)
-        left, right = (sets.select(F.col("node").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+        """pairs (a, b: units; na, nb: a node of each) with linked and far."""
+        pairs = self.tables.table(pairs.select("a", "b", "na", "nb"), "pairs")
+        left, right = (self.sets.select(F.col("node").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
         # few pairs need few sets, which then are all that is shuffled
         right = right.join(_small(pairs.select("nb").distinct()), "nb", "left_semi")
-        return _small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long").distinct()
+        found = _small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long, na long, nb long, linked boolean, far double")
+        return self.tables.table(found, "verified")
 
-    def grouped(self) -> tuple[DataFrame, DataFrame]:
-        """Units (groups of nodes with equal prefix and size, by their first node) and members (unit, node) beyond the first."""
-        nodes = self.nodes.where(F.size("prefix") > 0)
-        keyed = nodes.select("node", "n", F.xxhash64("prefix").alias("prefix"))
+    def grouped(self, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Units (groups of nodes with equal size and prefix, by their first node) and members (unit, node, far) beyond the first."""
+        keyed = prefixes.select("node", "n", F.xxhash64("prefix").alias("prefix"))
         shared = keyed.groupBy("n", "prefix").agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
-        found = runtime.materialize(keyed.join(shared, ["n", "prefix"]).select("unit", "node"), "groups")
-        if not found.take(1):
-            return nodes, found.select("unit", "node")
-        pairs = found.where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
-        members = runtime.materialize(self.verified(pairs).toDF("unit", "node"), "members")
-        return nodes.join(members.select("node"), "node", "left_anti"), members
-
-    @staticmethod
-    def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        """Pairs of units (a, b) with every pair of their nodes (na, nb)."""
-        for x in "ab":
-            more = pairs.join(members.select(F.col("unit").alias(x), F.col("node").alias(f"n{x}")), x)
-            pairs = pairs.withColumn(f"n{x}", F.col(x)).unionByName(more)
-        return pairs
+        pairs = keyed.join(shared, ["n", "prefix"]).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
+        members = self.verified(pairs).where("linked").select(F.col("a").alias("unit"), F.col("b").alias("node"), "far")
+        return prefixes.join(members.select("node"), "node", "left_anti"), members
+
+    def joined(self, of: DataFrame, links: DataFrame) -> DataFrame:
+        """``of`` (unit, component) after ``links`` (a, b: units)."""
+        if not links.take(1):
+            return of
+        ends = links.select("a", "b").join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        new = components(ends, self.tables).toDF("component", "to")
+        return self.tables.table(of.join(new, "component", "left").select("unit", F.coalesce("to", "component").alias("component")), "components")
 
     def linked_units(self) -> tuple[DataFrame, DataFrame]:
         """unit, component for the units that share a bucket with another; members."""
-        rule = self.rule
-        units, members = self.grouped()
-        places = units.select(F.col("node").alias("unit"), "n", F.posexplode("prefix").alias("pos", "token"))
-        left = F.col("n") - F.col("pos")
-        shared = places.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(left).alias("left"), F.sum("n").alias("all"))
-        # a bucket of two is one pair, and these are its sizes and places
-        able = (F.col("k") > 2) | (rule.fits(F.col("lo"), F.col("hi")) & rule.reaches(F.col("left"), F.col("all"), F.lit(0)))
-        shared = shared.where((F.col("k") > 1) & able).select("token")
-        live = runtime.materialize(places.join(shared, "token").withColumn("component", F.col("unit")), "places")
+        rule, tables = self.rule, self.tables
+        prefixes = self.prefixes()
+        places = prefixes.select("node", "n", F.explode("prefix").alias("x")).select("node", "n", "x.pos", "x.token")
+        near = places.join(self.able(places), "token", "left_semi").select("node").distinct()
+        prefixes = tables.table(prefixes.join(near, "node", "left_semi"), "prefixes")
+        self.make_sets(prefixes.select("node"))
+        units, members = self.grouped(prefixes)
+        reach = tables.table(members.groupBy("unit").agg(F.max("far").alias("reach")), "reach")
+        places = units.select(F.col("node").alias("unit"), "n", F.explode("prefix").alias("x")).select("unit", "n", "x.pos", "x.token")
+        live = tables.table(places.join(self.able(places), "token", "left_semi").withColumn("component", F.col("unit")), "places")
         runtime.release(self.docs.sparkSession)
-        of = runtime.materialize(live.select("unit").distinct().withColumn("component", F.col("unit")), "components")
-        turn = 0
+        of = tables.table(live.select("unit").distinct().withColumn("component", F.col("unit")), "components")
+        loose, turn = [], 0
         while live.take(1):
             share = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(_GROWTH**turn))
             first = F.struct(F.xxhash64("unit").alias("o"), F.col("unit").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("component").alias("pc"))
-            pivots = runtime.materialize(live.groupBy("token", share.alias("share")).agg(F.min(first).alias("x")).select("token", "x.*"), "pivots")
-            overlap = 1 + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp")) - 1
-            near = live.join(pivots, "token").where(
+            pivots = tables.table(live.groupBy("token", share.alias("share")).agg(F.min(first).alias("x")).select("token", "x.*"), "pivots")
+            overlap = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))
+            found = live.join(pivots, "token").where(
                 (F.col("unit") != F.col("p")) & (F.col("component") != F.col("pc")) & rule.fits(F.col("n"), F.col("pn")) & rule.reaches(overlap, F.col("n"), F.col("pn"))
             )
-            pairs = near.select(F.least("unit", "p").alias("a"), F.greatest("unit", "p").alias("b")).distinct()
-            links = runtime.materialize(self.verified(self.expanded(pairs, members)), "links")
-            if links.take(1):
-                ends = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-                new = components(ends).toDF("component", "to")
-                of = runtime.materialize(of.join(new, "component", "left").select("unit", F.coalesce("to", "component").alias("component")), "components")
+            pairs = found.select(F.least("unit", "p").alias("a"), F.greatest("unit", "p").alias("b")).distinct()
+            checked = self.verified(pairs.withColumns({"na": F.col("a"), "nb": F.col("b")}))
+            loose.append(self.open_(checked.where("not linked"), reach))
+            of = self.joined(of, checked.where("linked"))
             rest = live.drop("component").join(pivots.select("token", F.col("p").alias("unit")), ["token", "unit"], "left_anti").join(of, "unit")
             open_ = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            live = runtime.materialize(rest.join(open_, "token", "left_semi"), "places")
+            live = tables.table(rest.join(open_, "token", "left_semi"), "places")
             turn += 1
             runtime.release(self.docs.sparkSession)
+        if loose:
+            of = self.expanded(tables.table(functools.reduce(DataFrame.unionByName, loose).distinct(), "loose"), members, of)
         return of, members
 
-
-def _numbered(key: str, text: str) -> Column:
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NAMELESS) + F.xxhash64(F.col(f"`{text}`")).bitwiseAND(F.lit(_NAMELESS - 1)))
-
-
-def _components(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc, n, component: one row for each row of docs (doc, text)."""
-    run = _Join(docs, rule)
+    def open_(self, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+        """a, b, ra, rb (how far the members of each lie from the first) of unit pairs whose other members may link although the first don't."""
+        for x in "ab":
+            pairs = pairs.join(reach.select(F.col("unit").alias(x), F.col("reach").alias(f"r{x}")), x, "left")
+        pairs = pairs.where("ra is not null or rb is not null").fillna(0.0, ["ra", "rb"])
+        return pairs.where(F.col("far") <= self.limit() + F.col("ra") + F.col("rb")).select("a", "b", "ra", "rb")
+
+    def limit(self) -> float:
+        """The largest distance of a link, and something for rounding."""
+        return 1 - self.rule.percent / 100 + 1e-9
+
+    def expanded(self, loose: DataFrame, members: DataFrame, of: DataFrame) -> DataFrame:
+        """``of`` after the links between members of ``loose`` pairs of units."""
+        tables = self.tables
+
+        def still(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+            return pairs.where("ca <> cb").drop("ca", "cb")
+
+        loose = tables.table(still(loose), "loose")
+        if not loose.take(1):
+            return of
+        sides = []
+        for x, y in ("ab", "ba"):
+            more = members.select(F.col("unit").alias(x), F.col("node").alias(f"n{x}"))
+            checked = self.verified(loose.join(more, x).withColumn(f"n{y}", F.col(y)))
+            near = checked.join(loose, ["a", "b"]).where(F.col("far") <= self.limit() + F.col(f"r{y}")).select("a", "b", f"n{x}")
+            sides.append(tables.table(near, "side"))
+            of = self.joined(of, checked.where("linked"))
+        left, right = sides
+        level = F.pmod(F.xxhash64("na"), F.lit(_MORE**_LEVELS))
+        for turn in range(_LEVELS + 1):
+            loose = tables.table(still(loose), "loose")
+            if not loose.take(1):
+                break
+            low = _MORE ** (turn - 1) if turn else 0
+            pairs = loose.select("a", "b").join(left.where(level.between(low, _MORE**turn - 1)), ["a", "b"]).join(right, ["a", "b"])
+            of = self.joined(of, self.verified(pairs).where("linked"))
+        return of
+
+
+def _classes(docs: DataFrame, rule: Rule, tables: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
+    """signed rows; node, digest, least (the smallest id with it), component (the smallest node reachable by links)."""
+    run = _Join(docs, rule, tables)
     of, members = run.linked_units()
-    nodes = run.nodes.select("digest", "node").join(members.select("node", "unit"), "node", "left").withColumn("unit", F.coalesce("unit", "node"))
-    nodes = nodes.join(of, "unit", "left").select("digest", F.coalesce("component", "unit").alias("component"))
-    rows = run.signed.select("doc", "n", "digest").join(nodes, "digest", "left")
-    return rows.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    nodes = run.nodes.select("digest", "node", "least").join(members.select("node", "unit"), "node", "left").withColumn("unit", F.coalesce("unit", "node"))
+    nodes = nodes.join(of, "unit", "left").select("digest", "node", "least", F.coalesce("component", "unit").alias("component"))
+    return run.signed.select("row", "doc", "content", "n", "digest"), tables.table(nodes, "classes")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links): one row per document."""
-    rows = _components(docs.select(_numbered(key, text).alias("doc"), F.col(f"`{text}`").alias("text")), rule)
-    named = lambda c: F.when(F.col(c) < _NAMELESS, F.col(c))
-    return rows.select(named("doc").alias(key), F.col("n").alias("n_shingles"), named("component").alias("component_id"))
+    docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    with runtime.scratch(docs.sparkSession) as tables:
+        signed, nodes = _classes(docs, rule, tables)
+        rows = signed.select("doc", "n", "digest").join(nodes.select("digest", "component"), "digest", "left").select("doc", "n", "component")
+        rows = tables.table(rows, "rows")
+        # rows with one id are reached from one another
+        spread = rows.where("doc is not null").groupBy("doc").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        ends = rows.join(spread, "doc").where("lo <> component").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct()
+        same = components(ends, tables).toDF("component", "to")
+        to = nodes.join(same, "component", "left").withColumn("to", F.coalesce("to", "component"))
+        least = to.groupBy("to").agg(F.min("least").alias("id"))
+        named = to.select("component", "to").distinct().join(least, "to").select("component", "id")
+        out = rows.join(named, "component", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc")).alias("component_id"))
+        return runtime.materialize(out, "near")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with the columns of the input.
+    """One document of each component of links, that with the smallest id, with the columns of the input.
 
-    Of rows that repeat that id, the smallest row stays. Of documents without id and with equal text, one may stay.
+    Different texts under one id are documents of their own here. Of rows that repeat the id and text that stays, the
+    smallest row stays. All rows without words stay, as they link with nothing.
     """
-    rows = docs.withColumn("_doc", _numbered(key, text))
-    first = _components(rows.select("_doc", F.col(f"`{text}`").alias("text")).toDF("doc", "text"), rule).where("doc = component").select(F.col("doc").alias("_doc")).distinct()
-    once = rows.groupBy("_doc").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return once.join(first, "_doc").select("_row.*")
+    # whole rows as one column, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    rows = rows.select("whole", F.col(f"whole.`{key}`").cast("long").alias("doc"), F.xxhash64(F.col(f"whole.`{text}`")).alias("content"))
+    with runtime.scratch(docs.sparkSession) as tables:
+        signed, nodes = _classes(rows.select("doc", F.col(f"whole.`{text}`").alias("text")), rule, tables)
+        # the smallest id of the component, nulls last, and of its texts the smallest set and content
+        smallest = nodes.select("component", "digest", F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("x"))
+        best = smallest.groupBy("component").agg(F.min("x").alias("x")).select("x.node", F.col("x.least").alias("first"))
+        best = nodes.select("node", "digest").join(best, "node").select("digest", "first")
+        found = signed.join(best, "digest").where(F.col("doc").eqNullSafe(F.col("first")))
+        found = found.groupBy("digest").agg(F.min(F.struct("content", "doc")).alias("x"), F.count("*").alias("k"))
+        stays = found.select(F.col("x.content").alias("c"), F.col("x.doc").alias("d"), (F.col("k") > 1).alias("many"))
+        empty = signed.where("n = 0").select(F.col("content").alias("c"), F.col("doc").alias("d")).distinct().withColumn("many", F.lit(False))
+        stays = runtime.materialize(stays.unionByName(empty), "stays")
+
+    def here(some: DataFrame) -> DataFrame:
+        return rows.join(some, F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d")), "left_semi")
+
+    once, many = here(stays.where("not many")).select("whole"), stays.where("many")
+    if many.take(1):
+        once = once.unionByName(here(many).groupBy("doc", "content").agg(F.min("whole").alias("whole")).select("whole"))
+    return once.select("whole.*")

@@ -38,8 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     runtime.ship(spark)
-    made = pii.pseudonymise(docs, pii.EXAMPLE_KEY, spans="_spans")
-    n_chars = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    made = pii.pseudonymise(docs, pii.EXAMPLE_KEY)
+    n_chars = F.when(F.size(made.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return made.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -26,6 +26,15 @@ def test_query_equals_library(spark, sf_dir, library):
         assert r.over_limit == (r.n_tokens > 4096)
 
 
+def test_hits_and_misses_of_one_cache(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    fresh = counts.count_tokens(docs, MODEL, runtime.scratch_path(spark, "test-counts"))
+    expected = sorted(map(tuple, fresh.collect()))
+    assert sorted(map(tuple, queries.queries()["counts_from_cache"](spark, sf_dir).collect())) == expected
+    monkeypatch.setattr(counts, "BROADCAST_ROWS", 0)  # and where the misses are joined, not broadcast
+    assert sorted(map(tuple, queries.queries()["counts_from_cache"](spark, sf_dir).collect())) == expected
+
+
 def test_edges_and_cache(spark, library):
     texts = [None, "", "a  b <s> </s> ▁x \n\t é 🙂", "same", "same", "long " * 40_000]
     docs = spark.createDataFrame([(i if i else None, x, 1) for i, x in enumerate(texts)], "doc_id long, text string, digest int")

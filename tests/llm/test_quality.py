@@ -28,6 +28,17 @@ def test_edges(spark):
     assert quality.keep(docs).columns == docs.columns
 
 
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "word " + "other thing " * 2, "kept"), (2, " ".join(f"w{i}" for i in range(40)), "kept")], "doc_id long, text string, quality string")
+    docs = docs.selectExpr("*", "quality as _quality", "quality as quality_", "quality as fail_bits", "1 as n_words")
+    (row,) = quality.keep(docs).collect()
+    assert row.asDict() == {"doc_id": 2, "text": " ".join(f"w{i}" for i in range(40)), **dict.fromkeys(("quality", "_quality", "quality_", "fail_bits"), "kept"), "n_words": 1}
+
+
+def test_stored_ledger_equals_sql(spark, sf_dir):
+    assert compare(spark, queries.queries()["ledger_ablations"], queries.SQL["ledger_ablations"], sf_dir) == len(quality.POLICIES[quality.CURRENT])
+
+
 def test_policies_and_ablations(spark, sf_dir):
     rows = quality.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
     n, kept = rows.count(), rows.where(quality.kept(rows.fail_bits)).count()

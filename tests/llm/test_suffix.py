@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from veilframe.llm import queries, suffix
+from veilframe.llm import queries, rolling, suffix
 
 
 def brute(rows, length):
@@ -105,6 +105,28 @@ def test_long_text(spark):
     assert got(suffix.remove_matches(df)) == brute(rows, 50)
 
 
+def test_a_passage_of_many_documents_makes_no_bucket_large(spark):
+    """At the ends of a shared passage the gram is the same and the content another in each document."""
+    r = np.random.default_rng(3)
+    passage = r.integers(97, 123, 200, np.uint8).tobytes()
+    rows = [(i, (r.integers(97, 123, 300, np.uint8).tobytes() + passage + r.integers(97, 123, 300, np.uint8).tobytes()).decode()) for i in range(1500)]
+    texts = [t.encode() for _, t in rows]
+    block = suffix.Block([k for k, _ in rows], [len(t) for t in texts], b"".join(texts), suffix.LENGTH, suffix.GRAM, rolling.Powers())
+    g, c, _ = suffix._entries(suffix.Units(block))
+    counts = np.bincount(suffix._dealt(np.sort(suffix._joint(g, c)), 64, 64))
+    assert np.unique(g, return_counts=True)[1].max() > 1000 and counts.max() < 1.5 * counts.mean()
+    df = spark.createDataFrame(rows[:300], "doc_id long, text string")
+    assert got(suffix.remove_matches(df)) == brute(rows[:300], 50)
+
+
+def test_buckets_keep_the_order_of_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 48, 10_000, np.uint64))
+    for buckets in (1, 64, 1 << 17, 1 << 31):
+        for k, bits in ((keys, 48), (keys << np.uint64(16), 64)):
+            dealt = suffix._dealt(k, bits, buckets)
+            assert (np.diff(dealt) >= 0).all() and 0 <= dealt.min() and dealt.max() < buckets
+
+
 def test_levels_merge_geometrically():
     family = suffix.Family()
     for i in range(33):

@@ -3,20 +3,18 @@
 Texts are split into words as the tokenizer splits them; each distinct word is encoded once; its ids
 are joined back by position, and ids are decoded through the id-to-piece table of the vocabulary.
 
-1. ``split`` reads texts in blocks of about ``BLOCK_CHARS`` characters. A block keeps its distinct
-   words, dealt into ``BUCKETS`` buckets by a hash, and each text as positions in that list. Its id is
-   a digest of the words.
-2. The word rows (one a block and bucket) are shuffled by bucket, so all occurrences of a word meet;
-   ``encode`` looks up its memo and encodes what is new. The ids go back under block and bucket.
-3. Ids and positions are shuffled by block and sorted; ``assemble`` reads a block's ids, then its
-   texts one chunk after the other, and yields ids and decoded text.
+1. ``pack`` writes the texts once, in blocks of about ``BLOCK_CHARS`` characters with a number of their own. What
+   follows depends on a block's one row only, so it comes out the same however often it is made.
+2. ``split`` cuts a block's texts into words and keeps the distinct ones, dealt into buckets by a hash.
+   The word rows (one a block and bucket) are shuffled by bucket, so all occurrences of a word meet in the part of
+   the distinct-word table that its bucket holds: ``encode`` enters each word once and sends the ids back under block and bucket.
+3. Ids, and each text as positions in its block's list of words, are shuffled by block and sorted; ``assemble`` reads a block's
+   ids, looks up their pieces in the id-to-piece table, then reads the texts one chunk after the other, and yields ids and decoded text.
 
 Scale: a frequent word is one entry a block, not one row an occurrence, so no word is hot. Every row is
-bounded by a block, except that a single text is never cut: it needs memory in proportion to itself. The
-memo of a bucket is emptied at ``MEMO`` words, which costs time only. Texts are split twice, once for the
-words and once for the positions, which is cheaper than to keep the positions. A block that is made anew,
-after a loss or in the second reading, has the same id if it has the same words; one that doesn't find
-its words fails the query rather than give a wrong result.
+bounded by a block, except that a single text is never cut: it needs memory in proportion to itself. The number of buckets
+grows with the texts (``buckets_for``), so that a bucket's words fit a task; beyond ``WORDS`` of them it starts a new table,
+which costs time only. Texts are cut twice, once for the words and once for the positions, which is cheaper than to keep the positions.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are each
 encoded; an empty table gives an empty result. Columns other than those named are not read.
@@ -25,7 +23,6 @@ Strings of the tokenizer's special tokens inside a text become those tokens, as
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import json
 import os
@@ -37,14 +34,20 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import runtime
+
 BLOCK_CHARS = 16_000_000
+BLOCK_TEXTS = 100_000
 CHUNK_CHARS = 1_000_000
-BUCKETS = 512
-MEMO = 1_000_000
+#: Characters for which there is one bucket, and the least and greatest number of buckets: with more, a block's row for a bucket
+#: would hold a few words only, and with 8192 a task holds about a million words of ten thousand million.
+BUCKET_CHARS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 8192
+WORDS = 4_000_000
 
 #: Characters whose normal form, case and class don't depend on the Unicode version: Latin, punctuation, the euro sign;
 #: without the few whose lower case lies elsewhere.
@@ -147,9 +150,46 @@ def mark(word) -> str:
     return "w" + word if isinstance(word, str) else "s" + word[0]
 
 
+def buckets_for(chars: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS)))
+
+
+def _packer(schema: pa.Schema):
+    """Documents to blocks: one row of keys, sizes and texts."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, chars, made = [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            raw = [t.encode() for t in texts]
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            row = {"block": (TaskContext.get().partitionId() << 32) + made, "keys": keys, "sizes": list(map(len, raw)), "chars": chars, "data": data}
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                keys.append(key)
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= BLOCK_CHARS or len(keys) >= BLOCK_TEXTS:
+                    yield block()
+                    keys, texts, chars, made = [], [], 0, made + 1
+        if keys:
+            yield block()
+
+    return pack
+
+
+def _texts(row: dict) -> Iterator[str]:
+    raw, at = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b"", 0
+    for n in row["sizes"]:
+        yield raw[at : at + n].decode()
+        at += n
+
+
 class _Block:
-    def __init__(self):
-        self.codes, self.chunks, self.chars = _Codes(), [], 0
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets, self.codes, self.chunks = number, buckets, _Codes(), []
         self._new()
 
     def _new(self) -> None:
@@ -160,7 +200,6 @@ class _Block:
         self.counts.append(len(words))
         self.parts.append(np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words)))
         self.held += chars
-        self.chars += chars
         if self.held >= CHUNK_CHARS or len(self.keys) >= 4096:
             self.close()
 
@@ -173,50 +212,43 @@ class _Block:
         """A row for each bucket, or for each chunk of texts, whose positions are those in the buckets' words together."""
         self.close()
         words = [mark(w) for w in self.codes]
-        bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % self.buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         order = order.tolist()
-        said = hashlib.blake2b("\n".join([words[i] for i in order]).encode(), digest_size=8).digest()
-        block = int.from_bytes(said, "big", signed=True)
         if texts:
             for keys, counts, codes in self.chunks:
-                yield {"block": block, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(place[codes])}
+                yield {"block": self.number, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(place[codes])}
             return
         for b, group in itertools.groupby(order, key=bucket.__getitem__):
-            yield {"block": block, "bucket": int(b), "words": _pack_words([words[i] for i in group])}
+            yield {"block": self.number, "bucket": int(b), "words": _pack_words([words[i] for i in group])}
 
 
-def _splitter(spec: str, schema: pa.Schema, texts: bool):
+def _splitter(spec: str, schema: pa.Schema, buckets: int, texts: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, block = Words(spec), _Block()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            held = iter(block.rows(texts))
-            while some := list(itertools.islice(held, 8 if texts else 128)):
-                yield pa.RecordBatch.from_pylist(some, schema)
-
+        cut = Words(spec)
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
-                block.add(key, cut.split(text), len(text))
-                if block.chars >= BLOCK_CHARS:
-                    yield from rows()
-                    block = _Block()
-        yield from rows()
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                block = _Block(row["block"], buckets)
+                for key, text in zip(row["keys"], _texts(row), strict=True):
+                    block.add(key, cut.split(text), len(text))
+                held = iter(block.rows(texts))
+                while some := list(itertools.islice(held, 8 if texts else 128)):
+                    yield pa.RecordBatch.from_pylist(some, schema)
 
     return split
 
 
 def _encoder(spec: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, memo = Words(spec), {}
+        words_of, memo = Words(spec), {}  # the part of the distinct-word table of this task's buckets
         for b in batches:
             out = []
             for packed in b["words"]:
                 words = _unpack_words(packed.as_py())
-                if len(memo) > MEMO:
+                if len(memo) > WORDS:
                     memo.clear()
                 new = [w for w in words if w not in memo]
                 for i in range(0, len(new), 1024):
@@ -267,7 +299,7 @@ def _assembler(spec: str, key: pa.Field):
                 if dictionary is None:
                     dictionary, parts = _Dictionary(list(parts.values()), pieces), {}
                     if len(dictionary.sizes) != n_words.as_py():
-                        raise RuntimeError("the texts were read in other blocks the second time")
+                        raise RuntimeError("a block came back with other words than it had")
                 codes, counts = _unpack(codes.as_py(), np.uint32), np.array(counts.as_py(), np.int64)
                 flat, sizes = dictionary.ids_of(codes)
                 ends = np.cumsum(counts)
@@ -286,13 +318,17 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     spec, spark = Path(tokenizer).read_text(), docs.sparkSession
     kind = docs.schema[key].dataType
     arrow = spark.createDataFrame([], T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("key", kind)])).toArrow().schema
-    block, rows = pa.field("block", pa.int64()), docs.select(key, text)
+    block, keys = pa.field("block", pa.int64()), arrow.field("keys")
+    whole = pa.schema([block, keys, pa.field("sizes", pa.list_(pa.int64())), pa.field("chars", pa.int64()), pa.field("data", pa.binary())])
+    whole_sql = T.StructType().add("block", "long").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("chars", "long").add("data", "binary")
+    blocks = runtime.materialize(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(_packer(whole), whole_sql), "texts")
+    buckets = buckets_for(blocks.agg(F.sum("chars")).first()[0] or 0)
     word_rows = pa.schema([block, pa.field("bucket", pa.int32()), pa.field("words", pa.binary())])
-    text_rows = pa.schema([block, pa.field("n_words", pa.int64()), arrow.field("keys"), pa.field("counts", pa.list_(pa.int32())), pa.field("codes", pa.binary())])
-    words = rows.mapInArrow(_splitter(spec, word_rows, texts=False), "block long, bucket int, words binary").repartition("bucket")
+    text_rows = pa.schema([block, pa.field("n_words", pa.int64()), keys, pa.field("counts", pa.list_(pa.int32())), pa.field("codes", pa.binary())])
+    words = blocks.mapInArrow(_splitter(spec, word_rows, buckets, texts=False), "block long, bucket int, words binary").repartition("bucket")
     ids = words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary")
-    texts = rows.mapInArrow(
-        _splitter(spec, text_rows, texts=True),
+    texts = blocks.mapInArrow(
+        _splitter(spec, text_rows, buckets, texts=True),
         T.StructType().add("block", "long").add("n_words", "long").add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", "binary"),
     )
     both = ids.unionByName(texts, allowMissingColumns=True).select("block", "bucket", "sizes", "ids", "n_words", "keys", "counts", "codes")

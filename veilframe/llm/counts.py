@@ -8,9 +8,10 @@ stored for an older one is used.
 Normalised content: the model's own normalisation is the identity, so every other change of a text
 (white space, case, Unicode form) could change its count; content is the text itself, null as empty.
 
-Scale: digests are computed in the JVM; texts are shuffled once, by digest, behind a partial
-aggregation that keeps one text a digest and task, and only those without a stored count. The joins
-move digests, ids and counts; a digest that a third of all rows share is split by the sort-merge join.
+Scale: digests are computed in the JVM, and the missing ones are found before any text moves. Where they are few enough to be
+broadcast (``BROADCAST_ROWS``), only texts without a stored count are shuffled, by digest, behind a partial aggregation that
+keeps one text a digest and task; where they are more, Spark joins and shuffles by digest. A first run has no join at all. The
+other joins move digests, ids and counts; a digest that a third of all rows share is split by the sort-merge join.
 The cache is Parquet, partitioned by tokenizer digest, appended through Spark's commit protocol; a row
 that a repeated run appends twice is read as one.
 
@@ -28,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe import runtime
+
 LIMIT = 4096
+#: Digests of 32 bytes (16 MB in all) up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
@@ -69,12 +74,12 @@ def _counter(sent, kind: str):
     return count
 
 
-def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """digest, n_tokens of one tokenizer version; empty where the cache doesn't exist yet."""
+def stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """digest, n_tokens of one tokenizer version; none where the cache doesn't exist yet."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(cache)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], "digest binary, n_tokens long")
+        return None
     rows = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version)
     return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
@@ -82,9 +87,13 @@ def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def fill(docs: DataFrame, model: str, cache: str, text: str = "text") -> None:
     """Encode the distinct contents of ``docs`` that the cache lacks and append their counts."""
     spark, version = docs.sparkSession, tokenizer_digest(model)
-    known = stored(spark, cache, version).select("digest")
-    texts = docs.select(digest(F.col(text)).alias("digest"), content(F.col(text)).alias("text"))
-    misses = texts.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = docs.select(digest(F.col(f"`{text}`")).alias("digest"), content(F.col(f"`{text}`")).alias("text"))
+    known = stored(spark, cache, version)
+    if known is not None:
+        missing = runtime.materialize(texts.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "missing")
+        few = missing.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = texts.join(F.broadcast(missing) if few else missing, "digest", "left_semi")
+    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
     sent = spark.sparkContext.broadcast(Path(model).read_bytes())
     found = misses.mapInArrow(_counter(sent, Path(model).suffix.lstrip(".")), "digest binary, n_tokens long")
     found.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
@@ -92,6 +101,7 @@ def fill(docs: DataFrame, model: str, cache: str, text: str = "text") -> None:
 
 def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens: one row per document; the cache holds every content of ``docs`` afterwards."""
-    fill(docs.select(key, text), model, cache, text)
-    rows = docs.select(F.col(key), F.octet_length(content(F.col(text))).cast("long").alias("n_bytes"), digest(F.col(text)).alias("digest"))
+    fill(docs, model, cache, text)
+    whole = content(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{key}`"), F.octet_length(whole).cast("long").alias("n_bytes"), digest(F.col(f"`{text}`")).alias("digest"))
     return rows.join(stored(docs.sparkSession, cache, tokenizer_digest(model)), "digest").select(key, "n_bytes", "n_tokens")

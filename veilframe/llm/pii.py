@@ -22,7 +22,7 @@ permutation is walked until it meets a valid one, which is a permutation of the
 
 Defined results: a null text stays null, with no spans; empty texts stay empty; whole texts of any
 length are read; repeated rows are each treated; an empty table gives an empty result. Columns other
-than the text pass through ``pseudonymise`` unread. ``spans`` counts code points of the input text.
+than the text pass through ``pseudonymise`` unread, whatever their names. ``spans`` counts code points of the input text.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe import runtime
+
 ROUNDS = 10
 #: For tests and examples; pass a secret key of your own in production.
 EXAMPLE_KEY = b"veilframe example key"
@@ -370,16 +372,20 @@ def _replacer(key: bytes, sign: int):
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``docs`` with the text replaced, and a last column of what was found where."""
+    """``docs`` with the text replaced, and a last column of what was found where.
+
+    It is called ``spans``, followed by underscores where the input has a column of that name.
+    """
     return _applied(docs, key, 1, text, spans)
 
 
 def restore(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Undoes ``pseudonymise`` under the same key."""
+    """Undoes ``pseudonymise`` under the same key; its last column says what it found."""
     return _applied(docs, key, -1, text, spans)
 
 
 def _applied(docs: DataFrame, key: bytes, sign: int, text: str, spans: str) -> DataFrame:
-    made = docs.withColumn("_pii_made", _replacer(key, sign)(F.col(f"`{text}`")))
-    columns = [F.col("_pii_made.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != spans]
-    return made.select(*columns, F.col("_pii_made.spans").alias(spans))
+    both = runtime.free_name(docs, "pii_made")
+    made = docs.withColumn(both, _replacer(key, sign)(F.col(f"`{text}`")))
+    columns = [F.col(f"{both}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return made.select(*columns, F.col(f"{both}.spans").alias(runtime.free_name(docs, spans)))

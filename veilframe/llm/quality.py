@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import runtime
+
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "n_shouts")
@@ -108,7 +110,7 @@ def fail_bits(measures: str) -> Column:
 
 def with_ledger(docs: DataFrame, text: str = "text", into: str = "_quality") -> DataFrame:
     """``docs`` with a struct column of measurements and ``fail_bits``; the rules run once, whatever reads the column."""
-    return docs.withColumn(into, _measures.asNondeterministic()(F.col(text))).withColumn(
+    return docs.withColumn(into, _measures.asNondeterministic()(F.col(f"`{text}`"))).withColumn(
         into, F.struct(*[F.col(f"{into}.{m}") for m in MEASURES], fail_bits(into).alias("fail_bits"))
     )
 
@@ -124,7 +126,8 @@ def kept(bits: Column, policy: str = CURRENT) -> Column:
 
 def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The documents that pass a policy, with the columns of the input."""
-    return with_ledger(docs, text).where(kept(F.col("_quality.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = runtime.free_name(docs, "quality")
+    return with_ledger(docs, text, into).where(kept(F.col(f"{into}.fail_bits"), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablations(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -34,6 +34,11 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy removes, from the stored ledger of operator 8."""
+    return quality.ablations(runtime.materialize(quality.ledger(table(spark, sf_dir, "documents")), "ledger"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.takes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -54,6 +59,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > counts.LIMIT)
 
 
+def counts_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of operator 5 in three runs over one cache: an earlier batch (English), all documents, and all again, which encodes none."""
+    docs, model, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), runtime.scratch_path(spark, "token-counts")
+    counts.fill(docs.where("lang = 'en'"), model, cache)
+    counts.fill(docs, model, cache)
+    return counts.count_tokens(docs, model, cache)
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select(
@@ -123,6 +136,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from b
 """
 
+SQL["ledger_ablations"] = f"with q as ({SQL['op8_quality_ledger']}) " + " union all ".join(
+    f"select '{name}' as rule, count(*) filter (fail_bits & {quality.BIT[name]} <> 0) as n_failed, count(*) filter (fail_bits = {quality.BIT[name]}) as n_failed_alone, "
+    f"count(*) filter (fail_bits in (0, {quality.BIT[name]})) as n_kept_without from q"
+    for name in quality.POLICIES[quality.CURRENT]
+)
+
 SQL["op7_mix_sources"] = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -223,7 +242,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    own = {name: f for name, f in globals().items() if (name.startswith("op") or name in ("ledger_ablations", "counts_from_cache")) and callable(f)}
     return {name: _shipped(f) for name, f in own.items()}
 
 

@@ -5,7 +5,7 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
 Sparse suffixes. Every ``length``-byte window contains ``GRAM``-byte grams; the smallest of their hashes
 (the leftmost of equals) is the window's anchor, so equal windows have equal anchors at equal places.
 A unit is a run of windows with the same anchor; it stands for all of its suffixes, about one
-for 14 bytes of text. Units are kept under the hash of their anchor's gram and of their whole content.
+for 14 bytes of text. Units are known by the hash of their anchor's gram and of their whole content.
 
 Index family. Documents are cut into batches by ascending id, and the keys of a batch's units into
 buckets. A bucket holds a family of levels, each a sorted array. A batch brings a sorted array, is
@@ -13,17 +13,18 @@ merge-scanned against the levels for units whose content an earlier batch has, a
 itself; as long as the two smallest levels are about equal in size, they merge.
 
 Ends of matches. A unit that is nowhere else as a whole may still share some windows. That takes another
-unit with the same anchor gram but other content, which the family knows too. Such units, few in
-number, go through a second family of the same kind with the hashes of all their windows, which
-decides every window exactly.
+unit with the same anchor gram but other content, so each batch also says which grams it has, with one content or with
+several. Units of grams that have several contents in all, few in number, go through a second family of the same kind with
+the hashes of all their windows, which decides every window exactly.
 
 Steps: order by id and pack into blocks (a table in the shared folder); unit keys to buckets, verdicts back
 to blocks; window keys of the undecided units to buckets, verdicts back; take out what was found. Rows that move
 are packed arrays of one block and bucket.
 
 Scale: work and shuffle grow with the text; the number of buckets grows with it, so a bucket's family
-stays within a task's memory. Within a batch equal keys are one, so frequent passages make no bucket
-large. A single text is never cut apart for good: it is read in overlapping pieces.
+stays within a task's memory. Within a batch equal keys are one. Contents and windows are dealt by hashes of all of their bytes, grams
+by their own: of a passage that many documents share, each of these has one entry a batch, and what stands before and after it in
+each document is spread over all buckets. A single text is never cut apart for good: it is read in overlapping pieces.
 
 Defined results: null and empty texts have nothing to remove; documents with a null id count as last, and
 documents with equal ids (nulls too) don't count as earlier than each other; ids are keys, and the
@@ -179,9 +180,9 @@ def _joint(grams: np.ndarray, contents: np.ndarray) -> np.ndarray:
     return rolling.mixed(rolling.mixed(grams) + contents)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of 48-bit keys: ranges, so that sorted keys are sorted by bucket."""
-    return (keys * np.uint64(buckets) >> np.uint64(48)).astype(np.int64) if buckets < 1 << 16 else (keys.astype(object) * buckets >> 48).astype(np.int64)
+def _dealt(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Bucket of keys of so many bits: ranges, so that sorted keys are sorted by bucket. For up to 2^32 buckets."""
+    return (((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _bounds(dealt: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -249,17 +250,30 @@ def _entries(units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g[new], c[new], entry
 
 
+def _first_of_grams(g: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+
+
+def _tags(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each distinct gram of a block a digest of its content, or 0 if it has several."""
+    at = np.flatnonzero(_first_of_grams(g))
+    alone = np.diff(np.append(at, len(g))) == 1
+    return np.where(alone, np.maximum(c[at].astype(np.uint32), np.uint32(1)), np.uint32(0))
+
+
 def _unit_keys(length: int, gram: int, buckets: int):
+    """Of each block, its distinct units by content in the first ``buckets`` buckets, and its distinct grams in as many more."""
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = rolling.Powers()
         for b in batches:
             for row in b.to_pylist():
                 block = _read(row, length, gram, powers)
                 g, c, _ = _entries(Units(block))
-                out = [
-                    {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(g[a:z]), "contents": _pack(c[a:z])}
-                    for k, a, z in _bounds(_dealt(g, buckets))
-                ]
+                joint, grams, tags = np.sort(_joint(g, c)), g[_first_of_grams(g)], _tags(g, c)
+                own = {"block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1])}
+                out = [own | {"bucket": k, "grams": _pack_sorted(joint[a:z])} for k, a, z in _bounds(_dealt(joint, 64, buckets))]
+                out += [own | {"bucket": buckets + k, "grams": _pack_sorted(grams[a:z]), "contents": _pack(tags[a:z])} for k, a, z in _bounds(_dealt(grams, 48, buckets))]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, _KEYS)
 
@@ -270,12 +284,12 @@ _VERDICT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa
 _VERDICT_SQL = "block long, bucket long, bits binary"
 
 
-def _several(grams: list[np.ndarray], joint: list[np.ndarray]) -> np.ndarray:
+def _several(grams: list[np.ndarray], tags: list[np.ndarray]) -> np.ndarray:
     """The sorted grams of a bucket with more than one content."""
-    g, x = np.concatenate(grams), np.concatenate(joint)
+    g, x = np.concatenate(grams), np.concatenate(tags)
     order = np.argsort(g, kind="stable")
     g, x = g[order], x[order]
-    return np.unique(g[1:][(g[1:] == g[:-1]) & (x[1:] != x[:-1])])
+    return np.unique(np.concatenate([g[1:][(g[1:] == g[:-1]) & (x[1:] != x[:-1])], g[x == 0]]))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
@@ -284,22 +298,21 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 
 
 def _unit_verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of a block's entries in a bucket: 1 an earlier id has the content, 2 the gram has several contents."""
+    """A bit for each key of a block: an earlier id has the content; the gram has several contents."""
     for bucket, rows in _by_bucket(batches):
         family, held = Family(), []
         for row in rows:
-            g, c = _unpack_sorted(row["grams"]), _unpack(row["contents"], np.uint64)
-            joint = _joint(g, c)
-            order = np.argsort(joint)
-            earlier = np.empty(len(g), bool)
-            earlier[order] = family.scan(joint[order], row["first"], row["last"])
-            held.append((row["block"], g, joint, earlier))
-        several = _several([h[1] for h in held], [h[2] for h in held])
-        for block, g, _, earlier in held:
+            keys = _unpack_sorted(row["grams"])
+            if row["contents"] is None:
+                earlier = family.scan(keys, row["first"], row["last"])
+                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "bucket": [bucket], "bits": [_pack(earlier.astype(np.uint8))]}, _VERDICT)
+            else:
+                held.append((row["block"], keys, _unpack(row["contents"], np.uint32)))
+        several = _several([h[1] for h in held], [h[2] for h in held]) if held else ()
+        for block, g, _ in held:
             at = np.minimum(np.searchsorted(several, g), max(len(several) - 1, 0))
             mixed = several[at] == g if len(several) else np.zeros(len(g), bool)
-            bits = earlier.astype(np.uint8) | (mixed.astype(np.uint8) << 1)
-            yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket], "bits": [_pack(bits)]}, _VERDICT)
+            yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [bucket], "bits": [_pack(mixed.astype(np.uint8))]}, _VERDICT)
 
 
 def _window_verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +354,17 @@ class _Judged:
 
     def __init__(self, block: Block, bits: np.ndarray):
         units = Units(block)
-        g, _, entry = _entries(units)
-        if len(bits) != len(g):
+        g, c, entry = _entries(units)
+        new = _first_of_grams(g)
+        if len(bits) != len(g) + int(new.sum()):
             raise RuntimeError("a block came back with other units than it had")
+        earlier = np.empty(len(g), bool)
+        earlier[np.argsort(_joint(g, c), kind="stable")] = bits[: len(g)]
+        several = bits[len(g) :].astype(bool)[np.cumsum(new) - 1] if len(g) else np.empty(0, bool)
         owner = block.ids[units.owner]
-        gone = (bits[entry] & 1).astype(bool) | _later(entry, owner, len(g))
+        gone = earlier[entry] | _later(entry, owner, len(g))
         self.first, self.last = units.first[gone], units.last[gone] + block.length
-        open_ = ~gone & (bits[entry] & 2).astype(bool)
+        open_ = ~gone & several[entry]
         counts = (units.last - units.first + 1)[open_]
         first = units.first[open_]
         self.windows = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
@@ -374,7 +391,7 @@ def _window_keys(length: int, gram: int, buckets: int):
             found = _Judged(block, _bits(about, "units"))
             out = [
                 {"bucket": k, "block": row["block"], "first": int(block.ids[0]), "last": int(block.ids[-1]), "grams": _pack_sorted(found.distinct[a:z])}
-                for k, a, z in _bounds(_dealt(found.distinct >> np.uint64(16), buckets))
+                for k, a, z in _bounds(_dealt(found.distinct, 64, buckets))
             ]
             spans = [_pack(np.diff(x, prepend=0)) for x in _merged(found.first, found.last)]
             windows = [_pack(np.diff(found.windows, prepend=0)), _pack(found.entry.astype(np.int32)), _pack(found.later.astype(np.uint8))]

@@ -65,6 +65,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete the tables that ``df`` reads, before the run's end."""
+        files = df.inputFiles()
+        for path in [p for p in self.paths if any(p in f for f in files)]:
+            drop_path(self.spark, path)
+            self.paths.remove(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """A ``Scratch`` whose tables are deleted at the end; what is returned must be materialized outside of it."""

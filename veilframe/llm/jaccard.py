@@ -3,14 +3,12 @@
 A document is the set of its distinct ``width``-word shingles, sorted by their hashes. Distinct sets are nodes,
 however many documents have them.
 
-Order. The slice of all shingles with the lowest hashes comes first, those found in few nodes before
-those found in many (exact counts, ties by hash), then all others by hash. Under one such order two sets that
-overlap enough share a shingle among the first few of each: its prefix. The slice is somewhat larger than
-a prefix, so counts of the slice alone put rare shingles into prefixes and leave frequent ones out.
-
-1. Sets are signed: size, digest, the shingles of the slice. Equal digests become one node.
-2. Shingles of the slice are counted over the nodes. Those of one node only lead nowhere: they keep their
-   places in prefixes, but no row. Most documents have no other and are done.
+1. Sets are signed: size, digest, and the slice of the shingles with the lowest hashes. Equal digests become one node.
+2. Shingles of the slice are counted over the nodes. A node of whose slice more is found nowhere else than a link
+   allows to differ has no link and is done, as are most documents. Only for the others whole sets are made.
+   Their shingles are counted, too, and ordered: those found in few sets before those found in many, ties by hash.
+   Under one such order two sets that overlap enough share a shingle among the first few of each: its prefix. Shingles of one set
+   only lead nowhere: they keep their places in prefixes, but no row.
 3. Nodes with equal size and prefix collapse into one group. Its members are compared with the first of
    them; those that don't link to it become groups of their own.
 4. Prefix shingles lead to buckets of groups. A pair of groups in a bucket counts if sizes and the places
@@ -45,7 +43,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import runtime
@@ -63,16 +61,16 @@ class Rule(NamedTuple):
     width: int = 5
     percent: int = 80
 
-    def prefix(self, n: np.ndarray | int):
-        """Length of the prefix of a set of n."""
-        return n + 1 + (-n * self.percent) // 100
-
     def smallest(self) -> int:
         """Two different sets need more than percent / (100 - percent) shingles in the larger, so no less in the smaller."""
         return -(-self.percent // max(1, 100 - self.percent))
 
+    def differ(self, n: Column) -> Column:
+        """How many of n shingles another set that links may lack, at most."""
+        return n - F.ceil(n * self.percent / 100)
+
     def slice_end(self) -> int:
-        """Hashes below belong to the slice: one and a half times the share of a prefix."""
+        """Hashes below belong to the slice: one and a half times the share that may differ."""
         return min(3 * (100 - self.percent) * (1 << 64) // 200, (1 << 64) - 1)
 
     def fits(self, n: Column, m: Column) -> Column:
@@ -115,21 +113,23 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-_SIGNED = "doc long, content long, n long, digest binary, inside int, tokens array<long>"
+_SIGNED = "doc long, content long, n long, digest binary, tokens array<long>"
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*(s.view(np.int64) for s in sets), np.empty(0, np.int64)])))
 
 
 def _signer(rule: Rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """inside: how many shingles lie in the slice; tokens: these, and others by hash up to the length of a prefix."""
+        """tokens: the shingles of the slice."""
         powers, end = rolling.Powers(), np.uint64(rule.slice_end())
         for b in _parts(batches):
             sets = _sets(b, rule.width, powers)
-            inside = [int(np.searchsorted(s, end)) for s in sets]
-            tokens = [s[: max(rule.prefix(len(s)), c) if len(s) >= rule.smallest() else 0].view(np.int64) for s, c in zip(sets, inside, strict=True)]
-            ends = np.cumsum([0, *map(len, tokens)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])))
-            columns = [b["doc"], b["content"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(inside, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "content", "n", "digest", "inside", "tokens"])
+            slices = [s[: int(np.searchsorted(s, end)) if len(s) >= rule.smallest() else 0] for s in sets]
+            columns = [b["doc"], b["content"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists(slices)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "content", "n", "digest", "tokens"])
 
     return sign
 
@@ -140,7 +140,7 @@ def _set_maker(rule: Rule):
         for b in _parts(batches):
             sets = _sets(b, rule.width, powers)
             same = pa.array([_digest(s) == d.as_py() for s, d in zip(sets, b["digest"], strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"]).filter(same)
+            yield pa.RecordBatch.from_arrays([b["node"], _lists(sets)], ["node", "tokens"]).filter(same)
 
     return make
 
@@ -151,7 +151,7 @@ def _verifier(rule: Rule):
         for b in batches:
             linked, far = [], []
             for x, y in zip(b["ha"], b["hb"], strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy() for v in (x, y))
                 both = np.sort(np.concatenate([x, y]))
                 overlap = int((both[1:] == both[:-1]).sum())
                 union = len(x) + len(y) - overlap
@@ -220,28 +220,42 @@ class _Join:
     def __init__(self, docs: DataFrame, rule: Rule, tables: runtime.Scratch):
         self.rule, self.tables = rule, tables
         self.docs = docs.select("doc", "text", F.xxhash64("text").alias("content"))
-        signed = self.docs.mapInArrow(_signer(rule), _SIGNED)
+        signed = tables.table(self.docs.mapInArrow(_signer(rule), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
         #: one row for each of docs
-        self.signed = tables.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-        first = F.min(F.struct("row", "doc", "content", "n", "inside", "tokens")).alias("x")
-        nodes = self.signed.where("n > 0").groupBy("digest").agg(first, F.min("doc").alias("least"))
+        self.signed = tables.table(signed.drop("tokens"), "rows")
+        nodes = self.signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("row", "doc", "content", "n")).alias("x"), F.min("doc").alias("least"))
         #: one row for each distinct set: its number, the smallest id, and which text has it
-        self.nodes = tables.table(nodes.select(F.col("x.row").alias("node"), "digest", "least", "x.doc", "x.content", "x.n", "x.inside", "x.tokens"), "nodes")
+        self.nodes = tables.table(nodes.select(F.col("x.row").alias("node"), "digest", "least", "x.doc", "x.content", "x.n"), "nodes")
+        self.make_sets(self.survivors(signed))
+        tables.drop(signed)
         runtime.release(docs.sparkSession)
 
+    def survivors(self, signed: DataFrame) -> DataFrame:
+        """node: those of whose slice enough is shared with others."""
+        able = self.nodes.where(F.col("n") >= self.rule.smallest())
+        slices = signed.join(able.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "tokens")
+        places = slices.select("node", F.explode("tokens").alias("token"))
+        shared = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+        found = places.join(shared, "token").groupBy("node").agg(F.count("*").alias("shared"))
+        counted = slices.select("node", F.size("tokens").alias("inside")).join(found, "node", "left")
+        rows = able.select("node", "n").join(counted, "node")
+        return rows.where(F.col("inside") - F.coalesce("shared", F.lit(0)) <= self.rule.differ(F.col("n"))).select("node")
+
+    def make_sets(self, nodes: DataFrame) -> None:
+        """The sets of ``nodes``, each from one text."""
+        wanted = self.tables.table(self.nodes.select("node", "digest", F.col("doc").alias("d"), F.col("content").alias("c")).join(nodes, "node", "left_semi"), "wanted")
+        rows = self.docs.join(_small(wanted), F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "digest", "text")
+        rows = rows.mapInArrow(_set_maker(self.rule), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+        self.sets = self.tables.table(rows, "sets")
+
     def prefixes(self) -> DataFrame:
-        """node, n, prefix: the places (pos, token) of each node's prefix whose shingle another node has, where there are any."""
-        place = F.when(F.col("i") < F.col("inside"), F.lit(-1)).otherwise(F.col("i")).alias("i")
-        rows = self.nodes.select("node", "inside", F.posexplode("tokens").alias("i", "token")).select("node", "token", place)
+        """node, n, pos, token: the places of each node's prefix whose shingle another set has."""
+        rows = self.sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
         shared = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-        lists = rows.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "k", "token"))).alias("found"))
-        lists = lists.join(self.nodes.select("node", "n", "inside"), "node")
-        alone = F.col("inside") - F.size(F.filter("found", lambda x: x.i < 0))
-        pos = lambda x, j: F.struct(F.when(x.i < 0, alone + j).otherwise(x.i).cast("long").alias("pos"), x.token.alias("token"))
-        length = F.expr(f"n + 1 - (n * {self.rule.percent} + 99) div 100")
-        placed = lists.select("node", "n", length.alias("k"), F.transform("found", pos).alias("prefix"))
-        placed = placed.select("node", "n", F.filter("prefix", lambda x: x.pos < F.col("k")).alias("prefix")).where(F.size("prefix") > 0)
-        return self.tables.table(placed, "prefixes")
+        own = Window.partitionBy("node")
+        placed = rows.join(shared, "token").select("node", F.col("n").cast("long").alias("n"), "token", F.row_number().over(own.orderBy("k", "token")).alias("i"), F.count("*").over(own).alias("of"))
+        placed = placed.withColumn("pos", F.col("n") - F.col("of") + F.col("i") - 1).where(F.col("pos") <= self.rule.differ(F.col("n")))
+        return self.tables.table(placed.select("node", "n", "pos", "token"), "prefixes")
 
     def able(self, places: DataFrame) -> DataFrame:
         """The tokens that lead two of ``places`` to one another."""
@@ -251,29 +265,23 @@ class _Join:
         pair = rule.fits(F.col("lo"), F.col("hi")) & rule.reaches(F.col("left"), F.col("all"), F.lit(0))
         return shared.where((F.col("k") > 1) & ((F.col("k") > 2) | pair)).select("token")
 
-    def make_sets(self, nodes: DataFrame) -> None:
-        """The sets of ``nodes``, each from one text."""
-        wanted = self.tables.table(self.nodes.select("node", "digest", F.col("doc").alias("d"), F.col("content").alias("c")).join(nodes, "node", "left_semi"), "wanted")
-        rows = self.docs.join(_small(wanted), F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "digest", "text")
-        rows = rows.mapInArrow(_set_maker(self.rule), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
-        self.sets = self.tables.table(rows, "sets")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b: units; na, nb: a node of each) with linked and far."""
         pairs = self.tables.table(pairs.select("a", "b", "na", "nb"), "pairs")
-        left, right = (self.sets.select(F.col("node").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+        left, right = (self.sets.select(F.col("node").alias(f"n{x}"), F.col("tokens").alias(f"h{x}")) for x in "ab")
         # few pairs need few sets, which then are all that is shuffled
         right = right.join(_small(pairs.select("nb").distinct()), "nb", "left_semi")
         found = _small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long, na long, nb long, linked boolean, far double")
         return self.tables.table(found, "verified")
 
-    def grouped(self, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Units (groups of nodes with equal size and prefix, by their first node) and members (unit, node, far) beyond the first."""
-        keyed = prefixes.select("node", "n", F.xxhash64("prefix").alias("prefix"))
-        shared = keyed.groupBy("n", "prefix").agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
-        pairs = keyed.join(shared, ["n", "prefix"]).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
-        members = self.verified(pairs).where("linked").select(F.col("a").alias("unit"), F.col("b").alias("node"), "far")
-        return prefixes.join(members.select("node"), "node", "left_anti"), members
+    def grouped(self, places: DataFrame) -> DataFrame:
+        """unit, node, far: members beyond the first (unit) of the groups of nodes with equal size and prefix."""
+        keyed = places.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("length"), F.bit_xor(F.xxhash64("pos", "token")).alias("prefix"))
+        keyed = self.tables.table(keyed, "keyed")
+        keys = ["n", "length", "prefix"]
+        shared = keyed.groupBy(*keys).agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
+        pairs = keyed.join(shared, keys).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
+        return self.verified(pairs).where("linked").select(F.col("a").alias("unit"), F.col("b").alias("node"), "far")
 
     def joined(self, of: DataFrame, links: DataFrame) -> DataFrame:
         """``of`` (unit, component) after ``links`` (a, b: units)."""
@@ -286,14 +294,12 @@ class _Join:
     def linked_units(self) -> tuple[DataFrame, DataFrame]:
         """unit, component for the units that share a bucket with another; members."""
         rule, tables = self.rule, self.tables
-        prefixes = self.prefixes()
-        places = prefixes.select("node", "n", F.explode("prefix").alias("x")).select("node", "n", "x.pos", "x.token")
+        places = self.prefixes()
         near = places.join(self.able(places), "token", "left_semi").select("node").distinct()
-        prefixes = tables.table(prefixes.join(near, "node", "left_semi"), "prefixes")
-        self.make_sets(prefixes.select("node"))
-        units, members = self.grouped(prefixes)
+        places = tables.table(places.join(near, "node", "left_semi"), "prefixes")
+        members = self.grouped(places)
         reach = tables.table(members.groupBy("unit").agg(F.max("far").alias("reach")), "reach")
-        places = units.select(F.col("node").alias("unit"), "n", F.explode("prefix").alias("x")).select("unit", "n", "x.pos", "x.token")
+        places = places.join(members.select("node"), "node", "left_anti").withColumnRenamed("node", "unit")
         live = tables.table(places.join(self.able(places), "token", "left_semi").withColumn("component", F.col("unit")), "places")
         runtime.release(self.docs.sparkSession)
         of = tables.table(live.select("unit").distinct().withColumn("component", F.col("unit")), "components")

@@ -62,15 +62,20 @@ class Scratch:
         path = scratch_path(self.spark, name)
         self.paths.append(path)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        made._scratch_path = path
+        return made
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes of a table of this run, without a job."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
     def drop(self, df: DataFrame) -> None:
-        """Delete the tables that ``df`` reads, before the run's end."""
-        files = df.inputFiles()
-        for path in [p for p in self.paths if any(p in f for f in files)]:
-            drop_path(self.spark, path)
-            self.paths.remove(path)
+        """Delete a table before the run's end."""
+        drop_path(self.spark, df._scratch_path)
+        self.paths.remove(df._scratch_path)
 
 
 @contextmanager

@@ -63,3 +63,12 @@ def test_blocks():
     found = html.blocks("<div class='a b'>x <b>y</b>z<br>q<ul><li>one<li><a href=#>two</a></ul>tail<script>if(a<b){}</script></div>")
     assert [b.text for b in found] == ["x yz q", "one", "two", "tail"]
     assert found[1].path == ("div", "=a", "=b", "ul", "li") and found[2].linked == 3
+
+
+def test_silent_and_embedded_elements():
+    said = lambda page: [b.text for b in html.blocks(page)]
+    assert said("<p>one <svg class='i'/> two <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>three</p>") == ["one two x=1", "three"]
+    assert said("<p>a<svg><title>t</title><text>no</text><svg>x</svg></svg> b <object data='x'>shown</object></p>") == ["a b shown"]
+    assert said("<article><p>first <video src='v'> gone</p><p>second</p><select><option>no<p>no</article><p>third") == ["first", "second", "third"]
+    assert said("<p>one<script>if (a < b) '</p>'</script></p><title>no</title>two<style>x") == ["one", "two"]
+    assert said("<svg><p>no</p>") == [] and said("</svg>yes</select>") == ["yes"]

@@ -85,6 +85,12 @@ def test_equal_prefixes(spark):
     assert got(spark, rows, jaccard.Rule(2, 60)) == brute(rows, 2, 60)
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    rows = corpus(6)
+    assert got(spark, rows, jaccard.Rule(3, 70)) == brute(rows, 3, 70)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One Two"), (5, "one  two"), (None, "one two"), (None, "alone here"), (None, None), (7, "same " * 3), (7, "same " * 3)]
     rows += [(8, " ".join(f"w{i}" for i in range(50_000))), (9, " ".join(f"w{i}" for i in range(49_000)))]
@@ -114,8 +120,8 @@ def test_clashing_names(spark):
     assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
 
 
-@pytest.mark.parametrize("seed", [2, 8])
-def test_members_of_groups_link_where_the_first_do_not(spark, seed):
+@pytest.mark.parametrize("seed, rule", [(2, jaccard.Rule(1, 70)), (8, jaccard.Rule(2, 75))])
+def test_members_of_groups_link_where_the_first_do_not(spark, seed, rule):
     """Few different shingles in prefixes: groups are large, and links between groups are often found only by expansion."""
     r = random.Random(seed)
     core = [f"c{i}" for i in range(40)]
@@ -125,8 +131,7 @@ def test_members_of_groups_link_where_the_first_do_not(spark, seed):
         for _ in range(r.randint(0, 6)):
             t[r.randrange(40)] = r.choice("xyz")
         rows.append((i, " ".join(t)))
-    for rule in (jaccard.Rule(1, 70), jaccard.Rule(2, 75)):
-        assert got(spark, rows, rule) == brute(rows, *rule)
+    assert got(spark, rows, rule) == brute(rows, *rule)
 
 
 def test_two_groups_of_near_copies_are_not_all_compared(spark, monkeypatch):
@@ -142,9 +147,9 @@ def test_two_groups_of_near_copies_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 60_000
 
 
-@pytest.mark.parametrize("few", [0, jaccard.FEW_EDGES])
+@pytest.mark.parametrize("few", [0, jaccard.FEW_BYTES])
 def test_components_of_a_long_chain(spark, monkeypatch, few):
-    monkeypatch.setattr(jaccard, "FEW_EDGES", few)
+    monkeypatch.setattr(jaccard, "FEW_BYTES", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(1000, 1001), (5, 5)], "a long, b long")
     with runtime.scratch(spark) as tables:
         found = {r.node: r.component for r in jaccard.components(edges, tables).collect()}

@@ -40,9 +40,13 @@ PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 160, 48, 6
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 SLICE = 2048
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE |= frozenset("math mfrac mi mn mo mover mrow msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|select|textarea|title|canvas|audio|video"
+#: What these hold is no markup: it is skipped to their own end tag, or to the end of the page.
+SKIPPED = "script|style|noscript|template|iframe|textarea|title"
+#: Elements whose text isn't shown; it is left out while they are open, so to their own end or to that of an element around them.
+SILENT = frozenset("svg select canvas audio video".split())
 #: An opening of one of these ends an open element of the same group above it.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Block-level openings end an open paragraph.
@@ -71,6 +75,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     links, linked = 0, 0
+    silent, depth = "", 0
 
     def close() -> None:
         nonlocal linked
@@ -82,7 +87,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             linked += len(text) if links else 0
@@ -93,10 +98,22 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["skip"]:
+            if m["skip"] and not silent:
                 close()
             continue
         name = name.lower()
+        if silent:
+            if name == silent:
+                depth += -1 if m["end"] else not m["attrs"].endswith("/")
+                silent = silent if depth else ""
+                continue
+            if not (m["end"] and any(open_ == name for open_, _ in stack)):
+                continue
+            silent = ""
+        if name in SILENT:
+            if not m["end"] and not (name == "svg" and m["attrs"].endswith("/")):
+                silent, depth = name, 1
+            continue
         if name == "br":
             pieces.append(" ")
         if name == "a":

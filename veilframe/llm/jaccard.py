@@ -4,7 +4,7 @@ A document is the set of its distinct ``width``-word shingles, sorted by their h
 however many documents have them.
 
 1. Sets are signed: size, digest, and the slice of the shingles with the lowest hashes. Equal digests become one node.
-2. Shingles of the slice are counted over the nodes. A node of whose slice more is found nowhere else than a link
+2. Each shingle of the slice is found in one set or in several. A node of whose slice more is found nowhere else than a link
    allows to differ has no link and is done, as are most documents. Only for the others whole sets are made.
    Their shingles are counted, too, and ordered: those found in few sets before those found in many, ties by hash.
    Under one such order two sets that overlap enough share a shingle among the first few of each: its prefix. Shingles of one set
@@ -162,8 +162,8 @@ def _verifier(rule: Rule):
     return verify
 
 
-#: Edges of 16 bytes up to which one task contracts them.
-FEW_EDGES = 100_000
+#: Bytes of a table of edges up to which one task contracts them.
+FEW_BYTES = 2 << 20
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +185,10 @@ def components(edges: DataFrame, tables: runtime.Scratch) -> DataFrame:
 
     Each node points at the smallest of itself and its neighbours, pointers are followed once more, and edges
     between different targets remain for the next turn. A node's component is where its pointers lead in the end.
-    Up to FEW_EDGES edges are contracted by one task instead of a few jobs.
+    A table of up to FEW_BYTES is contracted by one task instead of a few jobs.
     """
     edges = tables.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+    if tables.size(edges) <= FEW_BYTES:
         return tables.table(edges.coalesce(1).mapInArrow(_contracted, "node long, component long"), "labels")
     labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
     turn = 0
@@ -206,12 +206,8 @@ def components(edges: DataFrame, tables: runtime.Scratch) -> DataFrame:
     return labels
 
 
-#: Rows of a few longs each (5 MB in all) up to which a side is broadcast; beyond, Spark shuffles it.
-BROADCAST_ROWS = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Bytes of a table up to which it is broadcast: a few longs a row, so up to a few hundred thousand rows; beyond, Spark shuffles it.
+BROADCAST_BYTES = 8 << 20
 
 
 class _Join:
@@ -231,20 +227,23 @@ class _Join:
         runtime.release(docs.sparkSession)
 
     def survivors(self, signed: DataFrame) -> DataFrame:
-        """node: those of whose slice enough is shared with others."""
-        able = self.nodes.where(F.col("n") >= self.rule.smallest())
-        slices = signed.join(able.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "tokens")
-        places = slices.select("node", F.explode("tokens").alias("token"))
-        shared = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        found = places.join(shared, "token").groupBy("node").agg(F.count("*").alias("shared"))
-        counted = slices.select("node", F.size("tokens").alias("inside")).join(found, "node", "left")
-        rows = able.select("node", "n").join(counted, "node")
-        return rows.where(F.col("inside") - F.coalesce("shared", F.lit(0)) <= self.rule.differ(F.col("n"))).select("node")
-
-    def make_sets(self, nodes: DataFrame) -> None:
-        """The sets of ``nodes``, each from one text."""
-        wanted = self.tables.table(self.nodes.select("node", "digest", F.col("doc").alias("d"), F.col("content").alias("c")).join(nodes, "node", "left_semi"), "wanted")
-        rows = self.docs.join(_small(wanted), F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "digest", "text")
+        """digest: of the sets of whose slice enough is found in other sets. Copies count as one, as they have one digest."""
+        slices = signed.where(F.col("n") >= self.rule.smallest())
+        places = slices.select("row", F.xxhash64("digest").alias("of"), F.explode("tokens").alias("token"))
+        shared = places.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
+        found = places.join(shared, "token").groupBy("row").agg(F.count("*").alias("shared"))
+        rows = slices.select("row", "digest", "n", F.size("tokens").alias("inside")).join(found, "row", "left")
+        return rows.where(F.col("inside") - F.coalesce("shared", F.lit(0)) <= self.rule.differ(F.col("n"))).select("digest")
+
+    def small(self, table: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """``table``, or ``rows`` of it, to be broadcast where it is small."""
+        rows = table if rows is None else rows
+        return F.broadcast(rows) if self.tables.size(table) <= BROADCAST_BYTES else rows
+
+    def make_sets(self, digests: DataFrame) -> None:
+        """The sets with ``digests``, each from one text."""
+        wanted = self.tables.table(self.nodes.select("node", "digest", F.col("doc").alias("d"), F.col("content").alias("c")).join(digests, "digest", "left_semi"), "wanted")
+        rows = self.docs.join(self.small(wanted), F.col("content").eqNullSafe(F.col("c")) & F.col("doc").eqNullSafe(F.col("d"))).select("node", "digest", "text")
         rows = rows.mapInArrow(_set_maker(self.rule), "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
         self.sets = self.tables.table(rows, "sets")
 
@@ -270,14 +269,13 @@ class _Join:
         pairs = self.tables.table(pairs.select("a", "b", "na", "nb"), "pairs")
         left, right = (self.sets.select(F.col("node").alias(f"n{x}"), F.col("tokens").alias(f"h{x}")) for x in "ab")
         # few pairs need few sets, which then are all that is shuffled
-        right = right.join(_small(pairs.select("nb").distinct()), "nb", "left_semi")
-        found = _small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long, na long, nb long, linked boolean, far double")
+        right = right.join(self.small(pairs, pairs.select("nb").distinct()), "nb", "left_semi")
+        found = self.small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long, na long, nb long, linked boolean, far double")
         return self.tables.table(found, "verified")
 
     def grouped(self, places: DataFrame) -> DataFrame:
         """unit, node, far: members beyond the first (unit) of the groups of nodes with equal size and prefix."""
         keyed = places.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("length"), F.bit_xor(F.xxhash64("pos", "token")).alias("prefix"))
-        keyed = self.tables.table(keyed, "keyed")
         keys = ["n", "length", "prefix"]
         shared = keyed.groupBy(*keys).agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
         pairs = keyed.join(shared, keys).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
@@ -298,7 +296,7 @@ class _Join:
         near = places.join(self.able(places), "token", "left_semi").select("node").distinct()
         places = tables.table(places.join(near, "node", "left_semi"), "prefixes")
         members = self.grouped(places)
-        reach = tables.table(members.groupBy("unit").agg(F.max("far").alias("reach")), "reach")
+        reach = members.groupBy("unit").agg(F.max("far").alias("reach"))
         places = places.join(members.select("node"), "node", "left_anti").withColumnRenamed("node", "unit")
         live = tables.table(places.join(self.able(places), "token", "left_semi").withColumn("component", F.col("unit")), "places")
         runtime.release(self.docs.sparkSession)

@@ -50,6 +50,31 @@ def test_cic_directory(spark, folder):
     assert got.rows.where("`Flow Bytes` is null").count() == 1
 
 
+def test_files_are_united_by_name(spark, folder):
+    one = folder("swapped/a.csv", "\ufeff Flow Duration, Total Fwd,Fwd Len,Fwd Len, Label\n2,200,7,8,BENIGN\n")
+    folder("swapped/b.csv", " Total Fwd,Extra, Flow Duration, Label\n200,9,2,DDoS\n")
+    folder("swapped/empty.csv", "")
+    folder("swapped/other.txt", "x\n1\n")
+    got = tables.load_cic(spark, one.rsplit("/", 1)[0])
+    assert got.features == ["Flow Duration", "Total Fwd", "Fwd Len", "Fwd Len.1", "Extra"]
+    rows = {r.Label: r.asDict() for r in got.rows.collect()}
+    assert rows["BENIGN"] == {"Flow Duration": 2.0, "Total Fwd": 200.0, "Fwd Len": 7.0, "Fwd Len.1": 8.0, "Extra": None, "Label": "BENIGN"}
+    assert rows["DDoS"] == {"Flow Duration": 2.0, "Total Fwd": 200.0, "Fwd Len": None, "Fwd Len.1": None, "Extra": 9.0, "Label": "DDoS"}
+    with pytest.raises(FileNotFoundError):
+        tables.read_csv(spark, folder("swapped/none/x.csv", ""))
+
+
+def test_unreadable_file_is_left_out(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "good.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"b,a\n4,3\n"))
+    (tmp_path / "bad.csv.gz").write_bytes(b"this is no gzip stream")
+    with pytest.warns(UserWarning, match="bad.csv.gz"):
+        rows = tables.read_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b) for r in rows) == [("1", "2"), ("3", "4")]
+
+
 def test_headerless_text(spark, folder, tmp_path):
     row = ["0", "tcp", "http", "SF"] + ["1"] * 37 + ["neptune", "21"]
     path = folder("records.txt", ",".join(row) + "\n")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe import runtime
-from veilframe.plans import learning, marts, privacy, releases, statistics
+from veilframe.plans import learning, loading, marts, privacy, releases, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = (statistics, privacy, releases, learning, marts)
+_FAMILIES = (loading, statistics, privacy, releases, learning, marts)
 
 
 def _shipped(query: Query) -> Query:

@@ -6,7 +6,10 @@ normal label. Files are read by Spark's readers only, so any store that Spark re
 
 from __future__ import annotations
 
+import csv
+import functools
 import posixpath
+import warnings
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -69,18 +72,69 @@ def detect(path: str) -> str:
     return UNKNOWN
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path: itself, what a pattern matches, or what lies in a directory and isn't hidden. Sorted."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(place) or []:
+        found += [x for x in fs.listStatus(status.getPath()) if x.isFile()] if status.isDirectory() else [status]
+    return sorted(x.getPath().toString() for x in found if not x.getPath().getName().startswith(("_", ".")))
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The header of a file, through whatever store and compression Hadoop knows; none for an empty or unreadable file."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = spark.sparkContext._jvm
+    conf, place = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+            return reader.readLine()
+        finally:
+            stream.close()
+    except Py4JJavaError as e:
+        warnings.warn(f"{path} is left out: {e.java_exception}", stacklevel=2)
+        return None
+
+
+def _names(header: str) -> list[str]:
+    """Column names without byte-order mark and surrounding white space; a name that comes again gets .1, .2 and so on."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in scalars.strip_names(next(csv.reader([header], skipinitialspace=True))):
+        seen[n] = seen.get(n, -1) + 1
+        out.append(f"{n}.{seen[n]}" if seen[n] else n)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True) -> DataFrame:
-    """A CSV file or a directory of them. Names lose byte-order marks and surrounding white space; all columns are strings
+    """A CSV file, a directory or a pattern of them. Names lose byte-order marks and surrounding white space; all columns are strings
     unless a schema is given, so nothing is read twice to infer types.
+
+    Without a schema the files are united by column name: the driver reads the first line of each, files with equal headers are
+    one scan, and a column that a file lacks is null there. Empty and unreadable files are left out with a warning.
     """
-    reader = spark.read.option("header", header).option("enforceSchema", schema is None).option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-    df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", False)).csv(path)
-    return df.toDF(*scalars.strip_names(df.columns)) if schema is None else df
+    reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", header)
+    if schema is not None or not header:
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in _files(spark, path):
+        if line := _first_line(spark, f):
+            groups.setdefault(tuple(_names(line)), []).append(f)
+    if not groups:
+        raise FileNotFoundError(f"no file with a header at {path}")
+    scans = [reader.option("enforceSchema", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files) for names, files in groups.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files of a directory, by column name; unreadable files are skipped, which Spark logs."""
-    return read_csv(spark, path) if path.endswith(".csv") else read_csv(spark, f"{path.rstrip('/')}/*.csv")
+    """All CSV files of a directory, or one of them, by column name."""
+    return read_csv(spark, path if path.endswith(".csv") or "*" in path else f"{path.rstrip('/')}/*.csv")
 
 
 def nsl_schema() -> T.StructType:
@@ -172,6 +226,58 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+# Classes and their sizes, and for each feature of a synthetic flow table (mean, deviation, least, greatest) by class, * for all others.
+SYNTHETIC_CLASSES = {
+    "Normal": 37000, "Generic": 18871, "Exploits": 11132, "Fuzzers": 6062, "DoS": 4089, "Reconnaissance": 3496, "Analysis": 677, "Backdoors": 583, "Shellcode": 378, "Worms": 44,
+}
+SYNTHETIC_SPECS = {
+    "dur": {"*": (0.5, 2.0, 0.0, 60.0), "DoS": (0.01, 0.05, 0.0, 1.0), "Generic": (0.001, 0.01, 0.0, 0.5)},
+    "spkts": {"*": (6.0, 10.0, 1.0, 500.0), "DoS": (200, 300, 1, 5000), "Fuzzers": (20, 30, 1, 1000)},
+    "dpkts": {"*": (5.0, 9.0, 0.0, 500.0), "DoS": (50, 100, 0, 3000), "Reconnaissance": (3, 5, 0, 50)},
+    "sbytes": {"*": (1200, 3000, 40, 1e6), "DoS": (80000, 120000, 100, 5e6), "Exploits": (5000, 8000, 100, 2e5)},
+    "dbytes": {"*": (1000, 2500, 0, 1e6), "DoS": (20000, 50000, 0, 3e6)},
+    "rate": {"*": (2000, 5000, 0, 1e6), "DoS": (50000, 80000, 0, 5e6), "Generic": (100000, 150000, 0, 1e7)},
+    "sttl": {"*": (62, 10, 1, 255), "Generic": (252, 5, 240, 255), "Reconnaissance": (50, 20, 1, 128)},
+    "dttl": {"*": (50, 15, 0, 255), "Generic": (252, 5, 240, 255)},
+    "sload": {"*": (5000, 15000, 0, 1e6), "DoS": (200000, 300000, 0, 5e6)},
+    "dload": {"*": (4000, 12000, 0, 1e6), "DoS": (80000, 150000, 0, 3e6)},
+    "sloss": {"*": (0.5, 2.0, 0, 100), "DoS": (10, 20, 0, 500)},
+    "dloss": {"*": (0.3, 1.5, 0, 100), "DoS": (5, 10, 0, 300)},
+    "sinpkt": {"*": (50, 100, 0, 1000), "DoS": (0.5, 1, 0, 10)},
+    "dinpkt": {"*": (60, 110, 0, 1000), "DoS": (1, 2, 0, 20)},
+    "sjit": {"*": (20, 50, 0, 500), "DoS": (1, 5, 0, 50)},
+    "djit": {"*": (15, 40, 0, 500)},
+    "swin": {"*": (200, 100, 0, 255), "Normal": (255, 1, 0, 255)},
+    "stcpb": {"*": (1e8, 2e8, 0, 4e9)},
+    "dtcpb": {"*": (1e8, 2e8, 0, 4e9)},
+    "dwin": {"*": (200, 100, 0, 255), "Normal": (255, 1, 0, 255)},
+    "tcprtt": {"*": (0.05, 0.1, 0, 2.0), "Generic": (0.0, 0.001, 0, 0.01)},
+    "synack": {"*": (0.03, 0.08, 0, 2.0), "Generic": (0.0, 0.001, 0, 0.01)},
+    "ackdat": {"*": (0.02, 0.05, 0, 2.0), "Generic": (0.0, 0.001, 0, 0.01)},
+    "smean": {"*": (300, 200, 20, 1500), "DoS": (1400, 100, 100, 1500)},
+    "dmean": {"*": (250, 180, 0, 1500), "DoS": (1400, 100, 0, 1500)},
+    "trans_depth": {"*": (1.5, 2.0, 0, 10), "Exploits": (3, 2, 0, 20)},
+    "response_body_len": {"*": (2000, 8000, 0, 1e6), "Exploits": (10000, 20000, 0, 5e5)},
+    "ct_srv_src": {"*": (10, 15, 1, 100), "DoS": (50, 30, 1, 200), "Generic": (60, 30, 1, 200)},
+    "ct_state_ttl": {"*": (3, 3, 0, 8)},
+    "ct_dst_ltm": {"*": (8, 12, 1, 100)},
+    "ct_src_dport_ltm": {"*": (5, 8, 1, 100)},
+    "ct_dst_sport_ltm": {"*": (4, 7, 1, 100)},
+    "ct_dst_src_ltm": {"*": (10, 14, 1, 100), "DoS": (40, 20, 1, 200)},
+    "ct_src_ltm": {"*": (8, 12, 1, 100)},
+    "ct_srv_dst": {"*": (9, 14, 1, 100), "DoS": (50, 30, 1, 200)},
+    "is_ftp_login": {"*": (0.02, 0.14, 0, 1), "Backdoors": (0.3, 0.46, 0, 1)},
+    "ct_ftp_cmd": {"*": (0.05, 0.3, 0, 8), "Backdoors": (1.5, 1.5, 0, 8)},
+    "ct_flw_http_mthd": {"*": (0.3, 1.0, 0, 10), "Exploits": (2.0, 2.0, 0, 20)},
+    "is_sm_ips_ports": {"*": (0.03, 0.17, 0, 1), "DoS": (0.7, 0.46, 0, 1), "Generic": (0.9, 0.3, 0, 1)},
+}
+
+
+def synthetic_flows(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """The synthetic flow table with its classes and features."""
+    return synthetic(spark, SYNTHETIC_CLASSES, SYNTHETIC_SPECS, seed=seed)
+
+
 def synthetic(spark: SparkSession, classes: dict[str, int], specs: dict[str, dict[str, tuple[float, float, float, float]]], normal: str = "Normal", integers: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """id, a column a feature, attack_cat, label (0 for the normal class): clipped normal values by class.
 

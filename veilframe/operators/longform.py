@@ -1,8 +1,7 @@
 """The long layout (key, label, feature, x) and its column statistics, all features in one pass.
 
 Statistics skip null and NaN. Features form a handful of groups that each hold all rows, so every shuffle
-sits behind partial aggregation; exact percentiles count distinct values first, which keeps what meets in a
-group at the number of distinct values.
+sits behind partial aggregation. Exact percentiles and running sums go by slices of the values, so that no task holds a whole feature.
 """
 
 from __future__ import annotations
@@ -51,12 +50,71 @@ def stats(long: DataFrame) -> DataFrame:
     )
 
 
+#: Slices of each range between two powers of two.
+SLICES = 4096
+
+
+def slice_of(x: Column) -> Column:
+    """A long that never falls as ``x`` rises: sign, power of two and ``SLICES`` equal parts up to the next power."""
+    size = F.abs(x.cast("double"))
+    power = F.floor(F.log2(size))
+    part = (power + 1100) * SLICES + F.floor((size / F.pow(F.lit(2.0), power) - 1) * SLICES)
+    return F.when(size == 0, F.lit(0)).when(size > 0, (F.signum(x.cast("double")) * part).cast("long"))
+
+
+def same(names: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
+    """Equality of columns of two DataFrames, nulls equal."""
+    out = F.lit(True)
+    for n in names:
+        out = out & a[n].eqNullSafe(b[n])
+    return out
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, into: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` and ``into``: the sum of ``value`` over the rows before (a number in ``order``, then ``ties``) with equal ``by``.
+
+    Slices of ``order`` are summed first and placed one after the other, so only rows of one slice meet in a task.
+    """
+    rows = df.withColumn("slice_", slice_of(F.col(order)))
+    sums = rows.groupBy(*by, "slice_").agg(F.sum(value).alias("sum_"))
+    ahead = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "slice_", F.coalesce(F.sum("sum_").over(ahead), F.lit(0)).alias("ahead_"))
+    placed = rows.alias("r").join(sums.alias("s"), same([*by, "slice_"], rows, sums)).select("r.*", "s.ahead_")
+    within = Window.partitionBy(*by, "slice_").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn(into, F.col("ahead_") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("slice_", "ahead_")
+
+
+def _at_rank(counts: DataFrame, by: Sequence[str], order: str, targets: DataFrame) -> DataFrame:
+    """``targets`` (by, feature, share, side, rank) with the row of ``counts`` (k rows each) that holds their rank, and the rank within it."""
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("before", before)
+    rows = placed.join(F.broadcast(targets), list(by))  # one row a feature and share
+    rows = rows.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("k")))
+    return rows.withColumn("rank", F.col("rank") - F.col("before")).drop("before", "k")
+
+
 def percentiles(long: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """feature, share, value: exact, by linear interpolation between order statistics (shares in 0 .. 1)."""
-    counted = present(long).groupBy("feature", "x").agg(F.count("*").alias("k"))
-    got = counted.groupBy("feature").agg(F.percentile("x", list(shares), F.col("k")).alias("values"))
-    named = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("values").alias("value"))
-    return got.select("feature", F.inline(named).alias("share", "value"))
+    """feature, share, value: exact, by linear interpolation between order statistics (shares in 0 .. 1).
+
+    Three scans, each behind partial aggregation: values are counted by slice; those in the slices that hold a wanted rank by
+    ``SLICES`` equal parts; and those in the parts that hold one, by value.
+    """
+    x = present(long).select("feature", "x").withColumn("slice", slice_of(F.col("x")))
+    first = x.groupBy("feature", "slice").agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    n = first.groupBy("feature").agg(F.sum("k").alias("n"))
+    place = F.col("share") * (F.col("n") - 1)
+    targets = n.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("part", place - F.floor(place))
+    targets = targets.select("feature", "share", "part", F.posexplode(F.array(F.floor(place), F.ceil(place))).alias("side", "rank"))
+    wanted = _at_rank(first, ["feature"], "slice", targets)
+    inside = x.join(F.broadcast(wanted.select("feature", "slice", "lo", "hi").distinct()), ["feature", "slice"])
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)).otherwise(F.lit(0))
+    second = inside.withColumn("piece", part).groupBy("feature", "slice", "piece").agg(F.count("*").alias("k"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    wanted = _at_rank(second, ["feature", "slice"], "piece", wanted.drop("lo", "hi"))
+    edges = wanted.select("feature", "slice", "lo", "hi").distinct()
+    third = x.join(F.broadcast(edges), ["feature", "slice"]).where(F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("feature", "slice", "lo", "x").agg(F.count("*").alias("k"))
+    found = _at_rank(third, ["feature", "slice", "lo"], "x", wanted.drop("piece", "hi"))
+    low, high = (F.max(F.when(F.col("side") == i, F.col("x"))) for i in (0, 1))
+    return found.groupBy("feature", "share").agg((low + (high - low) * F.max("part")).alias("value"))
 
 
 def approx_percentiles(long: DataFrame, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:

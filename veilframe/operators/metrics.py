@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import scalars
+from veilframe.operators import longform
 
 
 def ci95(df: DataFrame, value: str, by: Sequence[str], sample: bool = True) -> DataFrame:
@@ -57,14 +58,13 @@ def macro_f1(counts: DataFrame, classes: Sequence[int], by: Sequence[str] = ())
 def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """by, n_positive, n_negative, auc with ties counted half.
 
-    Rows collapse to (score, positives, negatives) first, so the window orders distinct scores only.
+    Rows collapse to (score, positives, negatives) first; negatives below each score are summed by slices of the scores.
     """
     by = list(by)
     sums = df.where(positive.isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(
         F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n")
     )
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = sums.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2.0))
+    won = longform.running_sum(sums, by, "_s", "_n", "_below").withColumn("_won", F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
     n = won.groupBy(*by).agg(F.sum("_p").alias("n_positive"), F.sum("_n").alias("n_negative"), F.sum("_won").alias("_won"))
     return n.select(*by, "n_positive", "n_negative", scalars.ratio(F.col("_won"), F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
 
@@ -72,7 +72,8 @@ def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) ->
 def wilcoxon(df: DataFrame, a: str, b: str, key: str, by: Sequence[str] = (), least: int = 5) -> DataFrame:
     """by, n, w_plus, w_minus, z, p: signed ranks of a - b without zeros, equal magnitudes ranked by key; p 1 below ``least`` pairs."""
     d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0")
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("_d"), key)).cast("double"))
+    sized = d.withColumns({"_a": F.abs("_d"), "_one": F.lit(1).cast("long")})
+    ranked = longform.running_sum(sized, by, "_a", "_one", "_before", [key]).withColumn("_r", (F.col("_before") + 1).cast("double"))
     zero = F.lit(0.0)
     sums = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(zero)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(zero)).alias("w_minus")

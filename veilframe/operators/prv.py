@@ -8,7 +8,7 @@ Spark deals the groups out and numpy transforms one at a time.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -101,13 +101,14 @@ def composition(spark: SparkSession, epsilons: Sequence[float], ks: Sequence[int
 def profile(spark: SparkSession, mechanism: str, epsilon: float, k: int, at: Sequence[float], cells: int = CELLS) -> DataFrame:
     """epsilon, delta: the privacy curve of k releases."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigma = math.sqrt(2 * math.log(1.25 / noise.DELTA)) / epsilon
         m = 1 / (2 * sigma**2)
         top = epsilon if mechanism == "laplace" else m + 12 * math.sqrt(2 * m)
         z, p, above = _upward(laplace_cdf(epsilon) if mechanism == "laplace" else gaussian_cdf(1.0, sigma), cells | 1, top)
         total = composed(p, k)
         z = np.linspace(-k * top, k * top, len(total))
-        return pd.DataFrame({"epsilon": rows.epsilon, "delta": [min(1.0, delta_at(z, total, 1 - (1 - above) ** k, e)) for e in rows.epsilon]})
+        for rows in batches:
+            yield pd.DataFrame({"epsilon": rows.epsilon, "delta": [min(1.0, delta_at(z, total, 1 - (1 - above) ** k, e)) for e in rows.epsilon]})
 
-    return accounting.grid(spark, epsilon=[float(e) for e in at]).groupBy().applyInPandas(one, "epsilon double, delta double")
+    return accounting.grid(spark, epsilon=[float(e) for e in at]).mapInPandas(one, "epsilon double, delta double")

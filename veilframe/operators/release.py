@@ -37,18 +37,14 @@ def perturb(long: DataFrame, settings: DataFrame, mechanism: str = "laplace", se
 
 
 def uniform_settings(long: DataFrame, epsilon: float, method: str = "clipped", share: float = 0.99) -> DataFrame:
-    """feature, sensitivity, eps[, tau]: the budget split evenly over the features."""
-    s = sensitivity.record_sensitivity(long, method, share)
-    if method == "clipped":
-        s = s.join(F.broadcast(sensitivity.thresholds(long, [share]).select("feature", "tau")), "feature")
+    """feature, sensitivity, eps, tau (null: no clipping): the budget split evenly over the features."""
     d = long.agg(F.count_distinct("feature").alias("d"))
-    return s.crossJoin(F.broadcast(d)).withColumn("eps", F.lit(float(epsilon)) / F.col("d")).drop("d")  # one row
+    return sensitivity.record_bounds(long, method, share).crossJoin(F.broadcast(d)).withColumn("eps", F.lit(float(epsilon)) / F.col("d")).drop("d")  # one row
 
 
 def weighted_settings(long: DataFrame, allocated: DataFrame, method: str = "clipped", share: float = 0.99) -> DataFrame:
-    """feature, sensitivity, eps[, tau]. allocated: feature, eps."""
-    s = sensitivity.record_sensitivity(long, method, share).join(F.broadcast(allocated.select("feature", "eps")), "feature")
-    return s.join(F.broadcast(sensitivity.thresholds(long, [share]).select("feature", "tau")), "feature") if method == "clipped" else s
+    """feature, sensitivity, eps, tau (null: no clipping). allocated: feature, eps."""
+    return sensitivity.record_bounds(long, method, share).join(F.broadcast(allocated.select("feature", "eps")), "feature")
 
 
 def errors(released: DataFrame) -> DataFrame:
@@ -104,18 +100,30 @@ def local_reports(long: DataFrame, epsilons: Sequence[float], seed: int | None =
     return rows.select("key", "feature", "epsilon", "x", F.inline(each))
 
 
-def local_experiment(long: DataFrame, epsilons: Sequence[float], seed: int | None = None) -> DataFrame:
-    """feature, mechanism, epsilon, n, mean, estimate, abs_error, theoretical_rmse, central_rmse, penalty.
+RUNS = 20
 
+
+def local_experiment(long: DataFrame, epsilons: Sequence[float], seed: int | None = None, runs: int = RUNS) -> DataFrame:
+    """feature, mechanism, epsilon, n, mean, estimate, abs_error, std_error, central_error, theoretical_rmse, central_rmse, penalty.
+
+    estimate, abs_error and std_error: mean estimate, mean and deviation of the absolute error over ``runs`` collections of reports.
+    central_error: the mean absolute error of as many Laplace releases of the mean with the same budget.
     penalty: the mechanism's theoretical error over that of the central Laplace mean with the same budget (mean squared).
     """
-    s = longform.stats(long).select("feature", (F.col("hi") - F.col("lo")).alias("range"))
-    got = local_reports(long, epsilons, seed).groupBy("feature", "mechanism", "epsilon").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg("released").alias("estimate"))
-    rows = got.join(F.broadcast(s), "feature")
+    s = longform.stats(long)
+    scale = s.select("feature", (F.col("hi") - F.col("lo")).alias("range"))
+    each = long.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("key", F.concat_ws("|", "key", F.col("run").cast("string")))
+    reports = local_reports(each, epsilons, seed).withColumn("run", F.element_at(F.split("key", r"\|"), -1).cast("int"))
+    by = ["feature", "mechanism", "epsilon"]
+    one = reports.groupBy(*by, "run").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg("released").alias("estimate"))
+    off = F.abs(F.col("estimate") - F.col("mean"))
+    got = one.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.avg("estimate").alias("estimate"), F.avg(off).alias("abs_error"), F.stddev_pop(off).alias("std_error"))
+    drawn = aggregates(long, epsilons, runs, seed, ["laplace"]).select("feature", "epsilon", F.col("post_mean_error").alias("central_error"))
+    rows = got.join(F.broadcast(scale), "feature").join(F.broadcast(drawn), ["feature", "epsilon"])
     n, r, e = F.col("n").cast("double"), F.col("range"), F.col("epsilon")
     mse, central = noise.ldp_mse(F.col("mechanism"), r, e, n), 2 * F.pow(r / n / e, F.lit(2))
     return rows.select(
-        "feature", "mechanism", "epsilon", "n", "mean", "estimate", F.abs(F.col("estimate") - F.col("mean")).alias("abs_error"),
+        "feature", "mechanism", "epsilon", "n", "mean", "estimate", "abs_error", "std_error", "central_error",
         F.sqrt(mse).alias("theoretical_rmse"), F.sqrt(central).alias("central_rmse"), scalars.ratio(mse, central).alias("penalty"),
     )
 

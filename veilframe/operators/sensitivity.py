@@ -111,19 +111,23 @@ def clipped_mean(long: DataFrame, taus: DataFrame) -> DataFrame:
     return rows.groupBy("feature").agg(F.avg(scalars.clip(F.col("x"), F.col("lo"), F.col("tau"))).alias("clipped_mean"))
 
 
-def record_sensitivity(long: DataFrame, method: str = "clipped", share: float = 0.99) -> DataFrame:
-    """feature, sensitivity of releasing a record's value: its range, clipped range, or two deviations."""
+def record_bounds(long: DataFrame, method: str = "clipped", share: float = 0.99) -> DataFrame:
+    """feature, sensitivity of releasing a record's value (its range, clipped range, or two deviations), tau to clip at (null where not clipped)."""
     s = longform.stats(long)
     if method == "clipped":
         s = s.join(F.broadcast(thresholds(long, [share]).select("feature", "tau")), "feature", "left")
         value = F.greatest(F.col("tau") - F.col("lo"), F.lit(FLOOR))
-    elif method == "range":
-        value = F.col("hi") - F.col("lo")
-    elif method == "std":
-        value = 2 * F.sqrt("var_pop")
+    elif method in ("range", "std"):
+        s = s.withColumn("tau", F.lit(None).cast("double"))
+        value = F.col("hi") - F.col("lo") if method == "range" else 2 * F.sqrt("var_pop")
     else:
         raise ValueError(f"unknown method {method!r}; clipped, range or std")
-    return s.select("feature", F.when(F.col("n") > 0, F.greatest(value, F.lit(1e-8))).otherwise(F.lit(1.0)).alias("sensitivity"))
+    return s.select("feature", F.when(F.col("n") > 0, F.greatest(value, F.lit(1e-8))).otherwise(F.lit(1.0)).alias("sensitivity"), "tau")
+
+
+def record_sensitivity(long: DataFrame, method: str = "clipped", share: float = 0.99) -> DataFrame:
+    """feature, sensitivity of releasing a record's value."""
+    return record_bounds(long, method, share).select("feature", "sensitivity")
 
 
 def report(long: DataFrame, share: float = 0.99) -> DataFrame:

@@ -141,13 +141,22 @@ def ldp_piecewise(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d, "piecewise")
 
 
-@query("ldp_experiment", EVENTS.sql() + f""", {_EVENTS_KEYED}, p as (select *, {_C} as c, ({_C} + 1) / 2 * (2 * (x - lo) / (hi - lo) - 1) - ({_C} - 1) / 2 as l from drawn, eps),
-r as (select feature, 'laplace' as mechanism, e, n, mean, hi - lo as r, x + {laplace('u1', '(hi - lo) / e')} as y from p
-  union all select feature, 'duchi', e, n, mean, hi - lo, {_DUCHI} from p union all select feature, 'piecewise', e, n, mean, hi - lo, {_PIECEWISE} from p),
-g as (select feature, mechanism, e, n::double as n, mean, r, avg(y) as estimate, case mechanism when 'laplace' then 2 * pow(r / e, 2) / n when 'duchi' then pow((exp(e) + 1) / (exp(e) - 1) * r / 2, 2) / n
-  else pow({_C} * r / 2, 2) / n end as mse, 2 * pow(r / n / e, 2) as central from r group by all)
-select feature, mechanism, e as epsilon, n::bigint as n, round(mean, 4) as mean, round(estimate, 4) as estimate, round(abs(estimate - mean), 4) as abs_error,
-  round(sqrt(mse), 4) as theoretical_rmse, round(sqrt(central), 4) as central_rmse, round(mse / central, 2) as penalty from g""")
+_RUNS = release.RUNS
+
+
+@query("ldp_experiment", EVENTS.sql() + f""", keyed as (select long.key, feature, x, lo, hi, n, mean, run, feature || '|' || long.key || '|' || run::varchar as k from long join stats using (feature), range({_RUNS}) r(run)), {_DRAWN},
+eps as (select * from {unnest('e', (0.5, 1.0, 4.0))}),
+p as (select *, {_C} as c, ({_C} + 1) / 2 * (2 * (x - lo) / (hi - lo) - 1) - ({_C} - 1) / 2 as l from drawn, eps),
+r as (select feature, 'laplace' as mechanism, e, run, n, mean, hi - lo as r, x + {laplace('u1', '(hi - lo) / e')} as y from p
+  union all select feature, 'duchi', e, run, n, mean, hi - lo, {_DUCHI} from p union all select feature, 'piecewise', e, run, n, mean, hi - lo, {_PIECEWISE} from p),
+one as (select feature, mechanism, e, run, n::double as n, mean, r, avg(y) as estimate from r group by all),
+g as (select feature, mechanism, e, n, mean, r, avg(estimate) as estimate, avg(abs(estimate - mean)) as abs_error, stddev_pop(abs(estimate - mean)) as std_error,
+  case mechanism when 'laplace' then 2 * pow(r / e, 2) / n when 'duchi' then pow((exp(e) + 1) / (exp(e) - 1) * r / 2, 2) / n
+  else pow({_C} * r / 2, 2) / n end as mse, 2 * pow(r / n / e, 2) as central from one group by all),
+ck as (select feature, (hi - lo) / n as gs, e, feature || '|laplace|' || round(e * 1000)::bigint::varchar || '|' || run::varchar as k from stats, eps, range({_RUNS}) r(run)),
+c as (select feature, e, avg(abs({laplace(uniform('u1', 'k'), 'gs / e')})) as central_error from ck group by all)
+select feature, mechanism, e as epsilon, n::bigint as n, round(mean, 4) as mean, round(estimate, 4) as estimate, round(abs_error, 4) as abs_error, round(std_error, 4) as std_error, round(central_error, 4) as central_error,
+  round(sqrt(mse), 4) as theoretical_rmse, round(sqrt(central), 4) as central_rmse, round(mse / central, 2) as penalty from g join c using (feature, e)""")
 def ldp_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(release.local_experiment(EVENTS.long(spark, d, key=True), (0.5, 1.0, 4.0), SEED), 4, penalty=2)
 
@@ -179,7 +188,9 @@ def shuffled_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(release.shuffled_mean(ORDERS.long(spark, d, key=True), 1.0, SEED), 4)
 
 
-_MIA = f"""g as (select feature, mean, (hi - lo) / n as s, mechanism, e, member, trial from stats, (values ('laplace'), ('gaussian')) m(mechanism), {unnest('e', (0.5, 1.0, 4.0))}, range(2) b(member), range(200) t(trial)),
+#: Trials with and as many without the target.
+_TRIALS = 800
+_MIA = f"""g as (select feature, mean, (hi - lo) / n as s, mechanism, e, member, trial from stats, (values ('laplace'), ('gaussian')) m(mechanism), {unnest('e', (0.5, 1.0, 4.0))}, range(2) b(member), range({_TRIALS}) t(trial)),
 keyed as (select *, feature || '|' || mechanism || '|' || round(e * 1000)::bigint::varchar || '|' || member::varchar || '|' || trial::varchar as k from g), {_DRAWN},
 y as (select *, case when mechanism = 'laplace' then s / e else {GAUSS} * s / e end as b, case when member = 1 then mean else mean - s end
   + case when mechanism = 'laplace' then {laplace('u1', 's / e')} else {gaussian('u1', 'u2', f'{GAUSS} * s / e')} end as y from drawn),
@@ -191,7 +202,7 @@ def llr(spark: SparkSession, d: str) -> DataFrame:
     """The log-likelihood ratio of every trial of the audit."""
     s = longform.stats(EVENTS.long(spark, d)).select("feature", "mean", sensitivity.global_of("mean", F.col("n"), F.col("lo"), F.col("hi")).alias("s"))
     rows = s
-    for name, column in (("mechanism", F.array(F.lit("laplace"), F.lit("gaussian"))), ("epsilon", F.array(*map(F.lit, (0.5, 1.0, 4.0)))), ("member", F.array(F.lit(0), F.lit(1))), ("trial", F.sequence(F.lit(0), F.lit(199)))):
+    for name, column in (("mechanism", F.array(F.lit("laplace"), F.lit("gaussian"))), ("epsilon", F.array(*map(F.lit, (0.5, 1.0, 4.0)))), ("member", F.array(F.lit(0), F.lit(1))), ("trial", F.sequence(F.lit(0), F.lit(_TRIALS - 1)))):
         rows = rows.withColumn(name, F.explode(column))
     key = F.concat_ws("|", "feature", "mechanism", F.round(F.col("epsilon") * 1000).cast("long").cast("string"), F.col("member").cast("string"), F.col("trial").cast("string"))
     rows = release.uniforms(rows, key, ["u1", "u2"], SEED)
@@ -216,7 +227,7 @@ select feature, mechanism, e as epsilon, round(acc, 6) as accuracy, round(2 * ac
 def mia(spark: SparkSession, d: str) -> DataFrame:
     s = longform.stats(EVENTS.long(spark, d))
     means = s.select("feature", "mean", sensitivity.global_of("mean", F.col("n"), F.col("lo"), F.col("hi")).alias("sensitivity"))
-    return rounded(release.mia(means, (0.5, 1.0, 4.0), 200, SEED))
+    return rounded(release.mia(means, (0.5, 1.0, 4.0), _TRIALS, SEED))
 
 
 def _pipeline_sql(method: str) -> str:

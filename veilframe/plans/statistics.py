@@ -38,6 +38,16 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(longform.percentiles(L.long(spark, d), SHARES))
 
 
+@query("approx_percentiles", f"select feature, share, true as near from (values {', '.join(f"('{f}')" for f in L.features)}) f(feature), (select unnest([{', '.join(map(str, SHARES))}]::double[]) as share)")
+def approx_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each approximate percentile has its rank within the accuracy: the shares of values below it and up to it enclose the wanted one."""
+    long, accuracy = L.long(spark, d), 10_000
+    found = longform.approx_percentiles(long, SHARES, accuracy)
+    rows = longform.present(long).join(F.broadcast(found), "feature").groupBy("feature", "share").agg(F.avg((F.col("x") < F.col("value")).cast("double")).alias("low"), F.avg((F.col("x") <= F.col("value")).cast("double")).alias("high"), F.count("*").alias("n"))
+    off = F.lit(1 / accuracy) + 1 / F.col("n")  # and one row, as ranks are whole
+    return rows.select("feature", "share", ((F.col("low") <= F.col("share") + off) & (F.col("high") >= F.col("share") - off)).alias("near"))
+
+
 @query("label_distribution", "select event_type, count(*) as n, round(count(*) / (select count(*) from events), 6) as share from events group by event_type")
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     rows = EVENTS.wide(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -185,13 +195,13 @@ def clip_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("clip_top", L.sql() + f""", {_clipped_sql(sensitivity.CLIP_SHARES)},
 r as (select share, feature, gs_raw / gs_clipped as red, row_number() over (partition by share order by round(gs_raw / gs_clipped, 9) desc, feature) as rank from clipped where hi > lo)
-select share, feature, rank::int as rank, round(red, 6) as noise_reduction from r where rank <= 2""")
+select share, feature, rank::int as rank, round(red, 6) as noise_reduction from r where rank <= 5""")
 def clip_top(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = sensitivity.clipped_sensitivity(L.long(spark, d)).where(F.col("noise_reduction").isNotNull())
     rank = F.row_number().over(Window.partitionBy("share").orderBy(F.desc(F.round("noise_reduction", 9)), "feature"))
-    return rounded(rows.withColumn("rank", rank).where("rank <= 2").select("share", "feature", "rank", "noise_reduction"))
+    return rounded(rows.withColumn("rank", rank).where("rank <= 5").select("share", "feature", "rank", "noise_reduction"))
 
 
 @query("sensitivity_report", EVENTS.sql() + f""", {_SMOOTH}, {_clipped_sql([0.99])}

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import noise
+from veilframe.operators import longform
 
 # The grids of Renyi orders.
 ALPHAS = (1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 16.0, 32.0, 64.0)
@@ -67,6 +69,51 @@ def rdp_gaussian_subsampled(alpha: Column, q: Column, sigma: Column) -> Column:
     return F.when((q <= 0.1) | (far >= OVERFLOW), small).otherwise(F.ln(moment) / (alpha - 1))
 
 
+#: Orders of the bound for independent samples, which is proven for whole ones.
+WHOLE_ALPHAS = (*range(2, 33), 40, 48, 64, 96, 128)
+
+
+def rdp_gaussian_poisson(alpha: Column, q: Column, sigma: Column) -> Column:
+    """Proven for whole orders where each step takes every row with probability q, independently (Mironov, Talwar, Zhang 2019).
+
+    1 / (alpha - 1) ln of the sum over k of C(alpha, k) (1 - q)^(alpha - k) q^k exp((k^2 - k) / (2 sigma^2)).
+    """
+    a = alpha.cast("double")
+    choose = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, j: s + F.when(j > 0, F.ln((a - j + 1) / j)).otherwise(F.lit(0.0)))
+    term = lambda k: choose(k) + (a - k) * F.log1p(-q) + k * F.ln(q) + (k * k - k) / (2 * sigma * sigma)
+    terms = F.transform(F.sequence(F.lit(0), alpha.cast("int")), term)
+    top = F.array_max(terms)
+    total = top + F.ln(F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.exp(t - top)))
+    return F.when(q >= 1, rdp_gaussian(a, F.lit(1.0), sigma)).when(q <= 0, F.lit(0.0)).otherwise(total / (a - 1))
+
+
+def poisson_epsilon(q: float, sigma: float, steps: int, delta: float = noise.DELTA) -> float:
+    """The budget of so many steps by the same bound, for one setting."""
+    best_ = math.inf
+    for a in WHOLE_ALPHAS:
+        k = np.arange(a + 1)
+        choose = np.concatenate([[0.0], np.cumsum(np.log((a - k[1:] + 1) / k[1:]))])
+        terms = choose + ((a - k) * math.log1p(-q) + k * math.log(q) if q < 1 else np.where(k == a, 0.0, -np.inf)) + (k * k - k) / (2 * sigma * sigma)
+        rdp = (terms.max() + math.log(np.exp(terms - terms.max()).sum())) / (a - 1)
+        best_ = min(best_, steps * rdp + math.log(1 / delta) / (a - 1))
+    return best_
+
+
+def poisson_sigma(q: float, steps: int, epsilon: float, delta: float = noise.DELTA) -> float | None:
+    """The least noise (to a relative 1e-4, from above) whose steps stay within the budget; none where no noise does."""
+    if math.log(1 / delta) / (WHOLE_ALPHAS[-1] - 1) >= epsilon:
+        return None
+    low, high = 0.05, 1.0
+    while poisson_epsilon(q, high, steps, delta) > epsilon:
+        low, high = high, 2 * high
+        if high > 1e6:
+            return None
+    while high / low > 1.0001:
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if poisson_epsilon(q, mid, steps, delta) > epsilon else (low, mid)
+    return high
+
+
 def to_epsilon(rdp: Column, alpha: Column, delta: float = noise.DELTA) -> Column:
     return rdp + F.lit(math.log(1 / delta)) / (alpha - 1)
 
@@ -102,11 +149,11 @@ def spent(log: DataFrame, delta: float = noise.DELTA, by: Sequence[str] = ()) ->
 
 
 def running(log: DataFrame, order: str, delta: float = noise.DELTA, by: Sequence[str] = ()) -> DataFrame:
-    """by, order, epsilon: the Renyi bound after each query of every group's log, by running sums a group and order."""
+    """by, order (a number), epsilon: the Renyi bound after each query of every group's log, by running sums over slices of the order."""
     rows = log.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS])))
     one = log_rdp(*[F.col(c) for c in ("mechanism", "alpha", "epsilon", "sensitivity", "sigma", "sampling_rate")])
-    total = F.sum(one).over(Window.partitionBy(*by, "alpha").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("rdp", total).groupBy(*by, order).agg(F.min(to_epsilon(F.col("rdp"), F.col("alpha"), delta)).alias("epsilon"))
+    summed = longform.running_sum(rows.select(*by, order, "alpha", one.alias("cost")), [*by, "alpha"], order, "cost", "before")
+    return summed.withColumn("rdp", F.col("before") + F.col("cost")).groupBy(*by, order).agg(F.min(to_epsilon(F.col("rdp"), F.col("alpha"), delta)).alias("epsilon"))
 
 
 def composition(spark: SparkSession, epsilons: Sequence[float], ks: Sequence[int], delta: float = noise.DELTA) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from veilframe import runtime
 from veilframe.functions import noise, scalars
 
 STEPS, RATE, L2 = 200, 0.1, 0.01
+SPLIT_SLICES = 16**4
 SGD_RATE, SGD_L2 = 0.05, 1e-4
 
 
@@ -30,10 +32,10 @@ def prepared(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame
 def stratified_split(df: DataFrame, key: Column, y: str = "y", share: float = 0.3, seed: int = 42) -> DataFrame:
     """Adds ``test``: of each class the first share (at least one row) in the order of a keyed hash.
 
-    The hash's first digits say which slice of a class a row is in; counts by slice place each slice, so that ranks are made
-    within slices and no class meets in one task.
+    The hash's first digits say which of ``SPLIT_SLICES`` slices of a class a row is in; counts by slice place each slice, so that
+    ranks are made within slices and no class meets in one task.
     """
-    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))).withColumn("_s", F.substring("_h", 1, 2))
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))).withColumn("_s", F.substring("_h", 1, 4))
     slices = rows.groupBy(y, "_s").agg(F.count("*").alias("_k"))
     order = Window.partitionBy(y).orderBy("_s")
     slices = slices.select(y, "_s", (F.sum("_k").over(order) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(y)).alias("_n"))
@@ -65,48 +67,101 @@ def logistic(features: Column, weights: Sequence[float], bias: float) -> Column:
     return scalars.sigmoid(scalars.dot(features, F.array(*[F.lit(float(w)) for w in weights])) + bias)
 
 
-def _gradient_task(weights, n_classes: int, clip: float | None, rate: float, step: int):
-    """Per partition: summed gradients of every model over its rows (x array, y, u)."""
+#: Rows of a packed block.
+BLOCK_ROWS = 65_536
+#: Tasks up to which their sums go to the driver directly; beyond, Spark adds them up first.
+DIRECT_TASKS = 256
+
+
+def _packer(batches):
+    """Rows (x, y, u) to blocks of matrices, so that a step reads numbers and not rows."""
+    parts, n = [], 0
+
+    def block():
+        x, y, u = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"n": [len(y)], "x": [x.tobytes()], "y": [y.tobytes()], "u": [u.tobytes()]})
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append((np.array(b["x"].flatten(), np.float64), np.array(b["y"], np.int32), np.array(b["u"], np.float64)))
+        n += b.num_rows
+        if n >= BLOCK_ROWS:
+            yield block()
+            parts, n = [], 0
+    if parts:
+        yield block()
+
+
+class Packed(NamedTuple):
+    blocks: DataFrame
+    tasks: int
+
+
+def packed(rows: DataFrame) -> Packed:
+    """The training rows as a table of blocks."""
+    blocks = runtime.materialize(rows.select("x", "y", "u").mapInArrow(_packer, "n long, x binary, y binary, u binary"), "blocks")
+    return Packed(blocks, blocks.rdd.getNumPartitions())
+
+
+def drawn(u: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
+    """Which rows a step takes: each with probability ``rate``, independently of other rows and of other steps.
+
+    A row's draw is a hash of its own uniform, the step and the seed (the finalizer of SplitMix64).
+    """
+    with np.errstate(over="ignore"):
+        h = (u * float(1 << 53)).astype(np.uint64) ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32))
+        for word in (np.uint64(step + 1), np.uint64(seed & 0xFFFFFFFFFFFFFFFF)):
+            h = h + word * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < rate
+
+
+def gradient_sum(w: np.ndarray, x: np.ndarray, y: np.ndarray, clip: float | None = None) -> np.ndarray:
+    """Summed gradients (1 or classes, features + 1) over rows x (with a last column of ones); each clipped to a length."""
+    z = x @ w.T
+    if len(w) == 1:
+        err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - (y[:, None] > 0)
+    else:
+        p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+        err = p / p.sum(axis=1, keepdims=True) - np.eye(len(w))[y] if len(z) else z
+    if clip is not None:
+        length = np.sqrt((err * err).sum(axis=1) * (x * x).sum(axis=1)) + 1e-10
+        err = err * np.minimum(1, clip / length)[:, None]
+    return err.T @ x
+
+
+def _gradient_task(weights: np.ndarray, clip: float | None, rate: float, step: int, seed: int):
+    """Per partition: the summed gradient over its blocks, and the number of rows."""
 
     def run(batches):
-        w = weights.value
-        total, n = np.zeros_like(w), np.zeros(len(w))
+        total, n = np.zeros_like(weights), 0
         for b in batches:
-            x = np.array(b["x"].flatten()).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, w.shape[2] - 1))
-            x = np.column_stack([x, np.ones(len(x))])
-            y, u = np.array(b["y"]), np.array(b["u"])
-            for i in range(len(w)):
-                take = np.ones(len(x), bool) if rate >= 1 else (u * (1 + 0.618033988749895 * (step + 1)) + 0.7548776662466927 * step) % 1 < rate
-                xi, yi = x[take], y[take]
-                z = xi @ w[i].T
-                if n_classes == 2:
-                    p = 1 / (1 + np.exp(-np.clip(z[:, :1], -500, 500)))
-                    err = p - (yi[:, None] > 0)
-                else:
-                    p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
-                    err = p / p.sum(axis=1, keepdims=True) - np.eye(n_classes)[yi] if len(z) else z
-                if clip is not None:
-                    length = np.sqrt((err * err).sum(axis=1) * (xi * xi).sum(axis=1)) + 1e-10
-                    err = err * np.minimum(1, clip / length)[:, None]
-                total[i] += err.T @ xi
-                n[i] += len(xi)
-        yield pa.RecordBatch.from_pydict({"model": pa.array(range(len(w)), pa.int32()), "n": n, "g": [g.ravel().tolist() for g in total]})
+            for i in range(b.num_rows):
+                rows = b["n"][i].as_py()
+                x = np.frombuffer(b["x"][i].as_py(), np.float64).reshape(rows, -1)
+                y = np.frombuffer(b["y"][i].as_py(), np.int32)
+                if rate < 1:
+                    take = drawn(np.frombuffer(b["u"][i].as_py(), np.float64), rate, step, seed)
+                    x, y = x[take], y[take]
+                total += gradient_sum(weights, np.column_stack([x, np.ones(len(x))]), y, clip)
+                n += len(x)
+        yield pa.RecordBatch.from_pydict({"j": pa.array(range(weights.size + 1), pa.int32()), "g": np.append(total.ravel(), n)})
 
     return run
 
 
-def _sums(rows: DataFrame, weights: np.ndarray, n_classes: int, clip: float | None = None, rate: float = 1.0, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Summed gradients and row counts, aggregated element by element; what reaches the driver is the size of the weights."""
-    sc = rows.sparkSession.sparkContext
-    sent = sc.broadcast(weights)
-    parts = rows.select("x", "y", "u").mapInArrow(_gradient_task(sent, n_classes, clip, rate, step), "model int, n double, g array<double>")
-    width = int(np.prod(weights.shape[1:]))
-    found = parts.groupBy("model").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("g")[j]) for j in range(width)]).alias("g")).collect()
-    total, n = np.zeros_like(weights), np.zeros(len(weights))
-    for r in found:
-        total[r.model], n[r.model] = np.array(r.g).reshape(weights.shape[1:]), r.n
-    sent.unpersist()
-    return total, n
+def _sums(data: Packed, weights: np.ndarray, clip: float | None = None, rate: float = 1.0, step: int = 0, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Summed gradient and row count; what reaches the driver is the size of the weights for each of at most DIRECT_TASKS tasks."""
+    parts = data.blocks.mapInArrow(_gradient_task(weights, clip, rate, step, seed), "j int, g double")
+    if data.tasks > DIRECT_TASKS:
+        parts = parts.groupBy("j").agg(F.sum("g").alias("g"))
+    found = parts.toArrow()
+    total = np.zeros(weights.size + 1)
+    np.add.at(total, found["j"].to_numpy(), found["g"].to_numpy())
+    return total[:-1].reshape(weights.shape), total[-1]
 
 
 def vectors(df: DataFrame, features: Sequence[str], key: Column) -> DataFrame:
@@ -120,28 +175,35 @@ def train(rows: DataFrame, n_features: int, n_classes: int = 2, steps: int = STE
 
     Deterministic up to the order of sums. Returns (1 or classes, features + 1).
     """
-    w = np.zeros((1, 1 if n_classes == 2 else n_classes, n_features + 1))
+    data, w = packed(rows), np.zeros((1 if n_classes == 2 else n_classes, n_features + 1))
     for _ in range(steps):
-        total, n = _sums(rows, w, n_classes)
-        g = total[0] / max(n[0], 1)
-        g[:, :-1] += l2 * w[0][:, :-1] / (max(n[0], 1) if n_classes == 2 else 1)
-        w[0] -= rate * g
-    return w[0]
+        total, n = _sums(data, w)
+        w = stepped(w, total, n, rate, l2)
+    return w
+
+
+def stepped(w: np.ndarray, total: np.ndarray, n: float, rate: float = RATE, l2: float = L2) -> np.ndarray:
+    """Weights after one full gradient step."""
+    g = total / max(n, 1)
+    g[:, :-1] += l2 * w[:, :-1] / (max(n, 1) if len(w) == 1 else 1)
+    return w - rate * g
 
 
 def train_private(rows: DataFrame, n_features: int, sigma: float, sampling: float, steps: int, clip: float = 1.0, rate: float = SGD_RATE, l2: float = SGD_L2, seed: int | None = None) -> np.ndarray:
-    """Noisy gradient descent for two classes: each step takes rows at a sampling rate, clips every row's gradient and adds
-    Gaussian noise of sigma * clip to the sum. Returns (1, features + 1).
+    """Noisy gradient descent for two classes: each step takes every row with probability ``sampling``, independently, clips
+    each row's gradient and adds Gaussian noise of sigma * clip to the sum. ``accounting.poisson_epsilon`` tells the budget
+    that this keeps, where the number of rows counts as public and ``seed`` is None or secret. Returns (1, features + 1).
     """
-    rng = np.random.default_rng(seed)
+    secret = np.random.SeedSequence(seed)
+    rng, batches = np.random.default_rng(secret), int(secret.generate_state(1, np.uint64)[0])
     expected = rows.count() * sampling
-    w = np.zeros((1, 1, n_features + 1))
+    data, w = packed(rows), np.zeros((1, n_features + 1))
     for step in range(steps):
-        total, _ = _sums(rows, w, 2, clip, sampling, step)
-        g = (total[0] + rng.normal(0, sigma * clip, total[0].shape)) / max(expected, 1)
-        g[:, :-1] += l2 * w[0][:, :-1]
-        w[0] -= rate * g
-    return w[0]
+        total, _ = _sums(data, w, clip, sampling, step, batches)
+        g = (total + rng.normal(0, sigma * clip, total.shape)) / max(expected, 1)
+        g[:, :-1] += l2 * w[:, :-1]
+        w = w - rate * g
+    return w
 
 
 def predicted(rows: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -7,13 +7,15 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions import scalars
-from veilframe.operators import accounting, budget, longform, metrics, ml, sensitivity
+from veilframe import runtime
+from veilframe.functions import noise, scalars
+from veilframe.operators import accounting, budget, experiments, metrics, ml
 from veilframe.plans.bindings import EVENTS, LINEITEM, PART, Query, rounded
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 SEED = 42
+_KEY_SQL = f"concat_ws('|', {', '.join(f'{k}::varchar' for k in LINEITEM.key)})"
 WEIGHTS = [round(math.sin(j + 1), 6) for j in range(64)]
 
 
@@ -115,21 +117,21 @@ def score_linear(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", ml.logistic(x, WEIGHTS, 0.1).alias("p")))
 
 
-@query("softmax", """with e as (select vec_id, [x::double for x in embedding[1:5]] as s from embeddings)
-select vec_id, i::int - 1 as class, round(exp(s[i] - list_max(s)) / list_sum([exp(x - list_max(s)) for x in s]), 6) as p from e, range(1, 6) r(i)""")
+@query("softmax", """with e as (select vec_id, [x::double for x in embedding] as s from embeddings), m as (select *, list_max(s) as m, list_sum([exp(x - list_max(s)) for x in s]) as t from e)
+select vec_id, i::int - 1 as class, round(exp(s[i] - m) / t, 6) as p from (select *, unnest(range(1, len(s) + 1)) as i from m)""")
 def softmax(spark: SparkSession, d: str) -> DataFrame:
-    s = F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double"))
+    s = F.transform("embedding", lambda v: v.cast("double"))
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode(scalars.softmax(s)).alias("class", "p"))
     return rounded(rows)
 
 
 @query("gradient_clip", """with e as (select vec_id, [x::double for x in embedding] as g from embeddings), n as (select *, sqrt(list_sum([x * x for x in g])) + 1e-10 as n from e)
-select vec_id, round(n, 5) as norm, round(sqrt(list_sum([pow(x * least(1, 0.5 / n), 2) for x in g])), 5) as clipped_norm, round(g[1] * least(1, 0.5 / n), 5) as first from n""")
+select vec_id, i::int - 1 as place, round(n, 5) as norm, round(g[i] * least(1, 0.5 / n), 5) + 0 as clipped from (select *, unnest(range(1, len(g) + 1)) as i from n)""")
 def gradient_clip(spark: SparkSession, d: str) -> DataFrame:
     g = F.transform("embedding", lambda v: v.cast("double"))
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", g.alias("g")).withColumn("c", ml.clipped_gradient(F.col("g"), 0.5))
-    length = lambda c: F.sqrt(scalars.dot(F.col(c), F.col(c)))
-    return rounded(rows.select("vec_id", length("g").alias("norm"), length("c").alias("clipped_norm"), F.col("c")[0].alias("first")), 5)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", g.alias("g"))
+    length = F.sqrt(scalars.dot(F.col("g"), F.col("g")))
+    return rounded(rows.select("vec_id", length.alias("norm"), F.posexplode(ml.clipped_gradient(F.col("g"), 0.5)).alias("place", "clipped")), 5)
 
 
 def _training(spark: SparkSession, d: str, classes: int = 2) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -147,42 +149,160 @@ def _evaluated(test: DataFrame, weights, name: str) -> DataFrame:
     return got.select(F.lit(name).alias("model"), "n", "accuracy", "f1")
 
 
-@query("train_logistic")
+def _recursive(classes: int) -> str:
+    """The data and 200 full gradient steps as SQL: w(step, w) with the weights of all classes one after the other."""
+    features = LINEITEM.features
+    y = "(l_returnflag = 'R')::int" if classes == 2 else "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"
+    key = f"concat_ws('|', {', '.join(f'{k}::varchar' for k in LINEITEM.key)})"
+    d, models = len(features) + 1, 1 if classes == 2 else classes
+    scaled = ", ".join(f"({f} - avg({f}) filter (not test) over ()) / (stddev_pop({f}) filter (not test) over () + 1e-8) as x{j}" for j, f in enumerate(features))
+    z = [" + ".join(f"w[{c * d + j + 1}] * x{j}" for j in range(d)) for c in range(models)]
+    errors = ["1 / (1 + exp(-greatest(-500, least(500, z0)))) - y"] if classes == 2 else [f"exp(z{c} - m) / t - (y = {c})::int" for c in range(models)]
+    penalty = lambda c, j: "" if j == d - 1 else f" + {ml.L2} * w[{c * d + j + 1}]" + (" / n" if classes == 2 else "")
+    new = ", ".join(f"w[{c * d + j + 1}] - {ml.RATE} * (g[{c * d + j + 1}] / n{penalty(c, j)})" for c in range(models) for j in range(d))
+    shift = "" if classes == 2 else f", greatest({', '.join(f'z{c}' for c in range(models))}) as m"
+    total = "" if classes == 2 else ", " + " + ".join(f"exp(z{c} - m)" for c in range(models)) + " as t"
+    return f"""with recursive r as (select {key} as key, {y} as y, {', '.join(f'{f}::double as {f}' for f in features)} from lineitem),
+o as (select *, row_number() over (partition by y order by md5('{SEED}|' || key)) as o, count(*) over (partition by y) as n from r),
+s as (select *, o <= greatest(1, floor(0.3 * n)) as test from o),
+data as materialized (select y, test, {scaled}, 1.0::double as x{d - 1} from s),
+w(step, w) as (select 0, [{', '.join(['0.0::double'] * d * models)}] union all
+  select step + 1, [{new}] from (
+    select any_value(step) as step, any_value(w) as w, count(*)::double as n, [{', '.join(f'sum(e{c} * x{j})' for c in range(models) for j in range(d))}] as g from (
+      select *, {', '.join(f'{e} as e{c}' for c, e in enumerate(errors))} from (select *{total} from (select *{shift} from (
+        select w.step, w.w, data.*, {', '.join(f'{x} as z{c}' for c, x in enumerate(z))} from w, data where step < {ml.STEPS} and not test)))) having count(*) > 0)),
+p as (select y, {', '.join(f'{x} as z{c}' for c, x in enumerate(z))} from data, (select w from w where step = {ml.STEPS}) where test)"""
+
+
+@query("train_logistic", _recursive(2) + """, c as (select count(*) as n, sum((y = (z0 >= 0)::int)::int)::double as hit, sum((y = 1 and z0 >= 0)::int)::double as tp, sum((y = 0 and z0 >= 0)::int)::double as fp, sum((y = 1 and z0 < 0)::int)::double as fn from p)
+select 'logistic' as model, n, round(hit / n, 6) as accuracy, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from c""")
 def train_logistic(spark: SparkSession, d: str) -> DataFrame:
     train, test, features = _training(spark, d)
-    return rounded(_evaluated(test, ml.train(train, len(features), steps=15), "logistic"))
+    return rounded(_evaluated(test, ml.train(train, len(features)), "logistic"))
 
 
-@query("train_softmax")
+@query("train_softmax", _recursive(3) + """, g as (select y, case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as yhat from p),
+c as (select class::int as class, sum((y = class and yhat = class)::int)::double as tp, sum((y <> class and yhat = class)::int)::double as fp, sum((y = class and yhat <> class)::int)::double as fn from g, range(3) k(class) group by class)
+select class, (tp + fn)::bigint as support, round(case when tp + fn > 0 then tp / (tp + fn) end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from c""")
 def train_softmax(spark: SparkSession, d: str) -> DataFrame:
     train, test, features = _training(spark, d, 3)
-    w = ml.train(train, len(features), 3, steps=15)
+    w = ml.train(train, len(features), 3)
     return rounded(metrics.per_class(metrics.confusion(ml.predicted(test, w), "y", "yhat"), range(3)))
 
 
 @query("train_private")
 def train_private(spark: SparkSession, d: str) -> DataFrame:
-    """Noisy gradient descent whose noise keeps 15 steps within a budget of 1, and what it costs."""
+    """Noisy gradient descent whose noise keeps its steps within a budget of 1 by a proven bound, and what it costs. Seeded, so that reruns agree."""
     train, test, features = _training(spark, d)
-    n, steps, rate = train.count(), 15, 0.05
-    rows = accounting.grid(spark, n=[n], batch=[max(1, round(n * rate))], epochs=[1], epsilon=[1.0])
-    row = accounting.sigma_for(rows.withColumn("epochs", F.lit(steps) * F.col("batch") / F.col("n"))).first()
-    w = ml.train_private(train, len(features), row.sigma, rate, steps, rate=1.0, seed=SEED)
-    return rounded(_evaluated(test, w, "private").withColumn("sigma", F.lit(row.sigma)).withColumn("epsilon", F.lit(1.0)))
+    steps, rate = ml.STEPS, 0.05
+    sigma = accounting.poisson_sigma(rate, steps, 1.0)
+    w = ml.train_private(train, len(features), sigma, rate, steps, rate=1.0, seed=SEED)
+    return rounded(_evaluated(test, w, "private").withColumn("sigma", F.lit(sigma)).withColumn("epsilon", F.lit(accounting.poisson_epsilon(rate, sigma, steps))))
+
+
+BUDGETS = (0.1, 0.5, 1.0, 5.0)
+#: Runs a setting of each experiment.
+RUNS, CLASS_RUNS, SGD_RUNS = 30, 10, 5
+
+
+def _sample(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
+    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), y, LINEITEM.key_column(), seed=SEED), "sample")
+
+
+def _swept(spark: SparkSession, d: str, methods, mechanisms, runs: int, classes: int = 2) -> DataFrame:
+    """Models on records with noise, by budget method, mechanism, total and run, beside the model without noise."""
+    rows, features = _sample(spark, d, classes), list(LINEITEM.features)
+    long = experiments.train_long(rows, features)
+    weights = budget.weights(budget.scores(long, list(methods)))
+    settings = experiments.noise_scales(long, weights, BUDGETS, features, mechanisms)
+    settings = settings.unionByName(experiments.plain(rows))
+    return experiments.trials(experiments.block(rows, features), settings, "logistic" if classes == 2 else "softmax", runs, classes, seed=SEED)
+
+
+@query("sample_rows", f"""with o as (select {_KEY_SQL} as key, l_returnflag from lineitem order by md5('{SEED}|' || {_KEY_SQL}) limit {experiments.SAMPLE_ROWS}),
+r as (select (l_returnflag = 'R')::int as y, row_number() over (partition by l_returnflag = 'R' order by md5('{SEED}|' || key)) as r, count(*) over (partition by l_returnflag = 'R') as n from o)
+select y, r <= greatest(1, floor(0.3 * n)) as test, count(*) as n from r group by all""")
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the experiments' sample by class and part."""
+    return _sample(spark, d).groupBy("y", "test").agg(F.count("*").alias("n"))
 
 
 @query("dpml_sweep")
 def dpml_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy after input perturbation, by budget method and total, beside the plain model."""
-    train, test, features = _training(spark, d)
-    long = LINEITEM.long(spark, d, label=True)
-    weights = {(r.method, r.feature): r.weight for r in budget.weights(budget.scores(long, ["mi", "uniform"])).collect()}  # one row a feature and method
-    scaled = longform.from_array(train, "x", prefix="")
-    sens = {int(r.feature): r.sensitivity for r in sensitivity.record_sensitivity(scaled, "clipped").collect()}  # one row a feature
-    out = _evaluated(test, ml.train(train, len(features), steps=10), "plain").withColumn("epsilon", F.lit(float("inf")))
-    for method in ("uniform", "mi"):
-        for eps in (1.0, 5.0):
-            scales = ml.laplace_scales([sens[j] for j in range(len(features))], [eps * weights[method, f] for f in features])
-            w = ml.train(ml.perturbed(train, scales, "laplace", SEED), len(features), steps=10)
-            out = out.unionByName(_evaluated(test, w, method).withColumn("epsilon", F.lit(eps)))
-    return rounded(out)
+    """Accuracy and F1 after input perturbation, by budget method, mechanism and total."""
+    return rounded(experiments.summarized(_swept(spark, d, ("uniform", "mi"), noise.MECHANISMS, RUNS)))
+
+
+@query("dpml_multiclass")
+def dpml_multiclass(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, macro F1 and each class's recall of three classes."""
+    results = runtime.materialize(_swept(spark, d, ("mi", "uniform"), ("laplace",), CLASS_RUNS, 3), "results")
+    return rounded(experiments.summarized(results, "macro_f1").join(experiments.class_recalls(results, ("A", "N", "R")), ["setting", "mechanism", "epsilon"]))
+
+
+@query("dpml_budget_comparison")
+def dpml_budget_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """All four budget methods at equal totals, and each one's signed-rank test against the uniform one."""
+    results = runtime.materialize(_swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS), "results")
+    rows = experiments.summarized(results)
+    return rounded(rows.join(experiments.compared(results).select("setting", "mechanism", "epsilon", "delta_pp", "p"), ["setting", "mechanism", "epsilon"], "left"))
+
+
+def _sgd(spark: SparkSession, d: str) -> DataFrame:
+    rows, features = _sample(spark, d), list(LINEITEM.features)
+    one = experiments.block(rows, features)
+    settings = accounting.grid(spark, setting=["sgd"], mechanism=["gaussian"], epsilon=list(BUDGETS)).withColumn("scales", F.array().cast("array<double>"))
+    return experiments.trials(one, settings, "private", SGD_RUNS, seed=SEED).unionByName(experiments.trials(one, experiments.plain(rows), "logistic", 1, seed=SEED))
+
+
+@query("dpsgd_experiment")
+def dpsgd_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy gradient descent by total budget: noise, budget spent, accuracy and F1 beside the plain model."""
+    results = runtime.materialize(_sgd(spark, d), "results")
+    spent = results.groupBy("setting", "mechanism", "epsilon").agg(F.max("sigma").alias("sigma"), F.max("spent").alias("spent"))
+    return rounded(experiments.summarized(results).join(spent, ["setting", "mechanism", "epsilon"]))
+
+
+_METHOD_NAMES = {"uniform": "Input-Uniform", "mi": "Input-MI-Weighted", "sgd": "DP-SGD"}
+
+
+def summary_table(results: DataFrame) -> DataFrame:
+    """epsilon, method, accuracy and F1 with intervals, loss against a perfect model, and the signed-rank test against the uniform budget."""
+    rows = results.where(F.col("mechanism").isin("laplace", "gaussian") & F.col("setting").isin(*_METHOD_NAMES))
+    # input perturbation counts by its Laplace runs; noisy descent has one mechanism
+    rows = rows.where((F.col("setting") == "sgd") | (F.col("mechanism") == "laplace")).withColumn("mechanism", F.lit("any"))
+    means = experiments.summarized(rows.unionByName(results.where("mechanism = 'none'"))).where("mechanism <> 'none'")
+    tests = experiments.compared(rows).select("setting", "epsilon", "p")
+    method = F.element_at(F.create_map(*[F.lit(x) for pair in _METHOD_NAMES.items() for x in pair]), F.col("setting"))
+    return means.join(tests, ["setting", "epsilon"], "left").select(
+        "epsilon", method.alias("method"), F.col("accuracy").alias("accuracy_mean"), F.col("accuracy_ci").alias("accuracy_ci95"), F.col("f1").alias("f1_mean"), F.col("f1_ci").alias("f1_ci95"),
+        (100 * (1 - F.col("accuracy"))).alias("accuracy_loss_pct"), F.col("p").alias("wilcoxon_p_vs_uniform"),
+    )
+
+
+@query("mart_dpml_summary")
+def mart_dpml_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Input perturbation and noisy gradient descent side by side."""
+    swept = _swept(spark, d, ("uniform", "mi"), ("laplace",), RUNS)
+    return rounded(summary_table(swept.unionByName(_sgd(spark, d).where("mechanism <> 'none'"))), 4)
+
+
+@query("mart_budget_significance")
+def mart_budget_significance(spark: SparkSession, d: str) -> DataFrame:
+    """A row a budget: each method's accuracy, its test against the uniform one, and the difference in points."""
+    results = runtime.materialize(_swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS), "results")
+    means = results.where("mechanism <> 'none'").groupBy("epsilon", "setting").agg(F.avg("accuracy").alias("accuracy"))
+    rows = means.join(experiments.compared(results).select("epsilon", "setting", "p", "delta_pp"), ["epsilon", "setting"], "left")
+    pick = lambda m, c: F.max(F.when(F.col("setting") == m, F.col(c)))
+    made = [pick("uniform", "accuracy").alias("uniform_accuracy")]
+    for m in (m for m in budget.METHODS if m != "uniform"):
+        made += [pick(m, "accuracy").alias(f"{m}_accuracy"), pick(m, "p").alias(f"{m}_vs_uniform_p"), pick(m, "delta_pp").alias(f"{m}_delta_accuracy_pp")]
+    return rounded(rows.groupBy("epsilon").agg(*made), 4)
+
+
+@query("mart_multiclass")
+def mart_multiclass(spark: SparkSession, d: str) -> DataFrame:
+    """Overall accuracy, macro F1, loss and each class's recall by budget."""
+    rows = dpml_multiclass(spark, d)
+    return rounded(rows.select("epsilon", F.col("setting").alias("budget_method"), F.col("accuracy").alias("overall_accuracy"), "macro_f1", F.col("loss_pct").alias("acc_loss_pct"), "acc_A", "acc_N", "acc_R"), 4)

@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe import runtime
 from veilframe.functions import scalars
 from veilframe.operators import accounting, budget, release, sensitivity
-from veilframe.plans import privacy, releases, statistics
+from veilframe.plans import learning, privacy, releases, statistics
 from veilframe.plans.bindings import EVENTS, LINEITEM, Query, rounded
 
 QUERIES: dict[str, Query] = {}
@@ -81,9 +82,9 @@ def mart_mia(spark: SparkSession, d: str) -> DataFrame:
     return validated(releases.mia(spark, d))
 
 
-@query("mia_by_eps", f"with m as ({releases.SQL['mia']}) select epsilon, round(avg(accuracy), 6) as accuracy, round(avg(auc), 6) as auc, count(*) as n from m group by epsilon")
+@query("mia_by_eps", f"with m as ({releases.SQL['mia']}) select epsilon, round(avg(accuracy), 7) as accuracy, round(avg(auc), 7) as auc, count(*) as n from m group by epsilon")
 def mia_by_eps(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(releases.mia(spark, d).groupBy("epsilon").agg(F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc"), F.count("*").alias("n")))
+    return rounded(releases.mia(spark, d).groupBy("epsilon").agg(F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc"), F.count("*").alias("n")), 7)
 
 
 @query("mart_ldp_penalty", f"""with l as ({releases.SQL['ldp_experiment']})
@@ -166,11 +167,60 @@ def mart_summary(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two).unionByName(three)
 
 
+def nested(df: DataFrame, by: str, columns: Sequence[str], into: str) -> DataFrame:
+    """by, and the rows with that value as an array of ``columns``."""
+    return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(into))
+
+
+def budget_accuracy(means: DataFrame) -> DataFrame:
+    """One row: accuracy without noise, and of the uniform and the weighted budget at the greatest total. means: ``experiments.summarized``."""
+    noisy = means.where("mechanism = 'laplace'")
+    top = noisy.agg(F.max("epsilon").alias("max_eps"))
+    at = lambda m: F.max(F.when((F.col("setting") == m) & (F.col("epsilon") == F.col("max_eps")), F.col("accuracy"))).alias(f"{m}_max_eps")
+    base = means.where("mechanism = 'none'").agg(F.max("accuracy").alias("no_dp"))
+    one = noisy.crossJoin(F.broadcast(top)).groupBy("max_eps").agg(at("uniform"), at("mi"))  # one row
+    return base.crossJoin(F.broadcast(one))
+
+
+@query("mart_composition_prv")
+def mart_composition_prv(spark: SparkSession, d: str) -> DataFrame:
+    """Tightness with the bound by loss distributions beside the others."""
+    rows = privacy.prv_composition(spark, d)
+    gain = lambda c: (100 * (1 - F.col(c) / F.col("basic"))).alias(f"{c}_gain_pct")
+    return rounded(rows.select("mechanism", "nominal_epsilon", "n_queries", "basic", "advanced", "rdp", "prv", gain("advanced"), gain("rdp"), gain("prv")))
+
+
+@query("mart_feature_budget", f"with b as ({statistics.SQL['budget_allocation']}) select feature, max(eps) filter (method = 'mi') as mi, round(avg(eps) filter (method = 'uniform'), 9) as uniform from b where eps_total = 1 group by feature")
+def mart_feature_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Each feature's weighted budget beside the uniform one, at a total of 1."""
+    rows = statistics.budget_allocation(spark, d).where("eps_total = 1")
+    pick = lambda m: F.max(F.when(F.col("method") == m, F.col("eps")))
+    return rounded(rows.groupBy("feature").agg(pick("mi").alias("mi"), pick("uniform").alias("uniform")), 9)
+
+
+@query("mart_rdp_nested", f"with c as ({privacy.SQL['rdp_composition']}) select nominal_epsilon, string_agg(printf('%d:%.6f:%.6f:%.6f', n_queries, basic, advanced, rdp), ' ' order by n_queries) as bounds from c where mechanism = 'laplace' group by nominal_epsilon")
+def mart_rdp_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds of each nominal budget by number of queries, as one text."""
+    rows = nested(privacy.rdp_composition(spark, d).where("mechanism = 'laplace'"), "nominal_epsilon", ["n_queries", "basic", "advanced", "rdp"], "bounds")
+    said = F.transform("bounds", lambda b: F.format_string("%d:%.6f:%.6f:%.6f", b.n_queries, b.basic, b.advanced, b.rdp))
+    return rows.select("nominal_epsilon", F.array_join(said, " ").alias("bounds"))
+
+
 @query("mart_json")
 def mart_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every section of the export."""
+    sweep = runtime.materialize(learning.dpml_sweep(spark, d), "sweep")
+    classes = runtime.materialize(learning.dpml_multiclass(spark, d), "classes")
+    by_mechanism = pivoted(sweep.where("setting = 'uniform'"), "epsilon", "mechanism", {"laplace": "laplace_acc", "gaussian": "gaussian_acc"}, F.col("accuracy"))
+    recalls = F.struct(*[c for c in classes.columns if c.startswith("acc_") and not c.endswith("_ci")])
+    lost = F.when(F.col("mechanism") == "none", "baseline").otherwise("collapsed")
+    composed = privacy.rdp_composition(spark, d).where("mechanism = 'laplace'")
     return json_sections({
         "sensitivity": mart_sensitivity(spark, d), "amplification": mart_amplification(spark, d), "composition": mart_tightness(spark, d),
-        "methods": mart_method_comparison(spark, d), "clipping": mart_clipping(spark, d),
+        "mia": mia_by_eps(spark, d), "ml": by_mechanism, "budget_accuracy": budget_accuracy(sweep), "dpsgd": learning.dpsgd_experiment(spark, d).where("mechanism <> 'none'").select("epsilon", "accuracy", "accuracy_std"),
+        "multiclass": classes.select(lost.alias("row"), "epsilon", "setting", recalls.alias("recalls")), "clipping": mart_clipping(spark, d), "prv": mart_prv(spark, d),
+        "methods": mart_method_comparison(spark, d), "budget_by_eps": mart_budget_by_eps(spark, d), "feature_budget": mart_feature_budget(spark, d),
+        "rdp": nested(composed, "nominal_epsilon", ["n_queries", "basic", "advanced", "rdp"], "bounds"),
     })
 
 

@@ -138,6 +138,17 @@ def dpsgd_rates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.withColumn("rdp", accounting.rdp_gaussian_subsampled(F.col("alpha"), F.col("q"), F.col("sigma"))))
 
 
+@query("dpsgd_bound", f"""with g as (select * from {unnest('q', (0.01, 0.05, 0.2))}, {unnest('sigma', (0.8, 2.0, 7.441))}, {unnest('a', accounting.WHOLE_ALPHAS)}),
+t as (select q, sigma, a, k, lgamma(a + 1) - case when k = 0 then 0 else lgamma(k + 1) end - case when k = a then 0 else lgamma(a - k + 1) end
+  + (a - k) * ln(1 - q) + k * ln(q) + (k * k - k) / (2 * sigma * sigma) as t from (select *, unnest(range(0, a + 1))::double as k from g)),
+m as (select *, max(t) over (partition by q, sigma, a) as m from t)
+select q, sigma, a as alpha, round((any_value(m) + ln(sum(exp(t - m)))) / (a - 1), 6) as rdp from m group by q, sigma, a""")
+def dpsgd_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The proven bound of a step that takes each row with probability q."""
+    rows = accounting.grid(spark, q=[0.01, 0.05, 0.2], sigma=[0.8, 2.0, 7.441], alpha=list(accounting.WHOLE_ALPHAS))
+    return rounded(rows.withColumn("rdp", accounting.rdp_gaussian_poisson(F.col("alpha"), F.col("q"), F.col("sigma"))))
+
+
 @query("prv_hockey_stick", f"""select e0 as epsilon0, e as epsilon, round(greatest(0, 1 - exp((e - e0) / 2)), 9) as delta from {unnest('e0', EPSILONS)}, {unnest('e', (0.0, 0.05, 0.2, 0.4, 1.0, 3.0))}""")
 def prv_hockey_stick(spark: SparkSession, d: str) -> DataFrame:
     rows = accounting.grid(spark, epsilon0=list(EPSILONS), epsilon=[0.0, 0.05, 0.2, 0.4, 1.0, 3.0])

@@ -44,11 +44,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilframe-{name}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back. The table goes when the application ends, if nothing deletes it before."""
+    spark = df.sparkSession
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, name))
 
 
 class Scratch:
@@ -61,8 +68,7 @@ class Scratch:
         """``materialize``, remembered."""
         path = scratch_path(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
-        made = self.spark.read.schema(df.schema).parquet(path)
+        made = _written(df, path)
         made._scratch_path = path
         return made
 

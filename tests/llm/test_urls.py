@@ -119,28 +119,34 @@ def test_cycles_are_walked_until_settled(spark):
 
 
 def test_a_hub_that_a_third_of_all_hosts_link_to(spark):
-    """Generated graph: 3000 hosts, a third of which link to one hub, and the hub to a blocked host; held against plain iteration."""
+    """Generated graph: 1500 hosts, a third of which link to one hub, and the hub to a blocked host; held against plain iteration."""
     import random
 
-    r, n = random.Random(8), 3000
+    r, n = random.Random(8), 1500
     name = lambda i: f"h{i}.org"
     links = {i: {0} if i % 3 == 1 else {r.randrange(1, n) for _ in range(3)} - {i} for i in range(1, n)}
     links[0] = {n + 1, *range(1, 50)}
     rows = [(i, f"http://{name(i)}/", " ".join(f"<a href='http://{name(j)}/x'>" for j in sorted(to))) for i, to in links.items()] + [(n + 1, f"http://{name(n + 1)}/", "")]
     rules = [urls.Rule("block", name(n + 1), "/"), urls.Rule("allow", name(5), "/")]
-    got = {x.page_id: x for x in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules, tolerance=1e-6).collect()}
+    got = {x.page_id: x for x in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=rules, tolerance=1e-4).collect()}
     into = {}
     for i, to in links.items():
         for j in to:
             into.setdefault(j, []).append(i)
+    blocked = {}
     for kind, seed, moves in (("trust", 5, links), ("distrust", n + 1, into)):
         now = {seed: 1.0}
-        for _ in range(120):
+        for _ in range(90):
             new = {seed: 0.15}
             for i, s in now.items():
                 for j in moves.get(i, ()):
                     new[j] = new.get(j, 0) + 0.85 * s / len(moves[i])
             now = new
         for i, x in got.items():
-            assert x[kind] == pytest.approx(now.get(i, 0), rel=1e-4, abs=1e-250), (kind, i)
-    assert got[0].verdict == "block" and got[1].verdict == "block"
+            assert x[kind] == pytest.approx(now.get(i, 0), rel=5e-3, abs=1e-250), (kind, i)
+        blocked[kind] = now
+    apart = [i for i in got if not 0.9 < (blocked["distrust"].get(i, 0) + 1e-99) / (blocked["trust"].get(i, 0) + 1e-99) < 1.1]
+    assert len(apart) > 0.8 * n
+    for i in apart:
+        own = "block" if blocked["distrust"].get(i, 0) > blocked["trust"].get(i, 0) else "allow"
+        assert got[i].verdict == {n + 1: "block", 5: "allow"}.get(i, own), i

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe import runtime
 from veilframe.functions import noise
 from veilframe.operators import accounting, longform, metrics, ml, sensitivity
 
@@ -132,7 +133,8 @@ def trials(one: DataFrame, settings: DataFrame, model: str, runs: int, classes:
     """RESULT: one row a setting (setting, mechanism, epsilon, scales) and run. one: a ``block``."""
     grid = settings.withColumn("run", F.explode(F.sequence(F.lit(0), F.when(F.size("scales") + F.lit(int(model == "private")) > 0, F.lit(runs - 1)).otherwise(F.lit(0)))))
     rows = grid.withColumn("model", F.lit(model)).repartition(4 * one.sparkSession.sparkContext.defaultParallelism, "setting", "mechanism", "epsilon", "run")
-    return rows.crossJoin(F.broadcast(one)).mapInArrow(_trials(classes, steps, batch, epochs, seed), RESULT)  # one row of bounded size
+    # one row of bounded size; the few result rows are written, as what is made of them reads them several times
+    return runtime.materialize(rows.crossJoin(F.broadcast(one)).mapInArrow(_trials(classes, steps, batch, epochs, seed), RESULT), "trials")
 
 
 def summarized(results: DataFrame, value: str = "accuracy") -> DataFrame:

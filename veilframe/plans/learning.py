@@ -237,14 +237,14 @@ def dpml_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("dpml_multiclass")
 def dpml_multiclass(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, macro F1 and each class's recall of three classes."""
-    results = runtime.materialize(_swept(spark, d, ("mi", "uniform"), ("laplace",), CLASS_RUNS, 3), "results")
+    results = _swept(spark, d, ("mi", "uniform"), ("laplace",), CLASS_RUNS, 3)
     return rounded(experiments.summarized(results, "macro_f1").join(experiments.class_recalls(results, ("A", "N", "R")), ["setting", "mechanism", "epsilon"]))
 
 
 @query("dpml_budget_comparison")
 def dpml_budget_comparison(spark: SparkSession, d: str) -> DataFrame:
     """All four budget methods at equal totals, and each one's signed-rank test against the uniform one."""
-    results = runtime.materialize(_swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS), "results")
+    results = _swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS)
     rows = experiments.summarized(results)
     return rounded(rows.join(experiments.compared(results).select("setting", "mechanism", "epsilon", "delta_pp", "p"), ["setting", "mechanism", "epsilon"], "left"))
 
@@ -259,7 +259,7 @@ def _sgd(spark: SparkSession, d: str) -> DataFrame:
 @query("dpsgd_experiment")
 def dpsgd_experiment(spark: SparkSession, d: str) -> DataFrame:
     """Noisy gradient descent by total budget: noise, budget spent, accuracy and F1 beside the plain model."""
-    results = runtime.materialize(_sgd(spark, d), "results")
+    results = _sgd(spark, d)
     spent = results.groupBy("setting", "mechanism", "epsilon").agg(F.max("sigma").alias("sigma"), F.max("spent").alias("spent"))
     return rounded(experiments.summarized(results).join(spent, ["setting", "mechanism", "epsilon"]))
 
@@ -291,7 +291,7 @@ def mart_dpml_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("mart_budget_significance")
 def mart_budget_significance(spark: SparkSession, d: str) -> DataFrame:
     """A row a budget: each method's accuracy, its test against the uniform one, and the difference in points."""
-    results = runtime.materialize(_swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS), "results")
+    results = _swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS)
     means = results.where("mechanism <> 'none'").groupBy("epsilon", "setting").agg(F.avg("accuracy").alias("accuracy"))
     rows = means.join(experiments.compared(results).select("epsilon", "setting", "p", "delta_pp"), ["epsilon", "setting"], "left")
     pick = lambda m, c: F.max(F.when(F.col("setting") == m, F.col(c)))

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -44,10 +44,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilframe-{name}-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back. The table goes when the application ends, if nothing deletes it before."""
+def _written(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet, with a folder for each value of ``by``, and read it back. The table goes when the application ends, if nothing deletes it before."""
     spark = df.sparkSession
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,11 +64,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
         """``materialize``, remembered."""
         path = scratch_path(self.spark, name)
         self.paths.append(path)
-        made = _written(df, path)
+        made = _written(df, path, by)
         made._scratch_path = path
         return made
 
@@ -78,10 +78,11 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table before the run's end."""
-        drop_path(self.spark, df._scratch_path)
-        self.paths.remove(df._scratch_path)
+    def drop(self, df: DataFrame, part: str = "") -> None:
+        """Delete a table, or a folder of it, before the run's end."""
+        drop_path(self.spark, f"{df._scratch_path}/{part}" if part else df._scratch_path)
+        if not part:
+            self.paths.remove(df._scratch_path)
 
 
 @contextmanager

@@ -3,18 +3,18 @@
 Texts are split into words as the tokenizer splits them; each distinct word is encoded once; its ids
 are joined back by position, and ids are decoded through the id-to-piece table of the vocabulary.
 
-1. ``pack`` writes the texts once, in blocks of about ``BLOCK_CHARS`` characters with a number of their own. What
-   follows depends on a block's one row only, so it comes out the same however often it is made.
-2. ``split`` cuts a block's texts into words and keeps the distinct ones, dealt into buckets by a hash.
-   The word rows (one a block and bucket) are shuffled by bucket, so all occurrences of a word meet in the part of
+1. ``split`` cuts the texts once, in blocks of about ``BLOCK_CHARS`` characters with a number of their own. A block's distinct
+   words are dealt into buckets by a hash and numbered there, frequent ones first; each text becomes buckets and numbers. Both are
+   written as a table, so what follows depends on a block's rows only and comes out the same however often it is made.
+2. The word rows (one a block and bucket) are shuffled by bucket, so all occurrences of a word meet in the part of
    the distinct-word table that its bucket holds: ``encode`` enters each word once and sends the ids back under block and bucket.
-3. Ids, and each text as positions in its block's list of words, are shuffled by block and sorted; ``assemble`` reads a block's
-   ids, looks up their pieces in the id-to-piece table, then reads the texts one chunk after the other, and yields ids and decoded text.
+3. Ids and texts are shuffled by block and sorted; ``assemble`` reads a block's ids, looks up their pieces in the
+   id-to-piece table, then joins them to the texts by bucket and number, one chunk after the other, and yields ids and decoded text.
 
 Scale: a frequent word is one entry a block, not one row an occurrence, so no word is hot. Every row is
 bounded by a block, except that a single text is never cut: it needs memory in proportion to itself. The number of buckets
 grows with the texts (``buckets_for``), so that a bucket's words fit a task; beyond ``WORDS`` of them it starts a new table,
-which costs time only. Texts are cut twice, once for the words and once for the positions, which is cheaper than to keep the positions.
+which costs time only. A number takes about 12 bits on disk, less than the text.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are each
 encoded; an empty table gives an empty result. Columns other than those named are not read.
@@ -56,11 +56,14 @@ _SETTLED = "".join(c for c in _RANGES if set(c.lower()) <= set(_RANGES))
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    """Compressed by planes of bytes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
 def _pack_words(words: list[str]) -> bytes:
@@ -154,39 +157,6 @@ def buckets_for(chars: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS)))
 
 
-def _packer(schema: pa.Schema):
-    """Documents to blocks: one row of keys, sizes and texts."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, chars, made = [], [], 0, 0
-
-        def block() -> pa.RecordBatch:
-            raw = [t.encode() for t in texts]
-            data = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
-            row = {"block": (TaskContext.get().partitionId() << 32) + made, "keys": keys, "sizes": list(map(len, raw)), "chars": chars, "data": data}
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                keys.append(key)
-                texts.append(text.as_py() or "")
-                chars += len(texts[-1])
-                if chars >= BLOCK_CHARS or len(keys) >= BLOCK_TEXTS:
-                    yield block()
-                    keys, texts, chars, made = [], [], 0, made + 1
-        if keys:
-            yield block()
-
-    return pack
-
-
-def _texts(row: dict) -> Iterator[str]:
-    raw, at = zstandard.ZstdDecompressor().decompress(row["data"]) if row["data"] else b"", 0
-    for n in row["sizes"]:
-        yield raw[at : at + n].decode()
-        at += n
-
-
 class _Block:
     def __init__(self, number: int, buckets: int):
         self.number, self.buckets, self.codes, self.chunks = number, buckets, _Codes(), []
@@ -208,35 +178,45 @@ class _Block:
             self.chunks.append((self.keys, self.counts, np.concatenate(self.parts)))
             self._new()
 
-    def rows(self, texts: bool) -> Iterator[dict]:
-        """A row for each bucket, or for each chunk of texts, whose positions are those in the buckets' words together."""
+    def rows(self) -> Iterator[dict]:
+        """A row for each bucket of words, and for each chunk of texts, whose words are bucket and number in one."""
         self.close()
         words = [mark(w) for w in self.codes]
         bucket = np.fromiter((zlib.crc32(w.encode()) % self.buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
+        often = np.zeros(len(words), np.int64)
+        for *_, codes in self.chunks:
+            often += np.bincount(codes, minlength=len(words))
+        order = np.lexsort((-often, bucket))
+        starts = np.cumsum(np.bincount(bucket, minlength=self.buckets)) - np.bincount(bucket, minlength=self.buckets)
+        name = np.empty(len(words), np.uint64)
+        name[order] = (bucket[order] << 32 | np.arange(len(words)) - starts[bucket[order]]).astype(np.uint64)
         order = order.tolist()
-        if texts:
-            for keys, counts, codes in self.chunks:
-                yield {"block": self.number, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(place[codes])}
-            return
         for b, group in itertools.groupby(order, key=bucket.__getitem__):
-            yield {"block": self.number, "bucket": int(b), "words": _pack_words([words[i] for i in group])}
+            yield {"kind": "words", "block": self.number, "bucket": int(b), "words": _pack_words([words[i] for i in group])}
+        for keys, counts, codes in self.chunks:
+            yield {"kind": "texts", "block": self.number, "n_words": len(words), "keys": keys, "counts": counts, "codes": _pack(name[codes])}
 
 
-def _splitter(spec: str, schema: pa.Schema, buckets: int, texts: bool):
+def _splitter(spec: str, schema: pa.Schema, buckets: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Words(spec)
+        cut, number = Words(spec), TaskContext.get().partitionId() << 32
+        block, chars, texts = _Block(number, buckets), 0, 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            held = iter(block.rows())
+            while some := list(itertools.islice(held, 16)):
+                yield pa.RecordBatch.from_pylist(some, schema)
+
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                block = _Block(row["block"], buckets)
-                for key, text in zip(row["keys"], _texts(row), strict=True):
-                    block.add(key, cut.split(text), len(text))
-                held = iter(block.rows(texts))
-                while some := list(itertools.islice(held, 8 if texts else 128)):
-                    yield pa.RecordBatch.from_pylist(some, schema)
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py() or ""
+                block.add(key, cut.split(text), len(text))
+                chars, texts = chars + len(text), texts + 1
+                if chars >= BLOCK_CHARS or texts >= BLOCK_TEXTS:
+                    yield from rows()
+                    number += 1
+                    block, chars, texts = _Block(number, buckets), 0, 0
+        yield from rows()
 
     return split
 
@@ -268,13 +248,24 @@ def _encoder(spec: str):
 class _Dictionary:
     """A block's words: where the ids of each lie, and its decoded pieces."""
 
-    def __init__(self, parts: list[tuple[bytes, bytes]], pieces: list[str]):
-        self.sizes = np.concatenate([_unpack(a, np.uint32) for a, _ in parts]).astype(np.int64) if parts else np.empty(0, np.int64)
-        self.ids = np.concatenate([_unpack(b, np.uint32) for _, b in parts]).astype(np.int32) if parts else np.empty(0, np.int32)
+    def __init__(self, parts: dict[int, tuple[bytes, bytes]], pieces: list[str], buckets: int):
+        sizes = {b: _unpack(parts[b][0], np.uint32).astype(np.int64) for b in sorted(parts)}
+        self.first = np.zeros(buckets, np.int64)  # the place of each bucket's first word
+        at = 0
+        for b, n in sizes.items():
+            self.first[b], at = at, at + len(n)
+        none = np.empty(0, np.int64)
+        self.sizes = np.concatenate([none, *sizes.values()])
+        self.ids = np.concatenate([none.astype(np.int32), *(_unpack(parts[b][1], np.uint32).astype(np.int32) for b in sizes)])
         self.starts = np.cumsum(self.sizes) - self.sizes
         ids, ends = self.ids.tolist(), np.cumsum(self.sizes).tolist()
         self.texts = [" ".join([pieces[i] for i in ids[a:z]]) for a, z in zip([0, *ends], ends, strict=False)]
 
+    def places(self, packed: bytes) -> np.ndarray:
+        """The places of a chunk's words, from bucket and number."""
+        name = _unpack(packed, np.uint64)
+        return self.first[(name >> np.uint64(32)).astype(np.int64)] + (name & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run of words, and how many each word has."""
         sizes = self.sizes[codes]
@@ -282,7 +273,7 @@ class _Dictionary:
         return self.ids[np.repeat(self.starts[codes] - first, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
-def _assembler(spec: str, key: pa.Field):
+def _assembler(spec: str, key: pa.Field, buckets: int):
     schema = pa.schema([key, pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,13 +285,13 @@ def _assembler(spec: str, key: pa.Field):
                 if block.as_py() != current:
                     current, parts, dictionary = block.as_py(), {}, None
                 if bucket.as_py() is not None:
-                    parts[bucket.as_py()] = (sizes.as_py(), ids.as_py())  # blocks with the same words share their rows
+                    parts[bucket.as_py()] = (sizes.as_py(), ids.as_py())
                     continue
                 if dictionary is None:
-                    dictionary, parts = _Dictionary(list(parts.values()), pieces), {}
+                    dictionary, parts = _Dictionary(parts, pieces, buckets), {}
                     if len(dictionary.sizes) != n_words.as_py():
                         raise RuntimeError("a block came back with other words than it had")
-                codes, counts = _unpack(codes.as_py(), np.uint32), np.array(counts.as_py(), np.int64)
+                codes, counts = dictionary.places(codes.as_py()), np.array(counts.as_py(), np.int64)
                 flat, sizes = dictionary.ids_of(codes)
                 ends = np.cumsum(counts)
                 offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes)])[ends]])
@@ -318,20 +309,20 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     spec, spark = Path(tokenizer).read_text(), docs.sparkSession
     kind = docs.schema[key].dataType
     arrow = spark.createDataFrame([], T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("key", kind)])).toArrow().schema
-    block, keys = pa.field("block", pa.int64()), arrow.field("keys")
-    whole = pa.schema([block, keys, pa.field("sizes", pa.list_(pa.int64())), pa.field("chars", pa.int64()), pa.field("data", pa.binary())])
-    whole_sql = T.StructType().add("block", "long").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.LongType())).add("chars", "long").add("data", "binary")
-    blocks = runtime.materialize(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(_packer(whole), whole_sql), "texts")
-    buckets = buckets_for(blocks.agg(F.sum("chars")).first()[0] or 0)
-    word_rows = pa.schema([block, pa.field("bucket", pa.int32()), pa.field("words", pa.binary())])
-    text_rows = pa.schema([block, pa.field("n_words", pa.int64()), keys, pa.field("counts", pa.list_(pa.int32())), pa.field("codes", pa.binary())])
-    words = blocks.mapInArrow(_splitter(spec, word_rows, buckets, texts=False), "block long, bucket int, words binary").repartition("bucket")
-    ids = words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary")
-    texts = blocks.mapInArrow(
-        _splitter(spec, text_rows, buckets, texts=True),
-        T.StructType().add("block", "long").add("n_words", "long").add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", "binary"),
-    )
+    columns = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text"))
+    buckets = buckets_for(columns.agg(F.sum(F.length("text"))).first()[0] or 0)
+    split = pa.schema([
+        ("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("n_words", pa.int64()), arrow.field("keys"), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()),
+    ])
+    split_sql = T.StructType().add("kind", "string").add("block", "long").add("bucket", "integer").add("words", "binary").add("n_words", "long").add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", "binary")
+    tables = runtime.Scratch(spark)
+    rows = tables.table(columns.mapInArrow(_splitter(spec, split, buckets), split_sql), "split", by=["kind"])
+    words = rows.where("kind = 'words'").select("block", "bucket", "words").repartition("bucket")
+    ids = runtime.materialize(words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary"), "ids")
+    tables.drop(rows, "kind=words")
+    runtime.release(spark)
+    texts = rows.where("kind = 'texts'").select("block", "n_words", "keys", "counts", "codes")
     both = ids.unionByName(texts, allowMissingColumns=True).select("block", "bucket", "sizes", "ids", "n_words", "keys", "counts", "codes")
     by_block = both.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
     out = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return by_block.mapInArrow(_assembler(spec, pa.field(key, arrow.field("key").type)), out)
+    return by_block.mapInArrow(_assembler(spec, pa.field(key, arrow.field("key").type), buckets), out)

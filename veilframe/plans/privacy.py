@@ -160,6 +160,14 @@ def prv_composition(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prv.composition(spark, NOMINAL, [1, 10, 50, 100]))
 
 
+@query("prv_one_release", f"""select e as epsilon, round(greatest(0, e + 2 * ln(1 - {noise.DELTA})), 6) as exact, true as above, true as near from {unnest('e', NOMINAL)}""")
+def prv_one_release(spark: SparkSession, d: str) -> DataFrame:
+    """The bound by loss distributions of one Laplace release against its closed form: never below, and within a hundredth."""
+    rows = prv.composition(spark, NOMINAL, [1], ["laplace"])
+    exact = F.greatest(F.lit(0.0), F.col("nominal_epsilon") + 2 * F.log1p(F.lit(-noise.DELTA)))
+    return rounded(rows.select(F.col("nominal_epsilon").alias("epsilon"), exact.alias("exact"), (F.col("prv") >= exact - 1e-9).alias("above"), (F.col("prv") <= 1.01 * exact).alias("near")))
+
+
 @query("prv_profile")
 def prv_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prv.profile(spark, "laplace", 0.1, 10, [0.0, 0.1, 0.2, 0.4, 0.8, 1.0]), 9)

@@ -304,6 +304,12 @@ def _assembler(spec: str, key: pa.Field, buckets: int):
     return assemble
 
 
+def _encoded(rows: DataFrame, spec: str) -> DataFrame:
+    """The ids of each block's words, as a table; nothing refers to the shuffle of the words afterwards."""
+    words = rows.select("block", "bucket", "words").repartition("bucket")
+    return runtime.materialize(words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary"), "ids")
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>, decoded string: one row per document."""
     spec, spark = Path(tokenizer).read_text(), docs.sparkSession
@@ -317,8 +323,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     split_sql = T.StructType().add("kind", "string").add("block", "long").add("bucket", "integer").add("words", "binary").add("n_words", "long").add("keys", T.ArrayType(kind)).add("counts", T.ArrayType(T.IntegerType())).add("codes", "binary")
     tables = runtime.Scratch(spark)
     rows = tables.table(columns.mapInArrow(_splitter(spec, split, buckets), split_sql), "split", by=["kind"])
-    words = rows.where("kind = 'words'").select("block", "bucket", "words").repartition("bucket")
-    ids = runtime.materialize(words.mapInArrow(_encoder(spec), "block long, bucket int, sizes binary, ids binary"), "ids")
+    ids = _encoded(rows.where("kind = 'words'"), spec)
     tables.drop(rows, "kind=words")
     runtime.release(spark)
     texts = rows.where("kind = 'texts'").select("block", "n_words", "keys", "counts", "codes")

@@ -7,6 +7,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -97,8 +98,13 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
         release(spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more."""
+def release(spark: SparkSession, settle: float = 0.0) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nothing refers to any more.
+
+    A job's own bookkeeping refers to its shuffles for a moment after its end; ``settle`` seconds are waited for it where the
+    shuffle of the last job matters.
+    """
+    time.sleep(settle)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

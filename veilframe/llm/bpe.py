@@ -325,7 +325,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     rows = tables.table(columns.mapInArrow(_splitter(spec, split, buckets), split_sql), "split", by=["kind"])
     ids = _encoded(rows.where("kind = 'words'"), spec)
     tables.drop(rows, "kind=words")
-    runtime.release(spark)
+    runtime.release(spark, settle=1.0)
     texts = rows.where("kind = 'texts'").select("block", "n_words", "keys", "counts", "codes")
     both = ids.unionByName(texts, allowMissingColumns=True).select("block", "bucket", "sizes", "ids", "n_words", "keys", "counts", "codes")
     by_block = both.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())

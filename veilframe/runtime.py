@@ -101,12 +101,13 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 def release(spark: SparkSession, settle: float = 0.0) -> None:
     """Let Spark delete the shuffle files of DataFrames that nothing refers to any more.
 
-    A job's own bookkeeping refers to its shuffles for a moment after its end; ``settle`` seconds are waited for it where the
-    shuffle of the last job matters.
+    A job's own bookkeeping refers to its shuffles for a moment after its end. Where the shuffle of the last job matters,
+    ``settle`` seconds are waited for it, and for what the first collection has let go of.
     """
-    time.sleep(settle)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (settle, settle) if settle else (0.0,):
+        time.sleep(wait)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
-from veilframe.llm import bpe, counts, html, jaccard, mixing, pii, quality, search, suffix, urls
+from veilframe.llm import bpe, centroids, chat, counts, html, jaccard, mixing, pii, quality, resampling, search, suffix, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,27 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The conversation that the query adds to the table: both its turns say what the template marks turns with.
+CLASHING = -7, "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv_id, said = CLASHING
+    added = spark.createDataFrame([(conv_id, turn, role, said) for turn, role in enumerate(("user", "assistant"))], own.schema)
+    formatted = chat.format_turns(own.unionByName(added))
+    return chat.read_back(formatted, chat.turn_columns(own))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op8_quality_ledger"] = r"""
@@ -232,6 +253,86 @@ select page_id, r.host, path, rule,
 from r left join f on r.host = f.host
 """
 
+_SIZES = " ".join(f"when '{role}' then {len(''.join(marks))}" for role, marks in chat.MARKS.items())
+_OTHER = f"{len(chat.ROLE + chat.ROLE_END + chat.END)} + length(role) + len(regexp_extract_all(role, e))"
+
+SQL["op11_chat_format"] = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select {CLASHING[0]}, turn, role, '{CLASHING[1]}' from (values (0, 'user'), (1, 'assistant')) v(turn, role)),
+m as (
+  select *, (length(text) + len(regexp_extract_all(text, e)) + case role {_SIZES} else {_OTHER} end)::bigint as chars,
+         (regexp_matches(text, e)::int + (role not in ('system', 'user', 'assistant') and regexp_matches(role, e))::int)::bigint as escaped
+  from t, (select '{chat.LOOKALIKE}' as e))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars, sum(escaped)::bigint as n_escaped
+from m group by conv_id
+"""
+
+
+def _rounds_sql() -> str:
+    """The rounds of ``centroids.cluster``, two common table expressions a round."""
+    steps = []
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(
+            f"a{i} as materialized (select vec_id, q, cluster, distance from (select v.vec_id, v.q, c.cluster, "
+            f"(v.n + list_inner_product(c.q, c.q) - 2 * list_inner_product(v.q, c.q))::bigint as distance from v, c{i} c) "
+            "qualify row_number() over (partition by vec_id order by distance, cluster) = 1)"
+        )
+        steps.append(
+            f"c{i + 1} as materialized (select c.cluster, coalesce(m.q, c.q) as q from c{i} c left join (select cluster, list(x order by j) as q from "
+            f"(select cluster, j, floor(sum(q[j]) / count(*)) as x from a{i}, range(1, {centroids.DIMS + 1}) r(j) group by all) group by cluster) m on m.cluster = c.cluster)"
+        )
+    return ",\n".join(steps[:-1])
+
+
+SQL["op12_centroid_clusters"] = f"""
+with v as materialized (
+  select *, list_inner_product(q, q) as n from (
+    select vec_id, [floor({centroids.SCALE} * x::double) for x in embedding] as q from embeddings
+    where len(embedding) = {centroids.DIMS} and len([x for x in embedding if x is null or not isfinite(x)]) = 0)),
+c0 as materialized (
+  select row_number() over (order by h) - 1 as cluster, q from (select sha256('{centroids.SEED}:' || vec_id) as h, q from v) order by h limit {centroids.K}),
+{_rounds_sql()}
+select vec_id, a.cluster::integer as cluster, distance, (sum(distance) over (partition by a.cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia, sha256(array_to_string([x::bigint for x in c.q], ',')) as centroid_sha256
+from a{centroids.ROUNDS} a join c{centroids.ROUNDS} c on c.cluster = a.cluster
+"""
+
+_DRAW = resampling.Rule()
+#: The reflected polynomial of CRC-32 (a fixed value); the table of 256 entries follows from it.
+_CRC = "3988292384"
+
+SQL["op13_resampling"] = rf"""
+with d as (
+  select 's' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+f as materialized (select side, id, unnest(w) as w from d),
+crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, {_CRC}) else a >> 1 end) as c from range(256) r(i))),
+x as (select w, hex(encode(w)) as h from (select distinct w from f)),
+b as materialized (
+  select w, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range(0, len(h) // 2)]),
+                            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % {_DRAW.buckets} as bucket
+  from x, crc),
+n as (select bucket, count(*) filter (side = 's') as s, count(*) filter (side = 't') as t from f join b using (w) group by bucket),
+g as (
+  select bucket, floor(1000 * ln((t + 1)::double * (select sum(s) + {_DRAW.buckets} from n)::double
+                                 / ((s + 1)::double * (select sum(t) + {_DRAW.buckets} from n)::double))) as gain
+  from n),
+m as (select id, floor(sum(gain) / count(*))::bigint as weight from f join b using (w) join g using (bucket) where side = 's' group by id),
+r as (
+  select d.id as doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{_DRAW.seed}:' || d.id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from d left join m on m.id = d.id where side = 's'),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as all_fit from r where n_features >= {_DRAW.least_words})
+select r.*, case when rank <= {_DRAW.percent} * all_fit // 100 then rank end as rank from r left join o on o.doc_id = r.doc_id
+"""
+
 
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

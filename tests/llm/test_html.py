@@ -72,3 +72,29 @@ def test_silent_and_embedded_elements():
     assert said("<article><p>first <video src='v'> gone</p><p>second</p><select><option>no<p>no</article><p>third") == ["first", "second", "third"]
     assert said("<p>one<script>if (a < b) '</p>'</script></p><title>no</title>two<style>x") == ["one", "two"]
     assert said("<svg><p>no</p>") == [] and said("</svg>yes</select>") == ["yes"]
+
+
+def test_deep_pages_are_linear():
+    import time
+    import tracemalloc
+
+    assert [b.path for b in html.blocks("<div class=a>x<p>y</div>z<ul><li>q")] == [("div", "=a"), ("div", "=a", "p"), (), ("ul", "li")]
+    model, took = html.trained(), []
+    for n in (4_000, 16_000):
+        page = "<div>abc def " * n + "</b></section>" * n
+        tracemalloc.start()
+        began = time.process_time()
+        found = html.blocks(page)
+        labels = model.label([found])[0]
+        took.append((time.process_time() - began, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+        assert len(found) == len(labels) == n
+    assert took[1][0] < 10 * took[0][0] and took[1][1] < 6 * took[0][1]
+
+
+def test_slices_of_a_long_page(monkeypatch):
+    model = html.trained()
+    page = html.blocks("".join(f"<nav>{i} x</nav><article><h1>T</h1><p>Some words of prose, here.</article>" for i in range(150)))
+    whole = model.label([page])[0]
+    monkeypatch.setattr(html, "SLICE", 64)
+    assert (model.label([page])[0] == whole).all() and 0 < whole.sum() < len(page)

@@ -9,8 +9,9 @@ The model is trained here, on ``TRAIN_PAGES`` labelled pages that ``labelled_pag
 a seed (the bound is that parameter), once in the driver's process; its weights, a few hundred kB
 whatever the input, are broadcast.
 
-Scale: one pass over the pages without a shuffle. Pages of an Arrow batch are labelled together; a
-page's vectors are made a slice of blocks at a time, so memory grows with its text only.
+Scale: one pass over the pages without a shuffle. Pages of an Arrow batch are labelled together, but a page of more than
+``SLICE`` blocks by itself, slice by slice from both ends. Blocks share their open tags, and a path's vector follows
+from that of the block before, so time and memory are linear in the page however deeply it nests.
 
 Defined results: null and empty html, and pages without content blocks, give the empty text and 0
 code points; unclosed tags, comments, scripts and quotes run to the end of the page, as browsers read
@@ -24,6 +25,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -63,16 +65,38 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _PART = re.compile(r"[a-z]+")
 
 
+class Open(NamedTuple):
+    """An open tag with its named parts, the tag around it, and the number of tags around it. Blocks share their open tags."""
+
+    name: str
+    said: tuple[str, ...]
+    around: Open | None
+    depth: int
+
+    def entries(self) -> tuple[str, ...]:
+        return (self.name, *self.said)
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]
+    inside: Open | None
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Entries of all open tags, the outermost first."""
+        tags, at = [], self.inside
+        while at:
+            tags.append(at.entries())
+            at = at.around
+        return tuple(x for entries in reversed(tags) for x in entries)
+
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. A path entry is a tag name, or ``name=value part`` of its class, id or role."""
+    """Leaf blocks in page order. A path entry is a tag name, or ``name=value part`` of its class, id or role. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top: Open | None = None
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     links, linked = 0, 0
     silent, depth = "", 0
@@ -81,7 +105,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, tuple(x for name, said in stack for x in (name, *said)), linked))
+            out.append(Block(text, top, linked))
         pieces.clear()
         linked = 0
 
@@ -92,6 +116,13 @@ def blocks(page: str) -> list[Block]:
             pieces.append(text)
             linked += len(text) if links else 0
 
+    def pop() -> str:
+        nonlocal top
+        name = top.name
+        opened[name] -= 1
+        top = top.around
+        return name
+
     at = 0
     for m in _TAG.finditer(page):
         say(page[at : m.start()])
@@ -107,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                 depth += -1 if m["end"] else not m["attrs"].endswith("/")
                 silent = silent if depth else ""
                 continue
-            if not (m["end"] and any(open_ == name for open_, _ in stack)):
+            if not (m["end"] and opened[name]):
                 continue
             silent = ""
         if name in SILENT:
@@ -122,17 +153,18 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         if m["end"]:
-            if any(open_ == name for open_, _ in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
             continue
-        if name in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
+        if name in ENDS_P and top and top.name == "p":
+            pop()
+        while top and top.name in CLOSES.get(name, ()):
+            pop()
         if name not in VOID:
             values = [x for key, *value in _NAMED.findall(m["attrs"]) for x in _PART.findall("".join(value).lower())]
-            stack.append((name, tuple(f"={v}" for v in values)))
+            top = Open(name, tuple(f"={v}" for v in values), top, top.depth + 1 if top else 0)
+            opened[name] += 1
     say(page[at:])
     close()
     return out
@@ -143,18 +175,48 @@ def _hash(word: str, dims: int) -> int:
     return zlib.crc32(word.encode()) % dims
 
 
-def vectors(page: list[Block], first: int, last: int) -> np.ndarray:
-    """Input vectors of blocks first .. last - 1 of a page."""
-    out = np.zeros((last - first, DIMS), np.float32)
-    for row, i in zip(out, range(first, last), strict=True):
-        text, path, linked = page[i]
-        for x in path:
-            row[_hash(x, PATH_DIMS)] += 1
-        row[_hash("leaf " + next((x for x in reversed(path) if x[0] != "="), ""), PATH_DIMS)] += 1
+class Walker:
+    """The hashed path of one block after the other: only tags that close or open between two blocks are touched."""
+
+    def __init__(self) -> None:
+        self.at: Open | None = None
+        self.counts = np.zeros(PATH_DIMS, np.float32)
+
+    def _add(self, tag: Open, n: int) -> None:
+        for x in tag.entries():
+            self.counts[_hash(x, PATH_DIMS)] += n
+
+    def to(self, new: Open | None) -> np.ndarray:
+        old, self.at = self.at, new
+        while old is not new:
+            if new is None or (old is not None and old.depth >= new.depth):
+                self._add(old, -1)
+                old = old.around
+            else:
+                self._add(new, 1)
+                new = new.around
+        return self.counts
+
+
+def vectors(page: list[Block], first: int, last: int, walker: Walker | None = None) -> np.ndarray:
+    """Input vectors of blocks first .. last - 1 of a page; ``walker`` goes on from where it stands."""
+    n, walker = last - first, walker or Walker()
+    out, shapes = np.zeros((n, DIMS), np.float32), []
+    places, columns, shares = [], [], []
+    for i in range(n):
+        text, inside, linked = page[first + i]
+        out[i, :PATH_DIMS] = walker.to(inside)
         words = text.split()
-        np.add.at(row, [PATH_DIMS + _hash(w, WORD_DIMS) for w in words], 1 / len(words))
+        places += [i] * (len(words) + 1)
+        columns.append(_hash("leaf " + (inside.name if inside else ""), PATH_DIMS))
+        columns += [PATH_DIMS + _hash(w, WORD_DIMS) for w in words]
+        shares.append(1.0)
+        shares += [1 / len(words)] * len(words)
         stops = sum(map(text.count, ".,;!?"))
-        row[PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 4, min(1, linked / len(text)), min(1, 5 * stops / len(words)), text[-1] in ".!?:\"", i / len(page), 1)
+        shapes.append((len(words), min(1, linked / len(text)), min(1, 5 * stops / len(words)), text[-1] in ".!?:\"", (first + i) / len(page), 1))
+    np.add.at(out, (np.array(places, np.int64), np.array(columns, np.int64)), np.array(shares, np.float32))
+    out[:, PATH_DIMS + WORD_DIMS :] = np.array(shapes, np.float64).reshape(n, SHAPE_DIMS)
+    out[:, PATH_DIMS + WORD_DIMS] = np.log1p(np.array([x[0] for x in shapes], np.float64)) / 4
     return out
 
 
@@ -235,10 +297,32 @@ class Labeller:
         behind = _reversed(self.behind.run(_reversed(inputs_behind, lengths), mask), lengths)
         return np.concatenate([ahead, behind], axis=2) @ self.w + self.b
 
+    def long_scores(self, page: list[Block]) -> np.ndarray:
+        """Scores of one page of any length: both directions in step, slice by slice, so that memory doesn't grow with the blocks' vectors."""
+        n, scores = len(page), np.full(len(page), self.b[0], np.float32)
+        inner, walkers = np.stack([self.ahead.h, self.behind.h]), (Walker(), Walker())
+        hidden, cell = (np.zeros((2, HIDDEN), np.float32) for _ in range(2))
+        for a in range(0, n, SLICE):
+            b = min(a + SLICE, n)
+            front = vectors(page, a, b, walkers[0]) @ self.ahead.x + self.ahead.b
+            back = vectors(page, n - b, n - a, walkers[1])[::-1] @ self.behind.x + self.behind.b
+            gates, out = np.stack([front, back], axis=1), np.empty((b - a, 2, HIDDEN), np.float32)
+            for t in range(b - a):
+                z = gates[t] + (hidden[:, None] @ inner)[:, 0]
+                on = _sigmoid(z[:, : 3 * HIDDEN])
+                cell = on[:, HIDDEN : 2 * HIDDEN] * cell + on[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+                hidden = out[t] = on[:, 2 * HIDDEN :] * np.tanh(cell)
+            scores[a:b] += out[:, 0] @ self.w[:HIDDEN]
+            scores[n - b : n - a] += (out[:, 1] @ self.w[HIDDEN:])[::-1]
+        return scores
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which blocks are content."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
+        while order and len(pages[order[-1]]) > SLICE:
+            i = order.pop()
+            out[i] = self.long_scores(pages[i]) > 0
         while order:
             group, steps = [order.pop()], 0
             steps = len(pages[group[0]])
@@ -246,10 +330,9 @@ class Labeller:
                 group.append(order.pop())
             gates = np.zeros((2, len(group), steps, 4 * HIDDEN), np.float32)
             for row, i in enumerate(group):
-                for a in range(0, len(pages[i]), SLICE):
-                    x = vectors(pages[i], a, min(a + SLICE, len(pages[i])))
-                    for side, lstm in enumerate((self.ahead, self.behind)):
-                        gates[side, row, a : a + len(x)] = x @ lstm.x + lstm.b
+                x = vectors(pages[i], 0, len(pages[i]))
+                for side, lstm in enumerate((self.ahead, self.behind)):
+                    gates[side, row, : len(x)] = x @ lstm.x + lstm.b
             found = self.scores(gates[0], gates[1], np.array([len(pages[i]) for i in group])) > 0
             for row, i in enumerate(group):
                 out[i] = found[row, : len(pages[i])]

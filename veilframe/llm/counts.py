@@ -11,7 +11,8 @@ Normalised content: the model's own normalisation is the identity, so every othe
 Scale: digests are computed in the JVM, and the missing ones are found before any text moves. Where they are few enough to be
 broadcast (``BROADCAST_ROWS``), only texts without a stored count are shuffled, by digest, behind a partial aggregation that
 keeps one text a digest and task; where they are more, Spark joins and shuffles by digest. A first run has no join at all. The
-other joins move digests, ids and counts; a digest that a third of all rows share is split by the sort-merge join.
+other joins move digests, ids and counts; stored counts are dealt anew before the last join, so that Spark splits a digest that a
+third of all rows share.
 The cache is Parquet, partitioned by tokenizer digest, appended through Spark's commit protocol; a row
 that a repeated run appends twice is read as one.
 
@@ -104,4 +105,5 @@ def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", t
     fill(docs, model, cache, text)
     whole = content(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`"), F.octet_length(whole).cast("long").alias("n_bytes"), digest(F.col(f"`{text}`")).alias("digest"))
-    return rows.join(stored(docs.sparkSession, cache, tokenizer_digest(model)), "digest").select(key, "n_bytes", "n_tokens")
+    known = runtime.dealt_anew(stored(docs.sparkSession, cache, tokenizer_digest(model)), "digest")
+    return rows.join(known, "digest").select(key, "n_bytes", "n_tokens")

@@ -14,7 +14,8 @@ however many documents have them.
 4. Prefix shingles lead to buckets of groups. A pair of groups in a bucket counts if sizes and the places
    of the shingle allow enough overlap. The first members of the groups are verified.
 5. Where those don't link, other members still may: 1 - similarity is a metric, so the distances between and
-   inside both groups tell which members can. These are expanded and verified.
+   inside both groups tell which members can, and each member's distances to both first ones tell which pairs can. These are
+   expanded and verified.
 
 Pairs aren't listed bucket by bucket, nor group by group. In each round a bucket names pivots, all others are
 compared with them, links join components, and pivots leave the bucket; a bucket whose groups are all in one
@@ -24,7 +25,7 @@ one comparison a copy instead of one a pair, whatever its size, and every pair t
 
 Scale: nothing but pivots and links passes between rounds, and no table is collected or broadcast beyond a checked size.
 Counts are partial sums before they are shuffled. Joins on a shingle or digest that a large share of the rows have are
-sort-merge joins, which Spark splits. Sets are made again from the texts of only those nodes that are compared.
+sort-merge joins between two shuffles (aggregates are dealt anew), which Spark splits. Sets are made again from the texts of only those nodes that are compared.
 Tables of a run lie in the shared folder and are deleted when its result is written.
 
 Defined results: documents without words, or with null text, have an empty set and link with nothing, so
@@ -195,7 +196,8 @@ def components(edges: DataFrame, tables: runtime.Scratch) -> DataFrame:
     while edges.take(1):
         both = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("to")))
         to = both.groupBy("node").agg(F.least("node", F.min("to")).alias("to"))
-        to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        further = runtime.dealt_anew(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to")
+        to = to.join(further, "to").select("node", F.col("next").alias("to"))
         to = tables.table(to, "pointers")
         edges = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         edges = tables.table(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
@@ -231,7 +233,7 @@ class _Join:
         slices = signed.where(F.col("n") >= self.rule.smallest())
         places = slices.select("row", F.xxhash64("digest").alias("of"), F.explode("tokens").alias("token"))
         shared = places.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
-        found = places.join(shared, "token").groupBy("row").agg(F.count("*").alias("shared"))
+        found = places.join(runtime.dealt_anew(shared, "token"), "token").groupBy("row").agg(F.count("*").alias("shared"))
         rows = slices.select("row", "digest", "n", F.size("tokens").alias("inside")).join(found, "row", "left")
         return rows.where(F.col("inside") - F.coalesce("shared", F.lit(0)) <= self.rule.differ(F.col("n"))).select("digest")
 
@@ -250,7 +252,7 @@ class _Join:
     def prefixes(self) -> DataFrame:
         """node, n, pos, token: the places of each node's prefix whose shingle another set has."""
         rows = self.sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-        shared = rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        shared = runtime.dealt_anew(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "token")
         own = Window.partitionBy("node")
         placed = rows.join(shared, "token").select("node", F.col("n").cast("long").alias("n"), "token", F.row_number().over(own.orderBy("k", "token")).alias("i"), F.count("*").over(own).alias("of"))
         placed = placed.withColumn("pos", F.col("n") - F.col("of") + F.col("i") - 1).where(F.col("pos") <= self.rule.differ(F.col("n")))
@@ -262,14 +264,14 @@ class _Join:
         shared = places.groupBy("token").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(left).alias("left"), F.sum("n").alias("all"))
         # a bucket of two is one pair, and these are its sizes and places
         pair = rule.fits(F.col("lo"), F.col("hi")) & rule.reaches(F.col("left"), F.col("all"), F.lit(0))
-        return shared.where((F.col("k") > 1) & ((F.col("k") > 2) | pair)).select("token")
+        return runtime.dealt_anew(shared.where((F.col("k") > 1) & ((F.col("k") > 2) | pair)).select("token"), "token")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b: units; na, nb: a node of each) with linked and far."""
         pairs = self.tables.table(pairs.select("a", "b", "na", "nb"), "pairs")
         left, right = (self.sets.select(F.col("node").alias(f"n{x}"), F.col("tokens").alias(f"h{x}")) for x in "ab")
         # few pairs need few sets, which then are all that is shuffled
-        right = right.join(self.small(pairs, pairs.select("nb").distinct()), "nb", "left_semi")
+        right = runtime.dealt_anew(right.join(self.small(pairs, pairs.select("nb").distinct()), "nb", "left_semi"), "nb")
         found = self.small(pairs).join(left, "na").join(right, "nb").mapInArrow(_verifier(self.rule), "a long, b long, na long, nb long, linked boolean, far double")
         return self.tables.table(found, "verified")
 
@@ -278,7 +280,7 @@ class _Join:
         keyed = places.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("length"), F.bit_xor(F.xxhash64("pos", "token")).alias("prefix"))
         keys = ["n", "length", "prefix"]
         shared = keyed.groupBy(*keys).agg(F.min("node").alias("unit"), F.count("*").alias("k")).where("k > 1")
-        pairs = keyed.join(shared, keys).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
+        pairs = keyed.join(runtime.dealt_anew(shared, "prefix"), keys).where("unit <> node").select(F.col("unit").alias("a"), F.col("node").alias("b"), F.col("unit").alias("na"), F.col("node").alias("nb"))
         return self.verified(pairs).where("linked").select(F.col("a").alias("unit"), F.col("b").alias("node"), "far")
 
     def joined(self, of: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,7 +298,7 @@ class _Join:
         near = places.join(self.able(places), "token", "left_semi").select("node").distinct()
         places = tables.table(places.join(near, "node", "left_semi"), "prefixes")
         members = self.grouped(places)
-        reach = members.groupBy("unit").agg(F.max("far").alias("reach"))
+        reach = runtime.dealt_anew(members.groupBy("unit").agg(F.max("far").alias("reach")), "unit")
         places = places.join(members.select("node"), "node", "left_anti").withColumnRenamed("node", "unit")
         live = tables.table(places.join(self.able(places), "token", "left_semi").withColumn("component", F.col("unit")), "places")
         runtime.release(self.docs.sparkSession)
@@ -316,6 +318,7 @@ class _Join:
             of = self.joined(of, checked.where("linked"))
             rest = live.drop("component").join(pivots.select("token", F.col("p").alias("unit")), ["token", "unit"], "left_anti").join(of, "unit")
             open_ = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+            open_ = runtime.dealt_anew(open_, "token")
             live = tables.table(rest.join(open_, "token", "left_semi"), "places")
             turn += 1
             runtime.release(self.docs.sparkSession)
@@ -347,9 +350,10 @@ class _Join:
             return of
         sides = []
         for x, y in ("ab", "ba"):
-            more = members.select(F.col("unit").alias(x), F.col("node").alias(f"n{x}"))
+            more = members.select(F.col("unit").alias(x), F.col("node").alias(f"n{x}"), F.col("far").alias(f"own{x}"))
             checked = self.verified(loose.join(more, x).withColumn(f"n{y}", F.col(y)))
-            near = checked.join(loose, ["a", "b"]).where(F.col("far") <= self.limit() + F.col(f"r{y}")).select("a", "b", f"n{x}")
+            near = checked.join(loose, ["a", "b"]).where(F.col("far") <= self.limit() + F.col(f"r{y}")).join(more, [x, f"n{x}"])
+            near = near.select("a", "b", f"n{x}", f"own{x}", F.col("far").alias(f"far{x}"))
             sides.append(tables.table(near, "side"))
             of = self.joined(of, checked.where("linked"))
         left, right = sides
@@ -360,6 +364,8 @@ class _Join:
                 break
             low = _MORE ** (turn - 1) if turn else 0
             pairs = loose.select("a", "b").join(left.where(level.between(low, _MORE**turn - 1)), ["a", "b"]).join(right, ["a", "b"])
+            # how far both members lie from a, and how far from b, differs by no more than they lie from one another
+            pairs = pairs.where((F.abs(F.col("owna") - F.col("farb")) <= self.limit()) & (F.abs(F.col("fara") - F.col("ownb")) <= self.limit()))
             of = self.joined(of, self.verified(pairs).where("linked"))
         return of
 
@@ -382,7 +388,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", t
         rows = tables.table(rows, "rows")
         # rows with one id are reached from one another
         spread = rows.where("doc is not null").groupBy("doc").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        ends = rows.join(spread, "doc").where("lo <> component").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct()
+        ends = rows.join(runtime.dealt_anew(spread, "doc"), "doc").where("lo <> component").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct()
         same = components(ends, tables).toDF("component", "to")
         to = nodes.join(same, "component", "left").withColumn("to", F.coalesce("to", "component"))
         least = to.groupBy("to").agg(F.min("least").alias("id"))

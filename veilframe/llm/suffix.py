@@ -100,7 +100,7 @@ class Piece:
 
 
 class Units:
-    """The units of a block in the order of its text: first and last window (offsets in the block), owner, and keys of 48 bits."""
+    """The units of a block in the order of its text: first and last window (offsets in the block), owner, and keys: 48 bits of the gram, 64 of the content."""
 
     def __init__(self, block: Block):
         first, last, grams, contents = [], [], [], []
@@ -115,7 +115,7 @@ class Units:
         cat = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
         self.first, self.last = cat(first, np.int64), cat(last, np.int64)
         self.owner = np.searchsorted(block.ends, self.first, side="right")
-        self.grams, self.contents = cat(grams, np.uint64) >> np.uint64(16), cat(contents, np.uint64) >> np.uint64(16)
+        self.grams, self.contents = cat(grams, np.uint64) >> np.uint64(16), cat(contents, np.uint64)
 
 
 class Block:
@@ -258,7 +258,7 @@ def _tags(g: np.ndarray, c: np.ndarray) -> np.ndarray:
     """For each distinct gram of a block a digest of its content, or 0 if it has several."""
     at = np.flatnonzero(_first_of_grams(g))
     alone = np.diff(np.append(at, len(g))) == 1
-    return np.where(alone, np.maximum(c[at].astype(np.uint32), np.uint32(1)), np.uint32(0))
+    return np.where(alone, np.maximum(c[at], np.uint64(1)), np.uint64(0))
 
 
 def _unit_keys(length: int, gram: int, buckets: int):
@@ -307,7 +307,7 @@ def _unit_verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 earlier = family.scan(keys, row["first"], row["last"])
                 yield pa.RecordBatch.from_pydict({"block": [row["block"]], "bucket": [bucket], "bits": [_pack(earlier.astype(np.uint8))]}, _VERDICT)
             else:
-                held.append((row["block"], keys, _unpack(row["contents"], np.uint32)))
+                held.append((row["block"], keys, _unpack(row["contents"], np.uint64)))
         several = _several([h[1] for h in held], [h[2] for h in held]) if held else ()
         for block, g, _ in held:
             at = np.minimum(np.searchsorted(several, g), max(len(several) - 1, 0))

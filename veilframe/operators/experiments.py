@@ -164,6 +164,6 @@ def compared(results: DataFrame, base: str = "uniform") -> DataFrame:
     other = rows.where(F.col("setting") == base).select("mechanism", "epsilon", "run", F.col("accuracy").alias("base"))
     pairs = rows.where(F.col("setting") != base).join(other, ["mechanism", "epsilon", "run"])
     delta = pairs.groupBy("setting", "mechanism", "epsilon").agg(F.count("*").alias("n"), (100 * F.avg(F.col("accuracy") - F.col("base"))).alias("delta_pp"))
-    tests = metrics.wilcoxon(pairs, "accuracy", "base", "run", ["setting", "mechanism", "epsilon"]).select("setting", "mechanism", "epsilon", "p")
+    tests = metrics.wilcoxon(pairs, "accuracy", "base", "run", ["setting", "mechanism", "epsilon"], ties="key").select("setting", "mechanism", "epsilon", "p")
     # without a difference there is no rank, and no evidence
     return delta.join(tests, ["setting", "mechanism", "epsilon"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))

@@ -1,6 +1,7 @@
 """The long layout (key, label, feature, x) and its column statistics, all features in one pass.
 
-Statistics skip null and NaN. Features form a handful of groups that each hold all rows, so every shuffle
+Statistics skip null and NaN. ``unpivot`` and ``from_array`` read what is no number, NaN and both infinities as null; a long table made
+otherwise may hold infinities, which order as they should. Features form a handful of groups that each hold all rows, so every shuffle
 sits behind partial aggregation. Exact percentiles and running sums go by slices of the values, so that no task holds a whole feature.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import runtime
 from veilframe.functions import scalars
 
 BINS = 20
@@ -25,7 +27,7 @@ def unpivot(df: DataFrame, features: Sequence[str], label: str | None = None, ke
     """[key,] [label,] feature, x double. One scan, one row a value."""
     ids = ([key.alias("key")] if key is not None else []) + ([F.col(label).cast("string").alias("label")] if label else [])
     names = (["key"] if key is not None else []) + (["label"] if label else [])
-    wide = df.select(*ids, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    wide = df.select(*ids, *[scalars.number(F.col(f"`{f}`")).alias(f) for f in features])
     return wide.unpivot(names, list(features), "feature", "x")
 
 
@@ -34,7 +36,7 @@ def from_array(df: DataFrame, array: str, label: str | None = None, key: Column
     ids = ([key.alias("key")] if key is not None else []) + ([F.col(label).cast("string").alias("label")] if label else [])
     names = (["key"] if key is not None else []) + (["label"] if label else [])
     rows = df.select(*ids, F.posexplode(array).alias("_place", "_x"))
-    return rows.select(*names, F.concat(F.lit(prefix), F.col("_place")).alias("feature"), F.col("_x").cast("double").alias("x"))
+    return rows.select(*names, F.concat(F.lit(prefix), F.col("_place")).alias("feature"), scalars.number(F.col("_x")).alias("x"))
 
 
 def present(long: DataFrame) -> DataFrame:
@@ -54,12 +56,19 @@ def stats(long: DataFrame) -> DataFrame:
 SLICES = 4096
 
 
+#: Rows of different values beyond which a slice is cut again.
+SLICE_ROWS = 1 << 18
+_LARGEST = 1.7976931348623157e308
+
+
 def slice_of(x: Column) -> Column:
-    """A long that never falls as ``x`` rises: sign, power of two and ``SLICES`` equal parts up to the next power."""
-    size = F.abs(x.cast("double"))
-    power = F.floor(F.log2(size))
+    """A long that never falls as ``x`` rises: sign, power of two and ``SLICES`` equal parts up to the next power; each infinity and NaN has its own."""
+    x = x.cast("double")
+    size = F.least(F.abs(x), F.lit(_LARGEST))
+    power = F.least(F.floor(F.log2(size)), F.lit(1023))
     part = (power + 1100) * SLICES + F.floor((size / F.pow(F.lit(2.0), power) - 1) * SLICES)
-    return F.when(size == 0, F.lit(0)).when(size > 0, (F.signum(x.cast("double")) * part).cast("long"))
+    far = F.when(F.isnan(x), F.lit(1 << 61)).when(x > _LARGEST, F.lit(1 << 60)).when(x < -_LARGEST, F.lit(-(1 << 60)))
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(far, F.when(size == 0, F.lit(0)).otherwise((F.signum(x) * part).cast("long"))))
 
 
 def same(names: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
@@ -70,16 +79,34 @@ def same(names: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
     return out
 
 
-def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, into: str, ties: Sequence[str] = ()) -> DataFrame:
+def _sliced(df: DataFrame, by: Sequence[str], order: str, value: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with slice_ (longs, ordered as ``order`` is), and the sum of ``value`` of every slice.
+
+    Slices with more than ``rows`` rows are cut again into ``SLICES`` parts between their own least and greatest value, level by
+    level, until none has more or only rows with one value. A double has no more than five levels.
+    """
+    cut = df.withColumn("slice_", F.array(slice_of(F.col(order))))
+    while True:
+        sums = cut.groupBy(*by, "slice_").agg(F.sum(value).alias("sum_"), F.count("*").alias("k_"), F.min(order).alias("lo_"), F.max(order).alias("hi_"))
+        sums = runtime.materialize(sums, "slices")
+        heavy = sums.where((F.col("k_") > rows) & (F.col("lo_") < F.col("hi_"))).select(*by, "slice_", "lo_", "hi_")
+        if not heavy.take(1):
+            return cut, sums
+        part = F.floor((F.col(order) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * SLICES)
+        finer = F.when(F.col("lo_").isNull(), F.col("slice_")).otherwise(F.concat("slice_", F.array(part)))
+        cut = cut.alias("r").join(heavy.alias("s"), same([*by, "slice_"], cut, heavy), "left").select("r.*", "s.lo_", "s.hi_").withColumn("slice_", finer).drop("lo_", "hi_")
+
+
+def running_sum(df: DataFrame, by: Sequence[str], order: str, value: str, into: str, ties: Sequence[str] = (), rows: int = SLICE_ROWS) -> DataFrame:
     """``df`` and ``into``: the sum of ``value`` over the rows before (a number in ``order``, then ``ties``) with equal ``by``.
 
-    Slices of ``order`` are summed first and placed one after the other, so only rows of one slice meet in a task.
+    Slices of ``order`` are summed first and placed one after the other, so only rows of one slice meet in a task: no more than
+    ``rows``, or those with one value. Where many rows can have one value, collapse them first, as the callers do.
     """
-    rows = df.withColumn("slice_", slice_of(F.col(order)))
-    sums = rows.groupBy(*by, "slice_").agg(F.sum(value).alias("sum_"))
+    cut, sums = _sliced(df, by, order, value, rows)
     ahead = Window.partitionBy(*by).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "slice_", F.coalesce(F.sum("sum_").over(ahead), F.lit(0)).alias("ahead_"))
-    placed = rows.alias("r").join(sums.alias("s"), same([*by, "slice_"], rows, sums)).select("r.*", "s.ahead_")
+    placed = cut.alias("r").join(sums.alias("s"), same([*by, "slice_"], cut, sums)).select("r.*", "s.ahead_")
     within = Window.partitionBy(*by, "slice_").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn(into, F.col("ahead_") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("slice_", "ahead_")
 
@@ -114,7 +141,9 @@ def percentiles(long: DataFrame, shares: Sequence[float]) -> DataFrame:
     third = x.join(F.broadcast(edges), ["feature", "slice"]).where(F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("feature", "slice", "lo", "x").agg(F.count("*").alias("k"))
     found = _at_rank(third, ["feature", "slice", "lo"], "x", wanted.drop("piece", "hi"))
     low, high = (F.max(F.when(F.col("side") == i, F.col("x"))) for i in (0, 1))
-    return found.groupBy("feature", "share").agg((low + (high - low) * F.max("part")).alias("value"))
+    found = found.groupBy("feature", "share").agg(low.alias("low"), high.alias("high"), F.max("part").alias("part"))
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return found.select("feature", "share", F.when((F.col("part") == 0) | (F.col("low") == F.col("high")), F.col("low")).otherwise(between).alias("value"))
 
 
 def approx_percentiles(long: DataFrame, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:

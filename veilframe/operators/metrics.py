@@ -69,19 +69,29 @@ def auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) ->
     return n.select(*by, "n_positive", "n_negative", scalars.ratio(F.col("_won"), F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
 
 
-def wilcoxon(df: DataFrame, a: str, b: str, key: str, by: Sequence[str] = (), least: int = 5) -> DataFrame:
-    """by, n, w_plus, w_minus, z, p: signed ranks of a - b without zeros, equal magnitudes ranked by key; p 1 below ``least`` pairs."""
-    d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0")
-    sized = d.withColumns({"_a": F.abs("_d"), "_one": F.lit(1).cast("long")})
-    ranked = longform.running_sum(sized, by, "_a", "_one", "_before", [key]).withColumn("_r", (F.col("_before") + 1).cast("double"))
-    zero = F.lit(0.0)
-    sums = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(zero)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(zero)).alias("w_minus")
-    )
+def wilcoxon(df: DataFrame, a: str, b: str, key: str = "", by: Sequence[str] = (), least: int = 5, ties: str = "average") -> DataFrame:
+    """by, n, w_plus, w_minus, z, p: signed ranks of a - b; zeros, nulls and NaN take no part; p 1 below ``least`` pairs.
+
+    ties "average": equal magnitudes share the average of their ranks and the variance is corrected for them. Rows collapse to
+    (magnitude, counts by sign) first, so a tie is one row however many pairs it has. "key": equal magnitudes are ranked by
+    ``key`` and the variance isn't corrected, as the common short form has it; a tie then meets in one task.
+    """
+    if ties not in ("average", "key"):
+        raise ValueError(f"ties: {ties}")
+    d = df.withColumn("_d", F.col(a) - F.col(b)).where((F.col("_d") != 0) & ~F.isnan("_d"))
+    up, down = ((F.col("_d") > 0).cast("long"), (F.col("_d") < 0).cast("long"))
+    if ties == "average":
+        sized = d.groupBy(*by, F.abs("_d").alias("_a")).agg(F.sum(up).alias("_p"), F.sum(down).alias("_m")).withColumn("_t", F.col("_p") + F.col("_m"))
+        ranked = longform.running_sum(sized, by, "_a", "_t", "_before")
+    else:
+        sized = d.select(*by, F.abs("_d").alias("_a"), up.alias("_p"), down.alias("_m"), F.lit(1).cast("long").alias("_t"), F.col(key).alias("_key"))
+        ranked = longform.running_sum(sized, by, "_a", "_t", "_before", ["_key"])
+    rank, t = F.col("_before") + (F.col("_t") + 1) / 2.0, F.col("_t").cast("double")
+    sums = ranked.groupBy(*by).agg(F.sum("_t").alias("n"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum(F.col("_m") * rank).alias("w_minus"), F.sum(t * t * t - t).alias("_ties"))
     n = F.col("n").cast("double")
-    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
     p = F.when(n < least, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * scalars.norm_cdf(-F.abs(F.col("z")))))
-    return sums.withColumn("z", z).withColumn("p", p)
+    return sums.withColumn("z", z).withColumn("p", p).drop("_ties")
 
 
 def decibels(a: Column, b: Column) -> Column:

@@ -102,7 +102,20 @@ t as (select *, -abs(z) / sqrt(2.0) as w, 1 / (1 + {scalars.ERF_P} * abs(-abs(z)
 select p_brand, n, w_plus, w_minus, round(z, 6) as z, round(case when n < 5 then 1 else least(1, 2 * 0.5 * (1 + sign(w) * (1 - ({_ERF}) * exp(-w * w)))) end, 6) as p from t""")
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     rows = PART.wide(spark, d).withColumn("b", (1000 + 10 * F.col("p_size")).cast("double"))
-    return rounded(metrics.wilcoxon(rows, "p_retailprice", "b", "p_partkey", ["p_brand"]))
+    return rounded(metrics.wilcoxon(rows, "p_retailprice", "b", "p_partkey", ["p_brand"], ties="key"))
+
+
+@query("wilcoxon_ties", f"""with d as (select l_returnflag, l_quantity - 25 as d from lineitem),
+r as (select l_returnflag, d, rank() over (partition by l_returnflag order by abs(d)) + (count(*) over (partition by l_returnflag, abs(d)) - 1) / 2.0::double as r,
+  count(*) over (partition by l_returnflag, abs(d))::double as t from d where d <> 0),
+s as (select l_returnflag, count(*) as n, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, sum(t * t - 1) as ties from r group by l_returnflag),
+z as (select *, (least(w_plus, w_minus) - n::double * (n + 1) / 4.0) / sqrt((n::double * (n + 1) * (2 * n + 1) - ties / 2) / 24.0) as z from s),
+t as (select *, -abs(z) / sqrt(2.0) as w, 1 / (1 + {scalars.ERF_P} * abs(-abs(z) / sqrt(2.0))) as t from z)
+select l_returnflag, n, w_plus, w_minus, round(z, 6) as z, round(least(1, 2 * 0.5 * (1 + sign(w) * (1 - ({_ERF}) * exp(-w * w)))), 6) as p from t""")
+def wilcoxon_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Average ranks where nearly all magnitudes are equal to others: 50 different quantities."""
+    rows = LINEITEM.wide(spark, d).withColumn("b", F.lit(25.0))
+    return rounded(metrics.wilcoxon(rows, "l_quantity", "b", by=["l_returnflag"]))
 
 
 @query("decibels", "select event_type, round(10 * log10(max(value) / avg(value)), 6) as db from events group by event_type")

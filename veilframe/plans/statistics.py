@@ -38,6 +38,34 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(longform.percentiles(L.long(spark, d), SHARES))
 
 
+def _far_text():
+    """A column of text with both infinities, NaN, null and what is no number among its values."""
+    return F.expr("case event_id % 50 when 0 then 'Infinity' when 1 then '-Infinity' when 2 then 'NaN' when 3 then 'n/a' when 4 then null else cast(value as string) end")
+
+
+_FAR = "case event_id % 50 when 0 then 'Infinity' when 1 then '-Infinity' when 2 then 'NaN' when 3 then 'n/a' when 4 then null else value::varchar end"
+
+
+@query("percentiles_infinite", f"""with e as (select event_type, {_FAR} as v from events),
+x as (select event_type, case when v = 'n/a' then null when v = 'NaN' then null else v::double end as x from e),
+n as (select *, count(x) over w as n, row_number() over (partition by event_type order by x nulls last) - 1 as i from x window w as (partition by event_type)),
+s as (select * from (select unnest([0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]::double[]) as share)),
+a as (select event_type, share, max(case when i = floor(share * (n - 1)) then x end) as lo, max(case when i = ceil(share * (n - 1)) then x end) as hi, any_value(share * (n - 1) - floor(share * (n - 1))) as part
+  from n, s where x is not null group by all)
+select event_type as feature, share, round(case when part = 0 or lo = hi then lo else lo + (hi - lo) * part end, 6) as value from a""")
+def percentiles_infinite(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of a column of text with both infinities, NaN, null and what is no number."""
+    long = EVENTS.wide(spark, d).select(F.col("event_type").alias("feature"), _far_text().try_cast("double").alias("x"))
+    return rounded(longform.percentiles(long, [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]))
+
+
+@query("feature_stats_text", f"""with x as (select case when {_FAR} in ('n/a', 'NaN', 'Infinity', '-Infinity') then null else ({_FAR})::double end as x from events)
+select 'v' as feature, count(x) as n, count(*) as n_rows, round(sum(x), 4) as total, min(x) as lo, max(x) as hi from x""")
+def feature_stats_text(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the same text column as a feature: what is no finite number counts as missing."""
+    return rounded(longform.stats(longform.unpivot(EVENTS.wide(spark, d).select(_far_text().alias("v")), ["v"])).select("feature", "n", "n_rows", "total", "lo", "hi"), 4)
+
+
 @query("approx_percentiles", f"select feature, share, true as near from (values {', '.join(f"('{f}')" for f in L.features)}) f(feature), (select unnest([{', '.join(map(str, SHARES))}]::double[]) as share)")
 def approx_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Whether each approximate percentile has its rank within the accuracy: the shares of values below it and up to it enclose the wanted one."""

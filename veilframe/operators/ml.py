@@ -192,7 +192,7 @@ def stepped(w: np.ndarray, total: np.ndarray, n: float, rate: float = RATE, l2:
 def train_private(rows: DataFrame, n_features: int, sigma: float, sampling: float, steps: int, clip: float = 1.0, rate: float = SGD_RATE, l2: float = SGD_L2, seed: int | None = None) -> np.ndarray:
     """Noisy gradient descent for two classes: each step takes every row with probability ``sampling``, independently, clips
     each row's gradient and adds Gaussian noise of sigma * clip to the sum. ``accounting.poisson_epsilon`` tells the budget
-    that this keeps, where the number of rows counts as public and ``seed`` is None or secret. Returns (1, features + 1).
+    that this keeps, and ``prv.sampled_gaussian`` a tighter one, where the number of rows counts as public and ``seed`` is None or secret. Returns (1, features + 1).
     """
     secret = np.random.SeedSequence(seed)
     rng, batches = np.random.default_rng(secret), int(secret.generate_state(1, np.uint64)[0])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe import runtime
 from veilframe.functions import noise, scalars
-from veilframe.operators import accounting, budget, experiments, metrics, ml
+from veilframe.operators import accounting, budget, experiments, metrics, ml, prv
 from veilframe.plans.bindings import EVENTS, LINEITEM, PART, Query, rounded
 
 QUERIES: dict[str, Query] = {}
@@ -210,7 +210,7 @@ def train_private(spark: SparkSession, d: str) -> DataFrame:
     steps, rate = ml.STEPS, 0.05
     sigma = accounting.poisson_sigma(rate, steps, 1.0)
     w = ml.train_private(train, len(features), sigma, rate, steps, rate=1.0, seed=SEED)
-    return rounded(_evaluated(test, w, "private").withColumn("sigma", F.lit(sigma)).withColumn("epsilon", F.lit(accounting.poisson_epsilon(rate, sigma, steps))))
+    return rounded(_evaluated(test, w, "private").withColumn("sigma", F.lit(sigma)).withColumns({"epsilon": F.lit(accounting.poisson_epsilon(rate, sigma, steps)), "epsilon_by_losses": F.lit(prv.sampled_gaussian(rate, sigma, steps))}))
 
 
 BUDGETS = (0.1, 0.5, 1.0, 5.0)

@@ -64,15 +64,48 @@ def test_files_are_united_by_name(spark, folder):
         tables.read_csv(spark, folder("swapped/none/x.csv", ""))
 
 
-def test_unreadable_file_is_left_out(spark, tmp_path):
+def test_unreadable_files_fail_or_are_named(spark, tmp_path):
     import gzip
 
     (tmp_path / "good.csv").write_text("a,b\n1,2\n")
     (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"b,a\n4,3\n"))
-    (tmp_path / "bad.csv.gz").write_bytes(b"this is no gzip stream")
-    with pytest.warns(UserWarning, match="bad.csv.gz"):
-        rows = tables.read_csv(spark, str(tmp_path)).collect()
-    assert sorted((r.a, r.b) for r in rows) == [("1", "2"), ("3", "4")]
+    (tmp_path / "bad one.csv.gz").write_bytes(b"this is no gzip stream")
+    with pytest.raises(tables.UnreadableFiles, match="1 files.*bad one.csv.gz"):
+        tables.read_csv(spark, str(tmp_path))
+    scan = tables.scan_csv(spark, str(tmp_path), skip_unreadable=True)
+    assert sorted((r.a, r.b) for r in scan.rows.collect()) == [("1", "2"), ("3", "4")]
+    (left,) = scan.left_out.collect()
+    assert left.file.endswith("bad one.csv.gz") and left.error == "unreadable"
+
+
+def test_headers(spark, tmp_path):
+    (tmp_path / "a b%.csv").write_text('\n\n"one\nname",b\n1,2\n')
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "long.csv").write_text("a,b\n" + "x,y\n" * 200_000)
+    got = {r.file.rsplit("/", 1)[1]: (r.header, r.lines, r.error) for r in tables.csv_headers(spark, str(tmp_path)).collect()}
+    assert got == {"a b%.csv": ('"one\nname",b', 2, None), "blank.csv": (None, 0, None), "long.csv": ("a,b", 1, None)}
+    rows = tables.read_csv(spark, str(tmp_path))
+    assert rows.columns == ["one\nname", "b", "a"] and rows.count() == 200_001
+    assert rows.where("a is null").first().b == "2"
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i:03}.csv").write_text(f"k,label\n{i},{'Normal ' if i == 59 else 'x'}\n")
+    rows = tables.read_csv(spark, str(tmp_path))
+    assert rows.selectExpr("sum(k)").first()[0] == 1770 and rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert tables.label_column(rows) is None  # it comes after the first 50 values
+    assert tables.label_column(rows, rows=60) == "label"
+
+
+def test_label_column(spark, folder):
+    rows = tables.read_csv(spark, folder("kdd.csv", "n,a,b,c\n" + "1,,x,nOrmal. \n" * 40 + "1,normal,x,y\n" * 40))
+    assert tables.label_column(rows) == "a" and tables.label_column(rows, rows=3) == "a" and tables.label_column(rows, "x") == "b"
+    assert tables.label_column(rows.select("n", "b", "c")) == "c" and tables.label_column(rows, "absent") is None
+    assert tables.label_column(spark.range(3)) is None and tables.label_column(rows.limit(0)) is None
+    strange = spark.createDataFrame([("normal", "q")], "_file string, `a.b` string")
+    assert tables.label_column(strange) == "_file" and tables.label_column(strange, "q") == "a.b"
 
 
 def test_headerless_text(spark, folder, tmp_path):

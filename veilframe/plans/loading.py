@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _written(spark: SparkSession, df: DataFrame, name: str) -> str:
-    path = f"{runtime.scratch_path(spark, 'files')}/{name}"
+    path = f"{runtime.scratch_folder(spark, 'files')}/{name}"
     tables.write_csv(df, path)
     return path
 
@@ -54,7 +54,7 @@ def headerless_text(spark: SparkSession, d: str) -> DataFrame:
     """Records without a header to CSV under their column names, and that loaded."""
     columns = {"duration": "0", "protocol_type": "'tcp'", "service": "'http'", "flag": "'SF'", "src_bytes": "value", "label": _FLOW_LABEL, "difficulty": "21"}
     rows = EVENTS.wide(spark, d).selectExpr(*[f"{columns.get(c, '1')} as {c}" for c in tables.NSL_COLUMNS])
-    folder = runtime.scratch_path(spark, "files")
+    folder = runtime.scratch_folder(spark, "files")
     rows.write.option("header", False).csv(f"{folder}/records.txt")
     tables.text_to_csv(spark, f"{folder}/records.txt", f"{folder}/KDDTrain.csv")
     got = tables.load(spark, f"{folder}/KDDTrain.csv")
@@ -85,7 +85,7 @@ def load_cic(spark: SparkSession, d: str) -> DataFrame:
     rate = "case when user_id % 13 = 0 then 'Infinity' else '2.5' end as ` Flow Rate`"
     one = e.where("event_id % 2 = 0").selectExpr("'f' as `Flow ID`", "value as ` Flow Bytes`", "user_id as ` Packets`", f"{_CIC_LABEL} as ` Label`")
     two = e.where("event_id % 2 = 1").selectExpr(f"{_CIC_LABEL} as ` Label`", rate, "user_id as ` Packets`", "value as ` Flow Bytes`")
-    folder = f"{runtime.scratch_path(spark, 'files')}/MachineLearningCVE"
+    folder = f"{runtime.scratch_folder(spark, 'files')}/MachineLearningCVE"
     tables.write_csv(one, f"{folder}/monday")
     tables.write_csv(two, f"{folder}/tuesday")
     got = tables.load_cic(spark, f"{folder}/*")

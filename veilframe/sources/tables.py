@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import csv
 import functools
+import heapq
+import math
+import pickle
 import posixpath
-import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import runtime
 from veilframe.functions import scalars
 from veilframe.operators import longform
 
@@ -72,34 +77,50 @@ def detect(path: str) -> str:
     return UNKNOWN
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The files of a path: itself, what a pattern matches, or what lies in a directory and isn't hidden. Sorted."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.globStatus(place) or []:
-        found += [x for x in fs.listStatus(status.getPath()) if x.isFile()] if status.isDirectory() else [status]
-    return sorted(x.getPath().toString() for x in found if not x.getPath().getName().startswith(("_", ".")))
-
-
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    """The header of a file, through whatever store and compression Hadoop knows; none for an empty or unreadable file."""
-    from py4j.protocol import Py4JJavaError
-
-    jvm = spark.sparkContext._jvm
-    conf, place = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        stream = place.getFileSystem(conf).open(place)
-        try:
-            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-            return reader.readLine()
-        finally:
-            stream.close()
-    except Py4JJavaError as e:
-        warnings.warn(f"{path} is left out: {e.java_exception}", stacklevel=2)
-        return None
+#: One file a task, whatever its size: only its first lines are read.
+_HEADERS = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 42), "spark.sql.files.openCostInBytes": str(1 << 42),
+    "spark.sql.files.ignoreCorruptFiles": "true", "spark.sql.files.ignoreMissingFiles": "true",
+}
+#: Lines that one header can have, by line breaks in quotes.
+_HEADER_LINES = 64
+
+
+def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first record of a file that isn't blank, and its number of lines; null where all lines are blank. Reads no further."""
+    uri, lines = None, []
+    for b in batches:
+        for line, uri in zip(*[b[c].to_pylist() for c in ("value", "uri")], strict=True):
+            if lines or line.strip("\ufeff \t\r"):
+                lines.append(line)
+            if lines and (sum(x.count('"') for x in lines) % 2 == 0 or len(lines) == _HEADER_LINES):
+                break
+        else:
+            continue
+        break
+    if uri is not None:
+        whole = sum(x.count('"') for x in lines) % 2 == 0
+        lines = lines if whole else lines[:1]
+        header = [lines[0] if len(lines) == 1 else "\n".join(lines)] if lines else [None]
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array(header, pa.string()), pa.array([len(lines)], pa.int32())], ["uri", "header", "lines"])
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, length, header, lines, error: one row for each file of a path (a file, a directory or a pattern of them) that isn't empty.
+
+    A job in which each task opens one file and reads its header only. header is null for a file of blank lines, which is no error,
+    and for one that can't be read, which is.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", F.col("_metadata.file_path").alias("uri"))
+    with runtime.settings(spark, _HEADERS):
+        lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0).select("value", F.col("_metadata.file_path").alias("uri"))
+        found = lines.mapInArrow(_first_records, "uri string, header string, lines int")
+        error = F.when(F.col("lines").isNull() & (F.col("length") > 0), "unreadable")
+        return runtime.materialize(listed.join(found, "uri", "left").select("file", "length", "header", "lines", error.alias("error")), "headers")
+
+
+class UnreadableFiles(OSError):
+    """Files of a scan that can't be read."""
 
 
 def _names(header: str) -> list[str]:
@@ -112,29 +133,56 @@ def _names(header: str) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True) -> DataFrame:
-    """A CSV file, a directory or a pattern of them. Names lose byte-order marks and surrounding white space; all columns are strings
-    unless a schema is given, so nothing is read twice to infer types.
+class Scan(NamedTuple):
+    """Rows, and the names of the files that were left out as they can't be read (file, error)."""
+
+    rows: DataFrame
+    left_out: DataFrame
+
+
+def scan_csv(spark: SparkSession, path: str, skip_unreadable: bool = False) -> Scan:
+    """CSV files united by column name. All columns are strings, so nothing is read twice to infer types; names lose byte-order marks
+    and surrounding white space.
 
-    Without a schema the files are united by column name: the driver reads the first line of each, files with equal headers are
-    one scan, and a column that a file lacks is null there. Empty and unreadable files are left out with a warning.
+    Headers are read in a job (``csv_headers``); files with equal headers are one scan, and a column that a file lacks is null
+    there. Empty files have no rows. A file that can't be read raises ``UnreadableFiles``, unless such files are to be
+    skipped: then they are in ``left_out``. A file that breaks further down fails when it is read.
     """
-    reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", header)
-    if schema is not None or not header:
-        return (reader.schema(schema) if schema is not None else reader).csv(path)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in _files(spark, path):
-        if line := _first_line(spark, f):
-            groups.setdefault(tuple(_names(line)), []).append(f)
+    runtime.ship(spark)
+    headers = csv_headers(spark, path)
+    bad = headers.where("error is not null").select("file", "error")
+    kinds = headers.groupBy("header", "lines", "error").agg(F.count("*").alias("n"), F.min("file").alias("first")).orderBy("first").collect()
+    if not skip_unreadable and (n_bad := sum(r.n for r in kinds if r.error)):
+        raise UnreadableFiles(f"{n_bad} files can't be read, among them {', '.join(r.file for r in bad.limit(20).collect())}")
+    every = sum(r.n for r in kinds)
+    groups: dict[tuple[str, ...], list[tuple[str, int, int]]] = {}
+    for r in kinds:
+        if r.header is not None:
+            groups.setdefault(tuple(_names(r.header)), []).append((r.header, r.lines, r.n))
     if not groups:
         raise FileNotFoundError(f"no file with a header at {path}")
-    scans = [reader.option("enforceSchema", True).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files) for names, files in groups.items()]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    scans = []
+    for names, same in groups.items():
+        reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True)
+        reader = reader.option("multiLine", any(lines > 1 for _, lines, _ in same)).schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        if sum(n for *_, n in same) == every:
+            scans.append(reader.csv(path))
+        else:
+            scans.append(reader.csv([r.file for r in headers.where(F.col("header").isin([h for h, *_ in same])).select("file").orderBy("file").collect()]))
+    return Scan(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans), bad)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True, skip_unreadable: bool = False) -> DataFrame:
+    """A CSV file, a directory or a pattern of them: by ``scan_csv``, or with a schema, or without headers."""
+    if schema is not None or not header:
+        reader = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", header)
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
+    return scan_csv(spark, path, skip_unreadable).rows
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """All CSV files of a directory, or one of them, by column name."""
-    return read_csv(spark, path if path.endswith(".csv") or "*" in path else f"{path.rstrip('/')}/*.csv")
+    return read_csv(spark, path if path.endswith(".csv") or "*" in path else f"{path.rstrip('/')}/*.csv", skip_unreadable=skip_unreadable)
 
 
 def nsl_schema() -> T.StructType:
@@ -146,15 +194,46 @@ def text_to_csv(spark: SparkSession, path: str, target: str) -> None:
     write_csv(spark.read.schema(nsl_schema()).csv(path), target)
 
 
+def _first_values(columns: Sequence[str], rows: int):
+    """The first non-null values of each column in a partition with their places; reads no further than it takes."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {c: [] for c in columns}
+        place = 0
+        for b in batches:
+            at = [b[c].to_pylist() for c in ("_file", "_start", "_part")]
+            for i, c in enumerate(columns):
+                values = b.column(i + 3)
+                for j in np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))[: rows - len(found[c])].tolist():
+                    found[c].append((at[0][j], at[1][j], at[2][j], place + j, values[j].as_py()))
+            place += b.num_rows
+            if all(len(v) == rows for v in found.values()):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["found"])
+
+    return first
+
+
 def label_column(df: DataFrame, normal: str = "normal", rows: int = 50) -> str | None:
-    """The first string column among whose first ``rows`` non-null values (in file order) the normal label is, in any case."""
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
-            c = F.col(f"`{f.name}`")
-            head = df.where(c.isNotNull()).select(F.lower(F.trim(c)).alias("v")).limit(rows)
-            if head.where(F.col("v").contains(normal.lower())).take(1):
-                return f.name
-    return None
+    """The first string column among whose first ``rows`` non-null values (by file and place in it) the normal label is, in any case.
+
+    One job for all columns: each task keeps the first values of its part, and partial results merge in a tree.
+    """
+    columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not columns:
+        return None
+    runtime.ship(df.sparkSession)
+    where = [F.input_file_name().alias("_file"), F.input_file_block_start().alias("_start"), F.spark_partition_id().alias("_part")]
+    marked = df.select(*where, *[F.lower(F.trim(F.col(f"`{c}`"))).alias(f"_{i}") for i, c in enumerate(columns)])
+    parts = marked.mapInArrow(_first_values(columns, rows), "found binary").rdd
+    if not (n := parts.getNumPartitions()):
+        return None
+
+    def merged(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
+        return {c: heapq.nsmallest(rows, a[c] + b[c]) for c in a}
+
+    found = parts.map(lambda r: pickle.loads(r[0])).treeReduce(merged, depth=max(2, math.ceil(math.log(n, 32))))
+    return next((c for c in columns if any(normal.lower() in v for *_, v in found[c])), None)
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = DROPPED[UNKNOWN], least: float = 0.95) -> list[str]:

@@ -16,9 +16,18 @@ DELTA = 1e-5
 MECHANISMS = ("laplace", "gaussian")
 
 
+def keyed_digest(seed: int, stream: str, key: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stream), key.cast("string")))
+
+
+def uniform_part(digest: Column, i: int) -> Column:
+    """In (0, 1), from 40 bits of a digest; parts 0, 1 and 2 share none."""
+    return (F.conv(F.substring(digest, 10 * i + 1, 10), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 40))
+
+
 def keyed_uniform(seed: int, stream: str, key: Column) -> Column:
     """In (0, 1), from 48 bits of an md5."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stream), key.cast("string")))
+    digest = keyed_digest(seed, stream, key)
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 

@@ -89,14 +89,27 @@ def choose(df: DataFrame, group: str, candidate: str, utility: Column, sensitivi
 LOCAL = ("laplace", "duchi", "piecewise")
 
 
+def _local_draws(long: DataFrame, stats: DataFrame, key: Column, seed: int | None) -> DataFrame:
+    """long with each feature's lo and hi, and u1, u2, u3: three parts of one hash, or ``rand()``."""
+    rows = longform.present(long).join(F.broadcast(stats.select("feature", "lo", "hi")), "feature")
+    if seed is None:
+        return uniforms(rows, key, ["u1", "u2", "u3"], seed)
+    rows = rows.withColumn("_digest", noise.keyed_digest(seed, "local", key))
+    return rows.withColumns({f"u{i + 1}": noise.uniform_part(F.col("_digest"), i) for i in range(3)}).drop("_digest")
+
+
+def _local_release(mechanism: str, e: Column) -> Column:
+    x, lo, hi, u1, u2, u3 = (F.col(c) for c in ("x", "lo", "hi", "u1", "u2", "u3"))
+    if mechanism == "laplace":
+        return x + noise.laplace(u1, (hi - lo) / e)
+    return noise.ldp_duchi(x, lo, hi, e, u1) if mechanism == "duchi" else noise.ldp_piecewise(x, lo, hi, e, u1, u2, u3)
+
+
 def local_reports(long: DataFrame, epsilons: Sequence[float], seed: int | None = None, mechanisms: Sequence[str] = LOCAL) -> DataFrame:
     """key, feature, mechanism, epsilon, x, released: every record's report under each mechanism and budget."""
-    s = longform.stats(long).select("feature", "lo", "hi")
-    rows = uniforms(longform.present(long).join(F.broadcast(s), "feature"), F.concat_ws("|", "feature", "key"), ["u1", "u2", "u3"], seed)
+    rows = _local_draws(long, longform.stats(long), F.concat_ws("|", "feature", "key"), seed)
     rows = rows.withColumn("epsilon", F.explode(F.array(*[F.lit(float(e)) for e in epsilons])))
-    x, lo, hi, e, u1, u2, u3 = (F.col(c) for c in ("x", "lo", "hi", "epsilon", "u1", "u2", "u3"))
-    made = {"laplace": x + noise.laplace(u1, (hi - lo) / e), "duchi": noise.ldp_duchi(x, lo, hi, e, u1), "piecewise": noise.ldp_piecewise(x, lo, hi, e, u1, u2, u3)}
-    each = F.array(*[F.struct(F.lit(m).alias("mechanism"), made[m].alias("released")) for m in mechanisms])
+    each = F.array(*[F.struct(F.lit(m).alias("mechanism"), _local_release(m, F.col("epsilon")).alias("released")) for m in mechanisms])
     return rows.select("key", "feature", "epsilon", "x", F.inline(each))
 
 
@@ -112,10 +125,14 @@ def local_experiment(long: DataFrame, epsilons: Sequence[float], seed: int | Non
     """
     s = longform.stats(long)
     scale = s.select("feature", (F.col("hi") - F.col("lo")).alias("range"))
-    each = long.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("key", F.concat_ws("|", "key", F.col("run").cast("string")))
-    reports = local_reports(each, epsilons, seed).withColumn("run", F.element_at(F.split("key", r"\|"), -1).cast("int"))
+    each = long.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    rows = _local_draws(each, s, F.concat_ws("|", "feature", "key", F.col("run").cast("string")), seed)
     by = ["feature", "mechanism", "epsilon"]
-    one = reports.groupBy(*by, "run").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg("released").alias("estimate"))
+    # all mechanisms and budgets in one pass: a column of sums each, not a row each for every reading
+    cells = [(m, float(e)) for m in LOCAL for e in epsilons]
+    sums = rows.groupBy("feature", "run").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), *[F.avg(_local_release(m, F.lit(e))).alias(f"_{i}") for i, (m, e) in enumerate(cells)])
+    named = F.array(*[F.struct(F.lit(m).alias("mechanism"), F.lit(e).alias("epsilon"), F.col(f"_{i}").alias("estimate")) for i, (m, e) in enumerate(cells)])
+    one = sums.select("feature", "run", "n", "mean", F.inline(named))
     off = F.abs(F.col("estimate") - F.col("mean"))
     got = one.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.avg("estimate").alias("estimate"), F.avg(off).alias("abs_error"), F.stddev_pop(off).alias("std_error"))
     drawn = aggregates(long, epsilons, runs, seed, ["laplace"]).select("feature", "epsilon", F.col("post_mean_error").alias("central_error"))

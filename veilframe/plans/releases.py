@@ -108,7 +108,9 @@ def perturb_weighted_clipped(spark: SparkSession, d: str) -> DataFrame:
     return rounded(got.groupBy("feature").agg(F.count("*").alias("n"), F.avg("released").alias("released_mean")), 3)
 
 
-_EVENTS_KEYED = f"keyed as (select long.key, feature, x, lo, hi, n, mean, feature || '|' || long.key as k from long join stats using (feature)), {_DRAWN}, eps as (select * from {unnest('e', (0.5, 1.0, 4.0))})"
+_PARTS = ", ".join(f"(('0x' || substr(g, {10 * i + 1}, 10))::bigint + 0.5) / 1099511627776.0::double as u{i + 1}" for i in range(3))
+_LOCAL_DRAWN = f"drawn as (select *, {_PARTS} from (select *, md5('{SEED}|local|' || k) as g from keyed))"
+_EVENTS_KEYED = f"keyed as (select long.key, feature, x, lo, hi, n, mean, feature || '|' || long.key as k from long join stats using (feature)), {_LOCAL_DRAWN}, eps as (select * from {unnest('e', (0.5, 1.0, 4.0))})"
 _DUCHI = "(case when u1 < (1 + (2 * (x - lo) / (hi - lo) - 1) * (exp(e) - 1) / (exp(e) + 1)) / 2 then 1 else -1 end * (exp(e) + 1) / (exp(e) - 1) + 1) / 2 * (hi - lo) + lo"
 _PIECEWISE = """(case when u1 < exp(e / 2) / (exp(e / 2) + 1) then l + u3 * (c - 1) when u2 * (l + c + (c - (l + c - 1))) < l + c then -c + u3 * (l + c)
   else l + c - 1 + u3 * (c - (l + c - 1)) end + 1) / 2 * (hi - lo) + lo"""
@@ -144,7 +146,7 @@ def ldp_piecewise(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = release.RUNS
 
 
-@query("ldp_experiment", EVENTS.sql() + f""", keyed as (select long.key, feature, x, lo, hi, n, mean, run, feature || '|' || long.key || '|' || run::varchar as k from long join stats using (feature), range({_RUNS}) r(run)), {_DRAWN},
+@query("ldp_experiment", EVENTS.sql() + f""", keyed as (select long.key, feature, x, lo, hi, n, mean, run, feature || '|' || long.key || '|' || run::varchar as k from long join stats using (feature), range({_RUNS}) r(run)), {_LOCAL_DRAWN},
 eps as (select * from {unnest('e', (0.5, 1.0, 4.0))}),
 p as (select *, {_C} as c, ({_C} + 1) / 2 * (2 * (x - lo) / (hi - lo) - 1) - ({_C} - 1) / 2 as l from drawn, eps),
 r as (select feature, 'laplace' as mechanism, e, run, n, mean, hi - lo as r, x + {laplace('u1', '(hi - lo) / e')} as y from p

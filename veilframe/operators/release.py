@@ -7,6 +7,7 @@ runs and grids of settings are exploded from one row. Uniforms come from ``unifo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -24,13 +25,14 @@ def uniforms(df: DataFrame, key: Column, streams: Sequence[str], seed: int | Non
 
 
 def perturb(long: DataFrame, settings: DataFrame, mechanism: str = "laplace", seed: int | None = None, delta: float = noise.DELTA) -> DataFrame:
-    """key, [label,] feature, x, released. settings: feature, sensitivity, eps, and optionally tau to clip at from above.
+    """key, [label,] feature, x, released. settings: feature, sensitivity, eps, and optionally tau and floor to clip at from above and below.
 
     The noise is calibrated to the sensitivity of a record, so clip where the sensitivity is a clipped one.
     """
     rows = longform.present(long).join(F.broadcast(settings), "feature")
     rows = uniforms(rows, F.concat_ws("|", "feature", "key"), ["u1", "u2"], seed)
-    x = scalars.clip(F.col("x"), high=F.col("tau")) if "tau" in settings.columns else F.col("x")
+    low, high = (F.col(c) if c in settings.columns else None for c in ("floor", "tau"))
+    x = scalars.clip(F.col("x"), low, high)
     eps = F.greatest("eps", F.lit(1e-6))
     released = x + noise.dp_noise(mechanism, F.col("sensitivity"), eps, F.col("u1"), F.col("u2"), delta)
     return rows.select(*[c for c in long.columns if c != "x"], "x", released.alias("released"))
@@ -154,6 +156,61 @@ def mia_bound(epsilon: Column) -> tuple[Column, Column]:
     return e / (1 + e), (e - 1) / (e + 1)
 
 
+def attack_bounds(mechanism: Column, epsilon: Column, delta: float = noise.DELTA) -> tuple[Column, Column]:
+    """Greatest accuracy against any release with that budget, and against this mechanism calibrated to it.
+
+    (e^eps + delta) / (1 + e^eps), delta 0 for a pure budget; and half of 1 + the total variation between the releases with and without the
+    target: 1 - e^(-eps / 2) / 2 for Laplace, and the Gaussian trade-off curve at its middle, cdf(mu / 2) with mu = sensitivity / sigma.
+    """
+    e, gaussian = F.exp(epsilon), mechanism == "gaussian"
+    budget = (e + F.when(gaussian, F.lit(delta)).otherwise(F.lit(0.0))) / (1 + e)
+    mu = epsilon / math.sqrt(2 * math.log(1.25 / delta))
+    return budget, F.when(gaussian, scalars.norm_cdf(mu / 2)).otherwise(1 - F.exp(-epsilon / 2) / 2)
+
+
+def binomial_tail(hits: Column, n: Column, p: Column) -> Column:
+    """P(X >= hits) of n trials: terms by recurrence away from the mode, so that what underflows is nothing."""
+    h, n = hits.cast("double"), n.cast("double")
+    log = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1.0)).cast("int")), F.lit(0.0), lambda s, j: s + F.when(j <= k, F.ln((n - k + j) / j)).otherwise(F.lit(0.0)))
+    first = lambda k: F.exp(log(k) + k * F.ln(p) + (n - k) * F.log1p(-p))
+
+    def walk(k: Column, steps: Column, ratio) -> Column:
+        start = F.struct(first(k).alias("t"), first(k).alias("s"))
+        more = lambda a, j: F.struct((a["t"] * ratio(k, j)).alias("t"), (a["s"] + a["t"] * ratio(k, j)).alias("s"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1.0)).cast("int")), start, lambda a, j: F.when(j <= steps, more(a, j)).otherwise(a))["s"]
+
+    up = walk(h, n - h, lambda k, j: (n - k - j + 1) / (k + j) * p / (1 - p))
+    down = walk(h - 1, h - 1, lambda k, j: (k - j + 1) / (n - k + j) * (1 - p) / p)
+    return F.when(h <= 0, F.lit(1.0)).when(p * n <= h, up).otherwise(1 - down)
+
+
+def binomial_limits(hits: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """The exact (Clopper and Pearson) interval of a share, by bisection."""
+    out = (1 - confidence) / 2
+
+    def lower(h: Column) -> Column:
+        def halved(a: Column, _: Column) -> Column:
+            mid = (a["lo"] + a["hi"]) / 2
+            low = binomial_tail(h, n, mid) < out
+            return F.struct(F.when(low, mid).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(mid).alias("hi"))
+
+        start = F.struct(F.lit(0.0).alias("lo"), (h / n).cast("double").alias("hi"))
+        return F.when(h <= 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halved)["lo"])
+
+    return lower(hits), 1 - lower(n - hits)
+
+
+def judged(found: DataFrame, trials: int, confidence: float = 0.95, delta: float = noise.DELTA) -> DataFrame:
+    """found (of ``mia``, ``trials`` with and as many without the target): with the bounds of the budget and of the mechanism, the exact
+    interval of the accuracy, and VIOLATED only where the whole interval lies above the budget's bound."""
+    n = F.lit(2 * trials)
+    budget, mechanism = attack_bounds(F.col("mechanism"), F.col("epsilon"), delta)
+    rows = found.withColumn("hits", F.round(F.col("accuracy") * 2 * trials).cast("long"))
+    low, high = binomial_limits(F.col("hits"), n, confidence)
+    rows = rows.withColumns({"budget_bound": budget, "mechanism_bound": mechanism, "low": low, "high": high})
+    return rows.withColumn("status", F.when(F.col("low") > F.col("budget_bound"), "VIOLATED").otherwise("VALID"))
+
+
 def log_density(mechanism: Column, x: Column, centre: Column, scale: Column) -> Column:
     """Up to a constant that is the same for both centres."""
     d = (x - centre) / scale

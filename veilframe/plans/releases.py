@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions import noise
-from veilframe.operators import budget, longform, release, sensitivity
+from veilframe.functions import noise, scalars
+from veilframe.operators import budget, longform, private, prv, release, sensitivity
 from veilframe.plans import pipeline
-from veilframe.plans.bindings import CUSTOMER, EVENTS, LINEITEM, ORDERS, Query, rounded
+from veilframe.plans.bindings import CUSTOMER, EVENTS, LINEITEM, ORDERS, Query, rounded, values
 from veilframe.plans.privacy import GAUSS, unnest
 from veilframe.plans.statistics import _WEIGHTS, _clipped_sql
 
@@ -232,6 +232,29 @@ def mia(spark: SparkSession, d: str) -> DataFrame:
     return rounded(release.mia(means, (0.5, 1.0, 4.0), _TRIALS, SEED))
 
 
+_TAIL = "list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)) for i in range(h, n + 1)])"
+
+
+@query("mia_judged", EVENTS.sql() + f""", {_MIA}, {_AUC},
+t as (select feature, mechanism, e, round(acc * {2 * _TRIALS})::bigint as hits from h),
+ends as (select feature, mechanism, e, side, case side when 1 then hits else {2 * _TRIALS} - hits end as h, {2 * _TRIALS}::bigint as n from t, (values (1), (-1)) s(side)),
+b as (with recursive b as (select *, 0.0::double as lo, h / n as hi, 0 as step from ends union all
+  select feature, mechanism, e, side, h, n, case when low then p else lo end, case when low then hi else p end, step + 1
+  from (select *, {_TAIL} < 0.025 as low from (select *, (lo + hi) / 2 as p from b where step < 40))) select * from b where step = 40),
+x as (select feature, mechanism, e, max(case when side = 1 then lo end) as low, max(case when side = -1 then 1 - lo end) as high from b group by all),
+m as (select *, (exp(e) + case when mechanism = 'gaussian' then {noise.DELTA} else 0 end) / (1 + exp(e)) as budget_bound, e / {GAUSS} / 2 / sqrt(2.0) as w from x),
+z as (select *, 1 / (1 + {scalars.ERF_P} * w) as k from m)
+select feature, mechanism, e as epsilon, hits, round(budget_bound, 6) as budget_bound,
+  round(case when mechanism = 'gaussian' then 0.5 * (2 - ({" + ".join(f"{a} * pow(k, {i + 1})" for i, a in enumerate(scalars.ERF_A))}) * exp(-w * w)) else 1 - exp(-e / 2) / 2 end, 6) as mechanism_bound,
+  round(low, 6) as low, round(high, 6) as high, case when low > budget_bound then 'VIOLATED' else 'VALID' end as status from z join t using (feature, mechanism, e)""")
+def mia_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The audit with exact intervals, judged by the bounds of pure and of approximate budgets."""
+    s = longform.stats(EVENTS.long(spark, d))
+    means = s.select("feature", "mean", sensitivity.global_of("mean", F.col("n"), F.col("lo"), F.col("hi")).alias("sensitivity"))
+    rows = release.judged(release.mia(means, (0.5, 1.0, 4.0), _TRIALS, SEED), _TRIALS)
+    return rounded(rows.select("feature", "mechanism", "epsilon", "hits", "budget_bound", "mechanism_bound", "low", "high", "status"))
+
+
 def _pipeline_sql(method: str) -> str:
     return LINEITEM.sql() + f""", {_WEIGHTS}, {_clipped_sql([0.99])},
 s as (select feature, weight, eps, tau, c.lo from allocated join clipped c using (feature) where method = '{method}' and eps_total = 1),
@@ -252,6 +275,52 @@ for _method in budget.METHODS:
     query(f"pipeline_{_method}", _pipeline_sql(_method))(_pipeline(_method))
 
 
+#: Public bounds of a line item's values, and its labels.
+_DOMAIN = (("l_discount", 0.0, 0.2), ("l_extendedprice", 0.0, 150000.0), ("l_quantity", 0.0, 64.0), ("l_tax", 0.0, 0.1))
+_LABELS = ("A", "N", "R")
+_BIN = "case when high > low then least({0} - 1, floor((x - low) / ((high - low) / {0}::double))) else 0 end"
+
+
+def _private_sql(eps: float = 1.0, cells: int = private.CELLS, bins: int = longform.BINS) -> str:
+    d = len(_DOMAIN)
+    return LINEITEM.sql() + f""", {values('domain', ('feature', 'low', 'high'), _DOMAIN)},
+v as (select key, label, feature, low, high, x as raw, least(greatest(x, low), high) as x from long join domain using (feature)),
+pc as (select feature, {_BIN.format(cells)} as cell, count(*) as k from v group by all),
+pe as (select feature, low, high, cell, coalesce(k, 0) as k from (select * from domain, range({cells}) r(cell)) left join pc using (feature, cell)),
+pr as (select *, sum(k) over (partition by feature order by cell) as below, sum(k) over (partition by feature) as n from pe),
+taus as (select feature, arg_max(low + (cell + 1) * (high - low) / {cells}, {0.1 * eps / d} * -abs(below - 0.99::double * n) / 2 - ln(-ln({uniform('u', "feature || '|990000|' || cell::varchar")}))) as tau from pr group by feature),
+jc as (select feature, {_BIN.format(bins)} as bin, label, count(*) as n from v group by all),
+jn as (select feature, low, high, bin, label, greatest(coalesce(n, 0) + {laplace(uniform('u', "feature || '|' || bin::varchar || '|' || label"), str(d / (0.1 * eps)))}, 0) as k
+  from (select * from domain, range({bins}) r(bin), (values ('A'), ('N'), ('R')) l(label)) left join jc using (feature, bin, label)),
+jm as (select feature, greatest(0, sum(case when k > 0 then k / n * ln(k * n / (nb * nl)) else 0 end)) as score
+  from (select *, sum(k) over (partition by feature) as n, sum(k) over (partition by feature, bin) as nb, sum(k) over (partition by feature, label) as nl from jn) group by feature),
+wf as (select feature, greatest(case when sum(score) over () > 0 then score / sum(score) over () else 1 / {d} end, 1 / (100 * {d}::double)) as w from jm),
+wn as (select feature, w / sum(w) over () as weight from wf)"""
+
+
+@query("pipeline_private", _private_sql() + f""",
+keyed as (select v.key, feature, raw, v.low, v.x, tau, weight, {0.8}::double * weight as eps, greatest(tau - v.low, 1e-8) as sens, feature || '|' || v.key as k from v join taus using (feature) join wn using (feature)), {_DRAWN},
+r as (select *, least(greatest(raw, low), tau) + {laplace('u1', 'sens / greatest(eps, 1e-6)')} as y from drawn)
+select feature, count(*) as n, round(any_value(weight), 6) as weight, round(any_value(eps), 6) as eps, round(any_value(tau), 6) as tau, round(avg(y), 3) as released_mean, round(avg(abs(y - raw)), 3) as mean_abs_error from r group by feature""")
+def pipeline_private(spark: SparkSession, d: str) -> DataFrame:
+    """The release with thresholds and weights at a budget: nothing of the data comes for free."""
+    return rounded(pipeline.checked(_private(spark, d)), 6, released_mean=3, mean_abs_error=3)
+
+
+def _private(spark: SparkSession, d: str, mechanism: str = "laplace") -> pipeline.Release:
+    domain = spark.createDataFrame(list(_DOMAIN), "feature string, low double, high double")
+    return pipeline.release_private(LINEITEM.wide(spark, d), LINEITEM.label, domain, _LABELS, 1.0, "mi", mechanism, key=LINEITEM.key_column(), seed=SEED)
+
+
+@query("pipeline_private_spent", f"select count(distinct f) * 3 as n_queries, 1.0::double as basic, true as within from (values {', '.join(f"('{f}')" for f, *_ in _DOMAIN)}) v(f), (select 1 from lineitem limit 1)")
+def pipeline_private_spent(spark: SparkSession, d: str) -> DataFrame:
+    """What that release spends, by basic composition and by loss distributions."""
+    made = _private(spark, d)
+    basic = made.log.agg(F.count("*").alias("n_queries"), F.sum("epsilon").alias("basic"))
+    rows = basic.crossJoin(prv.spent(made.log).select("prv"))  # one row each
+    return rounded(rows.select("n_queries", "basic", (F.col("prv") <= F.col("basic") + 1e-9).alias("within")))
+
+
 _SWEEP = (0.1, 1.0, 5.0)
 
 

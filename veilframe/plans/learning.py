@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
 from veilframe.functions import noise, scalars
-from veilframe.operators import accounting, budget, experiments, metrics, ml, prv
+from veilframe.operators import accounting, budget, experiments, metrics, ml, prv, sensitivity
+from veilframe.plans import privacy, statistics
 from veilframe.plans.bindings import EVENTS, LINEITEM, PART, Query, rounded
 
 QUERIES: dict[str, Query] = {}
@@ -162,7 +164,11 @@ def _evaluated(test: DataFrame, weights, name: str) -> DataFrame:
     return got.select(F.lit(name).alias("model"), "n", "accuracy", "f1")
 
 
-def _recursive(classes: int) -> str:
+#: The experiments' sample as SQL.
+_SAMPLE_SQL = f"(select * from lineitem order by md5('{SEED}|' || {_KEY_SQL}) limit {experiments.SAMPLE_ROWS})"
+
+
+def _recursive(classes: int, source: str = "lineitem") -> str:
     """The data and 200 full gradient steps as SQL: w(step, w) with the weights of all classes one after the other."""
     features = LINEITEM.features
     y = "(l_returnflag = 'R')::int" if classes == 2 else "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"
@@ -175,7 +181,7 @@ def _recursive(classes: int) -> str:
     new = ", ".join(f"w[{c * d + j + 1}] - {ml.RATE} * (g[{c * d + j + 1}] / n{penalty(c, j)})" for c in range(models) for j in range(d))
     shift = "" if classes == 2 else f", greatest({', '.join(f'z{c}' for c in range(models))}) as m"
     total = "" if classes == 2 else ", " + " + ".join(f"exp(z{c} - m)" for c in range(models)) + " as t"
-    return f"""with recursive r as (select {key} as key, {y} as y, {', '.join(f'{f}::double as {f}' for f in features)} from lineitem),
+    return f"""with recursive r as (select {key} as key, {y} as y, {', '.join(f'{f}::double as {f}' for f in features)} from {source}),
 o as (select *, row_number() over (partition by y order by md5('{SEED}|' || key)) as o, count(*) over (partition by y) as n from r),
 s as (select *, o <= greatest(1, floor(0.3 * n)) as test from o),
 data as materialized (select y, test, {scaled}, 1.0::double as x{d - 1} from s),
@@ -241,6 +247,64 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).groupBy("y", "test").agg(F.count("*").alias("n"))
 
 
+def _baseline_sql(classes: int) -> str:
+    guess = "(z0 >= 0)::int" if classes == 2 else "case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end"
+    return _recursive(classes, _SAMPLE_SQL) + f""", g as (select y, {guess} as yhat from p),
+c as (select class, sum((y = class and yhat = class)::int)::double as tp, sum((y <> class and yhat = class)::int)::double as fp, sum((y = class and yhat <> class)::int)::double as fn from g, range({classes}) k(class) group by class),
+f as (select class, tp, fn, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1 from c)
+select {classes}::int as classes, sum(tp + fn)::bigint as n, round(sum(tp) / sum(tp + fn), 6) as accuracy, round(max(f1) filter (class = 1), 6) as f1, round(avg(f1), 6) as macro_f1 from f"""
+
+
+@query("dpml_baselines", f"select * from ({_baseline_sql(2)}) union all select * from ({_baseline_sql(3)})")
+def dpml_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """The rows without noise of the sweeps: two and three classes."""
+    out = []
+    for classes in (2, 3):
+        rows = _sample(spark, d, classes)
+        got = experiments.trials(experiments.block(rows, list(LINEITEM.features)), experiments.plain(rows), "logistic" if classes == 2 else "softmax", 1, classes, seed=SEED)
+        out.append(got.select(F.lit(classes).alias("classes"), "n", "accuracy", "f1", "macro_f1"))
+    return rounded(out[0].unionByName(out[1]))
+
+
+_TRAIN_SQL = f"""with o as (select *, (l_returnflag = 'R')::int as y from {_SAMPLE_SQL}),
+r as (select *, row_number() over (partition by y order by md5('{SEED}|' || {_KEY_SQL})) as r, count(*) over (partition by y) as n from o),
+train as (select * from r where r > greatest(1, floor(0.3 * n))), """
+
+
+def _train_stats_sql() -> str:
+    """The statistics of the training rows under the names that the SQL of weights and thresholds uses, with y as the label."""
+    return _TRAIN_SQL + LINEITEM.sql().removeprefix("with ").replace("from lineitem", "from train").replace(f"{LINEITEM.label}::varchar as label", "y::varchar as label")
+
+
+@query("dpml_scales", _train_stats_sql() + f""", {statistics._WEIGHTS}, {statistics._clipped_sql([0.99])},
+t as (select a.method, m.mechanism, a.eps_total, a.feature, greatest(greatest(tau - c.lo, {sensitivity.FLOOR}), 1e-8) / greatest(a.eps, 1e-6) as b
+  from (select method, feature, e as eps_total, e * weight as eps from weights, (select unnest({list(BUDGETS)}::double[]) as e)) a join clipped c using (feature), (values ('laplace'), ('gaussian')) m(mechanism))
+select method as setting, mechanism, eps_total as epsilon, {", ".join(f"round(max(b * case when mechanism = 'gaussian' then {privacy.GAUSS} else 1 end) filter (feature = '{f}'), 4) as {f}" for f in LINEITEM.features)} from t group by all""")
+def dpml_scales(spark: SparkSession, d: str) -> DataFrame:
+    """The noise of each feature in the sweeps' grid, for all budget methods."""
+    features = list(LINEITEM.features)
+    long = runtime.materialize(experiments.train_long(_sample(spark, d), features), "long")
+    rows = experiments.noise_scales(long, budget.weights(budget.scores(long)), BUDGETS, features)
+    return rounded(rows.select("setting", "mechanism", "epsilon", *[F.col("scales")[i].alias(f) for i, f in enumerate(features)]), 4)
+
+
+@query("dpsgd_settings", _TRAIN_SQL + f"""n as (select count(*) as n from train)
+select e as epsilon, n as n_train, round(least(1, {experiments.BATCH} / n), 9) as rate, ({experiments.EPOCHS} * greatest(1, n // {experiments.BATCH}))::bigint as steps, true as kept, true as near, true as tighter
+from n, (select unnest({list(BUDGETS)}::double[]) as e) where e > {math.log(1 / noise.DELTA) / (accounting.WHOLE_ALPHAS[-1] - 1)}""")
+def dpsgd_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Steps and rate of noisy descent on the sample's training rows, and whether its noise keeps each budget: kept and by less than a
+    thousandth missed by the Renyi bound, and less by loss distributions. Budgets that no noise keeps under that bound have no row."""
+    n = _sample(spark, d).where("not test").count()
+    rate, steps = min(1.0, experiments.BATCH / n), experiments.EPOCHS * max(1, n // experiments.BATCH)
+    rows = []
+    for e in BUDGETS:
+        if sigma := accounting.poisson_sigma(rate, steps, e):
+            spent = accounting.poisson_epsilon(rate, sigma, steps)
+            spent = float(spent)
+            rows.append((e, n, round(rate, 9), steps, spent <= e, spent >= 0.999 * e, prv.sampled_gaussian(rate, sigma, steps) < spent))
+    return spark.createDataFrame(rows, "epsilon double, n_train long, rate double, steps long, kept boolean, near boolean, tighter boolean")
+
+
 @query("dpml_sweep")
 def dpml_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and F1 after input perturbation, by budget method, mechanism and total."""
@@ -301,21 +365,82 @@ def mart_dpml_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(summary_table(swept.unionByName(_sgd(spark, d).where("mechanism <> 'none'"))), 4)
 
 
-@query("mart_budget_significance")
-def mart_budget_significance(spark: SparkSession, d: str) -> DataFrame:
+def significance_table(results: DataFrame) -> DataFrame:
     """A row a budget: each method's accuracy, its test against the uniform one, and the difference in points."""
-    results = _swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS)
     means = results.where("mechanism <> 'none'").groupBy("epsilon", "setting").agg(F.avg("accuracy").alias("accuracy"))
     rows = means.join(experiments.compared(results).select("epsilon", "setting", "p", "delta_pp"), ["epsilon", "setting"], "left")
     pick = lambda m, c: F.max(F.when(F.col("setting") == m, F.col(c)))
     made = [pick("uniform", "accuracy").alias("uniform_accuracy")]
     for m in (m for m in budget.METHODS if m != "uniform"):
         made += [pick(m, "accuracy").alias(f"{m}_accuracy"), pick(m, "p").alias(f"{m}_vs_uniform_p"), pick(m, "delta_pp").alias(f"{m}_delta_accuracy_pp")]
-    return rounded(rows.groupBy("epsilon").agg(*made), 4)
+    return rows.groupBy("epsilon").agg(*made)
+
+
+def classes_table(results: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Overall accuracy, macro F1, loss and each class's recall by budget."""
+    rows = experiments.summarized(results, "macro_f1").join(experiments.class_recalls(results, names), ["setting", "mechanism", "epsilon"])
+    return rows.select("epsilon", F.col("setting").alias("budget_method"), F.col("accuracy").alias("overall_accuracy"), "macro_f1", F.col("loss_pct").alias("acc_loss_pct"), *[f"acc_{n}" for n in names])
+
+
+@query("mart_budget_significance")
+def mart_budget_significance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(significance_table(_swept(spark, d, budget.METHODS, ("laplace",), CLASS_RUNS)), 4)
 
 
 @query("mart_multiclass")
 def mart_multiclass(spark: SparkSession, d: str) -> DataFrame:
-    """Overall accuracy, macro F1, loss and each class's recall by budget."""
-    rows = dpml_multiclass(spark, d)
-    return rounded(rows.select("epsilon", F.col("setting").alias("budget_method"), F.col("accuracy").alias("overall_accuracy"), "macro_f1", F.col("loss_pct").alias("acc_loss_pct"), "acc_A", "acc_N", "acc_R"), 4)
+    return rounded(classes_table(_swept(spark, d, ("mi", "uniform"), ("laplace",), CLASS_RUNS, 3), ("A", "N", "R")), 4)
+
+
+# The same marts over a table of results that SQL can make too: shares of the line items stand for accuracies.
+
+
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    """Results by setting, mechanism, budget and run, from sums of whole hundredths."""
+    rows = LINEITEM.wide(spark, d).where("l_linenumber <= 6").select(
+        F.element_at(F.array(*map(F.lit, (*budget.METHODS, "sgd"))), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("setting"),
+        F.element_at(F.array(*map(F.lit, (0.5, 1.0, 5.0))), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("epsilon"), (F.col("l_partkey") % 12).cast("int").alias("run"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("a"), F.round(F.col("l_tax") * 100).cast("long").alias("b"), F.col("l_quantity").cast("long").alias("c"),
+    )
+    mean = lambda c: F.sum(c).cast("double") / F.count("*")
+    some = rows.groupBy("setting", "epsilon", "run").agg(F.count("*").alias("n"), (0.5 + mean("a") / 25).alias("accuracy"), (0.3 + mean("b") / 20).alias("f1"), (mean("c") / 60).alias("macro_f1"))
+    some = some.withColumn("recalls", F.array(F.col("accuracy") / 2, F.when(F.col("run") % 4 > 0, F.col("f1"))))
+    none = spark.range(1).select(F.lit("none").alias("setting"), F.lit(math.inf).alias("epsilon"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("n"), F.lit(0.95).alias("accuracy"), F.lit(0.94).alias("f1"), F.lit(0.93).alias("macro_f1"), F.array(F.lit(0.9), F.lit(0.8)).alias("recalls"))
+    mechanism = F.when(F.col("setting") == "none", "none").when(F.col("setting") == "sgd", "gaussian").otherwise("laplace")
+    return some.unionByName(none).select("setting", F.lit("logistic").alias("model"), mechanism.alias("mechanism"), "epsilon", "run", F.lit(None).cast("double").alias("sigma"), F.lit(None).cast("double").alias("spent"), "n", "accuracy", "f1", "macro_f1", "recalls")
+
+
+_GIVEN_SQL = f"""i as (select ({list((*budget.METHODS, "sgd"))})[l_suppkey % 5 + 1] as setting, ([0.5, 1.0, 5.0]::double[])[l_linenumber % 3 + 1] as epsilon, l_partkey % 12 as run,
+  round(l_discount * 100)::bigint as a, round(l_tax * 100)::bigint as b, l_quantity::bigint as c from lineitem where l_linenumber <= 6),
+given as (select setting, case setting when 'sgd' then 'gaussian' else 'laplace' end as mechanism, epsilon, run, 0.5 + sum(a)::double / count(*) / 25 as accuracy, 0.3 + sum(b)::double / count(*) / 20 as f1, sum(c)::double / count(*) / 60 as macro_f1
+  from i group by setting, epsilon, run),
+pairs as (select g.setting, g.mechanism, g.epsilon, g.run, g.accuracy - u.accuracy as d from given g join given u on u.setting = 'uniform' and u.epsilon = g.epsilon and u.run = g.run where g.setting <> 'uniform'),
+ranks as (select setting, epsilon, d, row_number() over (partition by setting, epsilon order by abs(d), run)::double as r from pairs where d <> 0),
+sums as (select setting, epsilon, count(*) as n, coalesce(sum(r) filter (d > 0), 0) as plus, coalesce(sum(r) filter (d < 0), 0) as minus from ranks group by all),
+zs as (select *, -abs((least(plus, minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0)) / sqrt(2.0) as w from sums),
+ts as (select *, 1 / (1 + {scalars.ERF_P} * abs(w)) as t from zs),
+tests as (select setting, epsilon, case when n < 5 then 1 else least(1, 2 * 0.5 * (1 + sign(w) * (1 - ({_ERF}) * exp(-w * w)))) end as p from ts),
+delta as (select setting, epsilon, 100 * avg(d) as delta_pp from pairs where mechanism = 'laplace' group by all)"""
+_NAMES_SQL = " ".join(f"when '{m}' then '{n}'" for m, n in _METHOD_NAMES.items())
+
+
+@query("given_dpml_summary", f"""with {_GIVEN_SQL},
+m as (select epsilon, setting, case setting {_NAMES_SQL} end as method, avg(accuracy) as a, 1.96 * stddev_pop(accuracy) / sqrt(count(*)) as ac, avg(f1) as f, 1.96 * stddev_pop(f1) / sqrt(count(*)) as fc from given where setting in {tuple(_METHOD_NAMES)} group by all)
+select m.epsilon, method, round(a, 4) as accuracy_mean, round(ac, 4) as accuracy_ci95, round(f, 4) as f1_mean, round(fc, 4) as f1_ci95, round(100 * (1 - a), 4) as accuracy_loss_pct,
+  case when m.setting <> 'uniform' then round(coalesce(p, 1), 4) end as wilcoxon_p_vs_uniform from m left join tests t on t.setting = m.setting and t.epsilon = m.epsilon""")
+def given_dpml_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(summary_table(_given(spark, d)), 4)
+
+
+@query("given_budget_significance", f"""with {_GIVEN_SQL}
+select g.epsilon, round(avg(accuracy) filter (g.setting = 'uniform'), 4) as uniform_accuracy,
+  {", ".join(f"round(avg(accuracy) filter (g.setting = '{m}'), 4) as {m}_accuracy, round(coalesce(max(p) filter (g.setting = '{m}'), 1), 4) as {m}_vs_uniform_p, round(max(delta_pp) filter (g.setting = '{m}'), 4) as {m}_delta_accuracy_pp" for m in budget.METHODS if m != 'uniform')}
+from given g left join tests t on t.setting = g.setting and t.epsilon = g.epsilon left join delta x on x.setting = g.setting and x.epsilon = g.epsilon where g.setting <> 'sgd' group by g.epsilon""")
+def given_budget_significance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(significance_table(_given(spark, d).where("setting <> 'sgd'")), 4)
+
+
+@query("given_multiclass", f"""with {_GIVEN_SQL}, every as (select setting, epsilon, run, accuracy, macro_f1, accuracy / 2 as r0, case when run % 4 > 0 then f1 end as r1 from given union all select 'none', 'Infinity'::double, 0, 0.95, 0.93, 0.9, 0.8)
+select epsilon, setting as budget_method, round(avg(accuracy), 4) as overall_accuracy, round(avg(macro_f1), 4) as macro_f1, round(100 * (0.95 - avg(accuracy)) / 0.95, 4) as acc_loss_pct, round(avg(r0), 4) as acc_a, round(avg(r1), 4) as acc_b from every group by setting, epsilon""")
+def given_multiclass(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(classes_table(_given(spark, d), ("a", "b")), 4)

@@ -209,21 +209,46 @@ def mart_rdp_nested(spark: SparkSession, d: str) -> DataFrame:
 @query("mart_json")
 def mart_json(spark: SparkSession, d: str) -> DataFrame:
     """Every section of the export."""
-    sweep = runtime.materialize(learning.dpml_sweep(spark, d), "sweep")
-    classes = runtime.materialize(learning.dpml_multiclass(spark, d), "classes")
+    return export(spark, d, learning.dpml_sweep(spark, d), learning.dpml_multiclass(spark, d), learning.dpsgd_experiment(spark, d))
+
+
+def export(spark: SparkSession, d: str, sweep: DataFrame, classes: DataFrame, descent: DataFrame) -> DataFrame:
+    """The sections, with the experiments' results as they are given."""
+    sweep, classes = runtime.materialize(sweep, "sweep"), runtime.materialize(classes, "classes")
     by_mechanism = pivoted(sweep.where("setting = 'uniform'"), "epsilon", "mechanism", {"laplace": "laplace_acc", "gaussian": "gaussian_acc"}, F.col("accuracy"))
     recalls = F.struct(*[c for c in classes.columns if c.startswith("acc_") and not c.endswith("_ci")])
     lost = F.when(F.col("mechanism") == "none", "baseline").otherwise("collapsed")
     composed = privacy.rdp_composition(spark, d).where("mechanism = 'laplace'")
     return json_sections({
         "sensitivity": mart_sensitivity(spark, d), "amplification": mart_amplification(spark, d), "composition": mart_tightness(spark, d),
-        "mia": mia_by_eps(spark, d), "ml": by_mechanism, "budget_accuracy": budget_accuracy(sweep), "dpsgd": learning.dpsgd_experiment(spark, d).where("mechanism <> 'none'").select("epsilon", "accuracy", "accuracy_std"),
+        "mia": mia_by_eps(spark, d), "ml": by_mechanism, "budget_accuracy": budget_accuracy(sweep), "dpsgd": descent.where("mechanism <> 'none'").select("epsilon", "accuracy", "accuracy_std"),
         "multiclass": classes.select(lost.alias("row"), "epsilon", "setting", recalls.alias("recalls")), "clipping": mart_clipping(spark, d), "prv": mart_prv(spark, d),
         "methods": mart_method_comparison(spark, d), "budget_by_eps": mart_budget_by_eps(spark, d), "feature_budget": mart_feature_budget(spark, d),
         "rdp": nested(composed, "nominal_epsilon", ["n_queries", "basic", "advanced", "rdp"], "bounds"),
     })
 
 
+_SECTIONS = {
+    "sensitivity": (LINEITEM.sql() + " select (hi - lo) / n as v from stats", "gs"),
+    "amplification": (f"select {next(iter(_RATES.values()))} as v from ({SQL['mart_amplification']})", next(iter(_RATES.values()))),
+    "mia": (f"select auc as v from ({SQL['mia_by_eps']})", "auc"), "clipping": (f"select share as v from ({SQL['mart_clipping']})", "share"),
+    "budget_by_eps": (f"select ratio as v from ({SQL['mart_budget_by_eps']})", "ratio"), "methods": (f"select ratio as v from ({SQL['mart_method_comparison']})", "ratio"),
+    "feature_budget": (f"select mi as v from ({SQL['mart_feature_budget']})", "mi"),
+}
+
+
+@query("mart_json_read_back", " union all ".join(f"select '{name}' as section, count(*) as n, round(sum(v), 4) as total from ({sql})" for name, (sql, _) in _SECTIONS.items()))
+def mart_json_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the export read back from their JSON: objects, and the sum of one of their figures."""
+    made = json_sections({
+        "sensitivity": mart_sensitivity(spark, d), "amplification": mart_amplification(spark, d), "mia": mia_by_eps(spark, d), "clipping": mart_clipping(spark, d),
+        "budget_by_eps": mart_budget_by_eps(spark, d), "methods": mart_method_comparison(spark, d), "feature_budget": mart_feature_budget(spark, d),
+    })
+    each = made.select("section", F.explode(F.from_json("body", "array<map<string,string>>")).alias("row"))
+    named = F.element_at(F.create_map(*[F.lit(x) for name, (_, key) in _SECTIONS.items() for x in (name, key)]), F.col("section"))
+    return rounded(each.groupBy("section").agg(F.count("*").alias("n"), F.sum(F.element_at("row", named).cast("double")).alias("total")), 4)
+
+
 @query("mart_expected_errors", EVENTS.sql() + f""", g as (select feature, (hi - lo) / n as gs, e from stats, {privacy.unnest('e', privacy.EPSILONS)})
 select feature, e as epsilon, round(gs / e, 6) as laplace_error, round({privacy.GAUSS} * gs / e * sqrt(2 / pi()), 6) as gaussian_error from g""")
 def mart_expected_errors(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ each document is spread over all buckets. A single text is never cut apart for g
 Defined results: null and empty texts have nothing to remove; documents with a null id count as last, and
 documents with equal ids (nulls too) don't count as earlier than each other; ids are keys, and the
 rows of one id are read by one task; repeated rows follow from that; an empty table gives an empty result.
-Strings are compared by 64-bit hashes and more of them together. Other columns are not read.
+Whole units and windows are compared by 64-bit hashes, the contents of one gram by 48 bits of theirs. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -255,10 +255,10 @@ def _first_of_grams(g: np.ndarray) -> np.ndarray:
 
 
 def _tags(g: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """For each distinct gram of a block a digest of its content, or 0 if it has several."""
+    """For each distinct gram of a block 48 bits of its content, or 0 if it has several."""
     at = np.flatnonzero(_first_of_grams(g))
     alone = np.diff(np.append(at, len(g))) == 1
-    return np.where(alone, np.maximum(c[at], np.uint64(1)), np.uint64(0))
+    return np.where(alone, np.maximum(c[at] >> np.uint64(16), np.uint64(1)), np.uint64(0))
 
 
 def _unit_keys(length: int, gram: int, buckets: int):

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 import pytest
@@ -64,3 +66,34 @@ def test_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n for r in df.orderBy("i").select(mixing.n_words(df.t).alias("n")).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def brute(rows, weights, epochs, seed):
+    """(id, text, source, repeats) by ordering each source as a whole."""
+    key = lambda r: hashlib.md5(f"{seed}|{'' if r[0] is None else r[0]}|{r[1] or ''}".encode()).hexdigest()
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(r) for r in rows if r[2] == s) for s in names]
+    out = []
+    for s, n, target in zip(names, sizes, filled(sizes, weights, epochs), strict=True):
+        whole, start = (int(target // n) if n else 0), 0
+        for r in sorted((r for r in rows if r[2] == s), key=key):
+            out.append((*r, whole + (start + size(r) / 2 < target - whole * n)))
+            start += size(r)
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_equal_whole_orders(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)
+    monkeypatch.setattr(mixing, "SLICE_DIGITS", 1)
+    r = random.Random(seed)
+    rows = [(r.choice([None, i]), r.choice(["", None, "a", "a b c", "x " * r.randint(1, 30)]), r.choice(["p", "q", "q", None])) for i in range(150)]
+    rows += [(9, "hot copy of four", "hot")] * 90 + [(10, "another", "hot")] * 5 + [(11, "only copies", "one")] * 40
+    df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, source string, _mix_size int, _mix_cut string").repartition(4)
+    want = brute(rows, (1, 2, 3), 3, 17)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {(x[3], x[4]) for x in mixed.collect()} == {(1, "c")}
+    assert sorted(((x[0], x[1], x[2]) for x in mixed.collect()), key=repr) == sorted(((a, b, c) for a, b, c, n in want for _ in range(n)), key=repr)
+    got = sorted(((x.doc_id, x["size"], x.repeats) for x in mixing.takes(df).collect()), key=repr)
+    assert got == sorted(((a, len((b or "").split()), n) for a, b, _, n in want), key=repr)

@@ -10,15 +10,17 @@ Water level: with S the clamped sources, level(S) = (budget - sum of their caps)
 rest). Clamping too few or too many sources only lowers it, so the level is the largest over the
 prefixes of the sources ordered by cap over weight, and one window over the source table finds it.
 
-Scale: one scan of the texts leaves thin rows. The seeded order within a source is by an md5; sums by
-(source, first three hexadecimal digits) say where each of 4,096 slices starts, so the running sums
-over documents are partitioned by slice, and no source's documents meet in one task. Only the table
-with one row a source is ordered as a whole.
+Scale: the seeded order within a source is by an md5, and what is taken once more is a beginning of that order. So all that
+a source needs is where it is cut: sums by (source, first three hexadecimal digits) tell in which of 4,096 slices, and only
+the rows of that slice are looked at again, by three digits more while they are over ``SLICE_ROWS``, and in order
+in the end, copies as one row. Documents are then compared with their source's cut: they are neither shuffled nor
+sorted, and texts stay where they are. Only the tables with one row a source are ordered as a whole. Where the cut falls
+among copies of one document, these, and no others, are numbered by one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, ranked last; sources
 without words get target 0 and nothing of them is taken; repeated rows are documents of their own;
 an empty table gives an empty result. Input columns other than those named are kept by ``mix`` and
-not read by ``takes``; working columns carry a prefix of their own, so names can't clash.
+not read by ``takes``; working columns take names that are free.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe import runtime
+
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 17
-#: Hexadecimal digits of the md5 that make a slice.
-SLICE_DIGITS = 3
+#: Hexadecimal digits of the md5 that make a slice, and the rows of one up to which it isn't sliced further.
+SLICE_DIGITS, SLICE_ROWS = 3, 1 << 20
 _P = "_mix_"
 
 
@@ -62,30 +66,60 @@ def targets(sizes: DataFrame, source: str, size: str, weights: Sequence[int] = W
     return leveled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _with_takes(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[int], epochs: int, seed: int) -> DataFrame:
-    """``docs`` and the prefixed columns size, source_size, target and repeats."""
+def _cuts(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """source, source_size, target, whole, cut, at_cut, copies: documents of a lower order than ``cut`` are taken once more, and ``at_cut`` of the
+    ``copies`` that have it. rows: source (a key), order, size. shares: source (a key), source_size, target."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    shares = shares.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    edge, digits = shares.select("source", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("start")), 0
+
+    def inside() -> DataFrame:
+        """The rows of the slices in which sources are cut."""
+        return rows.withColumn("prefix", F.substring("order", 1, digits)).join(edge, ["source", "prefix"]) if digits else rows.crossJoin(rows.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("start")))
+
+    while True:
+        deeper = F.substring("order", 1, digits + SLICE_DIGITS)
+        sums = inside().groupBy("source", "prefix", "start", deeper.alias("deeper")).agg(F.sum("size").alias("total"), F.count("*").alias("k"))
+        before = F.sum("total").over(Window.partitionBy("source", "prefix").orderBy("deeper").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("start", F.col("start") + F.coalesce(before, F.lit(0))).join(shares.select("source", "rest"), "source")
+        found = sums.where((F.col("start") <= F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("total")))
+        edge = runtime.materialize(found.select("source", F.col("deeper").alias("prefix"), "start", "k"), "edge")
+        digits += SLICE_DIGITS
+        if digits > 28 or not edge.where(F.col("k") > SLICE_ROWS).take(1):
+            break
+        edge = edge.drop("k")
+    edge = edge.drop("k")
+    groups = inside().groupBy("source", "prefix", "start", "order").agg(F.max("size").alias("size"), F.count("*").alias("copies"))
+    before = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("source", "prefix").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("start", F.col("start") + F.coalesce(before, F.lit(0))).join(shares.select("source", "rest"), "source")
+    # of copies one after the other, those whose middle lies before the rest's end
+    fit = F.when(F.col("size") > 0, F.ceil((F.col("rest") - F.col("start")) / F.col("size") - F.lit(0.5))).when(F.col("start") < F.col("rest"), F.col("copies")).otherwise(F.lit(0))
+    groups = groups.withColumn("fit", F.least(F.greatest(fit, F.lit(0)), F.col("copies")))
+    first = F.min(F.when(F.col("fit") < F.col("copies"), F.struct(F.col("order").alias("cut"), F.col("fit").alias("at_cut"), "copies")))
+    past = F.struct(F.concat(F.max("prefix"), F.lit("g")).alias("cut"), F.lit(0).cast("long").alias("at_cut"), F.lit(0).cast("long").alias("copies"))
+    cuts = groups.groupBy("source").agg(F.coalesce(first, past).alias("c")).select("source", "c.*")
+    return runtime.materialize(shares.join(cuts, "source").drop("rest"), "cuts")
+
+
+def _with_takes(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[int], epochs: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns size, source_size, target and repeats, and the names that these have."""
     c = lambda name: F.col(f"`{name}`")
+    new = {x: runtime.free_name(docs, f"{_P}{x}") for x in ("source", "size", "order", "source_size", "target", "whole", "cut", "at_cut", "copies", "repeats", "place")}
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(c(key).cast("string"), F.lit("")), F.coalesce(c(text), F.lit(""))))
-    rows = docs.withColumns({f"{_P}source": _source_key(c(source)), f"{_P}size": n_words(c(text)), f"{_P}order": order})
-    rows = rows.withColumn(f"{_P}slice", F.substring(f"{_P}order", 1, SLICE_DIGITS))
-    slices = rows.groupBy(c(source).alias("source"), f"{_P}source", f"{_P}slice").agg(F.sum(f"{_P}size").alias(f"{_P}slice_size"))
-    shares = targets(slices, "source", f"{_P}slice_size", weights, epochs).select(
-        _source_key(F.col("source")).alias(f"{_P}source"), F.col("source_size").alias(f"{_P}source_size"), F.col("target").alias(f"{_P}target")
-    )
-    before = Window.partitionBy(f"{_P}source").orderBy(f"{_P}slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        slices.withColumn(f"{_P}start", F.coalesce(F.sum(f"{_P}slice_size").over(before), F.lit(0)))
-        .join(shares, f"{_P}source")
-        .select(f"{_P}source", f"{_P}slice", f"{_P}start", f"{_P}source_size", f"{_P}target")
-    )
-    within = Window.partitionBy(f"{_P}source", f"{_P}slice").orderBy(f"{_P}order", f"{_P}size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(starts, [f"{_P}source", f"{_P}slice"]).withColumn(
-        f"{_P}start", F.col(f"{_P}start") + F.coalesce(F.sum(f"{_P}size").over(within), F.lit(0))
-    )
-    whole = F.when(F.col(f"{_P}source_size") > 0, F.floor(F.col(f"{_P}target") / F.col(f"{_P}source_size"))).otherwise(F.lit(0))
-    rest = F.col(f"{_P}target") - F.col(f"{_P}whole") * F.col(f"{_P}source_size")
-    extra = (F.col(f"{_P}start") + F.col(f"{_P}size") / F.lit(2.0) < rest).cast("long")
-    return placed.withColumn(f"{_P}whole", whole.cast("long")).withColumn(f"{_P}repeats", F.col(f"{_P}whole") + extra)
+    thin = docs.select(c(source).alias("name"), _source_key(c(source)).alias("source"), order.alias("order"), n_words(c(text)).alias("size"))
+    shares = targets(thin.groupBy("name").agg(F.sum("size").alias("size")), "name", "size", weights, epochs)
+    shares = runtime.materialize(shares, "shares")  # one row a source
+    cuts = _cuts(thin.drop("name"), shares.select(_source_key(F.col("source")).alias("source"), "source_size", "target"))
+    rows = docs.withColumns({new["source"]: _source_key(c(source)), new["size"]: n_words(c(text)), new["order"]: order})
+    placed = rows.join(cuts.select(*[F.col(x).alias(new[x]) for x in cuts.columns]), new["source"])
+    repeats = lambda extra: c(new["whole"]) + extra.cast("long")
+    mixed = (c(new["order"]) == c(new["cut"])) & (c(new["at_cut"]) > 0)
+    if not cuts.where("at_cut > 0").take(1):
+        return placed.withColumn(new["repeats"], repeats(c(new["order"]) < c(new["cut"]))), new
+    plain = placed.where(~mixed).withColumn(new["repeats"], repeats(c(new["order"]) < c(new["cut"])))
+    place = F.row_number().over(Window.partitionBy(new["source"]).orderBy(new["order"]))
+    some = placed.where(mixed).withColumn(new["place"], place).withColumn(new["repeats"], repeats(c(new["place"]) <= c(new["at_cut"]))).drop(new["place"])
+    return plain.unionByName(some), new
 
 
 def takes(
@@ -93,8 +127,8 @@ def takes(
     weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """key, size, source_size, target, repeats: how often the mix takes each document."""
-    rows = _with_takes(docs.select(key, text, source), key, text, source, weights, epochs, seed)
-    return rows.select(key, *[F.col(f"{_P}{x}").alias(x) for x in ("size", "source_size", "target", "repeats")])
+    rows, new = _with_takes(docs.select(key, text, source), key, text, source, weights, epochs, seed)
+    return rows.select(key, *[F.col(f"`{new[x]}`").alias(x) for x in ("size", "source_size", "target", "repeats")])
 
 
 def mix(
@@ -102,6 +136,7 @@ def mix(
     weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of the input."""
-    rows = _with_takes(docs, key, text, source, weights, epochs, seed).where(F.col(f"{_P}repeats") > 0)
-    copies = rows.withColumn(f"{_P}copy", F.explode(F.sequence(F.lit(1), F.col(f"{_P}repeats").cast("int"))))
+    rows, new = _with_takes(docs, key, text, source, weights, epochs, seed)
+    rows = rows.where(F.col(f"`{new['repeats']}`") > 0)
+    copies = rows.withColumn(new["place"], F.explode(F.sequence(F.lit(1), F.col(f"`{new['repeats']}`").cast("int"))))
     return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -54,14 +54,14 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = runtime.scratch_path(spark, "token-counts")
+    cache = f"{runtime.scratch_folder(spark, 'token-counts')}/cache"
     rows = counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
     return rows.withColumn("over_limit", F.col("n_tokens") > counts.LIMIT)
 
 
 def counts_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of operator 5 in three runs over one cache: an earlier batch (English), all documents, and all again, which encodes none."""
-    docs, model, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), runtime.scratch_path(spark, "token-counts")
+    docs, model, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), f"{runtime.scratch_folder(spark, 'token-counts')}/cache"
     counts.fill(docs.where("lang = 'en'"), model, cache)
     counts.fill(docs, model, cache)
     return counts.count_tokens(docs, model, cache)

@@ -168,36 +168,44 @@ def attack_bounds(mechanism: Column, epsilon: Column, delta: float = noise.DELTA
     return budget, F.when(gaussian, scalars.norm_cdf(mu / 2)).otherwise(1 - F.exp(-epsilon / 2) / 2)
 
 
-def binomial_tail(hits: Column, n: Column, p: Column) -> Column:
-    """P(X >= hits) of n trials: terms by recurrence away from the mode, so that what underflows is nothing."""
+def log_choose(n: Column, k: Column) -> Column:
+    """ln of n over k; 0 for k below 1."""
+    n, k = n.cast("double"), k.cast("double")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1.0)).cast("int")), F.lit(0.0), lambda s, j: s + F.when(j <= k, F.ln((n - k + j) / j)).otherwise(F.lit(0.0)))
+
+
+def binomial_tail(hits: Column, n: Column, p: Column, logs: tuple[Column, Column] | None = None) -> Column:
+    """P(X >= hits) of n trials: terms by recurrence away from the mode, so that what underflows is nothing. logs: ``log_choose`` of hits and of
+    hits - 1 where they are known."""
+    logs = logs or (log_choose(n, hits), log_choose(n, hits - 1))
     h, n = hits.cast("double"), n.cast("double")
-    log = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1.0)).cast("int")), F.lit(0.0), lambda s, j: s + F.when(j <= k, F.ln((n - k + j) / j)).otherwise(F.lit(0.0)))
-    first = lambda k: F.exp(log(k) + k * F.ln(p) + (n - k) * F.log1p(-p))
 
-    def walk(k: Column, steps: Column, ratio) -> Column:
-        start = F.struct(first(k).alias("t"), first(k).alias("s"))
+    def walk(k: Column, log: Column, steps: Column, ratio) -> Column:
+        first = F.exp(log + k * F.ln(p) + (n - k) * F.log1p(-p))
+        start = F.struct(first.alias("t"), first.alias("s"))
         more = lambda a, j: F.struct((a["t"] * ratio(k, j)).alias("t"), (a["s"] + a["t"] * ratio(k, j)).alias("s"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1.0)).cast("int")), start, lambda a, j: F.when(j <= steps, more(a, j)).otherwise(a))["s"]
 
-    up = walk(h, n - h, lambda k, j: (n - k - j + 1) / (k + j) * p / (1 - p))
-    down = walk(h - 1, h - 1, lambda k, j: (k - j + 1) / (n - k + j) * (1 - p) / p)
+    up = walk(h, logs[0], n - h, lambda k, j: (n - k - j + 1) / (k + j) * p / (1 - p))
+    down = walk(h - 1, logs[1], h - 1, lambda k, j: (k - j + 1) / (n - k + j) * (1 - p) / p)
     return F.when(h <= 0, F.lit(1.0)).when(p * n <= h, up).otherwise(1 - down)
 
 
-def binomial_limits(hits: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
-    """The exact (Clopper and Pearson) interval of a share, by bisection."""
+def binomial_limits(hits: Column, n: Column, confidence: float = 0.95, logs: tuple[Column, Column, Column] | None = None) -> tuple[Column, Column]:
+    """The exact (Clopper and Pearson) interval of a share, by bisection. logs: ``log_choose`` of hits - 1, hits and hits + 1 where they are known."""
     out = (1 - confidence) / 2
+    below, at, above = logs or tuple(log_choose(n, hits + i) for i in (-1, 0, 1))
 
-    def lower(h: Column) -> Column:
+    def lower(h: Column, logs: tuple[Column, Column]) -> Column:
         def halved(a: Column, _: Column) -> Column:
             mid = (a["lo"] + a["hi"]) / 2
-            low = binomial_tail(h, n, mid) < out
+            low = binomial_tail(h, n, mid, logs) < out
             return F.struct(F.when(low, mid).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(mid).alias("hi"))
 
         start = F.struct(F.lit(0.0).alias("lo"), (h / n).cast("double").alias("hi"))
         return F.when(h <= 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halved)["lo"])
 
-    return lower(hits), 1 - lower(n - hits)
+    return lower(hits, (at, below)), 1 - lower(n - hits, (at, above))
 
 
 def judged(found: DataFrame, trials: int, confidence: float = 0.95, delta: float = noise.DELTA) -> DataFrame:
@@ -206,8 +214,10 @@ def judged(found: DataFrame, trials: int, confidence: float = 0.95, delta: float
     n = F.lit(2 * trials)
     budget, mechanism = attack_bounds(F.col("mechanism"), F.col("epsilon"), delta)
     rows = found.withColumn("hits", F.round(F.col("accuracy") * 2 * trials).cast("long"))
-    low, high = binomial_limits(F.col("hits"), n, confidence)
-    rows = rows.withColumns({"budget_bound": budget, "mechanism_bound": mechanism, "low": low, "high": high})
+    names = ["_log_below", "_log_at", "_log_above"]
+    rows = rows.withColumns({c: log_choose(n, F.col("hits") + i) for c, i in zip(names, (-1, 0, 1), strict=True)})
+    low, high = binomial_limits(F.col("hits"), n, confidence, tuple(map(F.col, names)))
+    rows = rows.withColumns({"budget_bound": budget, "mechanism_bound": mechanism, "low": low, "high": high}).drop(*names)
     return rows.withColumn("status", F.when(F.col("low") > F.col("budget_bound"), "VIOLATED").otherwise("VALID"))
 
 

@@ -71,11 +71,13 @@ def _cuts(rows: DataFrame, shares: DataFrame) -> DataFrame:
     ``copies`` that have it. rows: source (a key), order, size. shares: source (a key), source_size, target."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     shares = shares.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    edge, digits = shares.select("source", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("start")), 0
+    edge, digits = None, 0
 
     def inside() -> DataFrame:
         """The rows of the slices in which sources are cut."""
-        return rows.withColumn("prefix", F.substring("order", 1, digits)).join(edge, ["source", "prefix"]) if digits else rows.crossJoin(rows.sparkSession.range(1).select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("start")))
+        if not digits:
+            return rows.withColumns({"prefix": F.lit(""), "start": F.lit(0).cast("long")})
+        return rows.withColumn("prefix", F.substring("order", 1, digits)).join(edge, ["source", "prefix"])
 
     while True:
         deeper = F.substring("order", 1, digits + SLICE_DIGITS)

@@ -93,7 +93,8 @@ def test_cuts_equal_whole_orders(spark, monkeypatch, seed):
     df = spark.createDataFrame([(*x, 1, "c") for x in rows], "doc_id long, text string, source string, _mix_size int, _mix_cut string").repartition(4)
     want = brute(rows, (1, 2, 3), 3, 17)
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and {(x[3], x[4]) for x in mixed.collect()} == {(1, "c")}
-    assert sorted(((x[0], x[1], x[2]) for x in mixed.collect()), key=repr) == sorted(((a, b, c) for a, b, c, n in want for _ in range(n)), key=repr)
+    made = mixed.collect()
+    assert mixed.columns == df.columns and {(x[3], x[4]) for x in made} == {(1, "c")}
+    assert sorted(((x[0], x[1], x[2]) for x in made), key=repr) == sorted(((a, b, c) for a, b, c, n in want for _ in range(n)), key=repr)
     got = sorted(((x.doc_id, x["size"], x.repeats) for x in mixing.takes(df).collect()), key=repr)
     assert got == sorted(((a, len((b or "").split()), n) for a, b, _, n in want), key=repr)

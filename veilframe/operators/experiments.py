@@ -29,10 +29,11 @@ BATCH, EPOCHS, CLIP = 256, 30, 1.0
 RESULT = "setting string, model string, mechanism string, epsilon double, run int, sigma double, spent double, n long, accuracy double, f1 double, macro_f1 double, recalls array<double>"
 
 
-def sample(df: DataFrame, features: Sequence[str], label: Column, key: Column, rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """key, features, y, test: at most ``rows`` rows by a keyed hash, split by class."""
+def sample(df: DataFrame, features: Sequence[str], label: Column, key: Column, rows: int | None = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+    """key, features, y, test: at most ``rows`` rows by a keyed hash (None: all), split by class."""
     named = ml.prepared(df.withColumn("key", key), features, label).select("key", *features, "y")
-    return ml.stratified_split(ml.sampled(named, F.col("key"), rows, seed), F.col("key"), seed=seed)
+    held = named if rows is None else ml.sampled(named, F.col("key"), rows, seed)
+    return ml.stratified_split(held, F.col("key"), seed=seed)
 
 
 def block(sampled: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -65,10 +66,15 @@ def plain(df: DataFrame, setting: str = "none") -> DataFrame:
 
 def scored(y: np.ndarray, guess: np.ndarray, classes: int) -> tuple[float, float, float, list[float | None]]:
     """Accuracy, F1 of class 1, macro F1 over all classes, recall of each class (none without rows)."""
-    hits = np.bincount(y * classes + guess, minlength=classes * classes).reshape(classes, classes).astype(float)
+    return scored_hits(np.bincount(y * classes + guess, minlength=classes * classes).reshape(classes, classes).astype(float))
+
+
+def scored_hits(hits: np.ndarray) -> tuple[float, float, float, list[float | None]]:
+    """The same from the numbers of rows by class and guess."""
+    classes = len(hits)
     support, found, right = hits.sum(axis=1), hits.sum(axis=0), np.diag(hits)
     f1 = np.divide(2 * right, support + found, out=np.zeros(classes), where=support + found > 0)
-    return float(right.sum() / max(len(y), 1)), float(f1[1]) if classes > 1 else 0.0, float(f1.mean()), [float(r / s) if s else None for r, s in zip(right, support, strict=True)]
+    return float(right.sum() / max(hits.sum(), 1)), float(f1[1]) if classes > 1 else 0.0, float(f1.mean()), [float(r / s) if s else None for r, s in zip(right, support, strict=True)]
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, classes: int, steps: int) -> np.ndarray:

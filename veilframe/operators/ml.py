@@ -104,18 +104,26 @@ def packed(rows: DataFrame) -> Packed:
     return Packed(blocks, blocks.rdd.getNumPartitions())
 
 
+def mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """64-bit hashes mixed with a word (the finalizer of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(word & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def row_bits(u: np.ndarray, seed: int) -> np.ndarray:
+    """A row's own uniform as bits, set apart by a seed."""
+    return (u * float(1 << 53)).astype(np.uint64) ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32))
+
+
 def drawn(u: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
     """Which rows a step takes: each with probability ``rate``, independently of other rows and of other steps.
 
-    A row's draw is a hash of its own uniform, the step and the seed (the finalizer of SplitMix64).
+    A row's draw is a hash of its own uniform, the step and the seed.
     """
-    with np.errstate(over="ignore"):
-        h = (u * float(1 << 53)).astype(np.uint64) ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32))
-        for word in (np.uint64(step + 1), np.uint64(seed & 0xFFFFFFFFFFFFFFFF)):
-            h = h + word * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
+    h = mixed(mixed(row_bits(u, seed), step + 1), seed)
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < rate
 
 

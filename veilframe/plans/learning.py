@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe import runtime
 from veilframe.functions import noise, scalars
-from veilframe.operators import accounting, budget, experiments, metrics, ml, prv, sensitivity
+from veilframe.operators import accounting, budget, experiments, grids, metrics, ml, prv, sensitivity
 from veilframe.plans import privacy, statistics
 from veilframe.plans.bindings import EVENTS, LINEITEM, PART, Query, rounded
 
@@ -247,9 +247,9 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).groupBy("y", "test").agg(F.count("*").alias("n"))
 
 
-def _baseline_sql(classes: int) -> str:
+def _baseline_sql(classes: int, source: str = _SAMPLE_SQL) -> str:
     guess = "(z0 >= 0)::int" if classes == 2 else "case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end"
-    return _recursive(classes, _SAMPLE_SQL) + f""", g as (select y, {guess} as yhat from p),
+    return _recursive(classes, source) + f""", g as (select y, {guess} as yhat from p),
 c as (select class, sum((y = class and yhat = class)::int)::double as tp, sum((y <> class and yhat = class)::int)::double as fp, sum((y = class and yhat <> class)::int)::double as fn from g, range({classes}) k(class) group by class),
 f as (select class, tp, fn, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1 from c)
 select {classes}::int as classes, sum(tp + fn)::bigint as n, round(sum(tp) / sum(tp + fn), 6) as accuracy, round(max(f1) filter (class = 1), 6) as f1, round(avg(f1), 6) as macro_f1 from f"""
@@ -341,6 +341,59 @@ def dpsgd_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.summarized(results).join(spent, ["setting", "mechanism", "epsilon"]))
 
 
+# Grids over all rows: every step is one job for all models.
+
+#: Runs a setting where all rows are trained on.
+ALL_RUNS = 3
+
+
+def _all_rows(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
+    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), y, LINEITEM.key_column(), None, SEED), "rows")
+
+
+def _swept_all(spark: SparkSession, d: str, methods, mechanisms, runs: int, classes: int = 2) -> DataFrame:
+    """``_swept`` on all rows instead of the sample."""
+    rows, features = _all_rows(spark, d, classes), list(LINEITEM.features)
+    long = experiments.train_long(rows, features)
+    settings = experiments.noise_scales(long, budget.weights(budget.scores(long, list(methods))), BUDGETS, features, mechanisms).unionByName(experiments.plain(rows))
+    return grids.sweep(rows, features, settings, "logistic" if classes == 2 else "softmax", runs, classes, seed=SEED)
+
+
+@query("grid_baselines", f"select * from ({_baseline_sql(2, 'lineitem')}) union all select * from ({_baseline_sql(3, 'lineitem')})")
+def grid_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """The rows without noise of grids over all rows: two and three classes."""
+    out = []
+    for classes in (2, 3):
+        rows = _all_rows(spark, d, classes)
+        got = grids.sweep(rows, list(LINEITEM.features), experiments.plain(rows), "logistic" if classes == 2 else "softmax", 1, classes, seed=SEED)
+        out.append(got.select(F.lit(classes).alias("classes"), "n", "accuracy", "f1", "macro_f1"))
+    return rounded(out[0].unionByName(out[1]))
+
+
+@query("grid_sweep")
+def grid_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy and F1 after input perturbation of all rows, by budget method, mechanism and total."""
+    return rounded(experiments.summarized(_swept_all(spark, d, ("uniform", "mi"), noise.MECHANISMS, ALL_RUNS)))
+
+
+@query("grid_multiclass")
+def grid_multiclass(spark: SparkSession, d: str) -> DataFrame:
+    """The same for three classes and all budget methods, with each class's recall."""
+    return rounded(classes_table(_swept_all(spark, d, budget.METHODS, ("laplace",), ALL_RUNS, 3), ("A", "N", "R")))
+
+
+@query("grid_descent")
+def grid_descent(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy descent on all rows by total budget: noise, budget spent, accuracy and F1."""
+    rows = _all_rows(spark, d)
+    settings = accounting.grid(spark, setting=["sgd"], mechanism=["gaussian"], epsilon=list(BUDGETS)).withColumn("scales", F.array().cast("array<double>"))
+    results = grids.sweep(rows, list(LINEITEM.features), settings, "private", SGD_RUNS, seed=SEED)
+    return rounded(results.groupBy("epsilon").agg(
+        F.count("*").alias("runs"), F.max("n").alias("n"), F.max("sigma").alias("sigma"), F.max("spent").alias("spent"), F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_std"), F.avg("f1").alias("f1")
+    ))
+
+
 _METHOD_NAMES = {"uniform": "Input-Uniform", "mi": "Input-MI-Weighted", "sgd": "DP-SGD"}
 
 

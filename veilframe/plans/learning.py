@@ -168,10 +168,10 @@ def _evaluated(test: DataFrame, weights, name: str) -> DataFrame:
 _SAMPLE_SQL = f"(select * from lineitem order by md5('{SEED}|' || {_KEY_SQL}) limit {experiments.SAMPLE_ROWS})"
 
 
-def _recursive(classes: int, source: str = "lineitem") -> str:
+def _recursive(classes: int, source: str = "lineitem", label: str | None = None) -> str:
     """The data and 200 full gradient steps as SQL: w(step, w) with the weights of all classes one after the other."""
     features = LINEITEM.features
-    y = "(l_returnflag = 'R')::int" if classes == 2 else "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end"
+    y = label or ("(l_returnflag = 'R')::int" if classes == 2 else "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end")
     key = f"concat_ws('|', {', '.join(f'{k}::varchar' for k in LINEITEM.key)})"
     d, models = len(features) + 1, 1 if classes == 2 else classes
     scaled = ", ".join(f"({f} - avg({f}) filter (not test) over ()) / (stddev_pop({f}) filter (not test) over () + 1e-8) as x{j}" for j, f in enumerate(features))
@@ -247,9 +247,9 @@ def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).groupBy("y", "test").agg(F.count("*").alias("n"))
 
 
-def _baseline_sql(classes: int, source: str = _SAMPLE_SQL) -> str:
+def _baseline_sql(classes: int, source: str = _SAMPLE_SQL, label: str | None = None) -> str:
     guess = "(z0 >= 0)::int" if classes == 2 else "case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end"
-    return _recursive(classes, source) + f""", g as (select y, {guess} as yhat from p),
+    return _recursive(classes, source, label) + f""", g as (select y, {guess} as yhat from p),
 c as (select class, sum((y = class and yhat = class)::int)::double as tp, sum((y <> class and yhat = class)::int)::double as fp, sum((y = class and yhat <> class)::int)::double as fn from g, range({classes}) k(class) group by class),
 f as (select class, tp, fn, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1 from c)
 select {classes}::int as classes, sum(tp + fn)::bigint as n, round(sum(tp) / sum(tp + fn), 6) as accuracy, round(max(f1) filter (class = 1), 6) as f1, round(avg(f1), 6) as macro_f1 from f"""
@@ -341,14 +341,19 @@ def dpsgd_experiment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.summarized(results).join(spent, ["setting", "mechanism", "epsilon"]))
 
 
-# Grids over all rows: every step is one job for all models.
+# Grids over all rows: every step is one job for all models. The label is the revenue of a line item, high or not, or in three
+# classes, which the features tell in part.
 
 #: Runs a setting where all rows are trained on.
 ALL_RUNS = 3
+_HIGH, _PER_CLASS = 35_000.0, 25_000.0
+_REVENUE_SQL = "(l_extendedprice::double * (1 - l_discount::double))"
+_REVENUE_LABELS = {2: f"({_REVENUE_SQL} > {_HIGH})::int", 3: f"least(2, floor({_REVENUE_SQL} / {_PER_CLASS}))::int"}
 
 
 def _all_rows(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
-    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    revenue = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))
+    y = (revenue > _HIGH).cast("int") if classes == 2 else F.least(F.lit(2), F.floor(revenue / _PER_CLASS)).cast("int")
     return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), y, LINEITEM.key_column(), None, SEED), "rows")
 
 
@@ -360,7 +365,7 @@ def _swept_all(spark: SparkSession, d: str, methods, mechanisms, runs: int, clas
     return grids.sweep(rows, features, settings, "logistic" if classes == 2 else "softmax", runs, classes, seed=SEED)
 
 
-@query("grid_baselines", f"select * from ({_baseline_sql(2, 'lineitem')}) union all select * from ({_baseline_sql(3, 'lineitem')})")
+@query("grid_baselines", " union all ".join(f"select * from ({_baseline_sql(c, 'lineitem', label)})" for c, label in _REVENUE_LABELS.items()))
 def grid_baselines(spark: SparkSession, d: str) -> DataFrame:
     """The rows without noise of grids over all rows: two and three classes."""
     out = []
@@ -380,7 +385,7 @@ def grid_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("grid_multiclass")
 def grid_multiclass(spark: SparkSession, d: str) -> DataFrame:
     """The same for three classes and all budget methods, with each class's recall."""
-    return rounded(classes_table(_swept_all(spark, d, budget.METHODS, ("laplace",), ALL_RUNS, 3), ("A", "N", "R")))
+    return rounded(classes_table(_swept_all(spark, d, budget.METHODS, ("laplace",), ALL_RUNS, 3), ("low", "middle", "high")))
 
 
 @query("grid_descent")

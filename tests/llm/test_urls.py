@@ -9,6 +9,13 @@ def test_query_equals_sql(spark, sf_dir):
     assert compare(spark, queries.queries()["op10_url_filter"], queries.SQL["op10_url_filter"], sf_dir) > 0
 
 
+def test_walks_equal_sql_and_decide(spark, sf_dir):
+    assert compare(spark, queries.queries()["url_walks"], queries.SQL["url_walks"], sf_dir) > 0
+    rows = queries.queries()["url_walks"](spark, sf_dir).collect()
+    free = [r for r in rows if r.rule is None]
+    assert {r.verdict for r in free} == {"allow", "block"} and any(r.trust > 0 and r.distrust > 0 for r in free)
+
+
 LINKED = [
     (1, "https://good.example.com/a", '<a href="http://friend.org/x">f</a> <a href=//other.org>o</a>'),
     (2, "http://bad.example.com/en/1", "<a href='https://victim.org/'>v</a>"),

@@ -48,6 +48,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Rules of ``url_walks``: trust starts at the first level of its hosts, distrust at the last, and two hosts between have their own.
+WALK_RULES = (
+    urls.Rule("allow", "l0.org", "/a"),
+    urls.Rule("block", "l8.org", "/b"),
+    urls.Rule("allow", "n1.l4.org", "/"),
+    urls.Rule("block", "n2.l4.org", "/"),
+)
+
+
+def _walk_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of a graph of hosts that follows from the page ids: four pages a host, nine levels, each page links to
+    its host's own place on the next level, to the place half as far, and to one of five hosts that a level's pages share."""
+    level, place = F.col("page_id") % 9, F.floor(F.col("page_id") / 36)
+    link = lambda to: F.concat(F.lit('<a href="http://n'), to.cast("string"), F.lit(".l"), (level + 1).cast("string"), F.lit('.org/">x</a>'))
+    url = F.concat(F.lit("https://n"), place.cast("string"), F.lit(".l"), level.cast("string"), F.lit(".org/"), F.substring(F.lit("abc"), (F.col("page_id") % 3 + 1).cast("int"), F.lit(1)))
+    html = F.when(level < 8, F.concat(link(place), link(F.floor(place / 2)), link(F.col("page_id") * 7 % 5)))
+    return pages.select("page_id", url.alias("url"), html.alias("html"))
+
+
+def url_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 where the walks decide: the longest way has eight links, so the SQL's steps are enough."""
+    rows = urls.verdicts(_walk_pages(table(spark, sf_dir, "pages")), rules=WALK_RULES)
+    return rows.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search.top_k(vectors, vectors.where(search.every("vec_id", 50)))
@@ -222,17 +247,19 @@ def _propagation_sql() -> str:
 
 
 _FITS = "(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
-_LONGEST = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
 _HOST = "translate(regexp_extract({url}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-SQL["op10_url_filter"] = rf"""
+
+def _urls_sql(rules, pages: str = "pages", more: str = "") -> str:
+    longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
+    return rf"""
 with p as (
   select page_id, html, coalesce({_HOST.format(url="url")}, '') as host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
-  from pages),
+  from {pages}),
 r as (
-  select *, case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.name}'" for r in _LONGEST)} end as rule,
-         case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.verdict}'" for r in _LONGEST)} end as ruled
+  select *, case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.name}'" for r in longest)} end as rule,
+         case {" ".join(f"when {_FITS.format(host=r.host, path=r.path)} then '{r.verdict}'" for r in longest)} end as ruled
   from p),
 u as (select page_id, host as src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) as url from p),
 k as (select distinct page_id, src, {_HOST.format(url="case when starts_with(url, '//') then 'http:' || url else url end")} as dst from u),
@@ -249,10 +276,22 @@ f as (
   select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust
   from s{urls.ROUNDS} group by host)
 select page_id, r.host, path, rule,
-       coalesce(ruled, case when coalesce(distrust, 0) > {urls.THRESHOLD} * coalesce(trust, 0) then 'block' else 'allow' end) as verdict
+       coalesce(ruled, case when coalesce(distrust, 0) > {urls.THRESHOLD} * coalesce(trust, 0) then 'block' else 'allow' end) as verdict{more}
 from r left join f on r.host = f.host
 """
 
+
+SQL["op10_url_filter"] = _urls_sql(urls.RULES)
+
+_LINK_SQL = "'<a href=\"http://n' || {to} || '.l' || (level + 1) || '.org/\">x</a>'"
+SQL["url_walks"] = _urls_sql(
+    WALK_RULES,
+    f"""(select page_id, 'https://n' || place || '.l' || level || '.org/' || ['a', 'b', 'c'][page_id % 3 + 1] as url,
+         case when level < 8 then {" || ".join(_LINK_SQL.format(to=to) for to in ("place", "(place // 2)", "(page_id * 7 % 5)"))} end as html
+         from (select page_id, page_id % 9 as level, page_id // 36 as place from pages))""",
+    ", round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust",
+)
+
 _SIZES = " ".join(f"when '{role}' then {len(''.join(marks))}" for role, marks in chat.MARKS.items())
 _OTHER = f"{len(chat.ROLE + chat.ROLE_END + chat.END)} + length(role) + len(regexp_extract_all(role, e))"
 
@@ -343,7 +382,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = {name: f for name, f in globals().items() if (name.startswith("op") or name in ("ledger_ablations", "counts_from_cache")) and callable(f)}
+    own = {name: f for name, f in globals().items() if (name.startswith("op") or name in ("ledger_ablations", "counts_from_cache", "url_walks")) and callable(f)}
     return {name: _shipped(f) for name, f in own.items()}
 
 

@@ -62,7 +62,7 @@ def _walk_pages(pages: DataFrame) -> DataFrame:
     its host's own place on the next level, to the place half as far, and to one of five hosts that a level's pages share."""
     level, place = F.col("page_id") % 9, F.floor(F.col("page_id") / 36)
     link = lambda to: F.concat(F.lit('<a href="http://n'), to.cast("string"), F.lit(".l"), (level + 1).cast("string"), F.lit('.org/">x</a>'))
-    url = F.concat(F.lit("https://n"), place.cast("string"), F.lit(".l"), level.cast("string"), F.lit(".org/"), F.substring(F.lit("abc"), (F.col("page_id") % 3 + 1).cast("int"), F.lit(1)))
+    url = F.concat(F.lit("https://n"), place.cast("string"), F.lit(".l"), level.cast("string"), F.lit(".org/"), F.substring(F.lit("abc"), (F.floor(F.col("page_id") / 9) % 3 + 1).cast("int"), F.lit(1)))
     html = F.when(level < 8, F.concat(link(place), link(F.floor(place / 2)), link(F.col("page_id") * 7 % 5)))
     return pages.select("page_id", url.alias("url"), html.alias("html"))
 
@@ -270,7 +270,7 @@ moves as (
 h as (
   select host, count(*) filter (ruled = 'allow') as a, count(*) filter (ruled = 'block') as b from r where host <> '' group by host),
 start as (
-  select 'trust' as kind, host, a / sum(a) over () as score from h union all select 'distrust', host, b / sum(b) over () from h),
+  select 'trust' as kind, host, coalesce(a / nullif(sum(a) over (), 0), 0) as score from h union all select 'distrust', host, b / sum(b) over () from h),
 {_propagation_sql()},
 f as (
   select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust
@@ -286,7 +286,7 @@ SQL["op10_url_filter"] = _urls_sql(urls.RULES)
 _LINK_SQL = "'<a href=\"http://n' || {to} || '.l' || (level + 1) || '.org/\">x</a>'"
 SQL["url_walks"] = _urls_sql(
     WALK_RULES,
-    f"""(select page_id, 'https://n' || place || '.l' || level || '.org/' || ['a', 'b', 'c'][page_id % 3 + 1] as url,
+    f"""(select page_id, 'https://n' || place || '.l' || level || '.org/' || ['a', 'b', 'c'][page_id // 9 % 3 + 1] as url,
          case when level < 8 then {" || ".join(_LINK_SQL.format(to=to) for to in ("place", "(place // 2)", "(page_id * 7 % 5)"))} end as html
          from (select page_id, page_id % 9 as level, page_id // 36 as place from pages))""",
     ", round(coalesce(trust, 0), 9) as trust, round(coalesce(distrust, 0), 9) as distrust",

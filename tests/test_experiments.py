@@ -132,3 +132,12 @@ def test_scores_by_hand():
     accuracy, f1, macro, recalls = experiments.scored(y, guess, 4)
     assert accuracy == 0.5 and f1 == pytest.approx(2 / 3) and macro == pytest.approx((2 / 5 + 2 / 3 + 0 + 0) / 4)
     assert recalls == [0.5, pytest.approx(2 / 3), 0.0, None]
+
+
+def test_running_budgets_are_never_broadcast(spark):
+    log = spark.range(3000).select((F.col("id") % 2).alias("who"), "id", F.lit("laplace").alias("mechanism"), F.lit(0.01).alias("epsilon"), F.lit(1.0).alias("sensitivity"), F.lit(1.0).alias("sigma"), F.lit(1.0).alias("sampling_rate"))
+    made = accounting.running(log, "id", by=["who"])
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().sparkPlan().toString()
+    total = {r.who: r.epsilon for r in made.where("id >= 2998").collect()}
+    every = accounting.best(accounting.curve(log, by=["who"]), ["who"])
+    assert total == pytest.approx({r.who: r.epsilon for r in every.collect()})

@@ -150,10 +150,13 @@ def spent(log: DataFrame, delta: float = noise.DELTA, by: Sequence[str] = ()) ->
 
 def running(log: DataFrame, order: str, delta: float = noise.DELTA, by: Sequence[str] = ()) -> DataFrame:
     """by, order (a number), epsilon: the Renyi bound after each query of every group's log, by running sums over slices of the order."""
-    rows = log.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS])))
-    one = log_rdp(*[F.col(c) for c in ("mechanism", "alpha", "epsilon", "sensitivity", "sigma", "sampling_rate")])
-    summed = longform.running_sum(rows.select(*by, order, "alpha", one.alias("cost")), [*by, "alpha"], order, "cost", "before")
-    return summed.withColumn("rdp", F.col("before") + F.col("cost")).groupBy(*by, order).agg(F.min(to_epsilon(F.col("rdp"), F.col("alpha"), delta)).alias("epsilon"))
+    costs, before = ([f"{name}{i}_" for i in range(len(ALPHAS))] for name in ("cost", "before"))
+    given = [F.col(c) for c in ("epsilon", "sensitivity", "sigma", "sampling_rate")]
+    each = [log_rdp(F.col("mechanism"), F.lit(float(a)), *given).alias(c) for a, c in zip(ALPHAS, costs, strict=True)]
+    # a column an order: as rows, the log would be moved and sorted once an order
+    summed = longform.running_sum(log.select(*by, order, *each), by, order, costs, before)
+    least = F.least(*[to_epsilon(F.col(b) + F.col(c), F.lit(float(a)), delta) for a, b, c in zip(ALPHAS, before, costs, strict=True)])
+    return summed.select(*by, order, least.alias("epsilon")).groupBy(*by, order).agg(F.min("epsilon").alias("epsilon"))
 
 
 def composition(spark: SparkSession, epsilons: Sequence[float], ks: Sequence[int], delta: float = noise.DELTA) -> DataFrame:

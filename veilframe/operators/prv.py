@@ -4,15 +4,16 @@ A release is a Laplace or Gaussian one, of all rows or of a Poisson sample of th
 removed and for one that is added, which differ where rows are sampled; the worse result counts.
 
 1. The distinct releases of a group's log are counted behind partial aggregation.
-2. Each one's loss is cut into ``FINE`` cells and rounded up. Its log moments at a fixed list of orders are summed by group; by Chernoff's
-   bound they tell the window in which the group's total loss lies but for a tail, and its width the step of the group's grid.
-3. Each one's loss is rounded to the nearest cell of that grid, its spectrum raised to its count and multiplied into the group's: within
-   tasks first, at most ``PART`` releases in a part, then part by part. One inverse transform a group gives the total.
+2. Each one's loss is cut into ``FINE`` cells, even in what the release adds its noise to. Its log moments at a fixed list of orders are summed by
+   group; by Chernoff's bound they tell the window in which the group's total loss lies but for a tail, and its width the step of the group's grid.
+3. Each cell's mass goes to the two points of that grid around the cell, such that its mean of exp(-loss) stays; the release's spectrum is raised
+   to its count and multiplied into the group's: within tasks first, at most ``PART`` releases in a part, then part by part. One inverse transform
+   a group gives the total.
 
-The grid has ``CELLS`` cells around the sum whatever the number of releases, so memory doesn't grow with it. What the grid does is accounted
-for, so that bounds stay upper bounds: rounding to cells errs by no more than a step in each release, independently and without
-bias once the mean is put back, so by Hoeffding's bound the total errs by little more than step * sqrt(k) but for a small share; this shift goes into
-the budget, and that share, what the transform wraps around (by Chernoff's bound on the rounded losses) and its rounding into delta.
+The grid has ``CELLS`` cells around the sum whatever the number of releases, so memory doesn't grow with it. Bounds stay upper bounds: delta is the
+mean of a convex function of exp(-total loss), a product of independent factors, so spreading a factor's mass around its mean never makes it
+less ("connecting the dots", Doroshenko and others 2022). What it makes more is of second order in the step, so nothing adds up with the number
+of releases, as rounding up would. What the transform wraps around (by Chernoff's bound on the spread losses) and its rounding go into delta, of which ``MARGIN`` is kept back.
 
 Defined results: an unknown mechanism raises; a sampling rate that is null counts as 1, and of 0 or less as no release; a
 budget, sensitivity or deviation that is null, NaN or not above 0 raises, but a sensitivity of 0 is no release; an empty log gives no
@@ -43,8 +44,8 @@ CELLS = 1 << 18
 PART = 4096
 #: Deviations of a Gaussian release that its cells cover; what lies above counts as an infinite loss.
 REACH = 12.0
-#: Shares of delta that the grid's errors may take.
-SHIFT_SHARE, TAIL_SHARE = 1e-4, 1e-5
+#: The share of delta that the window's tails may take, and what is kept back of it for the arithmetic.
+TAIL_SHARE, MARGIN = 1e-5, 5e-3
 ORDERS = np.array([s * 2 ** (j / 2) for s in (-1, 1) for j in range(-28, 29)])
 _BISECTIONS = 60
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -77,46 +78,50 @@ class Loss:
     def __init__(self, release: Release, added: bool):
         self.release, self.added = release, added
         laplace, level = release.mechanism == "laplace", release.level
-        ends = (0.0, 1.0) if laplace else (-REACH * level, 1 + REACH * level)
-        ends = [self._at(x) for x in ends]
+        self.ends = (0.0, 1.0) if laplace else (-REACH * level, 1 + REACH * level)
+        ends = [float(v) for v in self._at(np.array(self.ends))]
         self.low, self.high = (-ends[1], -ends[0]) if added else ends
 
-    def _at(self, x: float) -> float:
+    def _at(self, x: np.ndarray) -> np.ndarray:
+        """The logarithm of the ratio at x."""
         mechanism, level, q = self.release
         y = level * (2 * x - 1) if mechanism == "laplace" else (2 * x - 1) / (2 * level * level)
-        return y if q >= 1 else float(np.logaddexp(math.log1p(-q), math.log(q) + y))
+        # near 1 the ratio's logarithm is that of a small excess
+        return y if q >= 1 else np.where(y < 30, np.log1p(q * np.expm1(np.minimum(y, 30))), np.logaddexp(math.log1p(-q), math.log(q) + y))
 
-    def _x(self, t: np.ndarray) -> np.ndarray:
-        """Where the logarithm of the ratio is t."""
-        mechanism, level, q = self.release
-        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-            y = t if q >= 1 else np.where(t > 30, t + np.log1p(-(1 - q) * np.exp(-np.maximum(t, 0))) - math.log(q), np.log1p(np.maximum(np.expm1(np.minimum(t, 30)) / q, -1.0)))
-        return np.clip((y / level + 1) / 2, 0.0, 1.0) if mechanism == "laplace" else (2 * level * level * y + 1) / 2
+    def _share(self, x: np.ndarray, at: float) -> np.ndarray:
+        """P(a < X <= b) for neighbours a, b of x, noise around ``at``, from the nearer tail."""
+        mechanism, level, _ = self.release
+        of, u = (_laplace_upto, (x - at) * level) if mechanism == "laplace" else (_normal_upto, (x - at) / level)
+        upto, beyond = of(u), of(-u)
+        return np.where(upto[1:] < 0.5, np.diff(upto), -np.diff(beyond))
+
+    def cells(self, n: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """Each cell's least and greatest loss, its mass p, its mass under the other distribution, p less that, and the mass of infinite losses.
 
-    def _shares(self, x: np.ndarray, upper: bool) -> np.ndarray:
-        """P(X <= x), or P(X > x) without cancellation."""
+        The first cell is what lies below all others, moved up to the least loss; of a Laplace release the last is the greatest loss, an atom.
+        """
         mechanism, level, q = self.release
-        s = -1.0 if upper else 1.0
-        of = (lambda at: _laplace_upto(s * (x - at) * level)) if mechanism == "laplace" else (lambda at: _normal_upto(s * (x - at) / level))
-        return of(0.0) if self.added else (1 - q) * of(0.0) + q * of(1.0)
-
-    def cells(self, n: int = FINE) -> tuple[np.ndarray, np.ndarray, float]:
-        """Cells, their probabilities with each loss moved up to its cell's upper edge, and the mass above."""
-        z = np.linspace(self.low, self.high, n + 1)
-        x = self._x(-z if self.added else z)
-        upto, beyond = self._shares(x, upper=self.added), self._shares(x, upper=not self.added)
-        if self.release.mechanism == "laplace":
-            upto[-1], beyond[-1] = 1.0, 0.0  # the greatest loss is an atom
-        p = np.where(upto < 0.5, np.diff(upto, prepend=0.0), -np.diff(beyond, prepend=1.0))
-        p[0] = upto[0]
-        return z, np.clip(p, 0.0, None), float(max(beyond[-1], 0.0))
+        x = np.linspace(*self.ends, n + 1)
+        z = self._at(x)
+        upto, scale = (_laplace_upto, level) if mechanism == "laplace" else (_normal_upto, 1 / level)
+        tail = lambda d: upto(np.array([d * scale]))
+        full = [np.concatenate([tail(x[0] - at), self._share(x, at), tail(at - x[-1])]) for at in (0.0, 1.0)]
+        without, more = full[0], q * (full[1] - full[0])  # the other mixture is without + more
+        low, high = np.append(z[0], z), np.append(z, z[-1])
+        if self.added:
+            low, high, without, more = -high[::-1], -low[::-1], without[::-1], more[::-1]
+        p, other, gain = (without, without + more, -more) if self.added else (without + more, without, more)
+        if mechanism == "laplace":
+            return low, high, p, other, gain, 0.0
+        return low[:-1], high[:-1], p[:-1], other[:-1], gain[:-1], float(p[-1])
 
 
 @lru_cache(maxsize=32)
-def _cells(release: Release, added: bool) -> tuple[np.ndarray, np.ndarray, float, float]:
+def _cells(release: Release, added: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, float]:
     loss = Loss(release, added)
-    z, p, above = loss.cells()
-    return z, p, above, math.inf if above > 0 else loss.high
+    *cells, above = loss.cells()
+    return *cells, above, math.inf if above > 0 else loss.high
 
 
 def _log_moments(z: np.ndarray, p: np.ndarray, width: int = 1024) -> np.ndarray:
@@ -138,64 +143,64 @@ class Total:
         self.step, self.cells = step, cells
         self.spectrum = np.ones(cells // 2 + 1, complex)
         self.moments = np.zeros(len(ORDERS))
-        #: releases; the mean that rounding took; ln of the chance that no loss is infinite; least and greatest sums of rounded losses; the greatest sum of losses
-        self.k, self.bias, self.finite, self.low, self.high, self.most = 0, 0.0, 0.0, 0, 0, 0.0
+        #: releases; ln of the chance that no loss is infinite; least and greatest sums of spread losses; the greatest sum of losses
+        self.k, self.finite, self.low, self.high, self.most = 0, 0.0, 0, 0, 0.0
 
     def add(self, release: Release, added: bool, k: int) -> None:
-        z, p, above, most = _cells(release, added)
-        at = np.rint(z / self.step).astype(np.int64)
-        mass = p.sum()
-        self.spectrum *= np.fft.rfft(np.bincount(at % self.cells, weights=p, minlength=self.cells)) ** k
-        self.bias += k * float((p * (z - at * self.step)).sum() / mass)
+        low, high, p, other, gain, above, most = _cells(release, added)
+        lo = np.floor(low / self.step).astype(np.int64)
+        hi = np.maximum(np.ceil(high / self.step).astype(np.int64), lo + 1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            # p - other exp(lower point), with p's small difference to the other mass kept apart
+            up = (gain - other * np.expm1(lo * self.step)) / -np.expm1((lo - hi) * self.step)
+        up = np.where((other > 1e-290) & np.isfinite(up), np.clip(up, 0.0, p), p)
+        at, mass = np.concatenate([lo, hi]), np.concatenate([p - up, up])
+        self.spectrum *= np.fft.rfft(np.bincount(at % self.cells, weights=mass, minlength=self.cells)) ** k
         self.finite += k * math.log1p(-above)
-        self.moments += k * _log_moments(at * self.step, p)
-        used = np.flatnonzero(p)
-        self.low, self.high = self.low + k * int(at[used[0]]), self.high + k * int(at[used[-1]])
+        self.moments += k * np.logaddexp(_log_moments(lo * self.step, p - up), _log_moments(hi * self.step, up))
+        used = at[mass > 0]
+        self.low, self.high = self.low + k * int(used.min()), self.high + k * int(used.max())
         self.k, self.most = self.k + k, self.most + k * most
 
     def parts(self) -> tuple:
-        return self.k, self.bias, self.finite, self.low, self.high, self.most
+        return self.k, self.finite, self.low, self.high, self.most
 
     def merge(self, spectrum: np.ndarray, moments: np.ndarray, parts: Sequence) -> None:
         self.spectrum *= spectrum
         self.moments += moments
-        self.k, self.bias, self.finite, self.low, self.high, self.most = (a + b for a, b in zip(self.parts(), parts, strict=True))
+        self.k, self.finite, self.low, self.high, self.most = (a + b for a, b in zip(self.parts(), parts, strict=True))
 
     def curve(self, low: float, high: float, delta: float) -> Curve:
         """``low`` .. ``high``: where the sum of losses lies but for a tail."""
-        middle = ((low + high) / 2 - self.bias) / self.step
-        first = math.floor(middle) - self.cells // 2
+        first = math.floor((low + high) / 2 / self.step) - self.cells // 2
         p = np.roll(np.clip(np.fft.irfft(self.spectrum, self.cells), 0.0, None), -(first % self.cells))
-        z = (first + np.arange(self.cells)) * self.step + self.bias
+        z = (first + np.arange(self.cells)) * self.step
         outside = 0.0
         for side, end, covered in ((1, first + self.cells, self.high < first + self.cells), (-1, first - 1, self.low >= first)):
             if not covered:
                 orders = ORDERS * side > 0
                 outside += math.exp(min(0.0, float((self.moments[orders] - ORDERS[orders] * end * self.step).min())))
-        share = SHIFT_SHARE * delta
-        shift = self.step * math.sqrt(self.k / 2 * math.log(1 / share))
-        return Curve(z, p, shift, -math.expm1(self.finite) + outside + share + 1e-15 * (self.k + 64), self.most)
+        return Curve(z, p, -math.expm1(self.finite) + outside + MARGIN * delta + 1e-15 * (self.k + 64), self.most)
 
 
 class Curve(NamedTuple):
-    """Cells and probabilities of the total loss; how much greater it may be; what delta has besides; and the greatest total loss."""
+    """Cells and probabilities of the total loss; what delta has besides; and the greatest total loss."""
 
     z: np.ndarray
     p: np.ndarray
-    shift: float
     besides: float
     most: float
 
     def delta(self, epsilon: float) -> float:
         if epsilon >= self.most:
             return 0.0
-        gain = -np.expm1(np.minimum(epsilon - self.shift - self.z, 0.0))
+        gain = -np.expm1(np.minimum(epsilon - self.z, 0.0))
         return min(1.0, float((self.p * gain).sum()) + self.besides)
 
     def epsilon(self, delta: float) -> float:
         if self.delta(0.0) <= delta:
             return 0.0
-        low, high = 0.0, float(self.z[-1]) + self.shift
+        low, high = 0.0, float(self.z[-1])
         if self.delta(high) > delta:
             return self.most
         for _ in range(_BISECTIONS):
@@ -216,8 +221,8 @@ def _step(low: float, high: float, cells: int) -> float:
 
 def _facts(release: Release, added: bool, k: int) -> tuple[np.ndarray, float, float]:
     """k times the log moments, and the least and greatest sum."""
-    z, p, _, _ = _cells(release, added)
-    return k * _log_moments(z, p), k * float(z[0]), k * float(z[-1])
+    low, high, p, *_ = _cells(release, added)
+    return k * _log_moments((low + high) / 2, p), k * float(low[0]), k * float(high[-1])
 
 
 def curve(releases: dict[Release, int], added: bool, delta: float = noise.DELTA, cells: int = CELLS) -> Curve:
@@ -274,7 +279,7 @@ def _spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
-_PARTS = ("k", "bias", "finite", "low", "high", "most")
+_PARTS = ("k", "finite", "low", "high", "most")
 
 
 def releases(log: DataFrame, by: Sequence[str] = (), count: str | None = None) -> DataFrame:

@@ -134,3 +134,10 @@ def test_many_sampled_steps_stay_tighter_than_the_renyi_bound():
     n = 120_000
     q, steps = 16 / n, 5 * n // 16
     assert prv.sampled_gaussian(q, 1.0, steps) < 0.2 < accounting.poisson_epsilon(q, 1.0, steps)
+
+
+@pytest.mark.parametrize("k", [16_000, 960_000])
+def test_many_gaussian_releases_stay_near_their_exact_curve(k):
+    made, m = prv.curve({R("gaussian", 200.0): k}, False, 1e-6), math.sqrt(k) / 200
+    for e in (0.05, 0.2):
+        assert gaussian_delta(m, e) <= made.delta(e) <= 1.001 * gaussian_delta(m, e)

@@ -8,6 +8,7 @@ import pytest
 
 from veilframe.operators import experiments
 from veilframe.plans import learning, marts
+from veilframe.plans.bindings import rounded
 
 ACCURACY = {"uniform": [0.50, 0.52, 0.51, 0.49, 0.53, 0.50], "mi": [0.60, 0.61, 0.59, 0.62, 0.63, 0.64], "sgd": [0.9, 0.9, 0.9, 0.9, 0.9, 0.9]}
 
@@ -60,3 +61,11 @@ def test_loose_results_have_no_test(spark, results):
     both = same.unionByName(same.selectExpr("'mi' as setting", *[c for c in results.columns if c != "setting"]))
     (r,) = experiments.compared(both).collect()
     assert (r.setting, r.n, r.delta_pp, r.p) == ("mi", 6, 0.0, 1.0)
+
+
+def test_penalties_over_errors_rounded_to_nothing(spark):
+    local = spark.createDataFrame([("v", 0.5, 0.6469), ("v", 4.0, 0.0809), ("w", 4.0, 0.0), ("w", 1.0, None)], "feature string, epsilon double, local_error double")
+    central = spark.createDataFrame([("v", 0.5, 0.0003), ("v", 4.0, 0.0), ("w", 4.0, 0.0), ("w", 1.0, 0.0)], "feature string, epsilon double, central_error double")
+    got = {(r.feature, r.epsilon): (r.penalty, r.penalty_db) for r in rounded(marts.penalties(local, central), 4, penalty=2, penalty_db=3).collect()}
+    assert got["v", 0.5] == (2156.33, 33.337) and got["v", 4.0] == (math.inf, math.inf) and got["w", 1.0] == (None, None)
+    assert math.isnan(got["w", 4.0][0]) and math.isnan(got["w", 4.0][1])

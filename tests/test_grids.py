@@ -118,3 +118,16 @@ def test_each_step_of_private_descent_by_hand(spark, rows):
 def test_empty_tables(spark, rows):
     got = grids.sweep(rows.where("false"), FEATURES, settings(spark, ("p", "laplace", 1.0, [2.0, 0.5])), "logistic", 1, steps=3).collect()
     assert [(r.n, r.accuracy, r.recalls) for r in got] == [(0, 0.0, [None, None])]
+
+
+def test_equal_rows_are_computed_once_and_drawn_each(spark):
+    df = spark.range(2000).select(F.array((F.col("id") % 5).cast("double"), F.lit(1.5)).alias("x"), (F.col("id") % 2).cast("int").alias("y"), ((F.hash("id") % 1000 + 1000.5) / 2000).alias("u"))
+    data = ml.packed(df)
+    blocks = [block for b in data.blocks.toArrow().to_batches() for block in ml.unpacked(b)]
+    assert sum(len(k) for _, _, k, _ in blocks) <= 10 * data.tasks + 10 and sum(k.sum() for _, _, k, _ in blocks) == sum(len(u) for *_, u in blocks) == 2000
+    x, y, u = (np.array([r[c] for r in df.collect()]) for c in ("x", "y", "u"))
+    w, ones = np.array([[0.3, -0.2, 0.1]]), np.ones(2000)
+    for clip, rate in ((None, 1.0), (0.5, 0.3)):
+        total, n = ml._sums(data, w, clip, rate, 7, 11)
+        take = ml.drawn(u, rate, 7, 11)
+        assert n == take.sum() and total == pytest.approx(ml.gradient_sum(w, np.column_stack([x, ones])[take], y[take], clip), abs=1e-9)

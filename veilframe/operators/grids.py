@@ -64,12 +64,9 @@ def models(settings: DataFrame, runs: int, repeated: bool = False, seed: int = 4
 
 
 def packed(rows: DataFrame, features: Sequence[str]) -> ml.Packed:
-    """Blocks of rows (key, features, y), dealt by the rows' own uniforms over all cores where fewer partitions come in."""
+    """Blocks of rows (key, features, y), with the rows' own uniforms."""
     u = noise.keyed_uniform(0, "batch", F.coalesce(F.col("key").cast("string"), F.lit("")))
     made = rows.select(F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"), F.col("y").cast("int").alias("y"), u.alias("u"))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if made.rdd.getNumPartitions() < cores:
-        made = made.repartition(cores, "u")
     return ml.packed(made)
 
 
@@ -77,31 +74,39 @@ def noisy(x: np.ndarray, u: np.ndarray, model: Model) -> np.ndarray:
     """x (rows, features) with the model's noise, Laplace or Gaussian."""
     if not model.scales:
         return x
-    out, base = np.empty_like(x), ml.mixed(ml.row_bits(u, model.draws), model.draws)
-    uniform = lambda k: ((ml.mixed(base, k) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    out, base = np.empty(x.shape, order="F"), ml.mixed(ml.row_bits(u, model.draws), model.draws)
+
+    def uniform(k):
+        h = ml.mixed(base, k)
+        h >>= np.uint64(12)
+        v = h.astype(np.float64)
+        v += 0.5
+        v *= 2.0**-52
+        return v
+
     for j, scale in enumerate(model.scales):
         first = uniform(2 * j + 1)
         if model.mechanism == "laplace":
-            drawn = -np.sign(first - 0.5) * np.log1p(-2 * np.abs(first - 0.5))
+            # -sign(v) ln(1 - 2 |v|) of v = first - 1/2
+            drawn = np.copysign(np.log(2 * np.minimum(first, 1 - first)), first - 0.5)
         else:
             drawn = np.sqrt(-2 * np.log(first)) * np.cos(2 * np.pi * uniform(2 * j + 2))
-        out[:, j] = x[:, j] + scale * drawn
+        drawn *= scale
+        np.add(x[:, j], drawn, out=out[:, j])
     return out
 
 
-def _summed(data: ml.Packed, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all blocks of ``part(x, y, u)``, a vector of ``size``: one job."""
+def _summed(data: ml.Packed, part: Callable[..., np.ndarray], size: int, own: bool) -> np.ndarray:
+    """The sum over all blocks of ``part(x, y, k, u)``, a vector of ``size``: one job. Only where rows draw (``own``) are their uniforms read."""
 
     def run(batches):
         total = np.zeros(size)
         for b in batches:
-            for i in range(b.num_rows):
-                n = b["n"][i].as_py()
-                x = np.frombuffer(b["x"][i].as_py(), np.float64).reshape(n, -1)
-                total += part(x, np.frombuffer(b["y"][i].as_py(), np.int32), np.frombuffer(b["u"][i].as_py(), np.float64))
+            for block in ml.unpacked(b):
+                total += part(*block)
         yield pa.RecordBatch.from_pydict({"j": pa.array(range(size), pa.int32()), "g": total})
 
-    parts = data.blocks.mapInArrow(run, "j int, g double")
+    parts = (data.blocks if own else data.blocks.drop("u")).mapInArrow(run, "j int, g double")
     if data.tasks * size > DIRECT_VALUES:
         parts = parts.groupBy("j").agg(F.sum("g").alias("g"))
     found, total = parts.toArrow(), np.zeros(size)
@@ -109,37 +114,55 @@ def _summed(data: ml.Packed, part: Callable[[np.ndarray, np.ndarray, np.ndarray]
     return total
 
 
-def scaling(data: ml.Packed, grid: Sequence[Model], n_features: int) -> Scaling:
-    """Means, then deviations around them, of what each model sees: two jobs."""
-    shape = (len(grid), n_features)
-    sums = lambda x, y, u: np.append(np.array([noisy(x, u, m).sum(axis=0) for m in grid]).ravel(), len(x))
-    found = _summed(data, sums, len(grid) * n_features + 1)
-    n, mean = found[-1], (found[:-1] / max(found[-1], 1)).reshape(shape)
-    squares = lambda x, y, u: np.array([((noisy(x, u, m) - mean[i]) ** 2).sum(axis=0) for i, m in enumerate(grid)]).ravel()
-    return Scaling(n, mean, np.sqrt(_summed(data, squares, len(grid) * n_features).reshape(shape) / max(n, 1)) + 1e-8)
+def _draws(grid: Sequence[Model]) -> bool:
+    """Whether any model sees noise."""
+    return any(m.scales for m in grid)
 
 
-def _seen(x: np.ndarray, u: np.ndarray | None, grid: Sequence[Model], scaled: Scaling):
-    """Each model's standardised rows with a last column of ones, one model after the other; noise is left out where u is None."""
-    plain = None
+def _each(x: np.ndarray, k: np.ndarray, u: np.ndarray | None, grid: Sequence[Model]):
+    """What each model sees of a block, and how often: every row by its own noise, or equal rows once."""
+    every = np.repeat(x, k, axis=0) if u is not None and len(u) > len(k) and _draws(grid) else x
     for i, m in enumerate(grid):
-        same = not m.scales  # all models without noise see the same
-        if same and plain is not None:
-            yield i, plain
-            continue
-        rows = (noisy(x, u, m) if u is not None else x) - scaled.mean[i]
-        made = np.column_stack([rows / scaled.deviation[i], np.ones(len(x))])
-        plain = made if same else plain
-        yield i, made
+        yield (i, noisy(every, u, m), None) if m.scales else (i, x, k)
+
+
+def scaling(data: ml.Packed, grid: Sequence[Model], n_features: int) -> Scaling:
+    """Means, then deviations around them, of what each model sees: two jobs."""
+    shape, own = (len(grid), n_features), _draws(grid)
+    total = lambda rows, k: rows.sum(axis=0) if k is None else k @ rows
+    sums = lambda x, y, k, u: np.append(np.array([total(rows, times) for _, rows, times in _each(x, k, u, grid)]).ravel(), k.sum())
+    found = _summed(data, sums, len(grid) * n_features + 1, own)
+    n, mean = found[-1], (found[:-1] / max(found[-1], 1)).reshape(shape)
+    squares = lambda x, y, k, u: np.array([total((rows - mean[i]) ** 2, times) for i, rows, times in _each(x, k, u, grid)]).ravel()
+    return Scaling(n, mean, np.sqrt(_summed(data, squares, len(grid) * n_features, own).reshape(shape) / max(n, 1)) + 1e-8)
+
+
+def _seen(x: np.ndarray, y: np.ndarray, k: np.ndarray, u: np.ndarray | None, grid: Sequence[Model], scaled: Scaling):
+    """Each model's standardised rows with a last column of ones, their labels and how often each counts, one model after the other;
+    noise is left out where u is None."""
+    plain = {}  # all models without noise see the same
+    bare = [m._replace(scales=()) for m in grid] if u is None else grid
+    labels = y if u is None or len(u) == len(k) else np.repeat(y, k)
+    for i, rows, times in _each(x, k, u, bare):
+        same = not grid[i].scales
+        made = plain.get("rows") if same else None
+        if made is None:
+            made = np.empty((len(rows), rows.shape[1] + 1), order="F")
+            np.subtract(rows, scaled.mean[i], out=made[:, :-1])
+            made[:, :-1] /= scaled.deviation[i]
+            made[:, -1] = 1
+            if same:
+                plain["rows"] = made
+        yield i, made, y if times is not None else labels, times
 
 
 def fit(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, classes: int = 2, steps: int = ml.STEPS, rate: float = ml.RATE, l2: float = ml.L2) -> np.ndarray:
     """Weights (models, 1 or classes, features + 1) of regressions by full gradient steps from zero: a job a step."""
-    w = np.zeros((len(grid), 1 if classes == 2 else classes, scaled.mean.shape[1] + 1))
+    w, draws = np.zeros((len(grid), 1 if classes == 2 else classes, scaled.mean.shape[1] + 1)), _draws(grid)
     for _ in range(steps):
         now = w
-        part = lambda x, y, u: np.array([ml.gradient_sum(now[i], rows, y) for i, rows in _seen(x, u, grid, scaled)]).ravel()  # noqa: E731, B023
-        total = _summed(data, part, w.size).reshape(w.shape)
+        part = lambda x, y, k, u: np.array([ml.gradient_sum(now[i], rows, own, None, times) for i, rows, own, times in _seen(x, y, k, u, grid, scaled)]).ravel()  # noqa: E731, B023
+        total = _summed(data, part, w.size, own=draws).reshape(w.shape)
         w = np.array([ml.stepped(w[i], total[i], scaled.n, rate, l2) for i in range(len(grid))])
     return w
 
@@ -154,14 +177,15 @@ def fit_private(
     for step in range(steps):
         now = w
 
-        def part(x, y, u):
-            out = []
-            for i, rows in _seen(x, u, grid, scaled):
-                take = ml.drawn(u, sampling, step, grid[i].draws)  # noqa: B023
-                out.append(ml.gradient_sum(now[i], rows[take], y[take], clip))  # noqa: B023
+        def part(x, y, k, u):
+            out, run = [], ml.runs_of(k, u)
+            for i, rows, own, times in _seen(x, y, k, u, grid, scaled):
+                # rows with noise stand for themselves, others for their run
+                found, k_taken = ml.taken(u, k, sampling, step, grid[i].draws, run if times is not None else None)  # noqa: B023
+                out.append(ml.gradient_sum(now[i], rows[found], own[found], clip, k_taken))  # noqa: B023
             return np.array(out).ravel()
 
-        total = _summed(data, part, w.size).reshape(w.shape)
+        total = _summed(data, part, w.size, own=True).reshape(w.shape)
         for i, sigma in enumerate(sigmas):
             if sigma is None:
                 continue
@@ -174,15 +198,15 @@ def fit_private(
 def hits(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, w: np.ndarray, classes: int) -> np.ndarray:
     """Test rows by model, class and guess: one job."""
 
-    def part(x, y, u):
+    def part(x, y, k, u):
         out = []
-        for i, rows in _seen(x, None, grid, scaled):
+        for i, rows, _, _ in _seen(x, y, k, None, grid, scaled):
             z = rows @ w[i].T
             guess = (z[:, 0] >= 0).astype(np.int64) if len(w[i]) == 1 else z.argmax(axis=1)
-            out.append(np.bincount(y.astype(np.int64) * classes + guess, minlength=classes * classes))
-        return np.concatenate(out).astype(float)
+            out.append(np.bincount(y.astype(np.int64) * classes + guess, weights=k, minlength=classes * classes))
+        return np.concatenate(out)
 
-    return _summed(data, part, len(grid) * classes * classes).reshape(len(grid), classes, classes)
+    return _summed(data, part, len(grid) * classes * classes, own=False).reshape(len(grid), classes, classes)
 
 
 def sweep(

@@ -7,7 +7,7 @@ gradient step is one aggregation over them, of which only sums of the size of th
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -74,17 +74,21 @@ DIRECT_TASKS = 256
 
 
 def _packer(batches):
-    """Rows (x, y, u) to blocks of matrices, so that a step reads numbers and not rows."""
+    """Rows (x, y, u), equal ones beside each other, to blocks of matrices, so that a step reads numbers and not rows: x and y once for each run
+    of equal rows, k the number of its rows, and u of every row."""
     parts, n = [], 0
 
     def block():
         x, y, u = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.RecordBatch.from_pydict({"n": [len(y)], "x": [x.tobytes()], "y": [y.tobytes()], "u": [u.tobytes()]})
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(axis=1) | (y[1:] != y[:-1])))
+        k = np.diff(np.append(first, len(y))).astype(np.int32)
+        return pa.RecordBatch.from_pydict({"n": [len(k)], "x": [x[first].tobytes()], "y": [y[first].tobytes()], "k": [k.tobytes()], "u": [u.tobytes()]})
 
     for b in batches:
         if not b.num_rows:
             continue
-        parts.append((np.array(b["x"].flatten(), np.float64), np.array(b["y"], np.int32), np.array(b["u"], np.float64)))
+        x = np.array(b["x"].flatten(), np.float64)
+        parts.append((x.reshape(b.num_rows, len(x) // b.num_rows), np.array(b["y"], np.int32), np.array(b["u"], np.float64)))
         n += b.num_rows
         if n >= BLOCK_ROWS:
             yield block()
@@ -99,18 +103,36 @@ class Packed(NamedTuple):
 
 
 def packed(rows: DataFrame) -> Packed:
-    """The training rows as a table of blocks."""
-    blocks = runtime.materialize(rows.select("x", "y", "u").mapInArrow(_packer, "n long, x binary, y binary, u binary"), "blocks")
+    """The training rows as a table of blocks.
+
+    Equal rows are brought together, so that a step reads and computes their numbers once; their draws stay their own. Ranges of
+    (hash, u) are dealt, so many equal rows are shared by tasks like others.
+    """
+    tasks = max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
+    near = rows.select("x", "y", "u", F.xxhash64("x", "y").alias("_h")).repartitionByRange(tasks, "_h", "u").sortWithinPartitions("_h", "u")
+    blocks = runtime.materialize(near.select("x", "y", "u").mapInArrow(_packer, "n long, x binary, y binary, k binary, u binary"), "blocks")
     return Packed(blocks, blocks.rdd.getNumPartitions())
 
 
+def unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """x, y, k and, where it was read, u of each block, without copies."""
+    read = lambda c, i, kind: np.frombuffer(b[c][i].as_buffer(), kind)
+    for i in range(b.num_rows):
+        n = b["n"][i].as_py()
+        yield read("x", i, np.float64).reshape(n, -1), read("y", i, np.int32), read("k", i, np.int32), read("u", i, np.float64) if "u" in b.schema.names else None
+
+
 def mixed(h: np.ndarray, word: int) -> np.ndarray:
     """64-bit hashes mixed with a word (the finalizer of SplitMix64)."""
     with np.errstate(over="ignore"):
         h = h + np.uint64(word & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        t = h >> np.uint64(30)
+        for shift, factor in ((27, 0xBF58476D1CE4E5B9), (31, 0x94D049BB133111EB)):
+            h ^= t
+            h *= np.uint64(factor)
+            np.right_shift(h, np.uint64(shift), out=t)
+        h ^= t
+        return h
 
 
 def row_bits(u: np.ndarray, seed: int) -> np.ndarray:
@@ -124,21 +146,35 @@ def drawn(u: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
     A row's draw is a hash of its own uniform, the step and the seed.
     """
     h = mixed(mixed(row_bits(u, seed), step + 1), seed)
-    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < rate
+    return (h >> np.uint64(11)) < np.uint64(math.ceil(rate * (1 << 53)))
 
 
-def gradient_sum(w: np.ndarray, x: np.ndarray, y: np.ndarray, clip: float | None = None) -> np.ndarray:
-    """Summed gradients (1 or classes, features + 1) over rows x (with a last column of ones); each clipped to a length."""
-    z = x @ w.T
+def gradient_sum(w: np.ndarray, x: np.ndarray, y: np.ndarray, clip: float | None = None, k: np.ndarray | None = None) -> np.ndarray:
+    """Summed gradients (1 or classes, features + 1) over rows x (with a last column of ones), each ``k`` times; each clipped to a length."""
+    z = w @ x.T
     if len(w) == 1:
-        err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - (y[:, None] > 0)
+        err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - (y > 0)
     else:
-        p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
-        err = p / p.sum(axis=1, keepdims=True) - np.eye(len(w))[y] if len(z) else z
+        p = np.exp(z - z.max(axis=0))
+        err = p / p.sum(axis=0) - (np.arange(len(w))[:, None] == y)
     if clip is not None:
-        length = np.sqrt((err * err).sum(axis=1) * (x * x).sum(axis=1)) + 1e-10
-        err = err * np.minimum(1, clip / length)[:, None]
-    return err.T @ x
+        err *= np.minimum(1, clip / (np.sqrt((err * err).sum(axis=0) * (x * x).sum(axis=1)) + 1e-10))
+    return (err if k is None else err * k) @ x
+
+
+def taken(u: np.ndarray, k: np.ndarray, rate: float, step: int, seed: int, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal rows of which a step takes some, and how many. run: each row's run, where rows outnumber runs."""
+    rows = np.flatnonzero(drawn(u, rate, step, seed))
+    if run is None:
+        return rows, np.ones(len(rows), np.int64)
+    times = np.bincount(run[rows], minlength=len(k))
+    found = np.flatnonzero(times)
+    return found, times[found]
+
+
+def runs_of(k: np.ndarray, u: np.ndarray) -> np.ndarray | None:
+    """Each row's run, or None where each row is one."""
+    return None if len(k) == len(u) else np.repeat(np.arange(len(k)), k)
 
 
 def _gradient_task(weights: np.ndarray, clip: float | None, rate: float, step: int, seed: int):
@@ -147,15 +183,12 @@ def _gradient_task(weights: np.ndarray, clip: float | None, rate: float, step: i
     def run(batches):
         total, n = np.zeros_like(weights), 0
         for b in batches:
-            for i in range(b.num_rows):
-                rows = b["n"][i].as_py()
-                x = np.frombuffer(b["x"][i].as_py(), np.float64).reshape(rows, -1)
-                y = np.frombuffer(b["y"][i].as_py(), np.int32)
+            for x, y, k, u in unpacked(b):
                 if rate < 1:
-                    take = drawn(np.frombuffer(b["u"][i].as_py(), np.float64), rate, step, seed)
-                    x, y = x[take], y[take]
-                total += gradient_sum(weights, np.column_stack([x, np.ones(len(x))]), y, clip)
-                n += len(x)
+                    found, k = taken(u, k, rate, step, seed, runs_of(k, u))
+                    x, y = x[found], y[found]
+                total += gradient_sum(weights, np.column_stack([x, np.ones(len(x))]), y, clip, k)
+                n += k.sum()
         yield pa.RecordBatch.from_pydict({"j": pa.array(range(weights.size + 1), pa.int32()), "g": np.append(total.ravel(), n)})
 
     return run
@@ -163,7 +196,8 @@ def _gradient_task(weights: np.ndarray, clip: float | None, rate: float, step: i
 
 def _sums(data: Packed, weights: np.ndarray, clip: float | None = None, rate: float = 1.0, step: int = 0, seed: int = 0) -> tuple[np.ndarray, float]:
     """Summed gradient and row count; what reaches the driver is the size of the weights for each of at most DIRECT_TASKS tasks."""
-    parts = data.blocks.mapInArrow(_gradient_task(weights, clip, rate, step, seed), "j int, g double")
+    read = data.blocks if rate < 1 else data.blocks.drop("u")
+    parts = read.mapInArrow(_gradient_task(weights, clip, rate, step, seed), "j int, g double")
     if data.tasks > DIRECT_TASKS:
         parts = parts.groupBy("j").agg(F.sum("g").alias("g"))
     found = parts.toArrow()
@@ -173,8 +207,8 @@ def _sums(data: Packed, weights: np.ndarray, clip: float | None = None, rate: fl
 
 
 def vectors(df: DataFrame, features: Sequence[str], key: Column) -> DataFrame:
-    """x array, y int, u in (0, 1): the layout of training rows, written once."""
-    rows = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col("y").cast("int").alias("y"), noise.keyed_uniform(0, "batch", key).alias("u"))
+    """x array, y int, u in (0, 1): the layout of training rows, written once; ``test``, if df has it, stays."""
+    rows = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col("y").cast("int").alias("y"), noise.keyed_uniform(0, "batch", key).alias("u"), *[c for c in df.columns if c == "test"])
     return runtime.materialize(rows, "vectors")
 
 

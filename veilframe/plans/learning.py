@@ -154,9 +154,10 @@ def _training(spark: SparkSession, d: str, classes: int = 2) -> tuple[DataFrame,
     features = list(LINEITEM.features)
     y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     rows = ml.prepared(LINEITEM.wide(spark, d).withColumn("key", LINEITEM.key_column()).drop("l_shipdate"), features, y).select("key", *features, "y")
-    split = ml.stratified_split(rows, F.col("key"), seed=SEED)
-    scaled = ml.standardized(split, features, ~F.col("test"))
-    return ml.vectors(scaled.where("not test"), features, F.col("key")), ml.vectors(scaled.where("test"), features, F.col("key")), features
+    # written once: the means and both parts read it
+    split = runtime.materialize(ml.stratified_split(rows, F.col("key"), seed=SEED), "split")
+    both = ml.vectors(ml.standardized(split, features, ~F.col("test")), features, F.col("key"))
+    return both.where("not test").drop("test"), both.where("test").drop("test"), features
 
 
 def _evaluated(test: DataFrame, weights, name: str) -> DataFrame:

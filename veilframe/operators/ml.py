@@ -67,8 +67,8 @@ def logistic(features: Column, weights: Sequence[float], bias: float) -> Column:
     return scalars.sigmoid(scalars.dot(features, F.array(*[F.lit(float(w)) for w in weights])) + bias)
 
 
-#: Rows of a packed block.
-BLOCK_ROWS = 65_536
+#: Rows of a packed block: few enough that what a model makes of them stays in a core's cache.
+BLOCK_ROWS = 8192
 #: Tasks up to which their sums go to the driver directly; beyond, Spark adds them up first.
 DIRECT_TASKS = 256
 

@@ -131,3 +131,17 @@ def test_equal_rows_are_computed_once_and_drawn_each(spark):
         total, n = ml._sums(data, w, clip, rate, 7, 11)
         take = ml.drawn(u, rate, 7, 11)
         assert n == take.sum() and total == pytest.approx(ml.gradient_sum(w, np.column_stack([x, ones])[take], y[take], clip), abs=1e-9)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_full_descent_takes_few_passes_and_the_same_steps(spark, rows, classes, monkeypatch):
+    df = rows.withColumn("y", (F.col("y") == 0).cast("int")) if classes == 2 else rows
+    grid = grids.models(settings(spark, ("p", "laplace", 1.0, [2.0, 0.5]), ("none", "none", math.inf, [])), 2)
+    data = grids.packed(df.where("not test"), FEATURES)
+    scaled = grids.scaling(data, grid, 2)
+    jobs, summed = [], grids._summed
+    monkeypatch.setattr(grids, "_summed", lambda *a, **k: jobs.append(1) or summed(*a, **k))
+    got = grids.fit(data, grid, scaled, classes)
+    assert len(jobs) <= 8
+    monkeypatch.setattr(ml, "PASSES", 0)
+    assert len(grid) == 3 and grids.fit(data, grid, scaled, classes, steps=200) == pytest.approx(got, abs=1e-9) and len(jobs) > 200

@@ -1,13 +1,15 @@
 """Training of all models of a grid over all rows, in the same scans.
 
 ``experiments`` trains each model in one task on a sample of bounded size. Here rows are of any number: they are written once in
-packed blocks, and each step is one job for the whole grid, in which every task adds up the gradients of all models over its
+packed blocks, and each job is one for the whole grid, in which every task adds up the gradients of all models over its
 blocks. A grid of 500 models takes as many jobs as one model, so that what a job costs to start is shared.
 
+Full descent needs the gradients of all its steps at a few places only (``ml.descended``), so its noise is drawn in five or six passes, not 200.
+
 No perturbed copy of the rows is stored. The noise of a row, model and feature is a hash of the row's own uniform (which comes from
-its key) and of the model, made anew in each step: it is the same in every step, whatever the partitioning, and after a lost executor.
+its key) and of the model, made anew in each job: it is the same in every job, whatever the partitioning, and after a lost executor.
 
-What reaches the driver in a step has the size of the weights of all models, for each task or, beyond ``DIRECT_VALUES``, once.
+What reaches the driver in a job has the size of the sums of all models, for each task or, beyond ``DIRECT_VALUES``, once.
 
 Defined results: rows with a null label or a feature that doesn't read as a number are left out. Rows without a key draw as one row.
 Repeated rows with different keys count and draw each. Without training rows all weights are zero; without test rows accuracies are 0 and
@@ -21,15 +23,14 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import noise
 from veilframe.operators import accounting, experiments, ml
 
-#: Doubles that go to the driver in a step directly; beyond, Spark adds them up first.
-DIRECT_VALUES = 1 << 20
+#: Doubles that go to the driver in a job directly; beyond, Spark adds them up first.
+DIRECT_VALUES = ml.DIRECT_VALUES
 #: Steps and sampling rate of noisy descent.
 PRIVATE_STEPS, PRIVATE_SAMPLING = 200, 0.05
 
@@ -97,21 +98,7 @@ def noisy(x: np.ndarray, u: np.ndarray, model: Model) -> np.ndarray:
 
 
 def _summed(data: ml.Packed, part: Callable[..., np.ndarray], size: int, own: bool) -> np.ndarray:
-    """The sum over all blocks of ``part(x, y, k, u)``, a vector of ``size``: one job. Only where rows draw (``own``) are their uniforms read."""
-
-    def run(batches):
-        total = np.zeros(size)
-        for b in batches:
-            for block in ml.unpacked(b):
-                total += part(*block)
-        yield pa.RecordBatch.from_pydict({"j": pa.array(range(size), pa.int32()), "g": total})
-
-    parts = (data.blocks if own else data.blocks.drop("u")).mapInArrow(run, "j int, g double")
-    if data.tasks * size > DIRECT_VALUES:
-        parts = parts.groupBy("j").agg(F.sum("g").alias("g"))
-    found, total = parts.toArrow(), np.zeros(size)
-    np.add.at(total, found["j"].to_numpy(), found["g"].to_numpy())
-    return total
+    return ml.summed(data, part, size, own, DIRECT_VALUES)
 
 
 def _draws(grid: Sequence[Model]) -> bool:
@@ -157,14 +144,21 @@ def _seen(x: np.ndarray, y: np.ndarray, k: np.ndarray, u: np.ndarray | None, gri
 
 
 def fit(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, classes: int = 2, steps: int = ml.STEPS, rate: float = ml.RATE, l2: float = ml.L2) -> np.ndarray:
-    """Weights (models, 1 or classes, features + 1) of regressions by full gradient steps from zero: a job a step."""
-    w, draws = np.zeros((len(grid), 1 if classes == 2 else classes, scaled.mean.shape[1] + 1)), _draws(grid)
-    for _ in range(steps):
-        now = w
-        part = lambda x, y, k, u: np.array([ml.gradient_sum(now[i], rows, own, None, times) for i, rows, own, times in _seen(x, y, k, u, grid, scaled)]).ravel()  # noqa: E731, B023
-        total = _summed(data, part, w.size, own=draws).reshape(w.shape)
-        w = np.array([ml.stepped(w[i], total[i], scaled.n, rate, l2) for i in range(len(grid))])
-    return w
+    """Weights (models, 1 or classes, features + 1) of regressions by full gradient steps from zero: a job a pass of ``ml.descended``."""
+    shape = (1 if classes == 2 else classes, scaled.mean.shape[1] + 1)
+    each = ml.sums_size(shape)
+
+    def sums(points: ml.Points) -> list[ml.Sums]:
+        live = [i for i, p in enumerate(points) if len(p)]
+        some, at = [grid[i] for i in live], [points[i] for i in live]
+        own = scaled._replace(mean=scaled.mean[live], deviation=scaled.deviation[live])
+        part = lambda x, y, k, u: np.concatenate([ml.point_sums(at[i], rows, labels, times) for i, rows, labels, times in _seen(x, y, k, u, some, own)])
+        ends = np.cumsum([len(p) * each for p in at])
+        parts = np.split(_summed(data, part, int(ends[-1]), own=_draws(some)), ends[:-1])
+        found = {i: ml.split_sums(total, points[i].shape) for i, total in zip(live, parts, strict=True)}
+        return [(*found[i], scaled.n) if i in found else None for i in range(len(grid))]
+
+    return ml.descended(sums, len(grid), shape, steps, rate, l2)
 
 
 def fit_private(

@@ -145,3 +145,16 @@ def test_full_descent_takes_few_passes_and_the_same_steps(spark, rows, classes,
     assert len(jobs) <= 8
     monkeypatch.setattr(ml, "PASSES", 0)
     assert len(grid) == 3 and grids.fit(data, grid, scaled, classes, steps=200) == pytest.approx(got, abs=1e-9) and len(jobs) > 200
+
+
+def test_rows_taken_by_many_models_at_once_are_those_drawn():
+    rng = np.random.default_rng(4)
+    u, x, y = rng.random(5000), np.column_stack([rng.normal(size=(5000, 2)), np.ones(5000)]), rng.integers(0, 2, 5000)
+    w, bits, times = rng.normal(size=(3, 3)), ml.row_bits(u, 0), np.zeros((3, 5000), np.int32)
+    for i, (seed, rate) in enumerate(((7, 0.05), (1 << 31, 0.4), (9, 1.0))):
+        found = ml.hits(bits, rate, 3, seed)
+        assert (found == np.flatnonzero(ml.drawn(u, rate, 3, seed))).all()
+        times[i, found] = 1 + i
+    got = ml.clipped_sums(w, x, y, (x * x).sum(axis=1), times, 0.5)
+    for i in range(3):
+        assert got[i] == pytest.approx(ml.gradient_sum(w[i : i + 1], x, y, 0.5, times[i])[0], abs=1e-9)

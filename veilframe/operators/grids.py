@@ -168,10 +168,23 @@ def fit_private(
     """Noisy descent of all models, a job a step: each model takes its own rows, independently a row and step, and has its own noise."""
     w = np.zeros((len(grid), 1, scaled.mean.shape[1] + 1))
     noises = [np.random.default_rng([seed, m.draws]) for m in grid]
-    for step in range(steps):
+    live = [i for i, sigma in enumerate(sigmas) if sigma is not None]
+    for step in range(steps if live else 0):
         now = w
 
-        def part(x, y, k, u):
+        def together(x, y, k, u):
+            # all models see the same rows, so their products are made at once
+            rows = next(rows for _, rows, *_ in _seen(x, y, k, u, grid, scaled))
+            bits, run, times = ml.row_bits(u, 0), ml.runs_of(k, u), np.zeros((len(grid), len(k)), np.int32)
+            for i in live:
+                found = ml.hits(bits, sampling, step, grid[i].draws)  # noqa: B023
+                if run is None:
+                    times[i, found] = 1
+                else:
+                    times[i] = np.bincount(run[found], minlength=len(k))
+            return ml.clipped_sums(now[:, 0], rows, y, (rows * rows).sum(axis=1), times, clip).ravel()  # noqa: B023
+
+        def each(x, y, k, u):
             out, run = [], ml.runs_of(k, u)
             for i, rows, own, times in _seen(x, y, k, u, grid, scaled):
                 # rows with noise stand for themselves, others for their run
@@ -179,6 +192,7 @@ def fit_private(
                 out.append(ml.gradient_sum(now[i], rows[found], own[found], clip, k_taken))  # noqa: B023
             return np.array(out).ravel()
 
+        part = each if _draws(grid) else together
         total = _summed(data, part, w.size, own=True).reshape(w.shape)
         for i, sigma in enumerate(sigmas):
             if sigma is None:

@@ -124,16 +124,18 @@ def unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield read("x", i, np.float64).reshape(n, -1), read("y", i, np.int32), read("k", i, np.int32), read("u", i, np.float64) if "u" in b.schema.names else None
 
 
-def mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """64-bit hashes mixed with a word (the finalizer of SplitMix64)."""
+def mixed(h: np.ndarray, word: int, last: bool = True) -> np.ndarray:
+    """64-bit hashes mixed with a word (the finalizer of SplitMix64), without its last shift if not ``last``."""
     with np.errstate(over="ignore"):
         h = h + np.uint64(word & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
         t = h >> np.uint64(30)
         for shift, factor in ((27, 0xBF58476D1CE4E5B9), (31, 0x94D049BB133111EB)):
             h ^= t
             h *= np.uint64(factor)
-            np.right_shift(h, np.uint64(shift), out=t)
-        h ^= t
+            if last or shift != 31:
+                np.right_shift(h, np.uint64(shift), out=t)
+        if last:
+            h ^= t
         return h
 
 
@@ -160,6 +162,33 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
+def hits(bits: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
+    """The places that ``drawn`` takes, from the rows' bits without a seed, which serve all models."""
+    if rate >= 1:
+        return np.arange(len(bits))
+    h = mixed(mixed(bits ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32)), step + 1), seed, last=False)
+    limit = math.ceil(rate * (1 << 53)) << 11
+    # the last shift of the hash leaves its upper half, so only rows that may be taken need it
+    found = np.flatnonzero(h < np.uint64(min(limit | ((1 << 33) - 1), (1 << 64) - 1)))
+    h = h[found]
+    h ^= h >> np.uint64(31)
+    return found[h < np.uint64(limit)]
+
+
+def clipped_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, norms: np.ndarray, times: np.ndarray, clip: float) -> np.ndarray:
+    """Summed gradients (models, features + 1) of many models of two classes over rows x (with a last column of ones) of these squared lengths,
+    each clipped to a length and as often as ``times`` (models, rows) says."""
+    flat = np.flatnonzero(times)
+    row = flat % len(y)
+    err = _sigmoid((w @ x.T).ravel()[flat])
+    err -= y[row] > 0
+    err *= np.minimum(1, clip / (np.sqrt(err * err * norms[row]) + 1e-10))
+    err *= times.ravel()[flat]
+    weight = np.zeros(times.shape)
+    weight.ravel()[flat] = err
+    return weight @ x
+
+
 def gradient_sum(w: np.ndarray, x: np.ndarray, y: np.ndarray, clip: float | None = None, k: np.ndarray | None = None) -> np.ndarray:
     """Summed gradients (1 or classes, features + 1) over rows x (with a last column of ones), each ``k`` times; each clipped to a length."""
     z = w @ x.T
@@ -175,7 +204,7 @@ def gradient_sum(w: np.ndarray, x: np.ndarray, y: np.ndarray, clip: float | None
 
 def taken(u: np.ndarray, k: np.ndarray, rate: float, step: int, seed: int, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Runs of equal rows of which a step takes some, and how many. run: each row's run, where rows outnumber runs."""
-    rows = np.flatnonzero(drawn(u, rate, step, seed))
+    rows = hits(row_bits(u, 0), rate, step, seed)
     if run is None:
         return rows, np.ones(len(rows), np.int64)
     times = np.bincount(run[rows], minlength=len(k))

@@ -1,12 +1,15 @@
 import itertools
 import math
+import os
 import resource
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from veilframe.operators import accounting, prv
+from veilframe.plans import privacy
 
 D = 1e-5
 LOG = "who string, mechanism string, epsilon double, sensitivity double, sigma double, sampling_rate double"
@@ -141,3 +144,13 @@ def test_many_gaussian_releases_stay_near_their_exact_curve(k):
     made, m = prv.curve({R("gaussian", 200.0): k}, False, 1e-6), math.sqrt(k) / 200
     for e in (0.05, 0.2):
         assert gaussian_delta(m, e) <= made.delta(e) <= 1.001 * gaussian_delta(m, e)
+
+
+def test_releases_without_an_analyst_stay_in_the_curves(spark, sf_dir, tmp_path):
+    for t in os.listdir(sf_dir):
+        if t != "events.parquet":
+            os.symlink(f"{sf_dir}/{t}", tmp_path / t)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("user_id", F.when(F.col("user_id") % 10 != 3, F.col("user_id"))).write.parquet(str(tmp_path / "events.parquet"))
+    n = oracle.compare(spark, privacy.prv_log_gaussian, privacy.SQL["prv_log_gaussian"], str(tmp_path))
+    assert n == 20

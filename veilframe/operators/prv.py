@@ -316,8 +316,8 @@ def _totals(log: DataFrame, by: Sequence[str], delta: float, read: Callable[[Cur
     sums = sums.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("sums"))  # as many as ORDERS
     # without samples both losses have one distribution
     ends = ends.where(~F.col("added") | (F.col("least_rate") < 1)).drop("least_rate")
-    windows = runtime.materialize(_joined(ends, sums, keys), "windows")
-    rows = _joined(each.drop("moments", "least", "greatest"), windows, keys)
+    windows = runtime.materialize(joined(ends, sums, keys), "windows")
+    rows = joined(each.drop("moments", "least", "greatest"), windows, keys)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("mechanism", "level", "rate"), F.ceil(F.col("n_distinct") / PART)))
 
     def multiplied(group: Iterator[dict]) -> dict:
@@ -345,7 +345,7 @@ def _totals(log: DataFrame, by: Sequence[str], delta: float, read: Callable[[Cur
     return _folded(parts, keys, ["part"], summed, T.StructType([T.StructField("n_queries", T.LongType()), *made.fields]))
 
 
-def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``a`` with the columns of ``b``, nulls in the keys equal."""
     other = b.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in b.columns if c not in keys])
     on = F.lit(True)

@@ -1,5 +1,6 @@
 """Grids of models over all rows against plain numpy on one matrix, against the sample's trials, and their noise against its distribution."""
 
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe import runtime
 from veilframe.operators import accounting, experiments, grids, ml
 
 FEATURES = ["a", "b"]
@@ -158,3 +160,62 @@ def test_rows_taken_by_many_models_at_once_are_those_drawn():
     got = ml.clipped_sums(w, x, y, (x * x).sum(axis=1), times, 0.5)
     for i in range(3):
         assert got[i] == pytest.approx(ml.gradient_sum(w[i : i + 1], x, y, 0.5, times[i])[0], abs=1e-9)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_moves_no_rows_and_takes_the_first_hashes(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("int")).alias("y"))
+    for given, key in ((df, F.col("id")), (ml.hashed(df, F.col("id")), None)):
+        got = ml.stratified_split(given, key)
+        assert got.columns == ["id", "y", "test"] and "Exchange hashpartitioning" not in _plan(got) and "Sort" not in _plan(got)
+        by = {}
+        for r in got.collect():
+            by.setdefault(r.y, []).append((hashlib.md5(f"42|{r.id}".encode()).hexdigest(), r.test))
+        assert set(by) == {None, 0, 1, 2} and sum(map(len, by.values())) == 5000
+        for held in by.values():
+            assert [t for _, t in sorted(held)] == [i < int(0.3 * len(held)) for i in range(len(held))]
+
+
+def test_split_of_equal_keys_has_its_share(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 2).alias("y"), F.lit("same").alias("key"))
+    got = [r.id for r in ml.stratified_split(df, F.col("key")).where("test").collect()]
+    assert len(got) == len(set(got)) == 300 and sum(i % 2 for i in got) == 150
+    assert sorted(got) == sorted(r.id for r in ml.stratified_split(df.repartition(3), F.col("key")).where("test").collect())
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_baseline_packs_rows_where_they_are(spark, rows, classes, monkeypatch):
+    df = rows.withColumn("y", (F.col("y") == 0).cast("int")) if classes == 2 else rows
+    plans, table = [], runtime.Scratch.table
+    monkeypatch.setattr(runtime.Scratch, "table", lambda self, made, *a: plans.append(_plan(made)) or table(self, made, *a))
+    counts = grids.baseline(df.coalesce(1), FEATURES, classes, steps=60)
+    assert len(plans) == 1 and "rangepartitioning" not in plans[0] and "Sort" not in plans[0]
+    (x, y, _), (tx, ty, _) = matrix(df, False), matrix(df, True)
+    mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-8
+    w = np.zeros((1 if classes == 2 else classes, 3))
+    for _ in range(60):
+        w = ml.stepped(w, ml.gradient_sum(w, np.column_stack([(x - mean) / deviation, np.ones(len(x))]), y), len(x))
+    z = np.column_stack([(tx - mean) / deviation, np.ones(len(tx))]) @ w.T
+    guess = (z[:, 0] >= 0).astype(int) if classes == 2 else z.argmax(axis=1)
+    want = {(a, b): int(((ty == a) & (guess == b)).sum()) for a in range(classes) for b in range(classes)}
+    assert {(r.y, r.yhat): r.k for r in counts.collect()} == {at: k for at, k in want.items() if k}
+    one = grids.scored(counts, classes).first()
+    assert one.n == len(ty) and (one.accuracy, one.f1, one.macro_f1) == pytest.approx(experiments.scored(ty.astype(int), guess, classes)[:3])
+
+
+@pytest.mark.parametrize("classes", [2, 3, 4])
+def test_sums_at_points_are_those_of_all_classes(classes):
+    rng, c = np.random.default_rng(8), 1 if classes == 2 else classes
+    x, y, k = np.column_stack([rng.normal(size=(700, 2)), np.ones(700)]), rng.integers(0, classes, 700), rng.integers(1, 4, 700)
+    points = rng.normal(size=(2, c, 3))
+    gradients, seconds = ml.split_sums(ml.point_sums(points, x, y, k), points.shape)
+    for w, g, h in zip(points, gradients, seconds, strict=True):
+        assert g == pytest.approx(ml.gradient_sum(w, x, y, None, k), abs=1e-9)
+        for i in range(c * 3):
+            step = np.zeros(c * 3)
+            step[i] = 1e-5
+            near = [ml.gradient_sum(w + s * step.reshape(c, 3), x, y, None, k).ravel() for s in (1, -1)]
+            assert h[i] == pytest.approx((near[0] - near[1]) / 2e-5, abs=1e-4)

@@ -32,7 +32,8 @@ RESULT = "setting string, model string, mechanism string, epsilon double, run in
 def sample(df: DataFrame, features: Sequence[str], label: Column, key: Column, rows: int | None = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """key, features, y, test: at most ``rows`` rows by a keyed hash (None: all), split by class."""
     named = ml.prepared(df.withColumn("key", key), features, label).select("key", *features, "y")
-    held = named if rows is None else ml.sampled(named, F.col("key"), rows, seed)
+    # the split reads a sample several times, so it is found once
+    held = named if rows is None else runtime.materialize(ml.sampled(named, F.col("key"), rows, seed), "sampled")
     return ml.stratified_split(held, F.col("key"), seed=seed)
 
 

@@ -4,6 +4,8 @@
 packed blocks, and each job is one for the whole grid, in which every task adds up the gradients of all models over its
 blocks. A grid of 500 models takes as many jobs as one model, so that what a job costs to start is shared.
 
+Where no model draws (``baseline``, or settings without noise only), rows are packed where they are: none is moved or ordered.
+
 Full descent needs the gradients of all its steps at a few places only (``ml.descended``), so its noise is drawn in five or six passes, not 200.
 
 No perturbed copy of the rows is stored. The noise of a row, model and feature is a hash of the row's own uniform (which comes from
@@ -26,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe import runtime
 from veilframe.functions import noise
 from veilframe.operators import accounting, experiments, ml
 
@@ -217,6 +220,32 @@ def hits(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, w: np.ndarray,
     return _summed(data, part, len(grid) * classes * classes, own=False).reshape(len(grid), classes, classes)
 
 
+def _judged(rows: DataFrame, features: Sequence[str], grid: Sequence[Model], trained: Callable[[ml.Packed, Scaling], np.ndarray], own: bool, classes: int) -> np.ndarray:
+    """``hits`` of the models that ``trained`` makes of rows (key, features, y, test). Only where rows draw (``own``) are training rows brought in an order and given uniforms."""
+    with runtime.scratch(rows.sparkSession) as kept:
+        train, test = ml.packed_parts(rows.where("test") if own else rows, features, kept.table)
+        train = packed(rows.where("not test"), features) if own else train
+        scaled = scaling(train, grid, len(features))
+        return hits(test, grid, scaled, trained(train, scaled), classes)
+
+
+def baseline(rows: DataFrame, features: Sequence[str], classes: int = 2, steps: int = ml.STEPS) -> DataFrame:
+    """``metrics.confusion`` (y, yhat, k) of a logistic (2 classes) or softmax regression without noise, over all of rows (features, y, test)."""
+    grid = [Model("none", "none", float("inf"), 0, (), 0)]
+    found = _judged(rows, features, grid, lambda train, scaled: fit(train, grid, scaled, classes, steps), False, classes)[0]
+    made = [(y, guess, int(k)) for (y, guess), k in np.ndenumerate(found) if k]
+    return rows.sparkSession.createDataFrame(made, "y int, yhat int, k long")
+
+
+def scored(counts: DataFrame, classes: int) -> DataFrame:
+    """classes, n, accuracy, f1, macro_f1 of a ``baseline``."""
+    found = np.zeros((classes, classes))
+    for r in counts.collect():  # classes x classes rows
+        found[r.y, r.yhat] = r.k
+    accuracy, f1, macro_f1, _ = experiments.scored_hits(found)
+    return counts.sparkSession.createDataFrame([(classes, int(found.sum()), accuracy, f1, macro_f1)], "classes int, n long, accuracy double, f1 double, macro_f1 double")
+
+
 def sweep(
     rows: DataFrame, features: Sequence[str], settings: DataFrame, model: str, runs: int, classes: int = 2, steps: int = ml.STEPS,
     sampling: float = PRIVATE_SAMPLING, seed: int = 42,
@@ -226,18 +255,18 @@ def sweep(
     model: logistic, softmax, or private for noisy descent, whose noise keeps each setting's budget over the steps.
     """
     grid = models(settings, runs, model == "private", seed)
-    train, test = packed(rows.where("not test"), features), packed(rows.where("test"), features)
-    scaled = scaling(train, grid, len(features))
     sigmas = spent = [None] * len(grid)
     if model == "private":
         by = {m.epsilon: accounting.poisson_sigma(sampling, steps, m.epsilon) for m in grid}
         costs = {e: accounting.poisson_epsilon(sampling, s, steps) if s is not None else None for e, s in by.items()}
         sigmas, spent = [by[m.epsilon] for m in grid], [costs[m.epsilon] for m in grid]
-        w = fit_private(train, grid, scaled, sigmas, steps, sampling, seed=seed)
-    else:
-        w = fit(train, grid, scaled, classes, steps)
-    found = hits(test, grid, scaled, w, classes)
-    made = []
+
+    def trained(train: ml.Packed, scaled: Scaling) -> np.ndarray:
+        if model == "private":
+            return fit_private(train, grid, scaled, sigmas, steps, sampling, seed=seed)
+        return fit(train, grid, scaled, classes, steps)
+
+    found, made = _judged(rows, features, grid, trained, model == "private" or _draws(grid), classes), []
     for m, sigma, cost, h in zip(grid, sigmas, spent, found, strict=True):
         own = [None if v is None else float(v) for v in (sigma, cost)]
         made.append((m.setting, model, m.mechanism, m.epsilon, m.run, *own, int(h.sum()), *experiments.scored_hits(h)))

@@ -19,7 +19,8 @@ from veilframe import runtime
 from veilframe.functions import noise, scalars
 
 STEPS, RATE, L2 = 200, 0.1, 0.01
-SPLIT_SLICES = 16**4
+#: Leading bytes of a hash that name a row's slice of its class.
+SPLIT_BYTES = 2
 SGD_RATE, SGD_L2 = 0.05, 1e-4
 
 
@@ -29,19 +30,37 @@ def prepared(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame
     return rows.dropna(subset=[*features, "y"])
 
 
-def stratified_split(df: DataFrame, key: Column, y: str = "y", share: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds ``test``: of each class the first share (at least one row) in the order of a keyed hash.
+def hashed(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """df and ``_h``, the keyed hash (16 bytes) that orders ``stratified_split``: made once where a table is written and split then."""
+    return df.withColumn("_h", F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))))
 
-    The hash's first digits say which of ``SPLIT_SLICES`` slices of a class a row is in; counts by slice place each slice, so that
-    ranks are made within slices and no class meets in one task.
+
+def stratified_split(df: DataFrame, key: Column | None, y: str = "y", share: float = 0.3, seed: int = 42) -> DataFrame:
+    """Adds ``test``: of each class the first share (at least one row) in the order of a keyed hash. Without a key df is ``hashed``, and its hash goes.
+
+    No row is moved or ordered for it. Counts by the hash's first bytes (65,536 slices of a class) tell in which slice a
+    class's share ends, counts by hash in that slice alone tell at which hash: one row a class, which is written and broadcast. Only where
+    several rows have the hash at the end (equal keys) and not all of them are test rows, these are numbered, by their values.
     """
-    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))).withColumn("_s", F.substring("_h", 1, 4))
-    slices = rows.groupBy(y, "_s").agg(F.count("*").alias("_k"))
-    order = Window.partitionBy(y).orderBy("_s")
-    slices = slices.select(y, "_s", (F.sum("_k").over(order) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy(y)).alias("_n"))
-    placed = rows.join(slices, [y, "_s"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(y, "_s").orderBy("_h")))
-    test = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("_n")))
-    return placed.withColumn("test", test).select(*df.columns, "test")
+    rows, own = df if key is None else hashed(df, key, seed), [c for c in df.columns if c != "_h"]
+    head, before = F.substring("_h", 1, SPLIT_BYTES), F.col("_upto") - F.col("_k")
+    upto = lambda by: F.sum("_k").over(Window.partitionBy("_y").orderBy(by)).alias("_upto")
+    ends_here = (F.col("_upto") >= F.col("_want")) & (before < F.col("_want"))
+    slices = rows.groupBy(F.col(y).alias("_y"), head.alias("_s")).agg(F.count("*").alias("_k"))
+    want = F.greatest(F.lit(1), F.floor(F.lit(share) * F.sum("_k").over(Window.partitionBy("_y"))))
+    ends = slices.select("_y", "_s", "_k", upto("_s"), want.alias("_want")).where(ends_here).select("_y", "_s", (F.col("_want") - before).alias("_want"))
+    near = rows.join(F.broadcast(ends), F.col(y).eqNullSafe(F.col("_y")) & (head == F.col("_s")))
+    near = near.groupBy("_y", "_want", "_h").agg(F.count("*").alias("_k")).select("_y", "_want", "_k", F.col("_h").alias("_cut"), upto("_h"))
+    cuts = runtime.materialize(near.where(ends_here).select("_y", "_cut", "_k", (F.col("_want") - before).alias("_fit")), "cuts")
+
+    placed = rows.join(F.broadcast(cuts), F.col(y).eqNullSafe(F.col("_y")))
+    at, part = F.col("_h") == F.col("_cut"), F.col("_fit") < F.col("_k")
+    made = placed.select(*own, (F.col("_h") <= F.col("_cut")).alias("test"))
+    if not cuts.where(part).isEmpty():
+        place = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(*own)))
+        made = placed.where(~(at & part)).select(*own, (F.col("_h") <= F.col("_cut")).alias("test"))
+        made = made.unionByName(placed.where(at & part).select(*own, (place <= F.col("_fit")).alias("test")))
+    return made
 
 
 def sampled(df: DataFrame, key: Column, rows: int, seed: int = 42) -> DataFrame:
@@ -99,6 +118,12 @@ def _packer(batches):
         yield block()
 
 
+def _batches(columns: int) -> dict[str, str]:
+    """Arrow batches of rows of numbers: bounded by rows alone, as Spark takes longer to look at a batch's bytes after each row than to write it."""
+    rows = max(1, min(BLOCK_ROWS, (8 << 20) // (8 * columns)))
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}
+
+
 class Packed(NamedTuple):
     blocks: DataFrame
     tasks: int
@@ -116,6 +141,48 @@ def packed(rows: DataFrame) -> Packed:
     return Packed(blocks, blocks.rdd.getNumPartitions())
 
 
+def _parts_packer(features: int):
+    """Rows (each feature, y, test) to blocks of training rows and blocks of test rows, without uniforms; each row is a run."""
+
+    def block(test, parts):
+        x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_pydict({"test": [test], "n": [len(y)], "x": [x.tobytes()], "y": [y.tobytes()], "k": [np.ones(len(y), np.int32).tobytes()]})
+
+    def run(batches):
+        held, n = {False: [], True: []}, {False: 0, True: 0}
+        for b in batches:
+            x = np.column_stack([np.empty((b.num_rows, 0)), *[np.array(b.column(j), np.float64) for j in range(features)]])
+            y, test = np.array(b["y"], np.int32), np.array(b["test"], bool)
+            for part, own in ((False, ~test), (True, test)):
+                held[part].append((x[own], y[own]))
+                n[part] += len(held[part][-1][1])
+                if n[part] >= BLOCK_ROWS:
+                    yield block(part, held[part])
+                    held[part], n[part] = [], 0
+        for part, parts in held.items():
+            if n[part]:
+                yield block(part, parts)
+
+    return run
+
+
+def packed_parts(rows: DataFrame, features: Sequence[str], table: Callable[[DataFrame, str], DataFrame] = runtime.materialize) -> tuple[Packed, Packed]:
+    """Training and test rows of rows (features, y, test) as blocks for what draws nothing: written in one scan, where the rows are.
+
+    Equal rows aren't brought together, which would move them all: in a few passes that costs more than it saves.
+    """
+    spark = rows.sparkSession
+    flat = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{j}") for j, f in enumerate(features)], F.col("y").cast("int").alias("y"), "test")
+    made, tasks = flat.mapInArrow(_parts_packer(len(features)), "test boolean, n long, x binary, y binary, k binary"), spark.sparkContext.defaultParallelism
+    if flat.rdd.getNumPartitions() < tasks:
+        made = made.repartition(tasks)
+    with runtime.settings(spark, _batches(len(features) + 2)):
+        blocks = table(made, "blocks")
+    train, test = (blocks.where(c).drop("test") for c in ("not test", "test"))
+    n = blocks.rdd.getNumPartitions()
+    return Packed(train, n), Packed(test, n)
+
+
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
     """x, y, k and, where it was read, u of each block, without copies."""
     read = lambda c, i, kind: np.frombuffer(b[c][i].as_buffer(), kind)
@@ -307,8 +374,10 @@ def sums_size(shape: tuple[int, int]) -> int:
 def point_sums(points: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray | None = None) -> np.ndarray:
     """Summed gradients at each point, then summed second derivatives (those on and above the diagonals), over rows x (with a last column of ones), each ``k`` times."""
     (m, c, d), one = points.shape, points.shape[1] == 1
-    (i, j), (a, b) = np.triu_indices(d), np.triu_indices(c)
-    gradients, seconds, flat = np.zeros((m * c, d)), np.zeros((m * len(a), len(i))), points.reshape(m * c, d)
+    # over all classes both sum to zero, so those of the last class follow from the others
+    free = max(c - 1, 1)
+    (i, j), (a, b) = np.triu_indices(d), np.triu_indices(free)
+    gradients, seconds, flat = np.zeros((m * free, d)), np.zeros((m * len(a), len(i))), points.reshape(m * c, d)
     rows = max(128, CACHED // (m * c))
     for at in range(0, len(x), rows):
         some, label, times = x[at : at + rows], y[at : at + rows], None if k is None else k[at : at + rows]
@@ -323,18 +392,35 @@ def point_sums(points: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray |
             p -= label > 0
         else:
             p = p.reshape(m, c, -1)
-            p -= p.max(axis=1, keepdims=True)
+            top = p[:, 0].copy()
+            for n in range(1, c):
+                np.maximum(top, p[:, n], out=top)
+            p -= top[:, None]
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            curved = -p[:, a] * p[:, b]
-            curved[:, a == b] += p
-            p -= np.arange(c)[:, None] == label
+            np.copyto(top, p[:, 0])
+            for n in range(1, c):
+                top += p[:, n]
+            p = p[:, :free]
+            p /= top[:, None]
+            curved = np.empty((m, len(a), len(some)))
+            for n, (q, r) in enumerate(zip(a, b, strict=True)):
+                np.multiply(p[:, q], p[:, r], out=curved[:, n])
+                np.subtract(p[:, q] if q == r else 0, curved[:, n], out=curved[:, n])
+            p -= np.arange(free)[:, None] == label
         if times is not None:
             p *= times
             curved *= times
-        gradients += p.reshape(m * c, -1) @ some
+        gradients += p.reshape(m * free, -1) @ some
         seconds += curved.reshape(m * len(a), -1) @ pairs.T
-    return np.append(gradients, seconds)
+    if one:
+        return np.append(gradients, seconds)
+    g, held, by = np.zeros((m, c, d)), seconds.reshape(m, len(a), len(i)), np.zeros((m, c, c, len(i)))
+    g[:, :free] = gradients.reshape(m, free, d)
+    g[:, free] = -g.sum(axis=1)
+    by[:, a, b] = by[:, b, a] = held
+    by[:, :free, free] = by[:, free, :free] = -by[:, :free].sum(axis=2)
+    by[:, free, free] = -by[:, free, :free].sum(axis=1)
+    return np.append(g, by[:, *np.triu_indices(c)])
 
 
 def split_sums(total: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import runtime
@@ -149,20 +149,35 @@ def gradient_clip(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("vec_id", length.alias("norm"), F.posexplode(ml.clipped_gradient(F.col("g"), 0.5)).alias("place", "clipped")), 5)
 
 
-def _training(spark: SparkSession, d: str, classes: int = 2) -> tuple[DataFrame, DataFrame, list[str]]:
+def _flag(classes: int) -> Column:
+    return F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+
+
+def _training(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Training and test rows of the line items, standardised on the training rows."""
     features = list(LINEITEM.features)
-    y = F.when(F.col("l_returnflag") == "R", 1).otherwise(0) if classes == 2 else F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    rows = ml.prepared(LINEITEM.wide(spark, d).withColumn("key", LINEITEM.key_column()).drop("l_shipdate"), features, y).select("key", *features, "y")
     # written once: the means and both parts read it
-    split = runtime.materialize(ml.stratified_split(rows, F.col("key"), seed=SEED), "split")
+    split = runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), features, _flag(2), LINEITEM.key_column(), None, SEED), "split")
     both = ml.vectors(ml.standardized(split, features, ~F.col("test")), features, F.col("key"))
     return both.where("not test").drop("test"), both.where("test").drop("test"), features
 
 
-def _evaluated(test: DataFrame, weights, name: str) -> DataFrame:
-    got = metrics.binary(metrics.confusion(ml.predicted(test, weights), "y", "yhat"))
-    return got.select(F.lit(name).alias("model"), "n", "accuracy", "f1")
+def _baselines(spark: SparkSession, d: str, labels: dict[int, Column]) -> dict[int, DataFrame]:
+    """Confusion of the model without noise over all line items for each label, by its number of classes.
+
+    For several labels rows and their keys' hashes are written once; for one, hashing again took less time than writing.
+    """
+    features, names = list(LINEITEM.features), {c: f"y{c}" for c in labels}
+    rows = ml.prepared(LINEITEM.wide(spark, d).withColumns({names[c]: y for c, y in labels.items()}), features, F.lit(0))
+    with runtime.scratch(spark) as kept:
+        held = ml.hashed(rows, LINEITEM.key_column(), SEED).select(*features, *names.values(), "_h")
+        held = kept.table(held, "hashed") if len(labels) > 1 else held
+        split = lambda y: ml.stratified_split(held.select(*features, F.col(y).alias("y"), "_h").dropna(subset=["y"]), None)
+        return {c: grids.baseline(split(y), features, c) for c, y in names.items()}
+
+
+def _evaluated(counts: DataFrame, name: str) -> DataFrame:
+    return metrics.binary(counts).select(F.lit(name).alias("model"), "n", "accuracy", "f1")
 
 
 #: The experiments' sample as SQL.
@@ -197,17 +212,14 @@ p as (select y, {', '.join(f'{x} as z{c}' for c, x in enumerate(z))} from data,
 @query("train_logistic", _recursive(2) + """, c as (select count(*) as n, sum((y = (z0 >= 0)::int)::int)::double as hit, sum((y = 1 and z0 >= 0)::int)::double as tp, sum((y = 0 and z0 >= 0)::int)::double as fp, sum((y = 1 and z0 < 0)::int)::double as fn from p)
 select 'logistic' as model, n, round(hit / n, 6) as accuracy, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from c""")
 def train_logistic(spark: SparkSession, d: str) -> DataFrame:
-    train, test, features = _training(spark, d)
-    return rounded(_evaluated(test, ml.train(train, len(features)), "logistic"))
+    return rounded(_evaluated(_baselines(spark, d, {2: _flag(2)})[2], "logistic"))
 
 
 @query("train_softmax", _recursive(3) + """, g as (select y, case when z0 >= z1 and z0 >= z2 then 0 when z1 >= z2 then 1 else 2 end as yhat from p),
 c as (select class::int as class, sum((y = class and yhat = class)::int)::double as tp, sum((y <> class and yhat = class)::int)::double as fp, sum((y = class and yhat <> class)::int)::double as fn from g, range(3) k(class) group by class)
 select class, (tp + fn)::bigint as support, round(case when tp + fn > 0 then tp / (tp + fn) end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1 from c""")
 def train_softmax(spark: SparkSession, d: str) -> DataFrame:
-    train, test, features = _training(spark, d, 3)
-    w = ml.train(train, len(features), 3)
-    return rounded(metrics.per_class(metrics.confusion(ml.predicted(test, w), "y", "yhat"), range(3)))
+    return rounded(metrics.per_class(_baselines(spark, d, {3: _flag(3)})[3], range(3)))
 
 
 @query("train_private")
@@ -217,7 +229,8 @@ def train_private(spark: SparkSession, d: str) -> DataFrame:
     steps, rate = ml.STEPS, 0.05
     sigma = accounting.poisson_sigma(rate, steps, 1.0)
     w = ml.train_private(train, len(features), sigma, rate, steps, rate=1.0, seed=SEED)
-    return rounded(_evaluated(test, w, "private").withColumn("sigma", F.lit(sigma)).withColumns({"epsilon": F.lit(accounting.poisson_epsilon(rate, sigma, steps)), "epsilon_by_losses": F.lit(prv.sampled_gaussian(rate, sigma, steps))}))
+    counts = metrics.confusion(ml.predicted(test, w), "y", "yhat")
+    return rounded(_evaluated(counts, "private").withColumn("sigma", F.lit(sigma)).withColumns({"epsilon": F.lit(accounting.poisson_epsilon(rate, sigma, steps)), "epsilon_by_losses": F.lit(prv.sampled_gaussian(rate, sigma, steps))}))
 
 
 BUDGETS = (0.1, 0.5, 1.0, 5.0)
@@ -352,10 +365,13 @@ _REVENUE_SQL = "(l_extendedprice::double * (1 - l_discount::double))"
 _REVENUE_LABELS = {2: f"({_REVENUE_SQL} > {_HIGH})::int", 3: f"least(2, floor({_REVENUE_SQL} / {_PER_CLASS}))::int"}
 
 
-def _all_rows(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
+def _revenue(classes: int) -> Column:
     revenue = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))
-    y = (revenue > _HIGH).cast("int") if classes == 2 else F.least(F.lit(2), F.floor(revenue / _PER_CLASS)).cast("int")
-    return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), y, LINEITEM.key_column(), None, SEED), "rows")
+    return (revenue > _HIGH).cast("int") if classes == 2 else F.least(F.lit(2), F.floor(revenue / _PER_CLASS)).cast("int")
+
+
+def _all_rows(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
+    return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), _revenue(classes), LINEITEM.key_column(), None, SEED), "rows")
 
 
 def _swept_all(spark: SparkSession, d: str, methods, mechanisms, runs: int, classes: int = 2) -> DataFrame:
@@ -369,11 +385,7 @@ def _swept_all(spark: SparkSession, d: str, methods, mechanisms, runs: int, clas
 @query("grid_baselines", " union all ".join(f"select * from ({_baseline_sql(c, 'lineitem', label)})" for c, label in _REVENUE_LABELS.items()))
 def grid_baselines(spark: SparkSession, d: str) -> DataFrame:
     """The rows without noise of grids over all rows: two and three classes."""
-    out = []
-    for classes in (2, 3):
-        rows = _all_rows(spark, d, classes)
-        got = grids.sweep(rows, list(LINEITEM.features), experiments.plain(rows), "logistic" if classes == 2 else "softmax", 1, classes, seed=SEED)
-        out.append(got.select(F.lit(classes).alias("classes"), "n", "accuracy", "f1", "macro_f1"))
+    out = [grids.scored(counts, c) for c, counts in _baselines(spark, d, {c: _revenue(c) for c in (2, 3)}).items()]
     return rounded(out[0].unionByName(out[1]))
 
 

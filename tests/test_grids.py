@@ -219,3 +219,37 @@ def test_sums_at_points_are_those_of_all_classes(classes):
             step[i] = 1e-5
             near = [ml.gradient_sum(w + s * step.reshape(c, 3), x, y, None, k).ravel() for s in (1, -1)]
             assert h[i] == pytest.approx((near[0] - near[1]) / 2e-5, abs=1e-4)
+
+
+@pytest.mark.parametrize("classes", [2, 3, 4])
+def test_gradients_at_points_are_those_of_all_classes(classes):
+    rng, c = np.random.default_rng(8), 1 if classes == 2 else classes
+    x, y, k = np.column_stack([rng.normal(size=(700, 2)), np.ones(700)]), rng.integers(0, classes, 700), rng.integers(1, 4, 700)
+    points = rng.normal(size=(3, c, 3))
+    points[2] *= 1e4
+    for times in (None, k):
+        got = ml.point_gradients(points, np.asfortranarray(x), y, times)
+        assert got == pytest.approx(np.array([ml.gradient_sum(w, x, y, None, times) for w in points]), abs=1e-9)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_descent_over_many_rows_reads_all_of_them_a_few_times(spark, classes, monkeypatch):
+    made = spark.range(60_000).select(
+        F.col("id").alias("key"), (F.rand(3) * 40 + F.col("id") % 3).alias("a"), (F.randn(4) * (1 + F.col("id") % 2)).alias("b"), (F.col("id") % classes).cast("int").alias("y"), (F.rand(5) < 0.3).alias("test")
+    )
+    rows = made.cache()
+    given = settings(spark, ("p", "laplace", 1.0, [2.0, 0.5]), ("p", "gaussian", 1.0, [1.0, 3.0]), ("none", "none", math.inf, []))
+    grid, data = grids.models(given, 2), grids.packed(rows.where("not test"), FEATURES)
+    scaled = grids.scaling(data, grid, 2)
+    want = grids.fit(data, grid, scaled, classes)
+    full, passes, summed = data.blocks, [], grids._summed
+    monkeypatch.setattr(grids, "_summed", lambda data, *a, **k: passes.append(data.blocks is full) or summed(data, *a, **k))
+    monkeypatch.setattr(grids, "THIN_ROWS", 10_000)
+    got, near = grids.fit_scaled(data, grid, 2, runtime.materialize, classes)
+    assert 2 <= sum(passes) <= 4 < len(passes) - 4
+    assert near.n == scaled.n and near.mean == pytest.approx(scaled.mean) and near.deviation == pytest.approx(scaled.deviation)
+    assert got == pytest.approx(want, abs=1e-8)
+    # what such passes don't settle goes by passes of the whole
+    monkeypatch.setattr(ml, "NEAR_POINTS", (14,))
+    got, _ = grids.fit_scaled(data, grid, 2, runtime.materialize, classes)
+    assert got == pytest.approx(want, abs=1e-8)

@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import runtime
@@ -69,11 +69,15 @@ def models(settings: DataFrame, runs: int, repeated: bool = False, seed: int = 4
 
 def packed(rows: DataFrame, features: Sequence[str]) -> ml.Packed:
     """Blocks of rows (key, features, y), with the rows' own uniforms."""
-    u = noise.keyed_uniform(0, "batch", F.coalesce(F.col("key").cast("string"), F.lit("")))
-    made = rows.select(F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"), F.col("y").cast("int").alias("y"), u.alias("u"))
+    made = rows.select(F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"), F.col("y").cast("int").alias("y"), own_uniform(F.col("key")).alias("u"))
     return ml.packed(made)
 
 
+def own_uniform(key: Column) -> Column:
+    """A row's own uniform."""
+    return noise.keyed_uniform(0, "batch", F.coalesce(key.cast("string"), F.lit("")))
+
+
 def noisy(x: np.ndarray, u: np.ndarray, model: Model) -> np.ndarray:
     """x (rows, features) with the model's noise, Laplace or Gaussian."""
     if not model.scales:
@@ -146,7 +150,10 @@ def _seen(x: np.ndarray, y: np.ndarray, k: np.ndarray, u: np.ndarray | None, gri
         yield i, made, y if times is not None else labels, times
 
 
-def fit(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, classes: int = 2, steps: int = ml.STEPS, rate: float = ml.RATE, l2: float = ml.L2) -> np.ndarray:
+def fit(
+    data: ml.Packed, grid: Sequence[Model], scaled: Scaling, classes: int = 2, steps: int = ml.STEPS, rate: float = ml.RATE, l2: float = ml.L2,
+    ways: dict[int, ml.Way] | None = None,
+) -> np.ndarray:
     """Weights (models, 1 or classes, features + 1) of regressions by full gradient steps from zero: a job a pass of ``ml.descended``."""
     shape = (1 if classes == 2 else classes, scaled.mean.shape[1] + 1)
     each = ml.sums_size(shape)
@@ -161,7 +168,114 @@ def fit(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, classes: int =
         found = {i: ml.split_sums(total, points[i].shape) for i, total in zip(live, parts, strict=True)}
         return [(*found[i], scaled.n) if i in found else None for i in range(len(grid))]
 
-    return ml.descended(sums, len(grid), shape, steps, rate, l2)
+    return ml.descended(sums, len(grid), shape, steps, rate, l2, ways)
+
+
+#: Rows of the first thinned copy at least, its share from which it isn't worth while, and its share at least; share of the second copy.
+THIN_ROWS, THIN_MOST, THIN_SHARE, MIDDLE_SHARE = 1 << 17, 1 / 4, 1 / 256, 1 / 16
+
+
+def thinned(data: ml.Packed, share: float, table: Callable[[DataFrame, str], DataFrame]) -> ml.Packed:
+    """The rows whose own uniform is below ``share``, as blocks of their own: rows by chance, whatever rows are equal or lie beside each other."""
+
+    def some(batches):
+        for b in batches:
+            for x, y, k, u in ml.unpacked(b):
+                found, run = np.flatnonzero(u < share), ml.runs_of(k, u)
+                at = found if run is None else run[found]
+                yield x[at], y[at], u[found]
+
+    def run(batches):
+        for block in ml.gathered(some(batches)):
+            yield ml.drawn_block(*block)
+
+    tasks = data.blocks.sparkSession.sparkContext.defaultParallelism
+    return ml.written_evenly(data.blocks.mapInArrow(run, ml.DRAWN_BLOCK).repartition(4 * tasks), "thinned", table)
+
+
+def fit_scaled(
+    data: ml.Packed, grid: Sequence[Model], n_features: int, table: Callable[[DataFrame, str], DataFrame], classes: int = 2, steps: int = ml.STEPS,
+    rate: float = ml.RATE, l2: float = ml.L2,
+) -> tuple[np.ndarray, Scaling]:
+    """``fit`` and the scaling it is for, over all rows, with the first look at a part of them.
+
+    The descent over a thinned copy of many rows tells about where that over all of them goes. A pass over a larger copy brings it nearer and gives second
+    derivatives. All rows then give gradients at few points of that way (``ml.corrected``), and in the first such pass their means and deviations too, so
+    noise is drawn in two or three passes over all rows. A model is done when a pass finds the gradients within ``ml.NEAR_BEFORE`` of the foretold ones, or when the
+    next one would within ``ml.NEAR``, if it gained as much as this one did. What isn't done after the last pass goes by ``fit``.
+    """
+    # a uniform has 8 bytes
+    n = (data.blocks.agg(F.sum(F.length("u"))).first()[0] or 0) // 8 if _draws(grid) else 0
+    share = max(THIN_ROWS / max(n, 1), THIN_SHARE)
+    if share > THIN_MOST or steps <= max(ml.PASS_POINTS):
+        scaled = scaling(data, grid, n_features)
+        return fit(data, grid, scaled, classes, steps, rate, l2), scaled
+    middle = thinned(data, max(MIDDLE_SHARE, min(4 * share, 1)), table)
+    few, ways = thinned(data, share, table), {}
+    scaled = scaling(few, grid, n_features)
+    w = fit(few, grid, scaled, classes, steps, rate, l2, ways)
+    scaled, _ = _nearer(middle, grid, scaled, ways, w, ml.NEAR_POINTS[:1], rate, l2, True)
+    scaled, left = _nearer(data, grid, scaled, ways, w, ml.NEAR_POINTS, rate, l2)
+    if left:
+        w[left] = fit(data, [grid[i] for i in left], scaled._replace(mean=scaled.mean[left], deviation=scaled.deviation[left]), classes, steps, rate, l2)
+    return w, scaled
+
+
+def _nearer(data: ml.Packed, grid: Sequence[Model], near: Scaling, ways: dict[int, ml.Way], w: np.ndarray, counts: Sequence[int], rate: float, l2: float, curved: bool = False) -> tuple[Scaling, list[int]]:
+    """The scaling of the rows, and the models that aren't done: ``ways`` (in the scaling ``near``) and weights ``w`` are corrected in place, in a pass for each of ``counts``."""
+    scaled, before, left = near, {}, sorted(ways)
+    for turn, count in enumerate(counts):
+        at, weights = ml.pass_steps(len(ways[left[0]].weights) if left else 1, count)
+        live = list(range(len(grid))) if turn == 0 else left
+        points = [ways[i].weights[at] if i in ways else np.zeros((0, *w.shape[1:])) for i in live]
+        n, first, second, sums = _point_sums(data, [grid[i] for i in live], scaled._replace(mean=scaled.mean[live], deviation=scaled.deviation[live]), points, turn == 0, curved)
+        own = dict(zip(live, sums, strict=True))
+        if turn == 0:
+            # what the rows have as means and deviations in the scaling they were read in
+            shift, size = first / n, np.sqrt(np.maximum(second / n - (first / n) ** 2, 0))
+            deviation = size * near.deviation + 1e-8
+            factor = deviation / near.deviation
+            scaled = Scaling(n, near.mean + shift * near.deviation, deviation)
+        left = []
+        for i in [i for i in live if i in ways]:
+            found = ml.Way(ways[i].weights[at], own[i][0] / n, own[i][1] / n if curved else ways[i].seconds[at])
+            if turn == 0:
+                ways[i], found = (ml.rescaled(way, shift[i], factor[i]) for way in (ways[i], found))
+            if curved:
+                ways[i] = ways[i]._replace(seconds=np.tensordot(weights, found.seconds, 1))
+            ways[i], w[i], off = ml.corrected(ways[i], at, weights, found.gradients, n, rate, l2)
+            # not a number is not close
+            if not (off <= ml.NEAR_BEFORE or off * off <= ml.NEAR * before.get(i, 0)):
+                left.append(i)
+            before[i] = off
+        if not left:
+            break
+    return scaled, sorted({*left, *set(range(len(grid))) - set(ways)})
+
+
+def _point_sums(
+    data: ml.Packed, grid: Sequence[Model], scaled: Scaling, points: ml.Points, moments: bool, curved: bool
+) -> tuple[float, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray | None]]]:
+    """Rows, sums and sums of squares of each model's standardised features (if ``moments``), and its gradients (and second derivatives, if ``curved``) at its points: one job."""
+    d = scaled.mean.shape[1]
+
+    def part(x, y, k, u):
+        out = [np.array([k.sum()], float)]
+        for i, rows, labels, times in _seen(x, y, k, u, grid, scaled):
+            if moments:
+                own = rows[:, :-1]
+                out += [own.sum(axis=0), np.einsum("ij,ij->j", own, own)] if times is None else [times @ own, times @ (own * own)]
+            if len(points[i]):
+                out.append((ml.point_sums if curved else ml.point_gradients)(points[i], rows, labels, times).ravel())
+        return np.concatenate(out)
+
+    each = [len(p) * ml.sums_size(p.shape[1:]) if curved else p.size for p in points]
+    ends = np.cumsum([1] + [s for e in each for s in ([d, d, e] if moments else [e])])
+    parts = np.split(_summed(data, part, int(ends[-1]), own=_draws(grid)), ends[:-1])
+    n, parts = parts[0][0], parts[1:]
+    first, second = (np.array(parts[i::3]) if moments else np.zeros((0, d)) for i in (0, 1))
+    found = parts[2::3] if moments else parts
+    return n, first, second, [ml.split_sums(f, p.shape) if curved and len(p) else (f.reshape(p.shape), None) for f, p in zip(found, points, strict=True)]
 
 
 def fit_private(
@@ -207,32 +321,52 @@ def fit_private(
 
 
 def hits(data: ml.Packed, grid: Sequence[Model], scaled: Scaling, w: np.ndarray, classes: int) -> np.ndarray:
-    """Test rows by model, class and guess: one job."""
+    """Test rows by model, class and guess: one job. Test rows have no noise, so one product scores them for all models: each model's scaling goes into its weights."""
+    (m, c, _), centre = w.shape, scaled.mean[0]
+    slopes = w[..., :-1] / scaled.deviation[:, None]
+    starts = w[..., -1] - (slopes * (scaled.mean - centre)[:, None]).sum(axis=2)
+    flat, offset, first = slopes.reshape(m * c, -1), starts.reshape(m * c, 1), np.arange(m)[:, None] * (classes * classes)
+    step = max(256, 8 * ml.CACHED // (m * c))
 
     def part(x, y, k, u):
-        out = []
-        for i, rows, _, _ in _seen(x, y, k, None, grid, scaled):
-            z = rows @ w[i].T
-            guess = (z[:, 0] >= 0).astype(np.int64) if len(w[i]) == 1 else z.argmax(axis=1)
-            out.append(np.bincount(y.astype(np.int64) * classes + guess, weights=k, minlength=classes * classes))
-        return np.concatenate(out)
-
-    return _summed(data, part, len(grid) * classes * classes, own=False).reshape(len(grid), classes, classes)
-
-
-def _judged(rows: DataFrame, features: Sequence[str], grid: Sequence[Model], trained: Callable[[ml.Packed, Scaling], np.ndarray], own: bool, classes: int) -> np.ndarray:
-    """``hits`` of the models that ``trained`` makes of rows (key, features, y, test). Only where rows draw (``own``) are training rows brought in an order and given uniforms."""
+        out = np.zeros(m * classes * classes)
+        for at in range(0, len(x), step):
+            z = flat @ (x[at : at + step] - centre).T
+            z += offset
+            z = z.reshape(m, c, -1)
+            place = first + y[at : at + step] * classes
+            if c == 1:
+                place += z[:, 0] >= 0
+            else:
+                best, guess = z[:, 0], np.zeros(place.shape, np.int8)
+                for i in range(1, c):
+                    guess[z[:, i] > best] = i
+                    np.maximum(best, z[:, i], out=best)
+                place += guess
+            times = k[at : at + step]
+            out += np.bincount(place.ravel(), None if (times == 1).all() else np.broadcast_to(times, place.shape).ravel(), len(out))
+        return out
+
+    return _summed(data, part, m * classes * classes, own=False).reshape(m, classes, classes)
+
+
+def _judged(
+    rows: DataFrame, features: Sequence[str], grid: Sequence[Model], trained: Callable[[ml.Packed, Callable[[DataFrame, str], DataFrame]], tuple[np.ndarray, Scaling]],
+    own: bool, classes: int,
+) -> np.ndarray:
+    """``hits`` of the models that ``trained`` makes of rows (key or u, features, y, test). Rows are packed where they are; training rows get uniforms only where rows draw (``own``)."""
     with runtime.scratch(rows.sparkSession) as kept:
         train, test = ml.packed_parts(rows.where("test") if own else rows, features, kept.table)
-        train = packed(rows.where("not test"), features) if own else train
-        scaled = scaling(train, grid, len(features))
-        return hits(test, grid, scaled, trained(train, scaled), classes)
+        if own:
+            train = ml.packed_drawn(rows.where("not test"), features, F.col("u") if "u" in rows.columns and "key" not in rows.columns else own_uniform(F.col("key")), kept.table)
+        w, scaled = trained(train, kept.table)
+        return hits(test, grid, scaled, w, classes)
 
 
 def baseline(rows: DataFrame, features: Sequence[str], classes: int = 2, steps: int = ml.STEPS) -> DataFrame:
     """``metrics.confusion`` (y, yhat, k) of a logistic (2 classes) or softmax regression without noise, over all of rows (features, y, test)."""
     grid = [Model("none", "none", float("inf"), 0, (), 0)]
-    found = _judged(rows, features, grid, lambda train, scaled: fit(train, grid, scaled, classes, steps), False, classes)[0]
+    found = _judged(rows, features, grid, lambda train, table: fit_scaled(train, grid, len(features), table, classes, steps), False, classes)[0]
     made = [(y, guess, int(k)) for (y, guess), k in np.ndenumerate(found) if k]
     return rows.sparkSession.createDataFrame(made, "y int, yhat int, k long")
 
@@ -250,7 +384,7 @@ def sweep(
     rows: DataFrame, features: Sequence[str], settings: DataFrame, model: str, runs: int, classes: int = 2, steps: int = ml.STEPS,
     sampling: float = PRIVATE_SAMPLING, seed: int = 42,
 ) -> DataFrame:
-    """``experiments.RESULT`` over all of rows (key, features, y, test): one row a setting (setting, mechanism, epsilon, scales) and run.
+    """``experiments.RESULT`` over all of rows (key, or their ``own_uniform`` u; features, y, test): one row a setting (setting, mechanism, epsilon, scales) and run.
 
     model: logistic, softmax, or private for noisy descent, whose noise keeps each setting's budget over the steps.
     """
@@ -261,10 +395,11 @@ def sweep(
         costs = {e: accounting.poisson_epsilon(sampling, s, steps) if s is not None else None for e, s in by.items()}
         sigmas, spent = [by[m.epsilon] for m in grid], [costs[m.epsilon] for m in grid]
 
-    def trained(train: ml.Packed, scaled: Scaling) -> np.ndarray:
+    def trained(train: ml.Packed, table: Callable[[DataFrame, str], DataFrame]) -> tuple[np.ndarray, Scaling]:
         if model == "private":
-            return fit_private(train, grid, scaled, sigmas, steps, sampling, seed=seed)
-        return fit(train, grid, scaled, classes, steps)
+            scaled = scaling(train, grid, len(features))
+            return fit_private(train, grid, scaled, sigmas, steps, sampling, seed=seed), scaled
+        return fit_scaled(train, grid, len(features), table, classes, steps)
 
     found, made = _judged(rows, features, grid, trained, model == "private" or _draws(grid), classes), []
     for m, sigma, cost, h in zip(grid, sigmas, spent, found, strict=True):

@@ -125,8 +125,30 @@ def _batches(columns: int) -> dict[str, str]:
 
 
 class Packed(NamedTuple):
+    """Blocks, the tasks that read them, and the bytes of files that one of these reads (None: as the session says)."""
+
     blocks: DataFrame
     tasks: int
+    split: int | None = None
+
+
+#: Bytes of a row group of blocks, tasks a core that read them, and bounds of what a task reads: tasks of even size, some for each core, however the rows came.
+GROUP_BYTES, WAVES, LEAST_READ, MOST_READ = 4 << 20, 4, 4 << 20, 128 << 20
+_GROUPS = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "4"}
+
+
+def _read_by(split: int | None) -> dict[str, str]:
+    return {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": str(1 << 16)} if split else {}
+
+
+def written_evenly(made: DataFrame, name: str, table: Callable[[DataFrame, str], DataFrame] = runtime.materialize, **settings: str) -> Packed:
+    """``made``'s blocks as a table in small groups, for tasks of even size."""
+    spark = made.sparkSession
+    with runtime.settings(spark, _GROUPS | settings):
+        blocks = table(made, name)
+    size = runtime.size(blocks)
+    split = min(max(size // (WAVES * spark.sparkContext.defaultParallelism), LEAST_READ), MOST_READ)
+    return Packed(blocks, size // split + 1, split)
 
 
 def packed(rows: DataFrame) -> Packed:
@@ -141,6 +163,58 @@ def packed(rows: DataFrame) -> Packed:
     return Packed(blocks, blocks.rdd.getNumPartitions())
 
 
+def _where_they_are(flat: DataFrame, columns: int, packer: Callable, schema: str, table: Callable[[DataFrame, str], DataFrame]) -> Packed:
+    """The blocks that ``packer`` makes of rows of numbers, written once without moving the rows (or their blocks, where these lie in fewer parts than there are cores)."""
+    spark = flat.sparkSession
+    made, tasks = flat.mapInArrow(packer, schema), spark.sparkContext.defaultParallelism
+    if flat.rdd.getNumPartitions() < tasks:
+        made = made.repartition(tasks)
+    return written_evenly(made, "blocks", table, **_batches(columns))
+
+
+def drawn_block(x: np.ndarray, y: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+    """A block of rows with uniforms, each a run of its own."""
+    return pa.RecordBatch.from_pydict({"n": [len(y)], "x": [x.tobytes()], "y": [y.tobytes()], "k": [np.ones(len(y), np.int32).tobytes()], "u": [u.tobytes()]})
+
+
+DRAWN_BLOCK = "n long, x binary, y binary, k binary, u binary"
+
+
+def gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of rows joined until they have ``BLOCK_ROWS``."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[-1])
+        if n >= BLOCK_ROWS:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _features_of(b: pa.RecordBatch, features: int) -> np.ndarray:
+    return np.column_stack([np.empty((b.num_rows, 0)), *[np.array(b.column(j), np.float64) for j in range(features)]])
+
+
+def _drawn_packer(features: int):
+    """Rows (each feature, y, u) to blocks."""
+
+    def run(batches):
+        parts = ((_features_of(b, features), np.array(b["y"], np.int32), np.array(b["u"], np.float64)) for b in batches if b.num_rows)
+        for block in gathered(parts):
+            yield drawn_block(*block)
+
+    return run
+
+
+def packed_drawn(rows: DataFrame, features: Sequence[str], u: Column, table: Callable[[DataFrame, str], DataFrame] = runtime.materialize) -> Packed:
+    """Rows (features, y) with uniforms as blocks, written where the rows are. Equal rows aren't brought together: each draws for itself, so that only
+    pays where few models with few draws read many equal rows often."""
+    flat = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{j}") for j, f in enumerate(features)], F.col("y").cast("int").alias("y"), u.alias("u"))
+    return _where_they_are(flat, len(features) + 2, _drawn_packer(len(features)), DRAWN_BLOCK, table)
+
+
 def _parts_packer(features: int):
     """Rows (each feature, y, test) to blocks of training rows and blocks of test rows, without uniforms; each row is a run."""
 
@@ -151,7 +225,7 @@ def _parts_packer(features: int):
     def run(batches):
         held, n = {False: [], True: []}, {False: 0, True: 0}
         for b in batches:
-            x = np.column_stack([np.empty((b.num_rows, 0)), *[np.array(b.column(j), np.float64) for j in range(features)]])
+            x = _features_of(b, features)
             y, test = np.array(b["y"], np.int32), np.array(b["test"], bool)
             for part, own in ((False, ~test), (True, test)):
                 held[part].append((x[own], y[own]))
@@ -171,16 +245,10 @@ def packed_parts(rows: DataFrame, features: Sequence[str], table: Callable[[Data
 
     Equal rows aren't brought together, which would move them all: in a few passes that costs more than it saves.
     """
-    spark = rows.sparkSession
     flat = rows.select(*[F.col(f"`{f}`").cast("double").alias(f"x{j}") for j, f in enumerate(features)], F.col("y").cast("int").alias("y"), "test")
-    made, tasks = flat.mapInArrow(_parts_packer(len(features)), "test boolean, n long, x binary, y binary, k binary"), spark.sparkContext.defaultParallelism
-    if flat.rdd.getNumPartitions() < tasks:
-        made = made.repartition(tasks)
-    with runtime.settings(spark, _batches(len(features) + 2)):
-        blocks = table(made, "blocks")
-    train, test = (blocks.where(c).drop("test") for c in ("not test", "test"))
-    n = blocks.rdd.getNumPartitions()
-    return Packed(train, n), Packed(test, n)
+    both = _where_they_are(flat, len(features) + 2, _parts_packer(len(features)), "test boolean, n long, x binary, y binary, k binary", table)
+    train, test = (both._replace(blocks=both.blocks.where(c).drop("test")) for c in ("not test", "test"))
+    return train, test
 
 
 def unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -326,7 +394,9 @@ def summed(data: Packed, part: Callable[..., np.ndarray], size: int, own: bool,
     parts = (data.blocks if own else data.blocks.drop("u")).mapInArrow(run, "j int, g double")
     if data.tasks * size > direct:
         parts = parts.groupBy("j").agg(F.sum("g").alias("g"))
-    found, total = parts.toArrow(), np.zeros(size)
+    with runtime.settings(data.blocks.sparkSession, _read_by(data.split)):
+        found = parts.toArrow()
+    total = np.zeros(size)
     np.add.at(total, found["j"].to_numpy(), found["g"].to_numpy())
     return total
 
@@ -423,6 +493,46 @@ def point_sums(points: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray |
     return np.append(g, by[:, *np.triu_indices(c)])
 
 
+def point_gradients(points: np.ndarray, x: np.ndarray, y: np.ndarray, k: np.ndarray | None = None) -> np.ndarray:
+    """Summed gradients (points, classes, features + 1) alone, over rows x (with a last column of ones, column by column in memory), each ``k`` times.
+
+    A class counts against the first one, whose own gradient follows from the others; what the labels give is summed once for all points.
+    """
+    (m, c, d), one = points.shape, points.shape[1] == 1
+    free = max(c - 1, 1)
+    # exp(-z) for two classes, exp(z_class - z_first) for more
+    apart = -points[:, 0] if one else (points[:, 1:] - points[:, :1]).transpose(1, 0, 2).reshape(free * m, d)
+    total, across, rows = np.zeros((free * m, d)), x.T, max(256, CACHED // (free * m))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(x), rows):
+            some = across[:, at : at + rows]
+            p = apart @ some
+            if one:
+                np.exp(p, out=p)
+                p += 1
+                np.reciprocal(p, out=p)
+            else:
+                # the first class has a score of 0; the greatest is taken off only where it would be too large for exp
+                p, top = p.reshape(free, m, -1), 0.0
+                if not p.max() < 700:
+                    top = np.maximum(p.max(axis=0), 0)
+                    p -= top
+                np.exp(p, out=p)
+                whole = p[0] + np.exp(-top)
+                for i in range(1, free):
+                    whole += p[i]
+                np.reciprocal(whole, out=whole)
+                p *= whole
+                p = p.reshape(free * m, -1)
+            if k is not None:
+                p *= k[at : at + rows]
+            total += p @ some.T
+    is_class = ((y > 0)[None] if one else y == np.arange(1, c)[:, None]).astype(np.float64)
+    labels = (is_class if k is None else is_class * k) @ x
+    g = total.reshape(free, m, d).transpose(1, 0, 2) - labels
+    return g if one else np.concatenate([-g.sum(axis=1, keepdims=True), g], axis=1)
+
+
 def split_sums(total: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """``point_sums`` as gradients (points, classes, features + 1) and matrices of second derivatives."""
     m, c, d = shape
@@ -435,7 +545,7 @@ def split_sums(total: np.ndarray, shape: tuple[int, int, int]) -> tuple[np.ndarr
     return total[: m * c * d].reshape(shape), full.transpose(0, 1, 3, 2, 4).reshape(m, c * d, c * d)
 
 
-def _pass_steps(steps: int, points: int) -> tuple[np.ndarray, np.ndarray]:
+def pass_steps(steps: int, points: int) -> tuple[np.ndarray, np.ndarray]:
     """Steps at which a pass takes sums, denser where the way begins, and the weights (steps, points) that carry what holds there to all steps."""
     time = np.log1p(np.arange(steps) / 10)
     nodes = time[-1] * (1 - np.cos(np.pi * np.arange(points) / (points - 1))) / 2
@@ -452,12 +562,23 @@ def _pass_steps(steps: int, points: int) -> tuple[np.ndarray, np.ndarray]:
     return at, weights
 
 
-def descended(sums: Callable[[Points], list[Sums]], models: int, shape: tuple[int, int], steps: int, rate: float = RATE, l2: float = L2) -> np.ndarray:
+class Way(NamedTuple):
+    """The weights before each step, and gradients and second derivatives of a row there (steps, ...)."""
+
+    weights: np.ndarray
+    gradients: np.ndarray
+    seconds: np.ndarray
+
+
+def descended(
+    sums: Callable[[Points], list[Sums]], models: int, shape: tuple[int, int], steps: int, rate: float = RATE, l2: float = L2, found_ways: dict[int, Way] | None = None
+) -> np.ndarray:
     """Weights (models, classes, features + 1) after full gradient steps from zero, with a few passes over the rows instead of one a step.
 
     A pass takes gradients and second derivatives of all models at some steps of the way as far as it is known. Between these steps they are
     interpolated, which gives the gradient near the way, and with it all steps are taken anew: Newton's method for the whole way. A model is done when
     a pass, at other steps than the one before, finds the gradients that were foretold within ``CLOSE``. What isn't done after ``PASSES`` goes step by step.
+    ``found_ways`` takes the ways of the models that are done.
     """
     w, left, size = np.zeros((models, *shape)), list(range(models)), shape[0] * shape[1]
     none = np.zeros((0, *shape))
@@ -470,14 +591,18 @@ def descended(sums: Callable[[Points], list[Sums]], models: int, shape: tuple[in
             found, later = sums([ways[i, at] if i in left else none for i in range(models)]), []
             for i in left:
                 gradients, seconds, n = found[i]
+                curved = np.tensordot(weights, seconds, 1).reshape(steps, size, size)
                 # not a number is not close
-                if not (turn > len(FIRST_POINTS) and np.abs(gradients - told[i][at]).max() <= CLOSE * max(n, 1)):
+                done = turn > len(FIRST_POINTS) and np.abs(gradients - told[i][at]).max() <= CLOSE * max(n, 1)
+                told[i], ways[i], w[i] = _way(np.tensordot(weights, gradients, 1), curved, ways[i], n, rate, l2)
+                if not done:
                     later.append(i)
-                told[i], ways[i], w[i] = _way(np.tensordot(weights, gradients, 1), np.tensordot(weights, seconds, 1).reshape(steps, size, size), ways[i], n, rate, l2)
+                elif found_ways is not None:
+                    found_ways[i] = Way(ways[i], told[i] / max(n, 1), curved / max(n, 1))
             left = later
             if not left:
                 return w
-            at, weights = _pass_steps(steps, count)
+            at, weights = pass_steps(steps, count)
     w[left] = 0
     for _ in range(steps if left else 0):
         found = sums([w[i][None] if i in left else none for i in range(models)])
@@ -486,6 +611,36 @@ def descended(sums: Callable[[Points], list[Sums]], models: int, shape: tuple[in
     return w
 
 
+#: Points of the passes of ``corrected``, how near the gradients (a row) must be to the foretold ones in the end, and how near those of a last pass that is
+#: corrected once more. Weights are then within some 1e-9.
+NEAR_POINTS, NEAR, NEAR_BEFORE = (14, 17, 20, 23), 1e-9, 2e-8
+
+
+def corrected(way: Way, at: np.ndarray, weights: np.ndarray, gradients: np.ndarray, n: float, rate: float = RATE, l2: float = L2) -> tuple[Way, np.ndarray, float]:
+    """The way after a pass that found these gradients (a row) at some of its steps, the weights after the last step, and how far they were from the foretold ones.
+
+    What a gradient differs by from the foretold one is small and smooth along the way, so few points tell it for all steps. Second derivatives stay:
+    they only carry a gradient over the small distance to the way anew.
+    """
+    apart = gradients - way.gradients[at]
+    told = way.gradients + np.tensordot(weights, apart, 1)
+    made, walked, w = _way(told * n, way.seconds * n, way.weights, n, rate, l2)
+    return Way(walked, made / max(n, 1), way.seconds), w, float(np.abs(apart).max())
+
+
+def rescaled(way: Way, shift: np.ndarray, factor: np.ndarray) -> Way:
+    """The same way where a row's features are (x - shift) / factor instead of x: its weights give the same scores there."""
+    weights, (steps, c, d) = way.weights.copy(), way.weights.shape
+    # scores stay, and so do sums over rows, but for the columns they are of
+    weights[..., -1] += weights[..., :-1] @ shift
+    weights[..., :-1] *= factor
+    to = np.eye(d)
+    to[:-1] /= factor[:, None]
+    to[:-1, -1] = -shift / factor
+    seconds = np.einsum("ij,sajbk,lk->saibl", to, way.seconds.reshape(steps, c, d, c, d), to, optimize=True)
+    return Way(weights, way.gradients @ to.T, seconds.reshape(steps, c * d, c * d))
+
+
 def _way(gradients: np.ndarray, seconds: np.ndarray, around: np.ndarray, n: float, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The gradient of each step, the weights before it, and those after the last, by gradients and second derivatives ``around`` each step."""
     told, way, w = np.empty_like(around), np.empty_like(around), np.zeros(around.shape[1:])

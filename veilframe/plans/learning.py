@@ -371,7 +371,10 @@ def _revenue(classes: int) -> Column:
 
 
 def _all_rows(spark: SparkSession, d: str, classes: int = 2) -> DataFrame:
-    return runtime.materialize(experiments.sample(LINEITEM.wide(spark, d), list(LINEITEM.features), _revenue(classes), LINEITEM.key_column(), None, SEED), "rows")
+    """Features, y, the rows' own uniforms (u) and test: keys are read and hashed once, and what the hashes tell is written instead of them."""
+    rows = ml.prepared(LINEITEM.wide(spark, d).withColumn("key", LINEITEM.key_column()), list(LINEITEM.features), _revenue(classes))
+    held = ml.hashed(rows, F.col("key"), SEED).select(*LINEITEM.features, F.col("y").cast("int").alias("y"), grids.own_uniform(F.col("key")).alias("u"), "_h")
+    return ml.stratified_split(runtime.materialize(held, "rows"), None)
 
 
 def _swept_all(spark: SparkSession, d: str, methods, mechanisms, runs: int, classes: int = 2) -> DataFrame:

@@ -253,3 +253,38 @@ def test_descent_over_many_rows_reads_all_of_them_a_few_times(spark, classes, mo
     monkeypatch.setattr(ml, "NEAR_POINTS", (14,))
     got, _ = grids.fit_scaled(data, grid, 2, runtime.materialize, classes)
     assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_draws_keep_their_rate_and_are_independent_by_pairs():
+    u, seeds = np.random.default_rng(3).random(200_000), [7, 8, 1 << 31, 12345]
+    masks = np.array([[ml.drawn(u, 0.05, step, s) for s in seeds] for step in (0, 1, 199)]).reshape(12, -1)
+    assert abs(masks.mean(axis=1) - 0.05).max() < 0.0025
+    both = masks.astype(float) @ masks.T / len(u)
+    assert abs(both - 0.05**2)[~np.eye(12, dtype=bool)].max() < 0.0006
+    bits = ml.step_bits(ml.row_bits(u, 0), 1)
+    rows, sizes = ml.places(bits, 0.05, seeds)
+    assert (np.split(rows, np.cumsum(sizes)[:-1])[2] == np.flatnonzero(masks[4 + 2])).all() and sizes.sum() == masks[4:8].sum()
+    assert all((r == np.arange(5)).all() for r in ml.places(bits[:5], 1.0, seeds)[0].reshape(4, 5))
+    # a rate that ends within one value of the upper half is kept by the lower half
+    few = (np.arange(8, dtype=np.uint64) << np.uint64(29)).copy()
+    assert ml.places(few, 2.0**-33, [5])[0].tolist() == [0, 1, 2, 3]
+
+
+def test_gradients_of_taken_rows_are_those_of_each_model():
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(900, 2)) * 3 + 5, rng.integers(0, 2, 900), rng.normal(size=(4, 3)) * [1, 1, 50]
+    rows, sizes = np.concatenate([np.arange(0, 900, 3), np.arange(7), np.arange(900)]), np.array([300, 0, 7, 900])
+    mean, deviation = x.mean(axis=0), x.std(axis=0)
+    got = ml.taken_sums(w, x, y, rows, sizes, mean, deviation, 0.5)
+    seen = np.column_stack([(x - mean) / deviation, np.ones(900)])
+    for i, own in enumerate(np.split(rows, np.cumsum(sizes)[:-1])):
+        assert got[i] == pytest.approx(ml.gradient_sum(w[i : i + 1], seen[own], y[own], 0.5)[0], abs=1e-9)
+    assert (ml.taken_sums(w, x, y, rows[:0], np.zeros(4, int), mean, deviation, 0.5) == 0).all()
+
+
+def test_private_rows_are_packed_where_they_are(spark, rows, monkeypatch):
+    plans, table = [], runtime.Scratch.table
+    monkeypatch.setattr(runtime.Scratch, "table", lambda self, made, *a: plans.append(_plan(made)) or table(self, made, *a))
+    df = rows.withColumn("y", (F.col("y") == 0).cast("int"))
+    grids.sweep(df, FEATURES, settings(spark, ("sgd", "gaussian", 1.0, [])), "private", 1, steps=2, sampling=0.2).collect()
+    assert len(plans) == 2 and not any("rangepartitioning" in p or "Sort" in p for p in plans)

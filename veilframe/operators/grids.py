@@ -283,23 +283,18 @@ def fit_private(
     clip: float = 1.0, rate: float = 1.0, l2: float = ml.SGD_L2, seed: int = 42,
 ) -> np.ndarray:
     """Noisy descent of all models, a job a step: each model takes its own rows, independently a row and step, and has its own noise."""
-    w = np.zeros((len(grid), 1, scaled.mean.shape[1] + 1))
+    w, features = np.zeros((len(grid), 1, scaled.mean.shape[1] + 1)), scaled.mean.shape[1]
     noises = [np.random.default_rng([seed, m.draws]) for m in grid]
     live = [i for i, sigma in enumerate(sigmas) if sigma is not None]
     for step in range(steps if live else 0):
         now = w
 
         def together(x, y, k, u):
-            # all models see the same rows, so their products are made at once
-            rows = next(rows for _, rows, *_ in _seen(x, y, k, u, grid, scaled))
-            bits, run, times = ml.row_bits(u, 0), ml.runs_of(k, u), np.zeros((len(grid), len(k)), np.int32)
-            for i in live:
-                found = ml.hits(bits, sampling, step, grid[i].draws)  # noqa: B023
-                if run is None:
-                    times[i, found] = 1
-                else:
-                    times[i] = np.bincount(run[found], minlength=len(k))
-            return ml.clipped_sums(now[:, 0], rows, y, (rows * rows).sum(axis=1), times, clip).ravel()  # noqa: B023
+            # all models see the same rows, so what all of them take is worked on at once
+            bits, run, out = ml.step_bits(ml.row_bits(u, 0), step), ml.runs_of(k, u), np.zeros((len(grid), features + 1))  # noqa: B023
+            rows, sizes = ml.places(bits, sampling, [grid[i].draws for i in live])
+            out[live] = ml.taken_sums(now[live, 0], x, y, rows if run is None else run[rows], sizes, scaled.mean[0], scaled.deviation[0], clip)  # noqa: B023
+            return out.ravel()
 
         def each(x, y, k, u):
             out, run = [], ml.runs_of(k, u)

@@ -279,13 +279,44 @@ def row_bits(u: np.ndarray, seed: int) -> np.ndarray:
     return (u * float(1 << 53)).astype(np.uint64) ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32))
 
 
+def step_bits(bits: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of rows' bits (without a seed) and a step, which serve all seeds."""
+    return mixed(bits, step + 1)
+
+
+def places(bits: np.ndarray, rate: float, seeds: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rows with these ``step_bits`` each seed takes, one seed after the other, and how many.
+
+    A row is taken if a 64-bit number is below ``rate``: its upper half is that of the hash times an odd number that the seed gives, its lower half that of
+    the hash. It is as evenly spread as the hash, so a seed's draws are independent over rows and steps, at exactly the rate. Two seeds take a row
+    together as often as independent draws would; of three or more nothing is said.
+    """
+    if rate >= 1:
+        return np.tile(np.arange(len(bits)), len(seeds)), np.full(len(seeds), len(bits))
+    limit, halves, factors = math.ceil(rate * (1 << 64)), bits.view(np.uint32), mixed(np.array(seeds, np.uint64) & np.uint64(0xFFFFFFFF), 1).astype(np.uint32) | np.uint32(1)
+    high, top, product, mask, found = np.ascontiguousarray(halves[1::2]), np.uint32(limit >> 32), np.empty(len(bits), np.uint32), np.empty(len(bits), bool), []
+    for factor in factors:
+        np.multiply(high, factor, out=product)
+        np.less_equal(product, top, out=mask)
+        found.append(mask.nonzero()[0])
+    rows, sizes = np.concatenate(found), np.array([len(f) for f in found])
+    # at the very edge the lower half tells
+    edge = high.take(rows, mode="clip") * np.repeat(factors, sizes) == top
+    if edge.any():
+        out = edge & (halves[::2][rows] >= np.uint32(limit & 0xFFFFFFFF))
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[out], minlength=len(sizes))
+        rows = rows[~out]
+    return rows, sizes
+
+
 def drawn(u: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
     """Which rows a step takes: each with probability ``rate``, independently of other rows and of other steps.
 
-    A row's draw is a hash of its own uniform, the step and the seed.
+    A row's draw comes from a hash of its own uniform and the step, and from the seed.
     """
-    h = mixed(mixed(row_bits(u, seed), step + 1), seed)
-    return (h >> np.uint64(11)) < np.uint64(math.ceil(rate * (1 << 53)))
+    out = np.zeros(len(u), bool)
+    out[places(step_bits(row_bits(u, 0), step), rate, [seed])[0]] = True
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -298,16 +329,47 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def hits(bits: np.ndarray, rate: float, step: int, seed: int) -> np.ndarray:
-    """The places that ``drawn`` takes, from the rows' bits without a seed, which serve all models."""
-    if rate >= 1:
-        return np.arange(len(bits))
-    h = mixed(mixed(bits ^ (np.uint64(seed & 0xFFFFFFFF) << np.uint64(32)), step + 1), seed, last=False)
-    limit = math.ceil(rate * (1 << 53)) << 11
-    # the last shift of the hash leaves its upper half, so only rows that may be taken need it
-    found = np.flatnonzero(h < np.uint64(min(limit | ((1 << 33) - 1), (1 << 64) - 1)))
-    h = h[found]
-    h ^= h >> np.uint64(31)
-    return found[h < np.uint64(limit)]
+    """The places that ``drawn`` takes, from the rows' bits without a seed."""
+    return places(step_bits(bits, step), rate, [seed])[0]
+
+
+def taken_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, rows: np.ndarray, sizes: np.ndarray, mean: np.ndarray, deviation: np.ndarray, clip: float) -> np.ndarray:
+    """Summed gradients (models, features + 1) of many models of two classes, each clipped to a length, over the places ``rows`` of x that each takes:
+    ``sizes`` of them for each model, one model after the other."""
+    out = np.zeros(w.shape)
+    if not len(rows):
+        return out
+    seen = np.ascontiguousarray(x.T)
+    seen -= mean[:, None]
+    seen *= (1 / deviation)[:, None]
+    norms = np.einsum("ij,ij->j", seen, seen)
+    norms += 1
+    np.sqrt(norms, out=norms)
+    # all places are within, so how take treats others doesn't matter; clip is its fastest way
+    taken = [c.take(rows, mode="clip") for c in seen]
+    # minus the score, then 1 / (1 + exp) of it
+    err = np.repeat(-w[:, -1], sizes)
+    for slope, c in zip(w.T, taken, strict=False):
+        at = np.repeat(slope, sizes)
+        at *= c
+        err -= at
+    with np.errstate(over="ignore"):
+        np.exp(err, out=err)
+    err += 1
+    np.reciprocal(err, out=err)
+    err -= (y > 0).astype(np.float64).take(rows, mode="clip")
+    least = norms.take(rows, mode="clip")
+    least *= np.abs(err)
+    least += 1e-10
+    np.divide(clip, least, out=least)
+    err *= np.minimum(least, np.ones(len(rows)), out=least)
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    for j, c in enumerate(taken):
+        c *= err
+        out[some, j] = np.add.reduceat(c, starts)
+    out[some, -1] = np.add.reduceat(err, starts)
+    return out
 
 
 def clipped_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray, norms: np.ndarray, times: np.ndarray, clip: float) -> np.ndarray:
